@@ -111,3 +111,37 @@ def gapless(df: DataFrame, key: str, order: list[str], spread_by: list[str], to:
         .withColumn(to, F.col("__start") + F.col("__rank") - 1)
         .drop("__bucket", "__key", "__b", "__start", "__rank")
     )
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered for the words met so far."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        self[word] = h = xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[str]):
+        import numpy as np
+
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def batches_of(texts: list[str | None], most: int = 4 << 20):
+    """(start, end) of runs of texts of about ``most`` characters; a longer text is a run of its own."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        size = len(t) if t else 0
+        if k > start and held + size > most:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if start < len(texts):
+        yield start, len(texts)

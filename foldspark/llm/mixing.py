@@ -83,8 +83,8 @@ def sainte_lague(parties: DataFrame, group: list[str], weight: str, seats: str,
     return known.join(won, on, "left").withColumn(to, F.col("__sure") + F.coalesce("__won", F.lit(0))).select(*parties.columns, to)
 
 
-def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK, per_shard: int = PER_SHARD, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document.
+def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK, per_shard: int = PER_SHARD, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, and the columns ``carry``.
 
     ``taken`` is the number of words that the mix takes of it, from 0 to
     epochs * size. Sources by code point, null last, weigh ``weights``,
@@ -92,10 +92,10 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     doc_id lies anywhere among its likes, so only its rows' sum is fixed. An
     empty table gives none. Other columns aren't read.
     """
-    sized = materialize(
-        documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
-        "mix",
-    )
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    carry = carry or []
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *carry)
+    sized = materialize(rows.drop(*carry), "mix")
     weight = F.element_at(F.lit(list(weights)), F.col("place") % len(weights) + 1)
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     sources = sources.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", weight)
@@ -104,8 +104,8 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     sources = materialize(sources.withColumn("shards", F.ceil(F.col("__rows") / per_shard).cast("long")).select(F.col("source").alias("__source"), "source_size", "target", "place", "source_blocks", "shards"), "mix-sources")
 
     key = seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)
-    put = sized.join(sources.select("__source", "source_size", "target", "place", "shards"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__key", key).withColumn("shard", F.pmod("__key", "shards"))
-    put = put.select("doc_id", "size", "source_size", "target", "place", "shard", "__key")
+    put = (rows if carry else sized).join(sources.select("__source", "source_size", "target", "place", "shards"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__key", key).withColumn("shard", F.pmod("__key", "shards"))
+    put = put.select("doc_id", "size", "source_size", "target", "place", "shard", "__key", *carry)
     shards = put.groupBy("place", "shard").agg(F.sum("size").alias("words")).join(sources.select(F.col("place").alias("__place"), "source_blocks"), F.col("place") == F.col("__place")).drop("__place")
     shards = sainte_lague(shards, ["place"], "words", "source_blocks", ["shard"], "quota")
     wanted = F.least(F.col("quota") * block, F.col("words") * epochs)
@@ -124,4 +124,4 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
     reach = F.col("begin") + F.col("rest")
     taken = F.col("rounds") * F.col("size") + meets(F.col("begin"), F.least(reach, F.col("words"))) + meets(F.lit(0), reach - F.col("words"))
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)

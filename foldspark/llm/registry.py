@@ -6,12 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, simhash, tokens, url_filter
+from . import ann, html_text, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter
 from .common import table
 
 URL_RULES = "SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS t(host, path, verdict)"
 
 
+#: Factor of the ANN query. Vectors of the test tables have no clusters, so only exact search reaches the recall asked for.
+ANN_FACTOR = 1.0
+
+
+def op1_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5, ANN_FACTOR)
+
+
+OP1_SQL = """
+WITH held AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), measured AS (
+  SELECT *, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS norm FROM held
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b) / (q.norm * c.norm) AS score
+  FROM measured q JOIN measured c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
+def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -111,9 +143,13 @@ FROM laid
 """
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_kd_sharding, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_mixing)}
+    return {f.__name__: f for f in (op1_vp_trees, op2_text_density, op3_toxicity, op4_token_counts, op5_kd_sharding, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op9_mixing": mix_sql()}
+    return {"op1_vp_trees": OP1_SQL, "op7_url_filter": OP7_SQL, "op9_mixing": mix_sql()}

@@ -129,16 +129,29 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def roots(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root) of distinct fingerprints (column ``fp``, materialized): root is the least fingerprint of the component."""
+    found = components(links(fingerprints, radius))
+    return fingerprints.select("fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def with_component(digests: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius: int = RADIUS) -> DataFrame:
     """Adds component_id, the least doc_id of the component, to a table of ids and fingerprints (materialized: it is read twice)."""
     distinct = materialize(digests.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")), "fingerprints")
-    roots = components(links(distinct.select("fp"), radius))
-    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    known = distinct.join(roots(distinct, radius), "fp")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     label = known.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
     return digests.join(label, digests[fp] == label["__fp"]).drop("__fp")
 
 
+def representatives(digests: DataFrame, order: list[str], fp: str = "fp", radius: int = RADIUS) -> DataFrame:
+    """Of each component the row least in ``order`` (nulls last), with ``n``, the rows equal in these. ``digests`` is materialized."""
+    distinct = materialize(digests.select(F.col(fp).alias("fp")).distinct(), "fingerprints")
+    rows = digests.groupBy(F.col(fp).alias("fp"), *order).agg(F.count(F.lit(1)).alias("n"))
+    key = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))], "n")
+    return rows.join(roots(distinct, radius), "fp").groupBy("root").agg(F.min(key).alias("least")).select(*[F.col(f"least.{c}").alias(c) for c in order], "least.n")
+
+
 def near_duplicates(documents: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
