@@ -127,16 +127,19 @@ def _within_cells(points: DataFrame, probes: DataFrame, k: int, metric: str, mos
     def look(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
             return pd.DataFrame({"i": pd.Series(dtype="int64"), "rank": pd.Series(dtype="int32"), "j": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
-        ids, v = p["id"].to_numpy(np.int64), np.stack(p["features"].to_numpy()).astype(float)
+        ids, v = p["p_id"].to_numpy(np.int64), np.stack(p["p_v"].to_numpy()).astype(float)
         out = []
         for s in range(0, len(q), 512):
-            i = q["i"].to_numpy(np.int64)[s : s + 512]
-            d = distances(np.stack(q["features"].to_numpy()[s : s + 512]).astype(float), v, metric)
+            i = q["q_i"].to_numpy(np.int64)[s : s + 512]
+            d = distances(np.stack(q["q_v"].to_numpy()[s : s + 512]).astype(float), v, metric)
             d[i[:, None] == ids[None, :]] = np.inf
             out.append(_rows(i, *best_of(ids, d, k)))
         return pd.concat(out)
 
-    hits = held.select("id", "features", *keys).groupBy(*keys).cogroup(asked.select("i", "features", *keys).groupBy(*keys)).applyInPandas(look, SCHEMA)
+    # Names of their own on each side: both may stem from one table.
+    left = held.select("id", "features", *keys).toDF("p_id", "p_v", "p_cell", "p_part", "p_group")
+    right = asked.select("i", "features", *keys).toDF("q_i", "q_v", "q_cell", "q_part", "q_group")
+    hits = left.groupBy("p_cell", "p_part", "p_group").cogroup(right.groupBy("q_cell", "q_part", "q_group")).applyInPandas(look, SCHEMA)
     return _top(hits, k)
 
 
@@ -185,10 +188,8 @@ def projection_forest(matrix: DataFrame, k: int, metric: str = "euclidean", n_tr
 def nn_descent(matrix: DataFrame, k: int, metric: str = "euclidean", delta: float = 0.001, max_rounds: int = 12, seed: int = 42) -> DataFrame:
     """A neighbour of a neighbour is likely a neighbour: joins of the neighbour table with itself until few entries change."""
     n, _ = shape(matrix)
-    ids = matrix.select(F.col("id").alias("i"))
     start = projection_forest(matrix, k, metric, n_trees=4, leaf_rows=max(32, 2 * k), seed=seed)
     now = materialize(start, "nn-descent")
-    del ids
 
     def measured(pairs: DataFrame) -> DataFrame:
         a = matrix.select(F.col("id").alias("i"), F.col("features").alias("a"))
