@@ -227,7 +227,7 @@ def main_text(html: str | None) -> str:
         if node.parent >= 0:
             nodes[node.parent].total += node.density
     for k in range(n):
-        if not dropped[k] and nodes[k].chars and (best < 0 or nodes[k].total > nodes[best].total):
+        if not dropped[k] and nodes[k].chars and (best < 0 or nodes[k].total >= nodes[best].total):
             best = k
     if best < 0:
         return ""
