@@ -74,6 +74,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def with_text(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """What an Arrow function needs, and the place of the text in it: the columns ``keep``, and the text where it isn't one of them."""
+    if text in keep:
+        return spread(df.select(*keep)), keep.index(text)
+    return spread(df.select(*keep, F.col(text).alias("__text"))), len(keep)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether labels of this document are never learnt from: crc32(doc_id as text) mod 3 is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
@@ -116,7 +123,7 @@ def gapless(df: DataFrame, key: str, order: list[str], spread_by: list[str], to:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the words met so far."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
@@ -134,7 +141,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def batches_of(texts: list[str | None], most: int = 4 << 20):
+def batches_of(texts: list[str | None], most: int = 1 << 20):
     """(start, end) of runs of texts of about ``most`` characters; a longer text is a run of its own."""
     start = held = 0
     for k, t in enumerate(texts):

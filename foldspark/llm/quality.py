@@ -7,10 +7,13 @@ counted over all documents, one over all trusted ones. A document's score is the
 mean over its n-grams of log(p_trusted / p_raw), so it doesn't depend on length;
 documents below THRESHOLD are rejected, as are those that fail the base rules.
 
+An n-gram is judged by all others: its own occurrence is taken off the raw
+count. Else a rare word of a document that isn't trusted would speak against
+itself, and clean documents of a small corpus with it. Both multinomials are
+smoothed in proportion, so an n-gram that nothing else has says nothing.
+
 Counts are summed by bucket: what each partition sends is 2 ** BITS sums at most,
-and the weights broadcast are 2 ** BITS numbers, whatever the corpus. Buckets are
-few on purpose: a rare word shares its bucket with many others, so a word that
-only its own document has says next to nothing.
+and the weights broadcast are 2 ** BITS numbers, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, batches_of, spread, words_of
+from .common import WordHashes, batches_of, spread, with_text, words_of
 
-BITS = 16
-SMOOTHING = 1.0
-THRESHOLD = -0.2
+BITS = 18
+SMOOTHING = 3.0
+THRESHOLD = -0.22
 LEAST_WORDS = 20
 WINDOW = 8
 #: Per cent of words in repeated windows.
@@ -107,7 +110,7 @@ def base_stats(texts: list[str], words: list[list[str]], h: np.ndarray, owner: n
 
 
 def log_ratios(documents: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log(p_trusted / p_raw) of every bucket, from all documents. All 0 if nothing is trusted.
+    """log(p_trusted / p_raw) of an n-gram of every bucket, itself left out, from all documents. All 0 if nothing is trusted.
 
     ``trusted_ids`` has one column; repeats and nulls don't matter.
     """
@@ -133,24 +136,27 @@ def log_ratios(documents: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_
     raw[sums["b"]], good[sums["b"]] = sums["raw"], sums["good"]
     if not good.sum():
         return np.zeros(1 << bits)
-    return np.log((good + smoothing) / (good.sum() + smoothing * len(good))) - np.log((raw + smoothing) / (raw.sum() + smoothing * len(raw)))
+    share = smoothing * good.sum() / raw.sum()
+    others = np.maximum(raw - 1, 0)
+    return np.log((good + share) / (good.sum() + share * len(good))) - np.log((others + smoothing) / (max(raw.sum() - 1, 0) + smoothing * len(raw)))
 
 
-def with_quality(df: DataFrame, ratios: np.ndarray, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns ``keep`` (default: all) and STATS, llr, base_failed and kept.
+def with_quality(df: DataFrame, ratios: np.ndarray, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """Columns ``keep`` (default: all) and STATS, llr, base_failed and kept, their names after ``prefix``.
 
     Columns of these names in df are replaced.
     """
-    new = [*STATS, "llr", "base_failed", "kept"]
+    new = [prefix + c for c in (*STATS, "llr", "base_failed", "kept")]
     keep = [c for c in df.columns if c not in new] if keep is None else keep
     kinds = [*(T.LongType() for _ in STATS), T.DoubleType(), T.BooleanType(), T.BooleanType()]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, k) for c, k in zip(new, kinds))])
+    sent_rows, at_text = with_text(df, keep, text)
     sent, bits = df.sparkSession.sparkContext.broadcast(ratios), len(ratios).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in b.column(at_text).to_pylist()]
             parts: list[list[np.ndarray]] = []
             for s, e in batches_of(texts):
                 words = [words_of(t) for t in texts[s:e]]
@@ -162,9 +168,9 @@ def with_quality(df: DataFrame, ratios: np.ndarray, text: str = "text", keep: li
                 failed = (stats["n_words"] < LEAST_WORDS) | (100 * stats["n_repeat_words"] > MOST_REPEATED * stats["n_words"])
                 parts.append([*(stats[c] for c in STATS), llr, failed, ~failed & (llr >= threshold)])
             done = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64)] * 5 + [np.empty(0)] + [np.empty(0, bool)] * 2
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, done)], names=[*keep, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, done)], names=[*keep, *new])
 
-    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
+    return sent_rows.mapInArrow(run, schema)
 
 
 def trusted(labels: DataFrame) -> DataFrame:

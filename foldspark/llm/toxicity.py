@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, held_out, spread
+from .common import batches_of, held_out, with_text
 
 BITS = 22
 STEMS = (4, 5)
@@ -34,7 +34,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.7
 #: Words that a worker remembers the hashes of.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 250_000
 _WORD = re.compile(r"\w+")
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -165,15 +165,17 @@ def with_score(df: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text:
     """Columns ``keep`` (default: all but ``to``) and the score of each text; the score of an empty one is the bias's."""
     keep = [c for c in df.columns if c != to] if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(to, T.DoubleType())])
+    sent_rows, at_text = with_text(df, keep, text)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, dense = Features(bits, stems), np.zeros(1 << bits, np.float32)
         dense[sent.value[1]] = sent.value[2]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score_texts(b.column(b.num_columns - 1).to_pylist(), sent.value, made, dense))], names=[*keep, to])
+            scores = score_texts(b.column(at_text).to_pylist(), sent.value, made, dense)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores)], names=[*keep, to])
 
-    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
+    return sent_rows.mapInArrow(run, schema)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -30,8 +30,8 @@ def test_targets(spark, sizes):
 
 @pytest.mark.parametrize("weights,seats", [([53, 24, 23], 7), ([1, 1, 1, 1], 2), ([100, 1, 0], 50), ([5.5], 9), ([3, 2], 0), ([1000, 999, 1, 1, 1, 1, 1, 1], 11)])
 def test_highest_quotients(spark, weights, seats):
-    df = spark.createDataFrame([(0, k, float(w), seats) for k, w in enumerate(weights)], "g int, k int, w double, n int")
-    got = {r.k: r.s for r in mixing.sainte_lague(df, ["g"], "w", "n", ["k"], "s").collect()}
+    df = spark.createDataFrame([(0, k, float(w), seats) for k, w in enumerate(weights)], "g int, party int, w double, n int")
+    got = {r.party: r.s for r in mixing.sainte_lague(df, ["g"], "w", "n", ["party"], "s").collect()}
     quotients = sorted(((-w / (2 * s + 1), k) for k, w in enumerate(weights) for s in range(seats) if w > 0))[:seats]
     assert got == {k: sum(x[1] == k for x in quotients) for k in range(len(weights))}
 

@@ -16,7 +16,7 @@ from .test_simhash import plain_components, plain_fingerprint
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("sf")
     rows = [(k, prose(k % 170, 40 + k % 60) + (" vileword Grimble nastything grimbledore" if k % 9 == 0 else ""), "en", f"s{k % 5}", 1) for k in range(200)]
-    rows += [(200 + k, " ".join(w + "###" for w in prose(k, 80).split()), "en", "s1", 1) for k in range(15)] + [(300, "too short", "en", None, 1)]
+    rows += [(200 + k, " ".join(w.rstrip("0123456789") + "###" for w in prose(k, 80).split()), "en", "s1", 1) for k in range(15)] + [(300, "too short", "en", None, 1)]
     spark.createDataFrame(rows, DOC).write.parquet(str(path / "documents.parquet"))
     spark.createDataFrame([(k, 1 if k < 200 else 0, int(k < 200 and k % 9 == 0)) for k in range(215)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
     return str(path)
