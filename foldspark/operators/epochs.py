@@ -149,3 +149,46 @@ def pacmap_pairs(knn: DataFrame, n: int, near: int = 10, mid: int = 5, further:
     tries = short.select("i", F.transform(F.sequence(F.lit(0), F.lit(10 * further - 1)), lambda m: draw_column(seed, F.col("i"), F.lit(0), F.lit(0), m, n)).alias("t"))
     far = tries.select(F.lit("further").alias("kind"), "i", F.explode(F.slice(F.filter("t", lambda j: j != F.col("i")), 1, further)).alias("j"))
     return close.unionByName(window).unionByName(far)
+
+
+def tsne_radii(graph: DataFrame, positions: DataFrame) -> DataFrame:
+    """(id, re, phi_sum): log radii in the embedding, by the kernel 1 / (1 + d^2)."""
+    return umap_radii(graph, positions, 1.0, 1.0)
+
+
+def densne_gradient(graph: DataFrame, positions: DataFrame, radii: DataFrame, stats: DataFrame, weight: float = 0.1) -> DataFrame:
+    """(id, gx, gy) of the density term, to be taken off the gradient.
+
+    ``radii``: (id, re, phi_sum, r). ``stats``: one row of mean, std and cov.
+    """
+    n = F.broadcast(radii.agg(F.count(F.lit(1)).alias("n")))
+    share = (F.col("r") / F.col("std") - F.col("cov") / F.pow("std", F.lit(3.0)) * (F.col("re") - F.col("mean"))) * (1.0 + F.exp(-F.col("re"))) / F.greatest("phi_sum", F.lit(EPSILON))
+    held = radii.crossJoin(F.broadcast(stats)).select("id", share.alias("s"))
+    ends = with_ends(graph.select("i", "j"), positions).join(held.toDF("i", "si"), "i").join(held.toDF("j", "sj"), "j")
+    phi = 1.0 / (1.0 + F.col("d2"))
+    g = phi * phi * (F.col("si") + F.col("sj"))
+    sums = ends.groupBy(F.col("i").alias("id")).agg(F.sum(g * F.col("dx")).alias("gx"), F.sum(g * F.col("dy")).alias("gy"))
+    scale = F.lit(float(weight)) / F.greatest(F.col("n") - 1, F.lit(1))
+    return sums.crossJoin(n).select("id", (F.col("gx") * scale).alias("gx"), (F.col("gy") * scale).alias("gy"))
+
+
+def tsne_step(state: DataFrame, gradient: DataFrame, lr: float, momentum: float) -> DataFrame:
+    """One step of (id, x, y, ux, uy, wx, wy): gains, momentum, the cap on a step, and centring. One row of means is broadcast."""
+    s = state.join(gradient, "id")
+    for c in "xy":
+        gain = F.greatest(F.when((F.col(f"g{c}") > 0) != (F.col(f"u{c}") > 0), F.col(f"w{c}") + 0.2).otherwise(F.col(f"w{c}") * 0.8), F.lit(0.01))
+        s = s.withColumn(f"w{c}", gain).withColumn(f"u{c}", momentum * F.col(f"u{c}") - lr * F.col(f"w{c}") * F.col(f"g{c}"))
+    cap = max(0.025 * lr, 5.0)
+    size = F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy"))
+    scale = F.when(size > cap, cap / size).otherwise(1.0)
+    s = s.withColumn("__k", scale)
+    moved = s.select("id", *[(F.col(c) + F.col(f"u{c}") * F.col("__k")).alias(c) for c in "xy"], *[(F.col(f"u{c}") * F.col("__k")).alias(f"u{c}") for c in "xy"], "wx", "wy")
+    mean = F.broadcast(moved.agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my")))
+    return moved.crossJoin(mean).select("id", (F.col("x") - F.col("__mx")).alias("x"), (F.col("y") - F.col("__my")).alias("y"), "ux", "uy", "wx", "wy")
+
+
+def umap_loss(pairs: DataFrame, positions: DataFrame, a: float, b: float) -> DataFrame:
+    """One row: the mean cross-entropy of q = 1 / (1 + a (d2 + 1e-6)^b) with (i, j, target)."""
+    ends = with_ends(pairs.select("i", "j", "target"), positions)
+    q = F.least(F.greatest(1.0 / (1.0 + a * F.pow(F.col("d2") + 1e-6, F.lit(b))), F.lit(1e-7)), F.lit(1.0 - 1e-7))
+    return ends.agg(F.avg(-(F.col("target") * F.ln(q) + (1.0 - F.col("target")) * F.ln(1.0 - q))).alias("loss"), F.count(F.lit(1)).alias("n"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import linalg
 from .functions.curves import fit_ab
 from .functions.hashing import draw_column, draw_sql
-from .operators import affinity, density, diffusion, edges as E, epochs
+from .operators import affinity, density, diffusion, edges as E, epochs, vectors
 from .operators.knn import knn
 from .plans import distributed, pipelines
 from .plans.params import DiffusionParams, KnnParams, PacmapParams, ParametricParams, PhateParams, TsneParams, UmapParams, densmap_params, densne_params
@@ -560,3 +560,119 @@ def entropy_curve(spark, d):
 @query()
 def fit_curve(spark, d):
     return spark.createDataFrame([(m, s, *fit_ab(m, s)) for m, s in ((0.1, 1.0), (0.5, 1.0))], "min_dist double, spread double, a double, b double")
+
+
+# More single steps and expressions, all with SQL
+
+@query(sql(f"SELECT id, {_r('sqrt(s)', 7)} AS norm, {_r('v[1] / sqrt(s)', 7)} AS first, {_r('t', 7)} AS with_reverse FROM (SELECT id, v, {DOT.format('p', 'p')} AS s, list_reduce(list_transform(list_zip(v, list_reverse(v)), lambda p: p[1] * p[2]), lambda x, y: x + y) AS t FROM pts p)", PTS))
+def vector_norms(spark, d):
+    v = F.col("features")
+    return rounded(embeddings(spark, d).select("id", vectors.norm(v).alias("norm"), F.element_at(vectors.normalise(v), 1).alias("first"), vectors.dot(v, F.reverse(v)).alias("with_reverse")), 7)
+
+
+GRID = ("grid", "SELECT id, least(greatest(floor((x - lx) / side * 65536), 0), 65535)::BIGINT AS cx, least(greatest(floor((y - ly) / side * 65536), 0), 65535)::BIGINT AS cy FROM (SELECT id, x, y, min(x) OVER () AS lx, min(y) OVER () AS ly, greatest(max(x) OVER () - min(x) OVER (), max(y) OVER () - min(y) OVER ()) AS side FROM pos)")
+
+
+@query(sql("SELECT id, list_sum(list_transform(range(0, 16), lambda k: (((cx >> k) & 1) << (2 * k)) + (((cy >> k) & 1) << (2 * k + 1))))::BIGINT AS code FROM grid", PTS, POS, GRID))
+def morton_codes(spark, d):
+    p = _positions(spark, d)
+    b = F.broadcast(p.agg(F.min("x").alias("lx"), F.min("y").alias("ly"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side")))
+    cells = p.crossJoin(b).select("id", vectors.cell_of(F.col("x"), F.col("lx"), F.col("side"), 1 << 16).alias("cx"), vectors.cell_of(F.col("y"), F.col("ly"), F.col("side"), 1 << 16).alias("cy"))
+    return cells.select("id", vectors.morton(F.col("cx"), F.col("cy")).alias("code"))
+
+
+@query(sql(f"SELECT id, {_r('(t - 0.5) / (-1.0 / 3) * ((t - 2.5 / 3) / (-2.0 / 3))')} AS w0, {_r('(t - 0.5 / 3) / (1.0 / 3) * ((t - 2.5 / 3) / (-1.0 / 3))')} AS w1, {_r('(t - 0.5 / 3) / (2.0 / 3) * ((t - 0.5) / (1.0 / 3))')} AS w2 FROM (SELECT id, x - floor(x) AS t FROM pos)", PTS, POS))
+def lagrange_weights(spark, d):
+    w = _positions(spark, d).withColumn("w", vectors.lagrange_weights(F.col("x") - F.floor("x")))
+    return rounded(w.select("id", *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(3)]))
+
+
+TSNE_RE = (ends("joint", "tends"), ("tre", f"SELECT i AS id, ln(1e-8 + sum(phi * d2) / greatest(sum(phi), {E.EPSILON})) AS re, sum(phi) AS phi_sum FROM (SELECT *, 1.0 / (1.0 + d2) AS phi FROM tends) GROUP BY i"))
+
+
+@query(sql(f"SELECT id, {_r('re')} AS re, {_r('phi_sum')} AS phi_sum FROM tre", *TSNE, POS, *TSNE_RE, recursive=True))
+def tsne_embedding_radii(spark, d):
+    graph = affinity.tsne_graph(_knn(spark, d, TSNE_K), PERPLEXITY, shape(embeddings(spark, d))[0])
+    return rounded(epochs.tsne_radii(graph, _positions(spark, d)))
+
+
+DENSNE = (
+    ("d2s", "SELECT g.i, g.j, g.w, coalesce(a.d, b.d, 0.0) AS d2 FROM joint g LEFT JOIN knn a ON g.i = a.i AND g.j = a.j LEFT JOIN knn b ON g.i = b.j AND g.j = b.i"), *RADII[1:],
+    ("stat", "SELECT any_value(m) AS mean, sqrt(var_samp(re) + 0.1) AS std, sum((re - m) * r) / (count(*) - 1) AS cov, count(*) AS n FROM (SELECT re, r, avg(re) OVER () AS m FROM tre JOIN radii ON tre.id = radii.i)"),
+    ("shares", f"SELECT t.id, (r / std - cov / pow(std, 3.0) * (re - mean)) * (1.0 + exp(-re)) / greatest(phi_sum, {E.EPSILON}) AS s FROM tre t JOIN radii ON t.id = radii.i, stat"),
+)
+
+
+@query(sql(f"SELECT i AS id, {_r('sum(g * dx) * 0.1 / (SELECT n - 1 FROM stat)', 8)} AS gx, {_r('sum(g * dy) * 0.1 / (SELECT n - 1 FROM stat)', 8)} AS gy FROM (SELECT e.i, e.dx, e.dy, 1.0 / (1.0 + e.d2) * (1.0 / (1.0 + e.d2)) * (a.s + b.s) AS g FROM tends e JOIN shares a ON e.i = a.id JOIN shares b ON e.j = b.id) GROUP BY i", *TSNE, POS, *TSNE_RE, *DENSNE, recursive=True))
+def densne_epoch_gradient(spark, d):
+    m, near = embeddings(spark, d), _knn(spark, d, TSNE_K)
+    graph, p = affinity.tsne_graph(near, PERPLEXITY, shape(m)[0]), _positions(spark, d)
+    both = epochs.tsne_radii(graph, p).join(density.original_radii(m.select(F.col("id").alias("i")), graph, near).select(F.col("i").alias("id"), "r"), "id")
+    return rounded(epochs.densne_gradient(graph, p, both, density.correlation_stats(both)), 8)
+
+
+STEP = (
+    ("grad", "SELECT r.id, coalesce(ax, 0.0) - rx / (SELECT sum(z) FROM rep) AS gx, coalesce(ay, 0.0) - ry / (SELECT sum(z) FROM rep) AS gy FROM rep r LEFT JOIN att a ON a.id = r.id"),
+    ("ups", "SELECT id, CASE WHEN gx > 0 THEN 1.2 ELSE 0.8 END::DOUBLE AS wx, CASE WHEN gy > 0 THEN 1.2 ELSE 0.8 END::DOUBLE AS wy, gx, gy FROM grad"),
+    ("caps", "SELECT id, wx, wy, ux, uy, CASE WHEN sqrt(ux * ux + uy * uy) > 5.0 THEN 5.0 / sqrt(ux * ux + uy * uy) ELSE 1.0 END AS k FROM (SELECT *, -200.0 * wx * gx AS ux, -200.0 * wy * gy AS uy FROM ups)"),
+    ("new", "SELECT c.id, p.x + c.ux * c.k AS x, p.y + c.uy * c.k AS y, c.wx, c.wy FROM caps c JOIN pos p USING (id)"),
+)
+
+
+@query(sql(f"SELECT id, {_r('x - avg(x) OVER ()', 5)} AS x, {_r('y - avg(y) OVER ()', 5)} AS y, wx, wy FROM new", *TSNE, *TSNE_GRAD, *STEP, recursive=True))
+def tsne_descent_step(spark, d):
+    graph, p = affinity.tsne_graph(_knn(spark, d, TSNE_K), PERPLEXITY, shape(embeddings(spark, d))[0]), _positions(spark, d)
+    state = p.select("id", "x", "y", F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(1.0).alias("wx"), F.lit(1.0).alias("wy"))
+    return rounded(epochs.tsne_step(state, epochs.tsne_gradient(graph, p), 200.0, 0.5).select("id", "x", "y", "wx", "wy"), 5)
+
+
+_ROOT = (1 - 0.9 ** (EPOCH + 1)) ** 0.5
+_RATE = (1 - EPOCH / 500) * _ROOT / (1 - 0.5 ** (EPOCH + 1))
+
+
+@query(sql(f"SELECT p.id, {_r(f'p.x + CASE WHEN act > 0 THEN {_RATE!r} * (0.5 * gx) / (sqrt({1 - 0.9!r} * (gx * gx)) + {_ROOT * 1e-7!r}) ELSE 0.0 END', 5)} AS x, {_r(f'p.y + CASE WHEN act > 0 THEN {_RATE!r} * (0.5 * gy) / (sqrt({1 - 0.9!r} * (gy * gy)) + {_ROOT * 1e-7!r}) ELSE 0.0 END', 5)} AS y FROM pos p LEFT JOIN (SELECT id, sum(gx) AS gx, sum(gy) AS gy, sum(act) AS act FROM parts GROUP BY id) USING (id)", *UMAP, PERIODS, DUE, DRAWN, POS, *UMAP_GRAD, recursive=True))
+def umap_adam_step(spark, d):
+    n, _ = shape(embeddings(spark, d))
+    g = epochs.umap_gradient(epochs.umap_schedule(_umap(spark, d)), _positions(spark, d), n, EPOCH, A, B)
+    return rounded(distributed._adam(distributed._state(_positions(spark, d)), g, _RATE, _ROOT * 1e-7, 0.5, 0.9, F.col("n_active") > 0).select("id", "x", "y"), 5)
+
+
+@query(sql(f"SELECT {_r('avg(-ln(q))')} AS loss, count(*) AS n FROM (SELECT least(greatest(1.0 / (1.0 + {A} * pow(d2 + 1e-6, {B})), 1e-7), 1.0 - 1e-7) AS q FROM gends)", *UMAP, POS, ends("graph", "gends"), recursive=True))
+def parametric_loss(spark, d):
+    return rounded(epochs.umap_loss(_umap(spark, d).select("i", "j", F.lit(1.0).alias("target")), _positions(spark, d), A, B))
+
+
+@query(sql(f"SELECT {_r('corr(sqrt(k.d), sqrt(e.d2))')} AS correlation FROM ends e JOIN knn k ON e.i = k.i AND e.j = k.j", PTS, knn_part(K), POS, ends("knn")))
+def distance_correlation(spark, d):
+    near = epochs.with_ends(_knn(spark, d), _positions(spark, d))
+    return rounded(near.agg(F.corr(F.sqrt("d"), F.sqrt("d2")).alias("correlation")))
+
+
+MARK_XY = ("mxy", "SELECT landmark, v[1] * 10 AS x, v[2] * 10 AS y FROM marks")
+
+
+def _mark_coordinates(spark, d):
+    return diffusion.random_landmarks(embeddings(spark, d), N_LANDMARKS, SEED).select("landmark", F.array(F.get("features", F.lit(0)) * 10, F.get("features", F.lit(1)) * 10).alias("x"))
+
+
+def _xy(df):
+    return df.select(F.col("i").alias("id"), F.get("x", F.lit(0)).alias("x"), F.get("x", F.lit(1)).alias("y"))
+
+
+@query(sql(f"SELECT n.i AS id, {_r('sum(n.w * m.x)')} AS x, {_r('sum(n.w * m.y)')} AS y FROM nl1 n JOIN mxy m ON n.j = m.landmark GROUP BY n.i", *PHATE, MARKS, ASSIGNED, *LANDMARK_OP[2:4], MARK_XY))
+def landmark_interpolation(spark, d):
+    m = embeddings(spark, d)
+    assigned = diffusion.assign_to_landmarks(m, diffusion.random_landmarks(m, N_LANDMARKS, SEED))
+    return rounded(_xy(diffusion.interpolate(diffusion.landmark_operators(diffusion.markov(_kernel(spark, d)), assigned)[1], _mark_coordinates(spark, d))))
+
+
+@query(sql(f"SELECT t.i AS id, {_r('sum(t.w * m.x) / 0.5')} AS x, {_r('sum(t.w * m.y) / 0.25')} AS y FROM (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT i, j, exp(-(d / greatest(far, {E.EPSILON}))) AS w FROM near) WHERE w >= 0.0001) t JOIN mxy m ON t.j = m.landmark GROUP BY t.i", PTS, MARKS, TRANS, MARK_XY))
+def nystroem_extension(spark, d):
+    m = embeddings(spark, d)
+    to = diffusion.to_landmark_transitions(m, diffusion.random_landmarks(m, N_LANDMARKS, SEED), PHATE_K)
+    return rounded(_xy(diffusion.nystroem(to, _mark_coordinates(spark, d), [0.5, 0.25])))
+
+
+@query(f"SELECT epoch, CASE WHEN epoch < 100 THEN 2.0 WHEN epoch < 200 THEN 3.0 ELSE 1.0 END::DOUBLE AS near, {_r('CASE WHEN epoch < 100 THEN 1000.0 * (1 - epoch / 100.0::DOUBLE) + 3.0 * (epoch / 100.0::DOUBLE) WHEN epoch < 200 THEN 3.0 ELSE 0.0 END::DOUBLE')} AS mid, 1.0::DOUBLE AS further FROM (SELECT unnest(range(0, 450, 10)) AS epoch)")
+def pacmap_phases(spark, d):
+    return rounded(spark.createDataFrame([(e, *epochs.phase_weights(e)) for e in range(0, 450, 10)], "epoch long, near double, mid double, further double"))
