@@ -31,6 +31,8 @@ from .common import groups_of, materialize
 SHARD_ROWS = 8192
 LEAF_ROWS = 256
 QUERY_ROWS = 256
+#: Pairs that are scored at once.
+SCORED = 1 << 15
 #: Two cosines nearer than this may be equal; both are then computed exactly.
 NOISE = 1e-12
 
@@ -118,7 +120,8 @@ class Tree:
         q, at, c = (np.concatenate(x) for x in zip(*found))
         keep = c >= worst[q].min(axis=1) - NOISE
         q, at = q[keep], at[keep]
-        score = exact_cosine(vectors[q], self.vectors[at])
+        # Ties with a very common vector can be many: their vectors are paired a part at a time.
+        score = np.concatenate([exact_cosine(vectors[q[s : s + SCORED]], self.vectors[at[s : s + SCORED]]) for s in range(0, len(q), SCORED)])
         order = np.lexsort((self.ids[at], -score, q))
         q, at, score = q[order], at[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
