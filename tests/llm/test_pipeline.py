@@ -5,11 +5,11 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as P
-from foldspark.llm import packing, quality, simhash, tokens, toxicity
+from foldspark.llm import packing, quality, tokens, toxicity
 
 from .data import DOC, documents, prose
 from .test_packing import fewest  # noqa: F401  the brute-force packer is used there
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import long_near, plain_components, plain_long_fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def test_run_by_plain_steps(spark, folder):
     left = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
     scored = toxicity.score_documents(docs.where(docs.doc_id.isin(list(kept))), labels).collect()
     left = {r.doc_id: left[r.doc_id] for r in scored if r.score < toxicity.THRESHOLD}
-    roots = plain_components({d: plain_fingerprint(t) for d, t in left.items()})
+    roots = plain_components({d: plain_long_fingerprint(t) for d, t in left.items()}, long_near)
     left = {d: left[d] for d in left if roots[d] == d}
     got = docs
     counts = []
@@ -68,4 +68,17 @@ def test_one_of_each_group_stays(spark, folder):
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC)
     got = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, folder).collect()), key=str)
     assert got == sorted([(3, prose(1, 60)), (None, prose(2, 60)), (8, None), (1, prose(3, 70))], key=str)
-    assert simhash.RADIUS == 2
+
+
+def test_near_copies_go(spark, folder):
+    rows = []
+    for k in range(12):
+        words = prose(100 + k, 200).split()
+        rows.append((k, " ".join(words)))
+        words[50 + k] = "changed"
+        rows.append((20 + k, " ".join(words)))
+        rows.append((40 + k, " ".join(["start", *words[:195]])))
+        rows.append((60 + k, " ".join(words[:60]) + " " + prose(500 + k, 150)))
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC)
+    kept = {r.doc_id for r in P.near_duplicates(spark, docs, folder).collect()}
+    assert kept == set(range(12)) | set(range(60, 72))
