@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import mixing, packing, quality, simhash, toxicity
+from foldspark.llm import jaccard, mixing, packing, quality, simhash, toxicity
 from foldspark.llm.common import materialize, table
 
 #: Hashing, learning and byte-pair encoding have no SQL; tests/llm compares run() with a brute-force version.
@@ -36,17 +36,16 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the least doc_id, then the least digest of its text.
 
-    Near-duplicates share about 0.8 of their five-word shingles or more, by the
-    distance of their long fingerprints. Fingerprints are named by a hash.
+    Near-duplicates share 0.8 of their five-word shingles or more (the exact
+    Jaccard similarity of the sets). Equal sets are one node, named by a hash.
 
     A null doc_id comes last. Of rows equal in both, any one stays. Texts are
     shuffled once, to meet the list of those that stay.
     """
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = simhash.with_long_fingerprint(docs.select("doc_id", digest.alias("__digest"), "text"), "text", ["doc_id", "__digest"])
-    digests = materialize(marked.withColumn("node", F.xxhash64("bits")), "near-duplicates")
-    prints = materialize(digests.groupBy("node").agg(F.first("bits").alias("bits")), "near-duplicates-prints")
-    stay = simhash.representatives(digests, ["doc_id", "__digest"], "node", simhash.long_links(prints)).toDF("__i", "__t", "__n")
+    marked = jaccard.with_shingles(docs.select("doc_id", digest.alias("__digest"), "text"), "text", ["doc_id", "__digest"])
+    digests = materialize(marked, "near-duplicates")
+    stay = simhash.representatives(digests, ["doc_id", "__digest"], "node", jaccard.links(digests)).toDF("__i", "__t", "__n")
     # An id that is null meets by its text's digest alone, so nulls don't meet in one task.
     stay = materialize(stay.withColumn("__k", F.coalesce("__i", "__t")).withColumn("__null", F.col("__i").isNull()).drop("__i"), "near-duplicates-stay")
     mine = docs.select(F.struct(*docs.columns).alias("__row"), digest.alias("__text"), F.col("doc_id").isNull().alias("__lone")).withColumn("__key", F.coalesce("__row.doc_id", "__text"))

@@ -31,9 +31,7 @@ from .common import materialize, spread, words_of
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-#: Long fingerprints: 256 bits over five-word shingles.
-LONG_WORDS, LONG_SHINGLE = 4, 5
-#: Bits of a long fingerprint that texts of a similarity of 0.8 differ in, about: 37 at the median from 0.8 to 0.85, against 44 at 0.7 and 58 at 0.6.
+#: Bits that the former 256-bit fingerprints of near copies were to differ in at most; only a test still reads it.
 LONG_DISTANCE = 40
 #: Shingle hashes that are unpacked to bits at once.
 _AT_ONCE = 1 << 16
@@ -67,20 +65,6 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def long_fingerprint(text: str | None, words: int = LONG_WORDS, width: int = LONG_SHINGLE, seed: int = SEED) -> np.ndarray:
-    """``words`` 64-bit fingerprints of the set of shingles, each from a mix of the same hashes."""
-    h = np.unique(shingle_hashes(text or "", width, seed)).astype(np.uint64)
-    ones = np.zeros((words, 64), np.int64)
-    for at in range(0, len(h), _AT_ONCE):
-        for k in range(words):
-            x = h[at : at + _AT_ONCE] + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel()
-
-
 def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None, to: str = "fingerprint", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Columns ``keep`` (default: all) and the fingerprint of the text as a long with the same 64 bits."""
     keep = list(df.columns) if keep is None else keep
@@ -176,42 +160,6 @@ def representatives(digests: DataFrame, order: list[str], fp: str = "fp", edges:
     return rows.join(at, "fp").groupBy("root").agg(F.min(key).alias("least")).select(*[F.col(f"least.{c}").alias(c) for c in order], "least.n")
 
 
-def with_long_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None, to: str = "bits") -> DataFrame:
-    """Columns ``keep`` (default: all) and the long fingerprint of the text, an array of longs."""
-    keep = list(df.columns) if keep is None else keep
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(to, T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [long_fingerprint(x).view(np.int64).tolist() for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.list_(pa.int64()))], names=[*keep, to])
-
-    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
-
-
-def long_links(prints: DataFrame, distance: int = LONG_DISTANCE) -> DataFrame:
-    """Links (a, b), a < b, between long fingerprints (node, bits) within ``distance`` bits. ``prints`` is materialized, nodes are unique.
-
-    Every 32-bit half emits its ball of radius one, so two fingerprints meet if
-    any of their halves differ in at most two bits. A meeting can hold many
-    fingerprints of one large group; each is compared with the two before it
-    and with the first, not with all. A group meets on many values, so its
-    members stay linked.
-    """
-    low, masks = 0xFFFFFFFF, [0, *(1 << k for k in range(32))]
-    halves = [x for k in range(LONG_WORDS) for x in (F.get("bits", F.lit(k)).bitwiseAND(low), F.shiftrightunsigned(F.get("bits", F.lit(k)), 32))]
-    keys = F.array(*[h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)])
-    balls = prints.select("node", keys.alias("keys")).select("node", F.explode(F.flatten(F.transform("keys", lambda x: F.transform(F.lit(masks), lambda m: x.bitwiseXOR(m))))).alias("v"))
-    by = Window.partitionBy("v").orderBy("node")
-    met = balls.select("node", F.array(F.lag("node", 1).over(by), F.lag("node", 2).over(by), F.first("node").over(by)).alias("others")).where(F.get("others", F.lit(0)).isNotNull())
-    pairs = met.select(F.explode("others").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
-    differ = F.lit(0)
-    for k in range(LONG_WORDS):
-        differ = differ + F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k))))
-    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(prints.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
-    return both.where(differ <= distance).select("a", "b")
-
-
 def near_duplicates(documents: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
