@@ -64,6 +64,15 @@ def test_partners_in_a_family_of_one_passage(spark, monkeypatch, block):
     assert got == want and len(set(want.values())) == 60
 
 
+def test_texts_that_share_seven_tenths_stay(spark):
+    """Finding 2: distinct texts built round one passage aren't near copies."""
+    passage = prose(1, 170)
+    texts = {k: f"{passage} {prose(1000 + k, 34)}" for k in range(80)}
+    a, b = shingles(texts[0]), shingles(texts[1])
+    assert 0.66 < len(a & b) / len(a | b) < 0.75
+    assert kept(spark, texts) == set(texts)
+
+
 def test_small_sets_and_short_texts(spark):
     texts = {0: "one", 1: "one two", 2: "one  two", 3: "a b c d e f", 4: "a b c d e f g", 5: "a b c d e f g h i", 6: "a b c d e f g h i j", 7: "", 8: " ", 9: "a b c d e f g h i j k"}
     assert kept(spark, texts) == kept_by_brute_force(texts)
