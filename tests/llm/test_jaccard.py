@@ -73,6 +73,19 @@ def test_texts_that_share_seven_tenths_stay(spark):
     assert kept(spark, texts) == set(texts)
 
 
+def test_single_pairs_about_the_threshold(spark):
+    """Finding 3: every single pair of similarity 0.8 or more is found, and none below."""
+    r = random.Random(5)
+    texts = {}
+    for k in range(150):
+        words = prose(2000 + k, 200).split()
+        cut = 170 + k % 30
+        texts[k], texts[1000 + k] = " ".join(words), " ".join([*words[:cut], *prose(5000 + k, r.randrange(4, 30)).split()])
+    want = kept_by_brute_force(texts)
+    assert 150 < len(want) < 300
+    assert kept(spark, texts) == want
+
+
 def test_small_sets_and_short_texts(spark):
     texts = {0: "one", 1: "one two", 2: "one  two", 3: "a b c d e f", 4: "a b c d e f g", 5: "a b c d e f g h i", 6: "a b c d e f g h i j", 7: "", 8: " ", 9: "a b c d e f g h i j k"}
     assert kept(spark, texts) == kept_by_brute_force(texts)
