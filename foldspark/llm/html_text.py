@@ -242,7 +242,7 @@ def main_text(html: str | None) -> str:
         k = nodes[k].parent
     chosen = [article if article >= 0 else best]
     if article < 0:
-        # Other subtrees: outside the chosen one, above the threshold, of a like sum.
+        # Other subtrees: outside the chosen one, at or above the threshold.
         inside = [False] * n
         for k in range(n):
             inside[k] = k == best or (k > 0 and inside[nodes[k].parent])
@@ -252,10 +252,10 @@ def main_text(html: str | None) -> str:
             k = nodes[k].parent
         for k in range(1, n):
             node = nodes[k]
-            if not dropped[k] and not inside[k] and k not in above and node.density >= least and 2 * node.total >= nodes[best].total:
+            inside[k] = inside[k] or inside[node.parent]
+            if not dropped[k] and not inside[k] and k not in above and node.density >= least:
                 chosen.append(k)
-                for c in range(k, n):
-                    inside[c] = inside[c] or c == k or inside[nodes[c].parent]
+                inside[k] = True
         heading = max((k for k in range(1, n) if nodes[k].tag == "h1" and not dropped[k] and not inside[k] and k < best), default=-1)
         if heading > 0:
             chosen.append(heading)

@@ -50,3 +50,9 @@ def test_test_pages_give_their_article(spark, sf_dir):
         inner = re.search(r"<article>(.*)</article>", source[r.page_id], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner))
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_sections_of_unequal_length_without_an_article():
+    part = [("word%d and more of it " % k * 20)[:300].strip() for k in range(4)]
+    html = f"<html><body><div><section><p>{part[0]}</p><p>{part[1]}</p><p>{part[2]}</p></section><section><p>{part[3]}</p></section></div></body></html>"
+    assert html_text.main_text(html).split("\n") == part
