@@ -1,21 +1,27 @@
-"""Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly.
-
-Sets that share 4/5 of their union have a shingle in common among the first
-``n // 5 + 1`` of each, in any order that holds for all sets (prefix filtering;
-Chaudhuri, Ganti and Kaushik 2006, Xiao et al. 2008). Here rare shingles come
-first, so a passage that many texts share brings no two of them together unless
-it is most of both. The counts behind that order are of 2^22 buckets; what they
-mix up costs time only. No pair is left out:
-
-1. Neighbours in a meeting (the texts that have one shingle among their first)
-   are compared and joined, so a large group of near copies becomes one
-   component without all its pairs.
-2. All pairs of a meeting that are still in different components are compared,
-   in blocks of 256 by 256, so no meeting has to fit a task. Meetings of one
-   component need nothing more.
-
-Candidates of the second step are counted over all their meetings, and those
-that share too few of their first shingles to reach 0.8 are dropped unseen.
+"""Near-duplicates of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly.
+
+Equal sets are one node, named by a hash. Links are found in three steps; each
+leaves less to the next, and the last leaves nothing out:
+
+1. SimHash. Fingerprints of the sets meet by ball hashing (``simhash.links``),
+   and nodes that share a fingerprint are chained. What meets is verified by the
+   exact similarity. At radius 2 this finds the copies with the fewest changes.
+2. Rounds of neighbours. Sets that share 4/5 of their union have a shingle in
+   common among the first ``n // 5 + 1`` of each, in any order that holds for all
+   sets (prefix filtering; Chaudhuri, Ganti and Kaushik 2006, Xiao et al. 2008).
+   Rare shingles come first, so a passage that many texts share brings no two of
+   them together unless it is most of both. In each round the members of a meeting
+   (the nodes with one such shingle) are put in a seeded order, and each is
+   compared with the one before it if that is in another component and their
+   fingerprints aren't far apart. So a large group of near copies becomes one
+   component by comparisons in proportion to its members.
+3. The rest. All pairs of a meeting that are still in different components and
+   can reach 0.8 are compared, in blocks of BLOCK by BLOCK members.
+
+A pair can reach 0.8 only if, from the places that the shingle they meet on has
+in both, enough shingles are left: the first one that they have in common
+satisfies that. The counts behind the order are of 2^22 buckets; what they mix
+up costs time only.
 """
 
 from __future__ import annotations
@@ -28,12 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import materialize, spread
-from .simhash import components, shingle_hashes
+from .simhash import components, majority, shingle_hashes
 
 SHINGLE = 5
 #: Members of a meeting that one block holds.
 BLOCK = 256
+#: Rounds of neighbours, and the most bits that fingerprints may differ in there; pairs of similarity 0.8 differ in 10 of 64 on average.
+ROUNDS, FAR_BITS = 3, 20
 #: Buckets of shingle counts: 1024 slices of 4096.
 _BITS, _SLICES = 22, 1024
 _PER_SLICE = (1 << _BITS) // _SLICES
@@ -43,21 +52,21 @@ _NODE_BITS = 24
 
 
 def with_shingles(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all), the sorted set of the text's shingle hashes (``shingles``) and a hash of that set (``node``)."""
+    """Columns ``keep`` (default: all), the sorted set of the text's shingle hashes (``shingles``), a hash of that set (``node``) and its fingerprint (``fp``)."""
     from xxhash import xxh64_intdigest
 
     keep = list(df.columns) if keep is None else keep
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 sets = [np.unique(shingle_hashes(x or "", SHINGLE)) for x in b.column(b.num_columns - 1).to_pylist()]
-                nodes = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                nodes, prints = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: xxh64_intdigest(s.tobytes()), majority))
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(nodes), lists], names=[*keep, "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(nodes), pa.array(prints), lists], names=[*keep, "node", "fp", "shingles"])
 
     return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
@@ -99,14 +108,14 @@ def commonness(sets: DataFrame) -> np.ndarray:
 
 
 def first_shingles(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """(v, node, n): the n // 5 + 1 rarest shingles of each set of n; once for equal sets of a task."""
+    """(v, node, pos): the n // 5 + 1 rarest shingles of each set of n and their places; once for equal sets of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             values, ends = _flat(b.column(1))
             levels = common[(values >> np.uint64(64 - _BITS)).astype(np.int64)]
-            picked, nodes, sizes = [], [], []
+            picked, nodes = [], []
             for k, node in enumerate(b.column(0).to_pylist()):
                 s, n = slice(ends[k], ends[k + 1]), int(ends[k + 1] - ends[k])
                 if n and node not in seen:
@@ -114,17 +123,19 @@ def first_shingles(sets: DataFrame, common: np.ndarray) -> DataFrame:
                     # Values are sorted, so equal levels are in the order of the values in every set.
                     picked.append(values[s][np.argsort(levels[s], kind="stable")[: n // 5 + 1]])
                     nodes.append(node)
-                    sizes.append(n)
             if picked:
                 times = [len(p) for p in picked]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["v", "node", "n"])
+                places = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(places)], names=["v", "node", "pos"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "v long, node long, n int")
+    return sets.select("node", "shingles").mapInArrow(run, "v long, node long, pos int")
 
 
-def _alike(x: str, y: str):
-    """Whether sets of such sizes can have a similarity of 0.8."""
-    return (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
+def _viable(a: str, b: str):
+    """Whether a pair (fields n and pos) can have a similarity of 0.8 if the shingle that it meets on is its first in common."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    left = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))
+    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * left >= 4 * (na + nb))
 
 
 def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -159,39 +170,61 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """(v, node, n, m, before, head) of each meeting of m > 1 distinct sets: the one before in it, and its first, each as (node, n)."""
+    """(v, node, pos, m) of each meeting of m > 1 distinct sets."""
     rows = first_shingles(sets, commonness(sets)).repartition("v").dropDuplicates(["v", "node"])
-    by, pair = Window.partitionBy("v"), F.struct("node", "n")
-    met = rows.select("v", "node", "n", F.count(F.lit(1)).over(by).alias("m"), F.lag(pair).over(by.orderBy("node")).alias("before"), F.first(pair).over(by.orderBy("node")).alias("head"))
+    met = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("v")))
     return materialize(met.where("m > 1"), "jaccard-meetings")
 
 
-def neighbours(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) next to each other, or with the first, in enough meetings to be worth a look. What is left out here comes later."""
-    pairs = met.where("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("before", "head"))).alias("o"), "node", "n")
-    pairs = pairs.select(F.col("o.node").alias("a"), F.col("o.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).where(_alike("na", "nb"))
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k")).where(20 * F.col("k") >= F.least("na", "nb")).select("a", "b")
+def alike_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) that share a fingerprint, in a chain, or the least of those whose fingerprints lie within the radius."""
+    held = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    near = simhash.links(held.select("fp"))
+    across = near.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    chain = nodes.select(F.lag("node").over(Window.partitionBy("fp").orderBy("node")).alias("a"), F.col("node").alias("b")).where("a IS NOT NULL")
+    return across.union(chain)
 
 
-def across(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every pair (a, b), a < b, of members of a meeting in different components (node, root) that can have a similarity of 0.8."""
-    known = met.select("v", "node", "n", "m").join(roots, "node", "left").select("v", "node", "n", "m", F.coalesce("root", "node").alias("r"))
+def _known(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    return met.join(nodes.select("node", "n", "fp", "root"), "node")
+
+
+def neighbours(met: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) next to each other in this turn's order of a meeting, in different components, that can be alike and seem so."""
+    row = F.struct("node", "n", "pos", "fp", "root")
+    order = Window.partitionBy("v").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    pairs = _known(met, nodes).select(row.alias("x"), F.lag(row).over(order).alias("y")).where("x.root <> y.root")
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR_BITS
+    pairs = pairs.where(_viable("x.", "y.") & near)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def across(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every pair (a, b) of members of a meeting in different components that can have a similarity of 0.8."""
     by = Window.partitionBy("v")
-    split = known.select("*", F.min("r").over(by).alias("lo"), F.max("r").over(by).alias("hi"), F.row_number().over(by.orderBy("node")).alias("k")).where("lo <> hi")
-    dealt = split.select("v", "node", "n", "r", F.floor((F.col("k") - 1) / BLOCK).cast("int").alias("block"), F.floor((F.col("m") - 1) / BLOCK).cast("int").alias("last"))
+    split = _known(met, nodes).select("v", "node", "n", "pos", "root", "m", F.min("root").over(by).alias("lo"), F.max("root").over(by).alias("hi"), F.row_number().over(by.orderBy("node")).alias("k")).where("lo <> hi")
+    dealt = split.select("v", F.struct("node", "n", "pos", "root").alias("x"), F.floor((F.col("k") - 1) / BLOCK).cast("int").alias("block"), F.floor((F.col("m") - 1) / BLOCK).cast("int").alias("last"))
     # A row goes to every pair of blocks that its own is in: as earlier or as later one.
-    x = dealt.select("v", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
-    y = dealt.select("v", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    pairs = x.join(y, ["v", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike("na", "nb"))
-    # Of the shingles in common, all but k come after the first n // 5 + 1 of one of the two.
-    rest = F.greatest(F.expr("na - na div 5 - 1"), F.expr("nb - nb div 5 - 1"))
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k")).where(9 * (F.col("k") + rest) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    early = dealt.select("v", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), "x")
+    late = dealt.select("v", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("x").alias("y"))
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _viable("x.", "y.")
+    return early.join(late, ["v", "i", "j"]).where(apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes with the roots of their components after these links (a, b) between nodes."""
+    a, b = nodes.select(F.col("node").alias("a"), F.col("root").alias("x")), nodes.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    edges = links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    new = components(edges, "jaccard-roots").toDF("root", "to")
+    return materialize(nodes.join(new, "root", "left").select("node", "n", "fp", F.coalesce("to", "root").alias("root")), "jaccard-nodes")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join the nodes as all pairs of a similarity of 0.8 or more do. ``sets`` (node, shingles) is materialized; nodes may repeat."""
+def roots(sets: DataFrame) -> DataFrame:
+    """(node, root) of every node: the least node that links of a similarity of 0.8 or more reach. ``sets`` (node, fp, shingles) is materialized; nodes may repeat."""
+    nodes = sets.select("node", F.size("shingles").alias("n"), "fp").dropDuplicates(["node"]).withColumn("root", F.col("node"))
+    nodes = materialize(nodes, "jaccard-nodes")
+    nodes = _joined(nodes, verified(sets, materialize(alike_prints(nodes), "jaccard-prints")))
     met = meetings(sets)
-    near = materialize(neighbours(met), "jaccard-near")
-    roots = components(verified(sets, near), "jaccard-roots")
-    rest = materialize(across(met, roots).join(near, ["a", "b"], "left_anti"), "jaccard-rest")
-    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(sets, rest))
+    for turn in range(ROUNDS):
+        nodes = _joined(nodes, verified(sets, materialize(neighbours(met, nodes, turn), "jaccard-near")))
+    return _joined(nodes, verified(sets, materialize(across(met, nodes), "jaccard-rest"))).select("node", "root")

@@ -31,8 +31,6 @@ from .common import materialize, spread, words_of
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-#: Bits that the former 256-bit fingerprints of near copies were to differ in at most; only a test still reads it.
-LONG_DISTANCE = 40
 #: Shingle hashes that are unpacked to bits at once.
 _AT_ONCE = 1 << 16
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -55,9 +53,8 @@ def shingle_hashes(text: str, width: int = SHINGLE, seed: int = SEED) -> np.ndar
     return np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, stops)], "<u8")
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit k is 1 if it is set in more than half of the hashes; 0 without words."""
-    h = shingle_hashes(text or "", width, seed)
+def majority(h: np.ndarray) -> int:
+    """Bit k is 1 if it is set in more than half of the hashes; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), _AT_ONCE):
         part = h[at : at + _AT_ONCE]
@@ -65,6 +62,10 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text or "", width, seed))
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None, to: str = "fingerprint", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Columns ``keep`` (default: all) and the fingerprint of the text as a long with the same 64 bits."""
     keep = list(df.columns) if keep is None else keep
@@ -146,18 +147,17 @@ def with_component(digests: DataFrame, doc_id: str = "doc_id", fp: str = "fp", r
     return digests.join(label, digests[fp] == label["__fp"]).drop("__fp")
 
 
-def representatives(digests: DataFrame, order: list[str], fp: str = "fp", edges: DataFrame | None = None) -> DataFrame:
+def representatives(digests: DataFrame, order: list[str], key: str = "fp", known: DataFrame | None = None) -> DataFrame:
     """Of each component the row least in ``order`` (nulls last), with ``n``, the rows equal in these.
 
-    ``digests`` is materialized. ``edges`` links values of ``fp``; without it
-    those within RADIUS bits are linked.
+    ``digests`` is materialized. ``known`` has the root of every value of
+    ``key``; without it they are fingerprints and RADIUS links them.
     """
-    distinct = materialize(digests.select(F.col(fp).alias("fp")).distinct(), "fingerprints")
-    found = components(links(distinct) if edges is None else edges).withColumnRenamed("node", "fp")
-    at = distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    rows = digests.groupBy(F.col(fp).alias("fp"), *order).agg(F.count(F.lit(1)).alias("n"))
-    key = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))], "n")
-    return rows.join(at, "fp").groupBy("root").agg(F.min(key).alias("least")).select(*[F.col(f"least.{c}").alias(c) for c in order], "least.n")
+    if known is None:
+        known = roots(materialize(digests.select(F.col(key).alias("fp")).distinct(), "fingerprints")).withColumnRenamed("fp", key)
+    rows = digests.groupBy(key, *order).agg(F.count(F.lit(1)).alias("n"))
+    least = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))], "n")
+    return rows.join(known, key).groupBy("root").agg(F.min(least).alias("least")).select(*[F.col(f"least.{c}").alias(c) for c in order], "least.n")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -1,6 +1,8 @@
 """Links by exact similarity against brute force over all pairs."""
 
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -35,14 +37,10 @@ def signed(x):
 
 
 def by_sets(spark, sets):
-    """Component of each set by jaccard.links, and by brute force."""
-    rows = [(k, sorted(s)) for k, s in sets.items()]
-    rows = [(k, [signed(x) for x in s]) for k, s in rows]
-    df = jaccard.materialize(spark.createDataFrame(rows, "node long, shingles array<long>"), "test-sets")
-    got = {k: k for k in sets}
-    for r in simhash.components(jaccard.links(df)).collect():
-        got[r.node] = r.root
-    return got, plain_components(sets, alike)
+    """Component of each set by jaccard.roots, and by brute force."""
+    rows = [(k, signed(simhash.majority(np.array(sorted(s), "<u8"))), [signed(x) for x in sorted(s)]) for k, s in sets.items()]
+    df = jaccard.materialize(spark.createDataFrame(rows, "node long, fp long, shingles array<long>"), "test-sets")
+    return {r.node: r.root for r in jaccard.roots(df).collect()}, plain_components(sets, alike)
 
 
 def fresh(r, n):
@@ -106,3 +104,64 @@ def test_first_shingles_hold_one_in_common(spark):
     for x in jaccard.first_shingles(df, common).collect():
         met.setdefault(x.node, set()).add(x.v)
     assert all(met[2 * k] & met[2 * k + 1] for k in range(30))
+
+
+def pairs_by_full_index(texts):
+    """All pairs of a similarity of 0.8 or more, counted over every shingle of every text: no candidate rule."""
+    where, sizes = {}, {}
+    for d, t in texts.items():
+        own = shingles(t)
+        sizes[d] = len(own)
+        for x in own:
+            where.setdefault(x, []).append(d)
+    shared = Counter()
+    for held in where.values():
+        if len(held) > 1:
+            shared.update(combinations(held, 2))
+    return [(a, b) for (a, b), n in shared.items() if 10 * n >= 8 * (sizes[a] + sizes[b] - n)]
+
+
+def test_whole_test_table(spark):
+    """Every pair of the table that reaches 0.8 is in one component, and no component holds more than these pairs join."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id IS NOT NULL").collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    pairs = pairs_by_full_index(texts)
+    label = {d: d for d in texts}
+
+    def find(x):
+        while label[x] != x:
+            label[x] = x = label[label[x]]
+        return x
+
+    empty = [d for d in texts if not shingles(texts[d])]
+    for a, b in [*pairs, *zip(empty, empty[1:])]:
+        a, b = sorted((find(a), find(b)))
+        label[b] = a
+    want = {d for d in texts if find(d) == d}
+    assert len(pairs) > 50 and len(want) < len(texts)
+    assert kept(spark, texts) == want
+
+
+def test_hot_family_makes_few_comparisons(spark):
+    """A thousand copies with their own changes: rounds join most, so the pairs left to compare are far fewer than all."""
+    r = random.Random(11)
+    base, sets = sorted(fresh(r, 200)), {}
+    for k in range(600):
+        cut = r.randrange(0, 40)
+        sets[k] = set(base[cut // 2 : 200 - (cut - cut // 2)]) | fresh(r, cut)
+    rows = [(k, signed(simhash.majority(np.array(sorted(s), "<u8"))), [signed(x) for x in sorted(s)]) for k, s in sets.items()]
+    df = jaccard.materialize(spark.createDataFrame(rows, "node long, fp long, shingles array<long>"), "test-family")
+    made = []
+    whole = jaccard.across
+
+    def counted(met, nodes):
+        made.append(whole(met, nodes).count())
+        return whole(met, nodes)
+
+    jaccard.across = counted
+    try:
+        got = {x.node: x.root for x in jaccard.roots(df).collect()}
+    finally:
+        jaccard.across = whole
+    assert got == plain_components(sets, alike)
+    assert made[0] < 600 * 599 / 2 / 5

@@ -9,7 +9,7 @@ from foldspark.llm import packing, quality, tokens, toxicity
 
 from .data import DOC, documents, prose
 from .test_packing import fewest  # noqa: F401  the brute-force packer is used there
-from .test_simhash import long_near, plain_components, plain_long_fingerprint
+from .test_jaccard import kept_by_brute_force
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +30,7 @@ def test_run_by_plain_steps(spark, folder):
     left = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
     scored = toxicity.score_documents(docs.where(docs.doc_id.isin(list(kept))), labels).collect()
     left = {r.doc_id: left[r.doc_id] for r in scored if r.score < toxicity.THRESHOLD}
-    roots = plain_components({d: plain_long_fingerprint(t) for d, t in left.items()}, long_near)
-    left = {d: left[d] for d in left if roots[d] == d}
+    left = {d: left[d] for d in kept_by_brute_force(left)}
     got = docs
     counts = []
     for name, stage in P.STAGES[:3]:

@@ -17,32 +17,10 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_long_fingerprint(text):
-    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
-    hashes = {xxhash.xxh64_intdigest(" ".join(words[k : k + 5]).encode(), 42) for k in range(max(len(words) - 4, 1))} if words else set()
-    out, m = 0, (1 << 64) - 1
-    for k in range(4):
-        mixed = []
-        for h in hashes:
-            x = (h + 0x9E3779B97F4A7C15 * (k + 1)) & m
-            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
-            x = (x ^ x >> 27) * 0x94D049BB133111EB & m
-            mixed.append(x ^ x >> 31)
-        out |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)) << 64 * k
-    return out
-
-
 def near(a, b):
     return bin(a ^ b).count("1") <= 2
 
 
-def long_near(a, b):
-    """Some 32-bit half within two bits, and all 256 bits within the distance."""
-    x = a ^ b
-    return bin(x).count("1") <= simhash.LONG_DISTANCE and any(bin(x >> 32 * k & 0xFFFFFFFF).count("1") <= 2 for k in range(8))
-
-
 def plain_components(fps, linked=near):
     """Least id reachable, by comparing all pairs."""
     ids = sorted(fps)
