@@ -37,7 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each component stays: the least doc_id, then the least digest of its text.
 
     Near-duplicates share 0.8 of their five-word shingles or more (the exact
-    Jaccard similarity of the sets). Equal sets are one node, named by a hash.
+    Jaccard similarity of the sets). SimHash balls find those with the fewest
+    changes; fingerprints of 64 bits can't tell 0.8 from less, so what they
+    leave is found by meetings on rare shingles (``jaccard``).
 
     A null doc_id comes last. Of rows equal in both, any one stays. Texts are
     shuffled once, to meet the list of those that stay.
@@ -45,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     marked = jaccard.with_shingles(docs.select("doc_id", digest.alias("__digest"), "text"), "text", ["doc_id", "__digest"])
     digests = materialize(marked, "near-duplicates")
-    stay = simhash.representatives(digests, ["doc_id", "__digest"], "node", jaccard.links(digests)).toDF("__i", "__t", "__n")
+    stay = simhash.representatives(digests, ["doc_id", "__digest"], "node", jaccard.roots(digests)).toDF("__i", "__t", "__n")
     # An id that is null meets by its text's digest alone, so nulls don't meet in one task.
     stay = materialize(stay.withColumn("__k", F.coalesce("__i", "__t")).withColumn("__null", F.col("__i").isNull()).drop("__i"), "near-duplicates-stay")
     mine = docs.select(F.struct(*docs.columns).alias("__row"), digest.alias("__text"), F.col("doc_id").isNull().alias("__lone")).withColumn("__key", F.coalesce("__row.doc_id", "__text"))
