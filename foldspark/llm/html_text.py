@@ -8,11 +8,17 @@ that of its children's densities, its own text counting as a child. The subtree
 with the largest sum is the main text. The least density on its path to the body
 is the threshold for other subtrees to be taken besides.
 
-Three additions: subtrees whose tag, role or name says that they are no content
-(menus, adverts, forms, comments and so on) are left out beforehand; the base is
-at least e, so a page with next to no links doesn't divide by next to nothing;
-and the subtree is widened to an article element around it, which holds its
-headline.
+Additions, none of which looks at more than structure and these densities:
+
+* Subtrees whose tag, role or name says that they are no content (menus,
+  adverts, forms, comments and so on) are left out beforehand, but a name or a
+  wrapping tag never leaves out the page's heading or nearly all of its text.
+* The base is at least e, so a page with next to no links doesn't divide by next
+  to nothing.
+* What the densities choose is made whole: paragraphs, headings, lists and the
+  like beside a chosen one, blocks between chosen ones, both unless they are
+  mostly links, the page's heading before them, and the rest of an article element
+  that holds all of them. An article element alone chooses nothing.
 """
 
 from __future__ import annotations
@@ -54,36 +60,44 @@ NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus sidebar sidebars sidenav breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices newsletter subscribe subscription share sharing social related recommended pagination pager popup modal overlay skip login signup footer masthead toolbar".split()
 )
 NEVER_OUTSIDE = frozenset("header banner widget widgets alert".split())
+#: Tags and names whose subtrees are left out whatever they hold.
+ALWAYS = frozenset("head script style noscript template iframe object svg canvas select textarea audio video map datalist xmp noembed noframes title comment comments commentlist disqus respond reply replies".split())
+#: A subtree with this share of the page's text outside links isn't left out for its name or tag.
+NEARLY_ALL = 0.8
 CONTENT = frozenset("html body main article".split())
+#: Blocks of running text; those of one parent belong together.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "at", "inner", "never", "chars", "link_chars", "tags", "link_tags", "density", "total", "has_content")
+    __slots__ = ("tag", "parent", "at", "never", "chars", "link_chars", "tags", "link_tags", "density", "total", "held")
 
     def __init__(self, tag: str, parent: int, at: int):
-        self.tag, self.parent, self.at, self.inner, self.never = tag, parent, at, 0, False
+        self.tag, self.parent, self.at, self.never = tag, parent, at, ""
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
-        self.has_content = False
+        self.held = 0  # characters outside links, of what may be left out too
 
 
-def _never(tag: str, attributes: str, in_article: bool) -> bool:
+def _never(tag: str, attributes: str, in_article: bool) -> str:
+    """What says that an element is no content: its tag or a name of it; empty if nothing does."""
     if tag in NEVER or (tag == "header" and not in_article):
-        return True
+        return tag
     if not attributes or tag in CONTENT:
-        return False
+        return ""
     for m in _NAMES.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             parts = _PART.findall(value)
-            if not NEVER_NAMES.isdisjoint(parts) or (not in_article and not NEVER_OUTSIDE.isdisjoint(parts)):
-                return True
+            found = [x for x in parts if x in NEVER_NAMES or (not in_article and x in NEVER_OUTSIDE)]
+            if found:
+                return min(found, key=lambda x: x not in ALWAYS)
         elif name == "role":
             if value in NEVER_ROLES:
-                return True
+                return value
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return "template"
+    return ""
 
 
 def parse(html: str) -> tuple[list[_Node], list[tuple[int, str]], list[int]]:
@@ -176,31 +190,37 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[int, str]], list[int]]:
     return nodes, events, ends
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks, one a line; empty if there is none."""
-    if not html:
-        return ""
+def measured(html: str) -> tuple[list[_Node], list[tuple[int, str]], list[int], list[bool]]:
+    """What ``parse`` gives, with densities and sums of all nodes, and which nodes are left out."""
     nodes, events, ends = parse(html)
     n = len(nodes)
-    for k in range(n - 1, 0, -1):  # what holds an article is not left out for its name: a menu that was never closed
-        node = nodes[k]
-        if node.has_content or node.tag in ("article", "main"):
-            nodes[node.parent].has_content = True
-    dropped, in_link = [False] * n, [False] * n
+    in_link, raw = [False] * n, [False] * n
     for k in range(1, n):
-        node = nodes[k]
-        dropped[k] = dropped[node.parent] or (node.never and not node.has_content)
-        in_link[k] = in_link[node.parent] or node.tag == "a"
+        in_link[k] = in_link[nodes[k].parent] or nodes[k].tag == "a"
+        raw[k] = raw[nodes[k].parent] or nodes[k].never in ALWAYS
+    sizes = [(k, sum(map(len, unescape(text).split()))) if text and not text.isspace() else (k, 0) for k, text in events]
+    for k, size in sizes:
+        if size and not raw[k] and not in_link[k]:
+            nodes[k].held += size
+    holds_heading = [False] * n
+    for k in range(n - 1, 0, -1):
+        up = nodes[k].parent
+        nodes[up].held += nodes[k].held
+        if holds_heading[k] or nodes[k].tag in ("article", "main") or (nodes[k].tag == "h1" and nodes[up].tag not in ("header", "nav", "aside", "footer")):
+            holds_heading[up] = True
+    dropped = [False] * n
+    for k in range(1, n):
+        why = nodes[k].never
+        whole = why not in ALWAYS and why != "header" and (holds_heading[k] or nodes[k].held >= NEARLY_ALL * nodes[0].held > 0)
+        dropped[k] = dropped[nodes[k].parent] or (why != "" and not whole)
     own = [0] * n
     all_chars = all_links = 0
-    for k, text in events:
-        if text:
-            size = sum(map(len, unescape(text).split())) if not text.isspace() else 0
-            if size and not (dropped[k] and nodes[k].tag in RAW):
-                all_chars += size
-                all_links += size if in_link[k] else 0
-            if not dropped[k]:
-                own[k] += size
+    for k, size in sizes:
+        if size and not (dropped[k] and nodes[k].tag in RAW):
+            all_chars += size
+            all_links += size if in_link[k] else 0
+        if not dropped[k]:
+            own[k] += size
     for k in range(n - 1, -1, -1):
         node = nodes[k]
         node.chars += own[k]
@@ -213,7 +233,6 @@ def main_text(html: str | None) -> str:
             up.tags += node.tags + 1
             up.link_tags += node.link_tags + (node.tag == "a")
     share = all_links / max(all_chars, 1)
-    best = -1
     for k in range(n - 1, -1, -1):
         node = nodes[k]
         if dropped[k]:
@@ -226,39 +245,60 @@ def main_text(html: str | None) -> str:
                 node.total += own[k] * log(max(own[k], 1.0)) / max(log(log(share * own[k] + e)), 1.0)
         if node.parent >= 0:
             nodes[node.parent].total += node.density
+    return nodes, events, ends, dropped
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks, one a line; empty if there is none."""
+    if not html:
+        return ""
+    nodes, events, ends, dropped = measured(html)
+    n, best = len(nodes), -1
     for k in range(n):
         if not dropped[k] and nodes[k].chars and (best < 0 or nodes[k].total >= nodes[best].total):
             best = k
     if best < 0:
         return ""
-    least, k = nodes[best].density, best
-    article = -1
-    while k > 0:
-        least = min(least, nodes[k].density)
-        if nodes[k].tag == "article" or (nodes[k].tag == "main" and article < 0):
-            article = k
-        if nodes[k].tag == "body":
-            break
+    # The threshold: the least density on the way to the body. Above it, subtrees besides the best one count too.
+    least, k, article, path = nodes[best].density, best, -1, set()
+    while k >= 0:
+        path.add(k)
+        if k and nodes[k].tag not in ("body", "html"):
+            least = min(least, nodes[k].density)
+            if nodes[k].tag == "article" or (nodes[k].tag == "main" and article < 0):
+                article = k
+        elif nodes[k].tag == "body":
+            least = min(least, nodes[k].density)
         k = nodes[k].parent
-    chosen = [article if article >= 0 else best]
-    if article < 0:
-        # Other subtrees: outside the chosen one, at or above the threshold.
-        inside = [False] * n
-        for k in range(n):
-            inside[k] = k == best or (k > 0 and inside[nodes[k].parent])
-        above, k = set(), best
-        while k >= 0:
-            above.add(k)
+    chosen, inside = [], [False] * n
+    for k in range(1, n):
+        inside[k] = inside[nodes[k].parent]
+        if not inside[k] and not dropped[k] and (k == best or (k not in path and nodes[k].density >= least)):
+            chosen.append(k)
+            inside[k] = True
+    if not chosen:
+        chosen = [best]
+    # What lies between chosen blocks, or beside one as a block of the same text, is content unless it is mostly links.
+    first, last, parents = min(chosen), max(chosen), set()
+    for k in chosen:
+        while k > 0 and nodes[k].tag not in RUNNING:
             k = nodes[k].parent
-        for k in range(1, n):
-            node = nodes[k]
-            inside[k] = inside[k] or inside[node.parent]
-            if not dropped[k] and not inside[k] and k not in above and node.density >= least:
-                chosen.append(k)
-                inside[k] = True
-        heading = max((k for k in range(1, n) if nodes[k].tag == "h1" and not dropped[k] and not inside[k] and k < best), default=-1)
-        if heading > 0:
-            chosen.append(heading)
+        parents.add(nodes[k].parent if k > 0 else -1)
+    for k in range(1, n):
+        node = nodes[k]
+        inside[k] = inside[k] or inside[node.parent]
+        beside = node.tag in RUNNING and node.parent in parents or first < k < last and node.parent in path
+        if beside and not inside[k] and not dropped[k] and k not in path and node.chars and 2 * node.link_chars < node.chars:
+            chosen.append(k)
+            inside[k] = True
+    # A chosen part of a running block brings the whole of it.
+    for k in [k for k in path if nodes[k].tag in RUNNING and nodes[k].parent in parents]:
+        chosen = [c for c in chosen if not (nodes[k].at <= nodes[c].at and ends[c] <= ends[k])] + [k]
+    heading = max((k for k in range(1, first) if nodes[k].tag == "h1" and not dropped[k] and not inside[k]), default=-1)
+    if heading > 0:
+        chosen.append(heading)
+    if article > 0 and all(nodes[article].at <= nodes[k].at and ends[k] <= ends[article] for k in chosen):
+        chosen = [article]
     lines: list[str] = []
     for top in sorted(chosen):
         parts: list[str] = []
@@ -276,19 +316,20 @@ def main_text(html: str | None) -> str:
     return "\n".join(lines)
 
 
-def extract_text(df: DataFrame, html: str = "html", keep: list[str] | None = None, to: str = "text") -> DataFrame:
-    """Columns ``keep`` (default: all but ``to``) and the main text of each page.
+def extract_text(df: DataFrame, html: str = "html", keep: list[str] | None = None, to: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """Columns ``keep`` (default: all but these two), the main text of each page (``to``) and its code points (``n_chars``).
 
-    Null, empty and blank pages, and pages of nothing but menus, have an empty
-    text. Rows are independent: repeated rows and null ids stay. A page's nodes
-    are kept while it is read, one page at a time.
+    Columns of df named ``to`` or ``n_chars`` are replaced; other columns stay as
+    they are. Null, empty and blank pages, and pages of nothing but menus, have an
+    empty text. Rows are independent: repeated rows and null ids stay. A page's
+    nodes are kept while it is read, one page at a time, whatever its length.
     """
-    keep = [c for c in df.columns if c != to] if keep is None else keep
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(to, T.StringType()), T.StructField("n_chars", T.LongType())])
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (to, n_chars)]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(to, T.StringType()), T.StructField(n_chars, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x.as_py()) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(np.array([len(x) for x in texts], np.int64))], names=[*keep, to, "n_chars"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(np.array([len(x) for x in texts], np.int64))], names=[*keep, to, n_chars])
 
     return spread(df.select(*keep, F.col(html).alias("__html"))).mapInArrow(run, schema)

@@ -34,9 +34,11 @@ def test_deep_and_long_pages_end():
 def test_table(spark, sf_dir):
     rows = [(1, "u", CASES["article"][0]), (None, None, None), (1, "u", CASES["article"][0])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'old' AS text", "5 AS n_chars")
-    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df.drop("n_chars"), keep=["page_id", "url"]).collect()), key=str)
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df, keep=["page_id", "url"]).collect()), key=str)
     assert got == sorted([(1, CASES["article"][1], 31), (1, CASES["article"][1], 31), (None, "", 0)], key=str)
-    assert html_text.extract_text(df.drop("n_chars").limit(0)).count() == 0
+    whole = html_text.extract_text(df.withColumn("at", df.url))
+    assert whole.columns == ["page_id", "url", "html", "at", "text", "n_chars"] and sorted(r.n_chars for r in whole.collect()) == [0, 31, 31]
+    assert html_text.extract_text(df.limit(0)).count() == 0
     pages = registry.op2_text_density(spark, sf_dir)
     assert pages.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and pages.where("n_chars = 0").count() == 0
 
@@ -56,3 +58,106 @@ def test_sections_of_unequal_length_without_an_article():
     part = [("word%d and more of it " % k * 20)[:300].strip() for k in range(4)]
     html = f"<html><body><div><section><p>{part[0]}</p><p>{part[1]}</p><p>{part[2]}</p></section><section><p>{part[3]}</p></section></div></body></html>"
     assert html_text.main_text(html).split("\n") == part
+
+
+def plain_densities(html):
+    """The paper's formulas over a tree of its own, for pages without text to leave out: {(tag, text): (density, sum)} by node."""
+    from html.parser import HTMLParser
+    from math import e, log
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.at = {"tag": "#root", "of": None, "parts": []}
+
+        def handle_starttag(self, tag, attrs):
+            self.at["parts"].append(node := {"tag": tag, "of": self.at, "parts": []})
+            self.at = node
+
+        def handle_endtag(self, tag):
+            self.at = self.at["of"]
+
+        def handle_data(self, data):
+            self.at["parts"].append(data)
+
+    def size(x):
+        return len("".join(x.split()))
+
+    def text(x):
+        return x if isinstance(x, str) else "".join(map(text, x["parts"]))
+
+    def count(x, what):
+        return 0 if isinstance(x, str) else sum((what == "*" or p["tag"] == what) + count(p, what) for p in x["parts"] if not isinstance(p, str))
+
+    def linked(x):
+        return 0 if isinstance(x, str) else size(text(x)) if x["tag"] == "a" else sum(map(linked, x["parts"]))
+
+    tree = Tree()
+    tree.feed(html)
+    share = linked(tree.root) / max(size(text(tree.root)), 1)
+
+    def density(x):
+        c, t, lc, lt = size(text(x)), max(count(x, "*"), 1), linked(x), count(x, "a")
+        if isinstance(x, str):
+            return c * log(max(c, 1)) / max(log(log(share * c + e)), 1)
+        if x["tag"] == "a":
+            lc = c
+        base = log(c / max(c - lc, 1) * lc + share * c + e)
+        return c / t * log(max(c / max(lc, 1) * t / max(lt, 1), 1)) / max(log(base), 1) if c else 0.0
+
+    out = []
+
+    def walk(x):
+        link = x["tag"] == "a"
+        out.append((x["tag"], size(text(x)), round(density(x), 6), round(sum(density(p) for p in x["parts"] if size(text(p)) and not (link and isinstance(p, str))), 6)))
+        for p in x["parts"]:
+            if not isinstance(p, str):
+                walk(p)
+
+    for p in tree.root["parts"]:
+        walk(p)
+    return out
+
+
+def page(seed):
+    import random
+
+    r = random.Random(seed)
+    words = lambda n: " ".join("w%d" % r.randrange(1000) for _ in range(n))
+
+    def block(depth):
+        kind = r.randrange(4)
+        if depth == 0 or kind == 0:
+            return f"<p>{words(r.randrange(1, 60))}</p>"
+        if kind == 1:
+            return "<ul>" + "".join(f"<li><a href=x>{words(r.randrange(1, 4))}</a></li>" for _ in range(r.randrange(1, 6))) + "</ul>"
+        return "<div>" + "".join(block(depth - 1) for _ in range(r.randrange(1, 5))) + "</div>"
+
+    return "<html><body>" + "".join(block(3) for _ in range(r.randrange(1, 5))) + "</body></html>"
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_densities_are_the_formulas(seed):
+    """The densities and sums by which main_text chooses, against the formulas over another parser's tree."""
+    html = page(seed)
+    nodes = html_text.measured(html)[0]
+    assert [(x.tag, x.chars, round(x.density, 6), round(x.total, 6)) for x in nodes[1:]] == plain_densities(html)
+
+
+def test_article_element_decides_nothing(spark):
+    """Every test page gives the same text with its article element renamed."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert html_text.main_text(r.html) == html_text.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>"))
+
+
+WRAPPED = {
+    "form around the page": f"<body><form id=aspnet><div class=nav><a href=x>m</a></div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></form></body>",
+    "name on the content": f"<body><div class='notice story'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class=ad>Buy</div></body>",
+    "sidebar of links": f"<body><div><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul></div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div><p><a href=c>{LONG}</a></p></div></body>",
+    "comments longer than the text": f"<body><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div id=comments>{f'<p>{LONG}</p>' * 9}</div></body>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_structure_over_names(name):
+    assert html_text.main_text(WRAPPED[name]) == f"T\n{LONG.strip()}\n{LONG.strip()}"
