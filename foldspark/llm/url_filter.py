@@ -3,9 +3,11 @@
 A rule is a host and a path; it fits its host and all subdomains where the
 URL's path starts with the rule's. So a URL can only meet rules among a few
 keys: its last k labels and first m characters, for the (k, m) that occur among
-the rules. Each such key is tested against the Bloom filter of all rules; those
-that pass go on to an exact hash join with the rules, which removes the false
-positives.
+the rules, whatever their number. The keys of a URL are one exploded column.
+Each is tested against the Bloom filter of all rules; those that pass go on to
+an exact hash join with the rules, which removes the false positives. The best
+rule of each (host, path) that had one is written; every row then takes it by a
+second hash join. Rows without a possible hit are never grouped.
 
 The filter is split-block (Putze, Sanders and Singler, "Cache-, Hash- and
 Space-Efficient Bloom Filters", 2007): a key picks one block of eight 32-bit
@@ -21,17 +23,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, materialize
 
-#: Odd multipliers, one for each word of a block.
+#: Odd multipliers, one for each word of a block, those of the Parquet format's Bloom filters.
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 #: 4 MB.
 MOST_BLOCKS = 1 << 17
 RULES_IN_BLOCK = 16
-#: The most rules that are broadcast; beyond, both sides of the exact join are shuffled.
+#: The most rules, and the most (host, path) with one, that are broadcast; beyond, both sides of a join are shuffled.
 BROADCAST_RULES = 100_000
-#: The most shapes (labels, path characters) that rules may have: each is a join.
-MOST_SHAPES = 64
+#: Parts that rows without a possible hit are dealt into where they are shuffled.
+PARTS = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -81,18 +83,34 @@ def bloom_filter(rules: DataFrame, n_blocks: int) -> bytes:
     return bytes(out)
 
 
-def might_hold(df: DataFrame, keys: list[str], bloom: bytes) -> DataFrame:
-    """Sets keys that the filter surely doesn't hold to null. In steps, so that each hash is computed once."""
-    df = df.withColumns({f"__h_{c}": _hash(F.col(c)) for c in keys})
-    df = df.withColumns({f"__b_{c}": F.hex(F.substring(F.lit(bloom), _block(F.col(f"__h_{c}"), len(bloom) // 32) * 32 + 1, F.lit(32))) for c in keys})
-    passed = {}
-    for c in keys:
-        held = F.lit(True)
+def possible(keys: Column, bloom: bytes) -> Column:
+    """Those of an array of keys that the filter may hold. Each key is hashed and its block looked up once."""
+    hashed = F.transform(keys, lambda k: F.struct(k.alias("key"), _hash(k).alias("h")))
+    looked = F.transform(hashed, lambda x: F.struct(x["key"].alias("key"), x["h"].alias("h"), F.hex(F.substring(F.lit(bloom), _block(x["h"], len(bloom) // 32) * 32 + 1, F.lit(32))).alias("block")))
+
+    def held(x: Column) -> Column:
+        out = F.lit(True)
         for k, salt in enumerate(SALTS):
-            word = F.conv(F.substring(f"__b_{c}", 8 * k + 1, 8), 16, 10).cast("long")
-            held = held & (word.bitwiseAND(_one(_bit(F.col(f"__h_{c}"), salt))) != 0)
-        passed[c] = F.when(F.col(c).isNotNull() & held, F.col(c))
-    return df.withColumns(passed).drop(*[f"__{x}_{c}" for x in "hb" for c in keys])
+            word = F.conv(F.substring(x["block"], 8 * k + 1, 8), 16, 10).cast("long")
+            out = out & (word.bitwiseAND(_one(_bit(x["h"], salt))) != 0)
+        return out
+
+    return F.transform(F.filter(looked, held), lambda x: x["key"])
+
+
+def keys_of(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The keys of a URL that rules of these (labels, path characters) could have."""
+    labels = F.split(host, r"\.")
+    fitting = F.filter(F.lit([list(x) for x in shapes]), lambda x: (x[0] <= F.size(labels)) & (x[1] <= F.length(path)))
+    return F.transform(fitting, lambda x: _key(F.array_join(F.slice(labels, F.size(labels) - x[0] + 1, x[0]), "."), F.substring(path, F.lit(1), x[1])))
+
+
+def best_rules(places: DataFrame, known: DataFrame, shapes: list[tuple[int, int]], bloom: bytes, small: bool) -> DataFrame:
+    """(host, path, best) of the distinct (host, path) that a rule fits."""
+    passed = places.select("host", "path", F.explode(possible(keys_of(F.col("host"), F.col("path"), shapes), bloom)).alias("key")).distinct()
+    rules = known.select(F.col("key").alias("__key"), F.struct(F.length("key").alias("long"), F.length("host").alias("host"), F.col("key").alias("rule"), F.col("verdict")).alias("best"))
+    found = passed.join(F.broadcast(rules) if small else rules, F.col("key") == F.col("__key"))
+    return found.groupBy("host", "path").agg(F.max("best").alias("best"))
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", other: str = "allow", n_blocks: int | None = None) -> DataFrame:
@@ -102,39 +120,25 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", other: str = "all
     verdict. The longest fitting rule wins, by the length of host and path, then
     the longer host. URLs that no rule fits, null URLs and URLs without ``://``
     get a null rule and ``other``. No rules: the same for all. Rows are
-    independent and stay as they are otherwise.
+    independent and stay as they are otherwise; repeated rows stay. A URL of any
+    length is judged whole. There is no bound on rules or on their shapes.
     """
-    spark = urls.sparkSession
     known = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     known = known.withColumn("key", _key(F.col("host"), F.col("path")))
-    shapes = known.groupBy((F.size(F.split("host", r"\.")).alias("labels")), F.length("path").alias("chars")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SHAPES + 1).collect()
-    if len(shapes) > MOST_SHAPES:
-        raise ValueError(f"rules have more than {MOST_SHAPES} shapes")
-    n_rules = sum(r["n"] for r in shapes)
-    small = n_rules <= BROADCAST_RULES
-    n_blocks = n_blocks or min(MOST_BLOCKS, max(1, -(-n_rules // RULES_IN_BLOCK)))
-    bloom = bloom_filter(known, n_blocks)
+    # A row for each (labels, characters) that occurs: at most labels of the longest host times characters of the longest path.
+    found = known.groupBy(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).agg(F.count(F.lit(1)).alias("n")).collect()
+    shapes, n_rules = sorted((r["labels"], r["chars"]) for r in found), sum(r["n"] for r in found)
     out = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    kept = list(out.columns)
-    out = out.withColumn("__labels", F.split("host", r"\."))
-    shapes = sorted(shapes, key=lambda r: (r["labels"], r["chars"]))
-    keys = [f"__c{k}" for k in range(len(shapes))]
-    candidates = {}
-    for key, (n, m, _) in zip(keys, shapes):
-        tail = F.concat_ws(".", F.slice("__labels", F.size("__labels") - n + 1, n))
-        candidates[key] = F.when((F.size("__labels") >= n) & (F.length("path") >= m), _key(tail, F.substring("path", 1, m)))
-    if keys:
-        out = might_hold(out.withColumns(candidates), keys, bloom)
-    if not small:  # what surely isn't listed must not meet in one task: it gets keys that no rule has
-        out = out.withColumns({c: F.coalesce(c, F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))) for c in keys})
-    found = []
-    for k, (n, m, _) in enumerate(shapes):
-        of = known.where((F.size(F.split("host", r"\.")) == n) & (F.length("path") == m)).select(
-            F.col("key").alias(f"__k{k}"), F.struct(F.length("key").alias("long"), F.length("host").alias("host"), F.col("key").alias("rule"), F.col("verdict")).alias(f"__r{k}")
-        )
-        out = out.join(F.broadcast(of) if small else of, F.col(f"__c{k}") == F.col(f"__k{k}"), "left")
-        found.append(F.col(f"__r{k}"))
-    if not found:
+    if not shapes:
         return out.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(other))
-    best = F.greatest(*found) if len(found) > 1 else found[0]
-    return out.select(*kept, best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(other)).alias("verdict"))
+    bloom = bloom_filter(known, n_blocks or min(MOST_BLOCKS, max(1, -(-n_rules // RULES_IN_BLOCK))))
+    best = best_rules(out.select("host", "path"), known, shapes, bloom, n_rules <= BROADCAST_RULES)
+    best = materialize(best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-rules")
+    kept = list(out.columns)
+    if best.count() <= BROADCAST_RULES:
+        out = out.join(F.broadcast(best), (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    else:  # what surely isn't listed must not meet in one task: it gets hosts that no rule has
+        maybe = F.size(possible(keys_of(F.col("host"), F.col("path"), shapes), bloom)) > 0
+        spread_host = F.when(maybe, F.col("host")).otherwise(F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("string")))
+        out = out.withColumn("__place", spread_host).join(best, (F.col("__place") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    return out.select(*kept, "rule", F.coalesce("verdict", F.lit(other)).alias("verdict"))
