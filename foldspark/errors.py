@@ -31,3 +31,7 @@ class DegenerateRadii(FoldsparkError):
 
 class TooLargeForOneTask(FoldsparkError):
     """More points than a dense, single-task method may take; a distributed or landmark method is meant."""
+
+
+class NoSharedFolder(FoldsparkError):
+    """A cluster whose session names no folder for intermediate tables."""

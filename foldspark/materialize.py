@@ -9,11 +9,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import NoSharedFolder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a temporary folder of this machine that is removed at exit."""
+    """spark.checkpoint.dir.
+
+    Where it is unset and the master is local (tests, one machine) a temporary
+    folder is made, set for the session and removed at exit. On a cluster its
+    executors would each write to a disk of their own, so there it must be set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolder("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="foldspark-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -21,7 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df there and return a reader: later steps neither compute it again nor depend on any executor."""
+    """Write df as a table in the shared folder and return a reader of it.
+
+    Cuts the lineage: what is read again survives the loss of any executor, and
+    several readers don't compute it again. Columns are pruned on reading.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and that nothing reads any more. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            df._written_to = None
