@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..materialize import discard, materialize, shared_dir
+
+__all__ = ["discard", "materialize", "shared_dir"]
+
 #: What splits words: ASCII white space only.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -38,31 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset (tests, one machine) a temporary folder is made, set for
-    the session and removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="foldspark-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and return a reader of it.
-
-    Cuts the lineage: what is read again survives the loss of any executor, and
-    several readers don't compute it again. Columns are pruned on reading.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores.
 
@@ -95,6 +70,15 @@ def groups_of(n_rows: int, per_group: int) -> int:
     return max(1, -(-n_rows // per_group))
 
 
+def dealt(doc_id: str, *more: Column) -> Column:
+    """A number to deal rows by: a hash of the id and ``more``, or where the id is null the row's own number, so that null ids don't meet.
+
+    Only for a column that is written before it is used: a row's number is
+    another one where its input is read in other parts.
+    """
+    return F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(doc_id, *more))
+
+
 def gapless(df: DataFrame, key: str, order: list[str], spread_by: list[str], to: str, n_buckets: Column) -> DataFrame:
     """Number the rows of each key from 0 without gaps, in column ``to``.
 

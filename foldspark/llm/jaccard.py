@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import materialize, spread
+from .common import discard, materialize, spread
 from .simhash import components, majority, shingle_hashes
 
 SHINGLE = 5
@@ -162,11 +162,14 @@ def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more. ``pairs`` is materialized."""
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more, written."""
+    pairs = materialize(pairs, "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     own = materialize(_among(sets, ids).dropDuplicates(["node"]), "jaccard-sets")
     both = pairs.select("a", "b").join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    out = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "jaccard-links")
+    discard(pairs, own)
+    return out
 
 
 def meetings(sets: DataFrame) -> DataFrame:
@@ -212,19 +215,26 @@ def across(met: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The nodes with the roots of their components after these links (a, b) between nodes."""
+    """The nodes with the roots of their components after these links (a, b) between nodes. Both tables are discarded."""
+    if links.isEmpty():
+        discard(links)
+        return nodes
     a, b = nodes.select(F.col("node").alias("a"), F.col("root").alias("x")), nodes.select(F.col("node").alias("b"), F.col("root").alias("y"))
     edges = links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    new = components(edges, "jaccard-roots").toDF("root", "to")
-    return materialize(nodes.join(new, "root", "left").select("node", "n", "fp", F.coalesce("to", "root").alias("root")), "jaccard-nodes")
+    new = components(edges, "jaccard-roots")
+    out = materialize(nodes.join(new.toDF("root", "to"), "root", "left").select("node", "n", "fp", F.coalesce("to", "root").alias("root")), "jaccard-nodes")
+    discard(nodes, links, new)
+    return out
 
 
 def roots(sets: DataFrame) -> DataFrame:
     """(node, root) of every node: the least node that links of a similarity of 0.8 or more reach. ``sets`` (node, fp, shingles) is materialized; nodes may repeat."""
     nodes = sets.select("node", F.size("shingles").alias("n"), "fp").dropDuplicates(["node"]).withColumn("root", F.col("node"))
     nodes = materialize(nodes, "jaccard-nodes")
-    nodes = _joined(nodes, verified(sets, materialize(alike_prints(nodes), "jaccard-prints")))
+    nodes = _joined(nodes, verified(sets, alike_prints(nodes)))
     met = meetings(sets)
     for turn in range(ROUNDS):
-        nodes = _joined(nodes, verified(sets, materialize(neighbours(met, nodes, turn), "jaccard-near")))
-    return _joined(nodes, verified(sets, materialize(across(met, nodes), "jaccard-rest"))).select("node", "root")
+        nodes = _joined(nodes, verified(sets, neighbours(met, nodes, turn)))
+    nodes = _joined(nodes, verified(sets, across(met, nodes)))
+    discard(met)
+    return nodes.select("node", "root")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, spread, words_of
+from .common import discard, materialize, spread, words_of
 
 SEED = 42
 SHINGLE = 3
@@ -111,7 +111,8 @@ def components(edges: DataFrame, name: str = "component") -> DataFrame:
     logarithm of the longest path.
     """
     now = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), name)
-    while True:
+    mark = _mark(now)
+    while mark[0]:
         # Large star: every node sends its larger neighbours to its least one (itself included).
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -122,9 +123,14 @@ def components(edges: DataFrame, name: str = "component") -> DataFrame:
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u <> v").distinct(), name)
-        if _mark(after) == _mark(now):
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before, mark = mark, _mark(after)
+        discard(now, low)
         now = after
+        if mark == before:
+            break
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._written_to = now._written_to
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
