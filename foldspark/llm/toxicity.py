@@ -5,12 +5,13 @@ every coordinate has its own rate, and L1 keeps most weights exactly zero, so
 the model is a short list of (hash, weight) that is broadcast; at most
 2 ** BITS entries, whatever the corpus.
 
-Features of a text, each counted once: words, their first letters (a stem, so
+Features of a text, each counted once: words, their first letters (stems, so
 that unseen endings of a known word are met), pairs of neighbouring words, and
 pairs with one word between. All are hashed to BITS bits. Texts are read whole.
 
-Learning takes at most ``most_rows`` labelled rows, those of the smallest hash,
-in one task; scoring is a narrow pass over all texts.
+Learning takes a bounded sample of labelled rows in one task: those of the
+smallest hash, at most MOST_ROWS rows and MOST_BYTES bytes of text. Scoring is a
+narrow pass over all texts.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches_of, held_out, with_text
 
 BITS = 22
-STEMS = (4, 5)
-MOST_ROWS = 12_000
+STEMS = (3, 4, 5, 6)
+MOST_ROWS, MOST_BYTES = 12_000, 64 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.7
@@ -115,22 +116,35 @@ def train(features: list[np.ndarray], labels: list[int], bits: int = BITS, epoch
     return float(-zb / ((beta + nb**0.5) / alpha)), at.astype(np.int32), w.astype(np.float32)
 
 
-def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, bits: int = BITS, stems: tuple[int, ...] = STEMS) -> tuple[float, np.ndarray, np.ndarray]:
-    """A model from at most ``most_rows`` labelled rows outside the held-out third.
+def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """(__id, __y, __text) of the labelled rows to learn from, each text once.
 
-    Rows are those of the smallest hash of doc_id, so more labels don't mean a
-    longer task. Labels that are null or neither 0 nor 1 aren't used; of several
-    labels of a document the larger counts. Texts that are repeated are learnt
-    from once. No rows: bias 0 and no weights.
+    Labels that are null or neither 0 nor 1 aren't used, nor those of held-out or
+    null ids; of several labels of a document the larger counts. Rows come in the
+    order of a hash of the id, until either bound is reached. Of equal texts the
+    first in this order counts, and of an id with several texts that of the least
+    digest first; so the sample doesn't depend on partitioning.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = usable.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
     # Broadcast: at most most_rows pairs of numbers.
-    rows = documents.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    rows = rows.select("__id", "__y", "__text").withColumn("__one", F.lit(0))
+    rows = documents.select(F.col(doc_id).alias("__doc"), F.coalesce(text, F.lit("")).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    rows = rows.select("__id", "__y", F.xxhash64("__text").alias("__digest"), F.octet_length("__text").cast("long").alias("__size"), "__text")
+    first = F.struct(F.xxhash64("__id").alias("order"), F.col("__id").alias("id"), F.col("__y").alias("y"), F.col("__size").alias("size"))
+    once = rows.groupBy("__digest").agg(F.min(first).alias("f")).orderBy("f.order", "f.id", "__digest").limit(most_rows)
+    # A window over at most most_rows rows of numbers.
+    before = Window.orderBy("f.order", "f.id", "__digest").rowsBetween(Window.unboundedPreceding, 0)
+    taken = once.withColumn("sum", F.sum("f.size").over(before)).where(F.col("sum") <= most_bytes).select(F.col("__digest").alias("d"), F.col("f.id").alias("i"))
+    mine = rows.join(F.broadcast(taken), (F.col("__digest") == F.col("d")) & (F.col("__id") == F.col("i")))
+    return mine.select("__id", "__y", "__text", "__digest").dropDuplicates(["__digest"])
+
+
+def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, bits: int = BITS, stems: tuple[int, ...] = STEMS) -> tuple[float, np.ndarray, np.ndarray]:
+    """A model from ``sample``. The same rows in the same order at every run. No rows: bias 0 and no weights."""
+    rows = sample(documents, labels, doc_id, text, label, most_rows, most_bytes).withColumn("__one", F.lit(0))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("__text").sort_values(["__id"])
+        rows = rows.sort_values(["__id", "__digest"])
         order = np.random.default_rng(7).permutation(len(rows))
         texts, ys = rows["__text"].iloc[order].tolist(), rows["__y"].iloc[order].tolist()
         made, found = Features(bits, stems), []
@@ -181,8 +195,11 @@ def with_score(df: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text:
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
-    Null and empty texts have the score of the bias. Rows are independent. A
-    null doc_id isn't held out and never learnt from. Only text makes a score.
+    Null and empty texts have the score of the bias. Rows are independent:
+    repeated rows stay, equal texts have equal scores whatever their labels. A
+    null doc_id isn't held out and never learnt from. Only text makes a score;
+    other columns of the two tables, of any name, aren't read. An empty table
+    gives none.
     """
     scored = with_score(documents.select("doc_id", "text"), learn(documents, labels), "text", ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -89,3 +89,46 @@ def test_l1_keeps_few_weights(spark):
     rows, labels = corpus(400)
     _, at, w = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert 0 < len(at) < 3000 and (w != 0).all()
+
+
+def plain_features(text):
+    """Words, stems, pairs of neighbours and pairs with one word between, as sets of bucket numbers."""
+    import re
+
+    import xxhash
+
+    m = (1 << 64) - 1
+    p = [int(x) for x in toxicity._P]
+    words = re.findall(r"\w+", text.lower())
+    h = [xxhash.xxh64_intdigest(w) for w in words]
+    out = {x * p[0] & m for x in h} | {xxhash.xxh64_intdigest(f"{w[:n]}\0{n}") * p[0] & m for w in words for n in toxicity.STEMS}
+    for gap in (1, 2):
+        out |= {((a * p[1] & m) ^ ((b * p[2] + gap) & m)) * p[3] & m for a, b in zip(h, h[gap:])}
+    return sorted({x >> 64 - toxicity.BITS for x in out})
+
+
+def test_scores_by_plain_steps(spark):
+    """The query's scores from features, rows and descent made anew."""
+    rows, labels = corpus(120)
+    rows += [(500, rows[0][1]), (503, rows[5][1])]  # equal texts with other labels
+    labels += [(500, 0), (503, 0)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    first = {}
+    order = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    for k in sorted((k for k, _ in rows if not held_out_value(k)), key=order.get):
+        first.setdefault(dict(rows)[k], k)
+    ids = sorted(first.values())
+    ids = [ids[k] for k in np.random.default_rng(7).permutation(len(ids))]
+    bias, at, w = toxicity.train([np.array(plain_features(dict(rows)[k]), np.uint32) for k in ids], [dict(labels)[k] for k in ids])
+    weight = dict(zip(at.tolist(), w.tolist()))
+    want = {k: 1 / (1 + np.exp(-(bias + sum(weight.get(f, 0.0) for f in plain_features(t))))) for k, t in rows}
+    for d in (docs, docs.repartition(5)):
+        got = {r.doc_id: r.score for r in toxicity.score_documents(d, marks).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_bounds_of_the_sample(spark):
+    rows, labels = corpus(200)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    sizes = [len(r["__text"].encode()) for r in toxicity.sample(docs, marks, "doc_id", "text", "toxic", 50, 10_000).collect()]
+    assert 0 < sum(sizes) <= 10_000 and toxicity.sample(docs, marks, "doc_id", "text", "toxic", 5, 10_000_000).count() == 5
