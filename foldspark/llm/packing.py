@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gapless, materialize, spread
+from .common import dealt, gapless, materialize, spread
 from .tokens import encoder, pieces
 
 CAPACITY = 1024
@@ -260,15 +260,19 @@ def token_pieces(documents: DataFrame, text: str = "text", capacity: int = CAPAC
 
 
 def place(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a table with doc_id, piece and length (materialized: it is read twice)."""
+    """Adds sequence_id and offset to a table with doc_id, piece, length and ``deal`` (materialized: it is read twice).
+
+    ``deal`` puts the pieces of a length into groups and isn't kept.
+    """
     spark = pieces_.sparkSession
     counts = {r["length"]: r["count"] for r in pieces_.groupBy("length").count().collect()}
-    schema = T.StructType([*pieces_.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    kept = [c for c in pieces_.columns if c != "deal"]
+    schema = T.StructType([*(pieces_.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     if not counts:
         return spark.createDataFrame([], schema)
     places = spark.sparkContext.broadcast(Places(pack(counts, capacity)))
     n_buckets = F.element_at(F.lit([-(-counts.get(k, 0) // PER_GROUP) or 1 for k in range(1, capacity + 1)]), F.col("length").cast("int"))
-    numbered = gapless(pieces_, "length", ["doc_id", "piece"], ["doc_id", "piece"], "__number", n_buckets)
+    numbered = gapless(pieces_, "length", ["doc_id", "piece", "deal"], ["deal"], "__number", n_buckets)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -276,7 +280,7 @@ def place(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = places.value.of(length, number)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return numbered.select(*pieces_.columns, "__number").mapInArrow(take, schema)
+    return numbered.select(*kept, "__number").mapInArrow(take, schema)
 
 
 def pack_documents(documents: DataFrame, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -286,4 +290,5 @@ def pack_documents(documents: DataFrame, text: str = "text", capacity: int = CAP
     packed each; ties in length take places by doc_id and piece. An empty table
     gives no pieces. Other columns aren't read.
     """
-    return place(materialize(token_pieces(documents, text, capacity), "pieces"), capacity)
+    found = token_pieces(documents, text, capacity).withColumn("deal", dealt("doc_id", F.col("piece"), F.col("ids_crc32")))
+    return place(materialize(found, "pieces"), capacity)

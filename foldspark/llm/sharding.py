@@ -10,9 +10,9 @@ rows; once at most FEW rows are left in the bin, their keys are fetched instead.
 
 The rank key of a row in a node is (place along the widest dimension, text
 digest, id digest). Rows tied along the dimension are ordered by their text, so
-equal texts lie together if dimensions are functions of the text, and the cut
-goes between texts wherever that is within TOLERANCE of the node's bytes. Only a
-group of copies too large for that is cut, by its ids.
+equal texts lie together if dimensions are functions of the text, and cuts go
+between texts. Only a group of copies with more than MOST_WHOLE of a shard's
+bytes is cut, by its ids.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, materialize
+from .common import dealt, discard, gapless, materialize
 
 DIGIT = 11
 BINS = 1 << DIGIT
 TOLERANCE = 0.002
+#: The share of a shard's target that a group of equal texts may hold and still stay whole.
+MOST_WHOLE = 0.5
 FEW = 4000
 #: Digits of the parts of a rank key: place, text digest, id digest.
 PLACE_DIGITS, TEXT_DIGITS, ID_DIGITS = 2, 3, 4
@@ -50,6 +52,7 @@ class _Cut:
     high: float
     total: int
     want: float
+    whole: float  # bytes of a group of equal texts that isn't cut
     below: int = 0
     rows: int = 0  # in the open bin
     bounds: list[int] = field(default_factory=list)
@@ -61,14 +64,15 @@ class _Cut:
         parts = ((place, PLACE_DIGITS), (F.col(text_digest), TEXT_DIGITS), (F.col(id_digest), ID_DIGITS))
         return [F.shiftrightunsigned(part, DIGIT * k).bitwiseAND(BINS - 1) for part, n in parts for k in range(n - 1, -1, -1)]
 
-    def narrow(self, sums: list[tuple[int, int, int]], last: bool, tolerance: float) -> None:
+    def narrow(self, sums: list[tuple[int, int, int]], step: int, tolerance: float) -> None:
         """Put the cut at an edge of the bins (bin, bytes, rows), or go into the bin that holds it."""
+        last, text = step == PLACE_DIGITS + TEXT_DIGITS + ID_DIGITS - 1, step == PLACE_DIGITS + TEXT_DIGITS - 1
         for b, w, n in sums:
             if self.below + w <= self.want:
                 self.below += w
                 continue
             under, over = self.want - self.below, self.below + w - self.want
-            if last or min(under, over) <= tolerance * self.total:
+            if last or (text and w <= self.whole) or min(under, over) <= tolerance * self.total:
                 self.bounds.append(b if under <= over else b + 1)
                 self.done = True
             else:
@@ -89,7 +93,7 @@ class _Cut:
                     held = sums.setdefault(digits[step], [0, 0])
                     held[0] += w
                     held[1] += 1
-            self.narrow(sorted((b, w, n) for b, (w, n) in sums.items()), step == PLACE_DIGITS + TEXT_DIGITS + ID_DIGITS - 1, tolerance)
+            self.narrow(sorted((b, w, n) for b, (w, n) in sums.items()), step, tolerance)
 
     def left(self, digits: list[Column]) -> Column:
         is_left = F.lit(False)
@@ -128,7 +132,7 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, text_digest: str, i
             if many > 1 and n in stats:
                 r = stats[n]
                 dim = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / ranges[d])
-                cuts[n] = _Cut(dim, r[f"lo_{dim}"], r[f"hi_{dim}"], r["__total"], r["__total"] * (many // 2) / many, rows=r["__rows"])
+                cuts[n] = _Cut(dim, r[f"lo_{dim}"], r[f"hi_{dim}"], r["__total"], r["__total"] * (many // 2) / many, MOST_WHOLE * r["__total"] / many, rows=r["__rows"])
         digits = {n: c.digits(text_digest, id_digest) for n, c in cuts.items()}
         for step in range(n_digits):
             few = {n: c for n, c in cuts.items() if not c.done and c.rows <= FEW}
@@ -151,7 +155,7 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, text_digest: str, i
             for r in now.select("__node", weight, bins.alias("__bin")).where("__bin is not null").groupBy("__node", "__bin").agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__n")).collect():
                 sums[r["__node"]].append((r["__bin"], r["__w"], r["__n"]))
             for n, c in searched.items():
-                c.narrow(sorted(sums[n]), step == n_digits - 1, tolerance)
+                c.narrow(sorted(sums[n]), step, tolerance)
         child, following = F.lit(None).cast("int"), {}
         for n, (at, many) in nodes.items():
             if n in cuts:
@@ -161,7 +165,8 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, text_digest: str, i
             elif many == 1:
                 following[2 * n + 1] = (at, 1)
                 child = F.when(F.col("__node") == n, 2 * n + 1).otherwise(child)
-        now = materialize(now.withColumn("__child", child).drop("__node").withColumnRenamed("__child", "__node"), "kd")
+        before, now = now, materialize(now.withColumn("__child", child).drop("__node").withColumnRenamed("__child", "__node"), "kd")
+        discard(before)
         nodes = following
     shard = F.lit(0)
     for n, (at, _) in nodes.items():
@@ -174,18 +179,19 @@ def shard_documents(documents: DataFrame, n_shards: int = 16, text: str = "text"
 
     Law ``bytes``: shards of nearly equal size, a document's size being its
     UTF-8 bytes and 1. Null texts have the bytes and checksum of empty ones.
-    Copies of a text share a shard unless their bytes don't fit the tolerance.
-    Rows with null or repeated doc_id are placed like others. Slots follow
-    doc_id within hashed groups. An empty table gives none.
+    Copies of a text share a shard unless they hold more than MOST_WHOLE of its
+    bytes. Rows with null or repeated doc_id are placed like others. Slots follow
+    doc_id within dealt groups. An empty table gives none. Other columns, of any
+    name, aren't read.
     """
     held = F.coalesce(F.col(text), F.lit(""))
     digest = documents.select(
         "doc_id", (F.octet_length(held) + 1).cast("long").alias("size"), F.crc32(held).alias("text_crc32"),
-        F.xxhash64(held).alias("text_hash"), F.xxhash64("doc_id").alias("id_hash"), *[c.alias(n) for n, c in text_dimensions(held).items()],
+        F.xxhash64(held).alias("text_hash"), F.xxhash64("doc_id").alias("id_hash"), dealt("doc_id", F.crc32(held)).alias("deal"), *[c.alias(n) for n, c in text_dimensions(held).items()],
     )
     digest = materialize(digest, "shards")
     put = kd_shards(digest, ["dim_chars", "dim_script"], "size", "text_hash", "id_hash", n_shards, tolerance)
     rows = digest.count()
     n_groups = F.lit(max(1, -(-rows // (n_shards * PER_GROUP))))
-    put = gapless(put.select("doc_id", "size", "text_crc32", "shard"), "shard", ["doc_id", "text_crc32"], ["doc_id", "text_crc32"], "slot", n_groups)
+    put = gapless(put.select("doc_id", "size", "text_crc32", "shard", "deal"), "shard", ["doc_id", "text_crc32", "deal"], ["deal"], "slot", n_groups)
     return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -59,6 +59,69 @@ def test_empty_table(spark):
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
 
+def plain_tree(rows, n_shards, whole=sharding.MOST_WHOLE):
+    """The k-d tree over sorted rows (dims, text, size, id): {id: shard}, each cut at the best edge between texts (or ids, in a group too large)."""
+    spans = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) or 1.0 for d in (0, 1)]
+    out = {}
+
+    def split(held, at, many):
+        if many == 1 or not held:
+            out.update({r[3]: at for r in held})
+            return
+        d = max((0, 1), key=lambda d: (max(r[0][d] for r in held) - min(r[0][d] for r in held)) / spans[d])
+        held = sorted(held, key=lambda r: (r[0][d], r[1], r[3]))
+        total = sum(r[2] for r in held)
+        want, below, k = total * (many // 2) / many, 0, 0
+        while k < len(held):
+            group = [r for r in held[k:] if r[1] == held[k][1]]
+            size = sum(r[2] for r in group)
+            if below + size > want:
+                if size <= whole * total / many:
+                    k += len(group) if want - below > below + size - want else 0
+                else:
+                    while below + held[k][2] <= want:
+                        below += held[k][2]
+                        k += 1
+                break
+            below += size
+            k += len(group)
+        split(held[:k], at, many // 2)
+        split(held[k:], at + many // 2, many - many // 2)
+
+    split(rows, 0, n_shards)
+    return out
+
+
+def test_shards_are_those_of_a_plain_tree(spark):
+    """Places along a dimension are kept to 22 bits and texts are ordered by a hash, so edges may lie a text apart: sizes agree, and nearly all rows."""
+    from math import log1p
+
+    rows = [(k, prose(k % 700, 10 + (k % 700 * 37) % 300) + "é" * (k % 7)) for k in range(1000)]
+    got = {r.doc_id: r for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, tolerance=0.0).collect()}
+    plain = plain_tree([((log1p(len(t)), len(t.encode()) / len(t)), t, len(t.encode()) + 1, k) for k, t in rows], 8)
+    assert sum(plain[k] == r.shard for k, r in got.items()) > 0.97 * len(rows)
+    sizes = Counter()
+    for k, t in rows:
+        sizes[plain[k]] += len(t.encode()) + 1
+    mine = check(got.values(), 8)
+    assert all(abs(mine[s] / sizes[s] - 1) < 0.02 for s in range(8))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_no_text_of_the_test_tables_is_in_two_shards(spark, sf):
+    spots = {}
+    for r in sharding.shard_documents(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect():
+        spots.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(len(s) == 1 for s in spots.values())
+
+
+def test_null_ids_in_bulk(spark):
+    rows = [(None, "one text") for _ in range(700)] + [(None, prose(k, 20)) for k in range(100)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    check(got, 4)
+    assert len(got) == 800
+
+
 def test_histogram_passes_agree_with_the_sorted_cut(spark, monkeypatch):
     monkeypatch.setattr(sharding, "FEW", 0)  # never fetch rows
     rows = [(k, prose(k, 10 + k % 70)) for k in range(400)]
