@@ -17,21 +17,26 @@ MASK = 0xFFFFFFFF
 
 
 def _times(x: Column, c: int) -> Column:
+    """x * c in 32 bits; x is to be a name, not an expression: it is mentioned twice."""
     high = F.shiftright(x, 16) * F.lit(c)
     return (F.shiftleft(high.bitwiseAND(0xFFFF), 16) + x.bitwiseAND(0xFFFF) * F.lit(c)).bitwiseAND(MASK)
 
 
+def _steps(start: Column, steps) -> Column:
+    """start through all steps, each result being computed once: an array of one element is transformed."""
+    held = F.array(start)
+    for step in steps:
+        held = F.transform(held, step)
+    return F.element_at(held, 1)
+
+
 def draw_column(seed: int, node: Column, epoch: Column, edge: Column, draw: Column, n: int) -> Column:
-    """A number from 0 to n - 1 for each row."""
+    """A number from 0 to n - 1 for each row. Inputs are mentioned twice each."""
     h = F.lit(seed & MASK).cast("long")
     for x, c in ((node, NODE), (epoch, EPOCH), (edge, EDGE), (draw, DRAW)):
         h = h.bitwiseXOR(_times(x.cast("long"), c))
-    h = h.bitwiseXOR(F.shiftright(h, 16))
-    h = _times(h, FIRST)
-    h = h.bitwiseXOR(F.shiftright(h, 15))
-    h = _times(h, SECOND)
-    h = h.bitwiseXOR(F.shiftright(h, 16))
-    return h % F.lit(n).cast("long")
+    mixed = (lambda h: h.bitwiseXOR(F.shiftright(h, 16)), lambda h: _times(h, FIRST), lambda h: h.bitwiseXOR(F.shiftright(h, 15)), lambda h: _times(h, SECOND), lambda h: h.bitwiseXOR(F.shiftright(h, 16)))
+    return _steps(h, mixed) % F.lit(n).cast("long")
 
 
 def draw_numpy(seed: int, node, epoch, edge, draw, n: int) -> np.ndarray:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnknownOption
+from ..materialize import materialize
+from ..sources.synthetic import normal
 from . import edges as E
 from .edges import EPSILON
-from .knn import distances
-
-#: Landmarks are broadcast; the bound keeps that at 4096 vectors.
-MOST_LANDMARKS = 4096
+from .knn import nearest_of
 
 markov = E.normalise_rows
 
@@ -68,28 +65,28 @@ def double_centred(d: DataFrame, ids: DataFrame) -> DataFrame:
 
 def random_landmarks(matrix: DataFrame, n_landmarks: int, seed: int = 42) -> DataFrame:
     """(landmark, id, features): the rows of the smallest hash of seed and id, numbered by id."""
-    if n_landmarks > MOST_LANDMARKS:
-        raise ValueError(f"at most {MOST_LANDMARKS} landmarks")
     chosen = matrix.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(n_landmarks)
-    return chosen.withColumn("landmark", (F.row_number().over(Window.orderBy("id")) - 1).cast("int")).select("landmark", "id", "features")
+    return _numbered(chosen)
+
+
+def _numbered(chosen: DataFrame) -> DataFrame:
+    """Landmarks numbered by id. The numbers are given in one task, which holds the ids alone."""
+    numbers = chosen.select(F.col("id").alias("__id")).withColumn("landmark", (F.row_number().over(Window.orderBy("__id")) - 1).cast("int"))
+    return chosen.join(numbers, F.col("id") == F.col("__id")).select("landmark", "id", "features")
 
 
 def spectral_landmarks(matrix: DataFrame, operator: DataFrame, n_landmarks: int, n_svd: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """k-means on a sketch of the operator: (landmarks (landmark, features), assignment (i, landmark)); landmarks are the means of their rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
-    # The operator times a seeded Gaussian table of n_svd columns spans its leading directions.
+    # The operator times a seeded Gaussian table of n_svd columns spans its leading directions: each node has a row of it, met by a join.
     cols = min(n_svd, n_landmarks * 2)
-
-    def gauss(batches):
-        for b in batches:
-            rows = [np.random.default_rng([seed, int(j)]).standard_normal(cols) * w for j, w in zip(b["j"], b["w"])]
-            yield pd.DataFrame({"i": b["i"], "v": rows})
-
-    parts = operator.mapInPandas(gauss, "i long, v array<double>")
-    sums = parts.select("i", F.posexplode("v").alias("p", "x")).groupBy("i", "p").agg(F.sum("x").alias("x"))
-    sketch = sums.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("s")).select("i", array_to_vector(F.col("s.x")).alias("features"))
+    draws = operator.select("j").distinct().withColumn("g", F.array(*[normal(seed, F.col("j"), c) for c in range(cols)]))
+    weighted = operator.join(draws, "j").select(F.col("i").alias("id"), F.transform("g", lambda x: x * F.col("w")).alias("v"))
+    sketch = weighted.groupBy("id").agg(Summarizer.sum(array_to_vector("v")).alias("features")).withColumnRenamed("id", "i")
+    sketch = materialize(sketch, "spectral-sketch")
     model = KMeans(k=n_landmarks, seed=seed, maxIter=30).fit(sketch)
     assigned = model.transform(sketch).select("i", F.col("prediction").alias("landmark"))
     wide = matrix.join(assigned.withColumnRenamed("i", "id"), "id").select("landmark", F.posexplode("features").alias("p", "x")).groupBy("landmark", "p").agg(F.avg("x").alias("x"))
@@ -104,21 +101,16 @@ def density_landmarks(matrix: DataFrame, graph: DataFrame, n_landmarks: int, see
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52) + 1)
     drawn = matrix.join(E.degree(graph).select(F.col("i").alias("id"), "degree"), "id", "left").orderBy(-F.ln(u) * F.coalesce("degree", F.lit(0.0)), "id").limit(n_landmarks)
-    return drawn.withColumn("landmark", (F.row_number().over(Window.orderBy("id")) - 1).cast("int")).select("landmark", "id", "features")
+    return _numbered(drawn)
 
 
-def assign_to_landmarks(matrix: DataFrame, landmarks: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """(i, landmark): the nearest, ties to the smaller number. Landmarks (landmark, features) are broadcast, at most MOST_LANDMARKS."""
-    rows = landmarks.orderBy("landmark").limit(MOST_LANDMARKS).toPandas()
-    sent = matrix.sparkSession.sparkContext.broadcast((rows["landmark"].to_numpy(), np.stack(rows["features"].to_numpy()).astype(float)))
+def _marks(landmarks: DataFrame) -> DataFrame:
+    return landmarks.select(F.col("landmark").cast("long").alias("id"), "features")
 
-    def nearest(batches):
-        numbers, v = sent.value
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"i": b["id"], "landmark": numbers[np.argmin(distances(np.stack(b["features"].to_numpy()).astype(float), v, metric), axis=1)]})
 
-    return matrix.mapInPandas(nearest, "i long, landmark int")
+def assign_to_landmarks(matrix: DataFrame, landmarks: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(i, landmark): the nearest, ties to the smaller number. Any number of landmarks (landmark, features): their blocks stream past those of the rows."""
+    return nearest_of(matrix, _marks(landmarks), 1, metric).select("i", F.col("j").cast("int").alias("landmark"))
 
 
 def landmark_operators(operator: DataFrame, assigned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -141,27 +133,12 @@ def to_landmark_transitions(matrix: DataFrame, landmarks: DataFrame, k: int, sca
     The bandwidth is the farthest of the k: d2 / (that * scale^2) if euclidean,
     (d / (that * scale))^2 if cosine.
     """
-    rows = landmarks.orderBy("landmark").limit(MOST_LANDMARKS).toPandas()
-    sent = matrix.sparkSession.sparkContext.broadcast((rows["landmark"].to_numpy(np.int64), np.stack(rows["features"].to_numpy()).astype(float)))
-    used = max(1, min(k, len(rows)))
-
-    def weights(batches):
-        numbers, v = sent.value
-        for b in batches:
-            if not len(b):
-                continue
-            d = distances(np.stack(b["features"].to_numpy()).astype(float), v, metric)
-            at = np.argsort(d, axis=1, kind="stable")[:, :used]
-            near = np.take_along_axis(d, at, 1)
-            width = np.maximum(near[:, -1:] * (scale * scale if metric == "euclidean" else scale), EPSILON)
-            w = np.exp(-(near / width)) if metric == "euclidean" else np.exp(-((near / width) ** 2))
-            w = np.where(w >= least, w, 0.0)
-            total = np.cumsum(w, axis=1)[:, -1:]
-            w = np.where(total > 0, w / np.where(total > 0, total, 1), w)
-            kept = w > 0
-            yield pd.DataFrame({"i": np.repeat(b["id"].to_numpy(), kept.sum(1)), "j": numbers[at][kept], "w": w[kept]})
-
-    return matrix.mapInPandas(weights, "i long, j long, w double")
+    near = nearest_of(matrix, _marks(landmarks), max(1, k), metric)
+    width = F.greatest(F.max("d").over(Window.partitionBy("i")) * F.lit(float(scale * scale if metric == "euclidean" else scale)), F.lit(EPSILON))
+    share = F.col("d") / F.col("width")
+    w = F.exp(-share) if metric == "euclidean" else F.exp(-(share * share))
+    kept = near.withColumn("width", width).select("i", "j", w.alias("w")).where(F.col("w") >= least)
+    return E.normalise_rows(kept)
 
 
 def nystroem(p_nl: DataFrame, coordinates: DataFrame, eigenvalues: list[float]) -> DataFrame:

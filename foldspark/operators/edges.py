@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnknownOption
-from ..materialize import materialize
+from ..materialize import discard, materialize
 
 EPSILON = 2.220446049250313e-16
 
@@ -21,14 +21,26 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")
 
 
+def mirrored(edges: DataFrame, *more: Column, back: tuple[Column, ...] | None = None) -> DataFrame:
+    """(i, j, more) of every edge, and (j, i, back or more): both in one scan."""
+    there = F.struct(F.col("i").alias("i"), F.col("j").alias("j"), *more)
+    mirror = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), *(more if back is None else back))
+    return edges.select(F.explode(F.array(there, mirror)).alias("__e")).select("__e.*")
+
+
+def last_wins(edges: DataFrame, order: str) -> DataFrame:
+    """One edge for each (i, j): of several the one last in column ``order``, which isn't kept."""
+    return edges.groupBy("i", "j").agg(F.max_by("w", order).alias("w"))
+
+
 def symmetrise(edges: DataFrame, combine: Callable[[Column, Column], Column], least: float = 0.0) -> DataFrame:
     """combine(w_ij, w_ji) of every pair that has either; an absent one is 0. Values must exceed ``least``.
 
-    One shuffle: the graph and its transpose are stacked and grouped by (i, j).
-    (i, j) must be unique.
+    One scan and one shuffle: every edge gives itself and its mirror, grouped by
+    (i, j). (i, j) must be unique (``last_wins`` makes it so).
     """
     zero = F.lit(0.0)
-    both = edges.select("i", "j", F.col("w").alias("a"), zero.alias("b")).unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), zero.alias("a"), F.col("w").alias("b")))
+    both = mirrored(edges, F.col("w").alias("a"), zero.alias("b"), back=(zero.alias("a"), F.col("w").alias("b")))
     merged = both.groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return merged.select("i", "j", combine(F.col("a"), F.col("b")).alias("w")).where(F.col("w") > least)
 
@@ -66,7 +78,7 @@ def symmetrise_as(edges: DataFrame, name: str) -> DataFrame:
 
 
 def prune(edges: DataFrame, n_epochs: int) -> DataFrame:
-    """Edges of at least max(w) / n_epochs: weaker ones would never be sampled. The maximum is one broadcast row."""
+    """Edges of at least max(w) / n_epochs: weaker ones would never be sampled. The maximum is one broadcast row; the edges are read twice."""
     top = edges.agg(F.max("w").alias("__top"))
     return edges.crossJoin(F.broadcast(top)).where(F.col("w") >= F.col("__top") / n_epochs).drop("__top")
 
@@ -124,7 +136,9 @@ def power(edges: DataFrame, t: int) -> DataFrame:
         raise ValueError("the power must be at least 1")
     out = edges
     for _ in range(t - 1):
-        out = materialize(multiply(edges, out), "power")
+        before, out = out, materialize(multiply(edges, out), "power")
+        if before is not edges:
+            discard(before)
     return out
 
 
@@ -145,16 +159,18 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     Labels take the least label around them, then the label of their label, so
     rounds grow with the logarithm of a chain's length. Each round is written.
     """
-    both = materialize(edges.select("i", "j").union(edges.select("j", "i")).where("i <> j").distinct(), "components-edges")
+    both = materialize(mirrored(edges).where("i <> j").distinct(), "components-edges")
     now = materialize(nodes.select("i", F.col("i").alias("component")), "components")
     for _ in range(max_rounds):
         around = both.join(now.select(F.col("i").alias("j"), "component"), "j").groupBy("i").agg(F.min("component").alias("least"))
         lower = now.join(around, "i", "left").select("i", "component", F.least("component", F.coalesce("least", "component")).alias("next"))
         jump = lower.select(F.col("i").alias("next"), F.col("next").alias("further"))
         after = materialize(lower.join(jump, "next").select("i", F.least("next", "further").alias("component")), "components")
-        changed = after.join(now, ["i", "component"], "left_anti").limit(1).count()
+        changed = not after.join(now, ["i", "component"], "left_anti").isEmpty()
+        discard(now)
         now = after
         if not changed:
+            discard(both)
             return now
     raise RuntimeError("components did not settle")
 

@@ -7,12 +7,16 @@ gradient a SQL twin.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_column
-from .edges import EPSILON
+from .edges import EPSILON, mirrored
 
 CLIP = 4.0
 SMALL = 0.001
@@ -49,8 +53,7 @@ def due(schedule: DataFrame, epoch: int) -> DataFrame:
 def umap_gradient(schedule: DataFrame, positions: DataFrame, n: int, epoch: int, a: float, b: float, gamma: float = 1.0, negatives: int = 5, seed: int = 42) -> DataFrame:
     """(id, gx, gy, n_active): attraction along due edges at both ends, doubled, and hashed negatives of the smaller end."""
     now = due(schedule, epoch)
-    both = now.select("i", "j").union(now.select("j", "i"))
-    ends = with_ends(both, positions)
+    ends = with_ends(mirrored(now), positions)
     pull = F.when(F.col("d2") >= 1e-8, 2.0 * (2.0 * a * b) * F.pow("d2", F.lit(b)) / (F.col("d2") * (1.0 + a * F.pow("d2", F.lit(b))))).otherwise(0.0)
     attract = ends.select(F.col("i").alias("id"), (-pull * F.col("dx")).alias("gx"), (-pull * F.col("dy")).alias("gy"), F.lit(1).alias("active"))
     drawn = now.select("i", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("m"), "e")
@@ -69,29 +72,47 @@ def tsne_attraction(graph: DataFrame, positions: DataFrame, exaggeration: float
     return ends.groupBy(F.col("i").alias("id")).agg(F.sum(force * F.col("dx")).alias("ax"), F.sum(force * F.col("dy")).alias("ay"))
 
 
-def tsne_repulsion_exact(positions: DataFrame, block_rows: int = 2048) -> DataFrame:
+def tsne_repulsion_exact(positions: DataFrame, block_rows: int = 4096) -> DataFrame:
     """(id, rx, ry, z): sums of q^2 (y_i - y_j) and of q over all other points.
 
-    All positions (16 bytes a point) go to each task, so this is for layouts
-    that fit one; Barnes-Hut and interpolation stand for it beyond.
+    Blocks of positions stream past each other: a task holds two blocks, and no
+    side is broadcast. The work is that of all pairs; ``tsne_repulsion_grid``
+    stands for it beyond.
     """
-    import numpy as np
+    n_blocks = max(1, -(-positions.count() // block_rows))
 
-    whole = positions.select("id", "x", "y").toPandas().sort_values("id")
-    sent = positions.sparkSession.sparkContext.broadcast(whole[["id", "x", "y"]].to_numpy(float))
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        return pd.DataFrame({"b": rows["b"].iloc[:1], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "v": [rows[["x", "y"]].to_numpy(float).tobytes()]})
 
-    def repel(batches):
-        every = sent.value
-        for b in batches:
-            for s in range(0, len(b), block_rows):
-                part = b.iloc[s : s + block_rows]
-                dx = part["x"].to_numpy()[:, None] - every[None, :, 1]
-                dy = part["y"].to_numpy()[:, None] - every[None, :, 2]
-                q = 1 / (1 + dx * dx + dy * dy)
-                q[part["id"].to_numpy()[:, None] == every[None, :, 0].astype(np.int64)] = 0
-                yield pd.DataFrame({"id": part["id"], "rx": (q * q * dx).sum(1), "ry": (q * q * dy).sum(1), "z": q.sum(1)})
+    blocks = positions.select("id", "x", "y", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("b")).groupBy("b").applyInPandas(block, "b int, ids binary, v binary")
+    # Each block goes to every task once, its own first: kind 0 opens a block, kind 1 streams past it.
+    sent = blocks.select(F.explode(F.concat(F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("kind"))), F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda t: F.struct(t.alias("to"), F.lit(1).alias("kind"))))).alias("s"), "ids", "v")
+    sent = sent.select("s.to", "s.kind", "ids", "v").repartition(n_blocks, "to").sortWithinPartitions("to", "kind")
+
+    def repel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = at = sums = None
 
-    return positions.mapInPandas(repel, "id long, rx double, ry double, z double")
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(sums[:, k].copy()) for k in range(3))], names=["id", "rx", "ry", "z"])
+
+        for b in batches:
+            for kind, raw, body in zip(*(c.to_pylist() for c in b.columns[1:])):
+                other, w = np.frombuffer(raw, np.int64), np.frombuffer(body).reshape(-1, 2)
+                if kind == 0:
+                    if ids is not None:
+                        yield done()
+                    ids, at, sums = other, w, np.zeros((len(other), 3))
+                    continue
+                for s in range(0, len(ids), 1024):
+                    dx, dy = (at[s : s + 1024, None, k] - w[None, :, k] for k in (0, 1))
+                    q = 1 / (1 + dx * dx + dy * dy)
+                    q[ids[s : s + 1024, None] == other[None, :]] = 0
+                    sums[s : s + 1024] += np.stack([(q * q * dx).sum(1), (q * q * dy).sum(1), q.sum(1)], 1)
+        if ids is not None:
+            yield done()
+
+    return sent.mapInArrow(repel, "id long, rx double, ry double, z double")
 
 
 def tsne_gradient(graph: DataFrame, positions: DataFrame, exaggeration: float = 1.0) -> DataFrame:
@@ -113,8 +134,7 @@ def phase_weights(epoch: int, first: int = 100, second: int = 200) -> tuple[floa
 def pacmap_gradient(pairs: DataFrame, positions: DataFrame, epoch: int, first: int = 100, second: int = 200) -> DataFrame:
     """(id, gx, gy): the direction of the step, both ends of every pair (kind, i, j)."""
     near, mid, far = phase_weights(epoch, first, second)
-    both = pairs.select("kind", "i", "j").union(pairs.select("kind", F.col("j").alias("i"), F.col("i").alias("j")))
-    ends = with_ends(both, positions)
+    ends = with_ends(mirrored(pairs, F.col("kind").alias("kind")), positions)
 
     def pull(weight: float, c: float) -> Column:
         return F.lit(-weight * 2.0 * c) / ((c + (1.0 + F.col("d2"))) * (c + (1.0 + F.col("d2"))))
@@ -146,8 +166,9 @@ def pacmap_pairs(knn: DataFrame, n: int, near: int = 10, mid: int = 5, further:
     slots = short.where(F.least("width", F.lit(end)) <= start).select("i", "width", F.explode(F.sequence(F.lit(0), F.lit(max(mid - 1, 0)))).alias("m")).where(F.col("m") < F.least("width", F.lit(end)))
     picked = slots.withColumn("rank", (F.pmod(draw_column(seed + 1, F.col("i"), F.lit(0), F.col("m"), F.lit(0), 1 << 31), F.least("width", F.lit(end))) + 1).cast("int"))
     window = window.unionByName(picked.join(knn, ["i", "rank"]).select(F.lit("mid_near").alias("kind"), "i", "j"))
-    tries = short.select("i", F.transform(F.sequence(F.lit(0), F.lit(10 * further - 1)), lambda m: draw_column(seed, F.col("i"), F.lit(0), F.lit(0), m, n)).alias("t"))
-    far = tries.select(F.lit("further").alias("kind"), "i", F.explode(F.slice(F.filter("t", lambda j: j != F.col("i")), 1, further)).alias("j"))
+    # Exploded before drawing, so the draws are code-generated; a node's own are gathered again by it.
+    tries = short.select("i", F.explode(F.sequence(F.lit(0), F.lit(10 * further - 1))).alias("m")).withColumn("j", draw_column(seed, F.col("i"), F.lit(0), F.lit(0), F.col("m"), n)).where("j <> i")
+    far = tries.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("m", "j"))), 1, further).alias("t")).select(F.lit("further").alias("kind"), "i", F.explode("t.j").alias("j"))
     return close.unionByName(window).unionByName(far)
 
 

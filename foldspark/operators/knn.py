@@ -5,9 +5,13 @@ vector. A row is no neighbour of itself, which goes by id: copies of a row are
 neighbours. Ties take the smaller id. Sums run over dimensions in order, so a
 distance doesn't depend on how rows are blocked.
 
-``exact`` streams blocks past each other: no side is broadcast, and a task
-holds two blocks. Its work grows with the square of the rows; the approximate
-routes join on cells or buckets.
+``nearest_of`` streams blocks past each other: no side is broadcast, and a task
+holds two blocks; its work grows with rows times points. ``kmknn`` and
+``balltree`` are as exact, but look only into cells that the triangle inequality
+can't rule out. The approximate routes join on cells, leaves or a graph.
+
+Distances of a block come from one matrix product; those near the k-th are
+computed again, exactly, so results don't depend on that product's rounding.
 """
 
 from __future__ import annotations
@@ -22,13 +26,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnknownOption
-from ..materialize import materialize
+from ..materialize import discard, materialize
 from ..sources.matrix import shape
+from .edges import mirrored
 
 METRICS = ("euclidean", "cosine")
 #: Rows of a block; a block of 4096 rows of 1000 dimensions is 32 MB.
 LEAST_BLOCK, MOST_BLOCK = 256, 4096
 SCHEMA = "i long, rank int, j long, d double"
+#: Rows that centroids and trees are fitted on: those of the smallest hash. Every row is indexed.
+SAMPLE_ROWS = 100_000
+#: Centroids in broadcasts and in tasks hold at most so many bytes; more cells than that can't be asked for.
+MOST_CENTRE_BYTES = 256 << 20
+#: Pairs whose distances are computed again at once.
+AT_ONCE = 1 << 16
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -54,31 +65,89 @@ def best_of(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
 
 
+def _pair_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows of a from those of b at the same place, summed as in ``distances``."""
+    if metric == "euclidean":
+        return np.cumsum((a - b) ** 2, axis=1)[:, -1]
+    dot, aa, bb = (np.cumsum(x * y, axis=1)[:, -1] for x, y in ((a, b), (a, a), (b, b)))
+    both = np.sqrt(aa) * np.sqrt(bb)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(both > 0, 1 - dot / both, 0.0)
+
+
+def nearest_rows(ids: np.ndarray, v: np.ndarray, other: np.ndarray, w: np.ndarray, best: tuple[np.ndarray, np.ndarray], metric: str, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The k least (d, id) of each row among ``best`` (n x k ids and distances, infinite where there is none) and the rows of w. A row's own id counts only if ``own``."""
+    k = best[0].shape[1]
+    out_ids, out_d = best[0].copy(), best[1].copy()
+    if metric == "euclidean":
+        vv, ww = (v * v).sum(1), (w * w).sum(1)
+    else:
+        nv, nw = np.sqrt((v * v).sum(1)), np.sqrt((w * w).sum(1))
+        v1, w1 = v / np.where(nv > 0, nv, 1)[:, None], w / np.where(nw > 0, nw, 1)[:, None]
+    for s in range(0, len(v), 512):
+        e = min(s + 512, len(v))
+        if metric == "euclidean":
+            near = vv[s:e, None] + ww[None] - 2 * (v[s:e] @ w.T)
+            noise = 1e-12 * (vv[s:e, None] + ww.max(initial=0.0)) + 1e-300
+        else:
+            near = 1 - v1[s:e] @ w1.T
+            near[(nv[s:e, None] == 0) | (nw[None] == 0)] = 0
+            noise = np.full((e - s, 1), 1e-12)
+        if not own:
+            near[ids[s:e, None] == other[None]] = np.inf
+        bound = out_d[s:e].max(1, keepdims=True)
+        if near.shape[1] > k:
+            bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1 : k])
+        r, c = np.nonzero((near <= bound + 2 * noise * max(1, v.shape[1] / 8)) & np.isfinite(near))
+        if not len(r):
+            continue
+        d = np.concatenate([_pair_distances(v[s + r[x : x + AT_ONCE]], w[c[x : x + AT_ONCE]], metric) for x in range(0, len(r), AT_ONCE)])
+        have = np.isfinite(out_d[s:e])
+        rows = np.concatenate([np.repeat(np.arange(e - s), have.sum(1)), r])
+        got, dist = np.concatenate([out_ids[s:e][have], other[c]]), np.concatenate([out_d[s:e][have], d])
+        order = np.lexsort((got, dist, rows))
+        rows, got, dist = rows[order], got[order], dist[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        top = place < k
+        out_ids[s + rows[top], place[top]], out_d[s + rows[top], place[top]] = got[top], dist[top]
+    return out_ids, out_d
+
+
+def no_neighbours(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((n, k), -1, np.int64), np.full((n, k), np.inf)
+
+
 def _rows(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pd.DataFrame:
     kept = np.isfinite(d)
     rank = np.broadcast_to(np.arange(1, d.shape[1] + 1, dtype=np.int32), d.shape)
     return pd.DataFrame({"i": np.repeat(i, d.shape[1])[kept.ravel()], "rank": rank[kept], "j": j[kept], "d": d[kept]})
 
 
-def exact(matrix: DataFrame, k: int, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
-    """Blocks are dealt by a hash of the id; each is sent once to each other and streams past it."""
-    n, _ = shape(matrix)
-    cores = matrix.sparkSession.sparkContext.defaultParallelism
-    block_rows = block_rows or min(MOST_BLOCK, max(LEAST_BLOCK, n // (2 * cores)))
-    n_blocks = max(1, -(-n // block_rows))
-    dealt = matrix.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+def _blocks(table: DataFrame, n: int, block_rows: int | None) -> tuple[DataFrame, int]:
+    """(b, dims, ids, v): rows dealt into blocks by a hash of the id; and how many blocks there are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, -(-n // (block_rows or min(MOST_BLOCK, max(LEAST_BLOCK, n // (2 * cores))))))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         v = np.stack(rows["features"].to_numpy()).astype(np.float64)
         return pd.DataFrame({"b": rows["b"].iloc[:1], "dims": [v.shape[1]], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()]})
 
-    blocks = dealt.groupBy("b").applyInPandas(block, "b int, dims int, ids binary, v binary")
-    if n_blocks > 1:
-        blocks = materialize(blocks, "knn-blocks")
-    own = blocks.select(F.col("b").alias("to"), F.lit(0).alias("kind"), "dims", "ids", "v")
-    sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("to"), F.lit(1).alias("kind"), "dims", "ids", "v")
-    pairs = own.union(sent).repartition(n_blocks, "to").sortWithinPartitions("to", "kind")
+    dealt = table.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("b"))
+    return materialize(dealt.groupBy("b").applyInPandas(block, "b int, dims int, ids binary, v binary"), "knn-blocks"), n_blocks
+
+
+def nearest_of(queries: DataFrame, points: DataFrame | None, k: int, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
+    """(i, rank, j, d): the k nearest points (id, features) of every query (id, features). Without points, the other queries.
+
+    Every block of points is sent once to every block of queries and streams past it.
+    """
+    blocks, n_to = _blocks(queries, shape(queries)[0], block_rows)
+    others = blocks if points is None else _blocks(points, points.count(), block_rows)[0]
+    mine = blocks.select(F.col("b").alias("to"), F.lit(0).alias("kind"), "dims", "ids", "v")
+    sent = others.select(F.explode(F.sequence(F.lit(0), F.lit(n_to - 1))).alias("to"), F.lit(1).alias("kind"), "dims", "ids", "v")
+    pairs = mine.union(sent).repartition(n_to, "to").sortWithinPartitions("to", "kind")
+    own = points is not None
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = ids = v = best = None
@@ -92,18 +161,20 @@ def exact(matrix: DataFrame, k: int, metric: str = "euclidean", block_rows: int
                 if kind == 0:
                     if at is not None:
                         yield done()
-                    at, ids, v = to, other, w
-                    best = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), np.inf)
-                    continue
-                d = distances(v, w, metric)
-                d[ids[:, None] == other[None, :]] = np.inf
-                best = best_of(np.concatenate([best[0], np.broadcast_to(other, d.shape)], 1), np.concatenate([best[1], d], 1), k)
+                    at, ids, v, best = to, other, w, no_neighbours(len(other), k)
+                elif at == to:
+                    best = nearest_rows(ids, v, other, w, best, metric, own)
         if at is not None:
             yield done()
 
     return pairs.mapInArrow(stream, SCHEMA)
 
 
+def exact(matrix: DataFrame, k: int, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
+    """All pairs, block by block."""
+    return nearest_of(matrix, None, k, metric, block_rows)
+
+
 def _top(hits: DataFrame, k: int) -> DataFrame:
     by = Window.partitionBy("i").orderBy("d", "j")
     return hits.select("i", "j", "d").distinct().withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("i", "rank", "j", "d")
@@ -131,9 +202,7 @@ def _within_cells(points: DataFrame, probes: DataFrame, k: int, metric: str, mos
         out = []
         for s in range(0, len(q), 512):
             i = q["q_i"].to_numpy(np.int64)[s : s + 512]
-            d = distances(np.stack(q["q_v"].to_numpy()[s : s + 512]).astype(float), v, metric)
-            d[i[:, None] == ids[None, :]] = np.inf
-            out.append(_rows(i, *best_of(ids, d, k)))
+            out.append(_rows(i, *nearest_rows(i, np.stack(q["q_v"].to_numpy()[s : s + 512]).astype(float), ids, v, no_neighbours(len(i), k), metric)))
         return pd.concat(out)
 
     # Names of their own on each side: both may stem from one table.
@@ -143,27 +212,171 @@ def _within_cells(points: DataFrame, probes: DataFrame, k: int, metric: str, mos
     return _top(hits, k)
 
 
-def ivf(matrix: DataFrame, k: int, metric: str = "euclidean", n_list: int | None = None, n_probes: int | None = None, seed: int = 42) -> DataFrame:
-    """Inverted lists: k-means cells, and each row looks into its nearest ``n_probes``. Centroids are broadcast: at most 4096."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _sampled(held: DataFrame, n: int) -> np.ndarray:
+    """Features of at most SAMPLE_ROWS rows, those of the smallest hash, as one array."""
+    some = held if n <= SAMPLE_ROWS else held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    return np.stack(some.orderBy("id").toPandas()["features"].to_numpy()).astype(float)
 
-    n, _ = shape(matrix)
-    n_list = min(n_list or max(1, round(math.sqrt(n))), 4096, n)
-    n_probes = min(n_probes or max(1, round(math.sqrt(n_list)) + 1), n_list)
-    model = KMeans(k=n_list, seed=seed, maxIter=10, distanceMeasure=metric, featuresCol="v").fit(matrix.select(array_to_vector("features").alias("v")))
-    centres = matrix.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; zero rows stay. Distances between such rows order as cosines do."""
+    length = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(length > 0, length, 1)
+
+
+def _nearest_centre(v: np.ndarray, centres: np.ndarray, many: int = 1) -> np.ndarray:
+    """The ``many`` nearest centres of each row, nearest first."""
+    out = np.empty((len(v), many), np.int32)
+    for s in range(0, len(v), 1024):
+        d = (centres * centres).sum(1)[None] - 2 * (v[s : s + 1024] @ centres.T)
+        out[s : s + 1024] = np.argsort(d, axis=1, kind="stable")[:, :many]
+    return out
+
+
+def k_means(v: np.ndarray, n_cells: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Centroids of a sample by Lloyd's rounds from seeded rows; an empty cell keeps its centre."""
+    centres = v[np.random.default_rng(seed).choice(len(v), n_cells, replace=False)].copy()
+    for _ in range(rounds):
+        at = _nearest_centre(v, centres)[:, 0]
+        count = np.bincount(at, minlength=n_cells)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, v)
+        moved = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def ball_centres(v: np.ndarray, n_cells: int, seed: int) -> np.ndarray:
+    """Centres of the leaves of a ball tree over a sample: the largest leaf is split between two rows far apart until there are enough."""
+    import heapq
+
+    rng = np.random.default_rng(seed)
+    leaves = [(-len(v), 0, np.arange(len(v)))]
+    done, number = [], 1
+    while leaves and len(leaves) + len(done) < n_cells:
+        _, _, rows = heapq.heappop(leaves)
+        first = rows[np.argmax(((v[rows] - v[rng.choice(rows)]) ** 2).sum(1))]
+        to_first = ((v[rows] - v[first]) ** 2).sum(1)
+        second = rows[np.argmax(to_first)]
+        nearer = to_first <= ((v[rows] - v[second]) ** 2).sum(1)
+        if nearer.all():
+            done.append(rows)
+            continue
+        for part in (rows[nearer], rows[~nearer]):
+            heapq.heappush(leaves, (-len(part), number, part))
+            number += 1
+    return np.stack([v[rows].mean(0) for rows in [*done, *(x[2] for x in leaves)]])
+
+
+def _n_cells(n: int, dims: int, asked: int | None) -> int:
+    cells = min(asked or max(1, round(math.sqrt(n))), n, SAMPLE_ROWS)
+    if cells * dims * 8 > MOST_CENTRE_BYTES:
+        raise ValueError(f"{cells} centroids of {dims} dimensions are more than {MOST_CENTRE_BYTES} bytes")
+    return cells
+
+
+def _celled(held: DataFrame, centres: np.ndarray, metric: str, many: int = 1) -> DataFrame:
+    """(id, features, cells): the nearest cells of each row, nearest first, written. Centres are broadcast, at most MOST_CENTRE_BYTES."""
+    sent = held.sparkSession.sparkContext.broadcast(centres)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = distances(np.stack(b["features"].to_numpy()).astype(float), centres.value, metric) if len(b) else np.empty((0, 1))
-            yield pd.DataFrame({"id": b["id"], "features": b["features"], "cells": list(np.argsort(d, axis=1, kind="stable")[:, :n_probes])})
+            if len(b):
+                v = np.stack(b["features"].to_numpy()).astype(float)
+                yield pd.DataFrame({"id": b["id"], "features": b["features"], "cells": list(_nearest_centre(_unit(v) if metric == "cosine" else v, sent.value, many))})
+
+    return materialize(held.mapInPandas(probe, "id long, features array<double>, cells array<int>"), "cells")
 
-    at = materialize(matrix.mapInPandas(probe, "id long, features array<double>, cells array<int>"), "ivf")
+
+def ivf(matrix: DataFrame, k: int, metric: str = "euclidean", n_list: int | None = None, n_probes: int | None = None, seed: int = 42) -> DataFrame:
+    """Inverted lists: k-means cells, sqrt(n) unless ``n_list`` says otherwise, and each row looks into its nearest ``n_probes``."""
+    held = materialize(matrix.select("id", "features"), "ivf")
+    n, dims = shape(held)
+    n_list = _n_cells(n, dims, n_list)
+    n_probes = min(n_probes or max(1, round(math.sqrt(n_list)) + 1), n_list)
+    sample = _sampled(held, n)
+    at = _celled(held, k_means(_unit(sample) if metric == "cosine" else sample, n_list, seed), metric, n_probes)
     points = at.select("id", "features", F.element_at("cells", 1).alias("cell"))
     return _within_cells(points, at.select(F.col("id").alias("i"), "features", F.explode("cells").alias("cell")), k, metric)
 
 
+def pruned(matrix: DataFrame, k: int, metric: str, fit, n_list: int | None, budget: float = 1.0, seed: int = 42) -> DataFrame:
+    """Exact search by cells and the triangle inequality.
+
+    Each row first looks into its own cell; the k-th distance found there bounds
+    all others. A cell whose centre is farther than that bound and the cell's
+    radius together holds nothing nearer and is left out. Zero vectors, which are
+    at cosine 0 from all, are a cell that everyone looks into, and look into all.
+    ``budget`` below 1 looks into the likeliest cells until they hold that share of
+    the rows; then the result isn't exact.
+    """
+    held = materialize(matrix.select("id", "features"), "pruned")
+    n, dims = shape(held)
+    sample = _sampled(held, n)
+    centres = fit(_unit(sample) if metric == "cosine" else sample, _n_cells(n, dims, n_list), seed)
+    at = _celled(held, centres, metric)
+    zero = F.forall("features", lambda x: x == 0) if metric == "cosine" else F.lit(False)
+    points = materialize(at.select("id", "features", F.when(zero, F.lit(-1)).otherwise(F.element_at("cells", 1)).alias("cell")), "pruned-points")
+    spark = matrix.sparkSession
+    sent = spark.sparkContext.broadcast(centres)
+
+    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                v = np.stack(b["features"].to_numpy()).astype(float)
+                v, cell = _unit(v) if metric == "cosine" else v, b["cell"].to_numpy()
+                yield pd.DataFrame({"cell": cell, "r": np.where(cell < 0, 0.0, np.sqrt(((v - sent.value[np.maximum(cell, 0)]) ** 2).sum(1)))})
+
+    # A row for each cell: at most as many as there are centroids.
+    known = points.mapInPandas(far, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("cell")
+    own = materialize(_within_cells(points, points.withColumnRenamed("id", "i"), k, metric), "pruned-own")
+    bounds = own.groupBy("i").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("found")).select(F.col("i").alias("id"), F.when(F.col("found") >= k, F.col("d")).alias("bound"))
+    cells = spark.sparkContext.broadcast((known["cell"].to_numpy(), known["r"].to_numpy(), known["n"].to_numpy()))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, radii, sizes = cells.value
+        at_zero = numbers < 0
+        for b in batches:
+            if not len(b):
+                continue
+            v = np.stack(b["features"].to_numpy()).astype(float)
+            v, cell = _unit(v) if metric == "cosine" else v, b["cell"].to_numpy()
+            bound = b["bound"].to_numpy(float)
+            reach = np.where(np.isnan(bound), np.inf, np.sqrt(np.maximum(bound * (2 if metric == "cosine" else 1), 0)))
+            picked = []
+            for s in range(0, len(v), 512):
+                c = sent.value[np.maximum(numbers, 0)]
+                gap = np.sqrt(np.maximum((v[s : s + 512] ** 2).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * v[s : s + 512] @ c.T, 0)) - radii[None]
+                gap[:, at_zero] = -np.inf
+                gap[cell[s : s + 512] < 0] = -np.inf
+                slack = 1e-6 * (1 + np.sqrt((v[s : s + 512] ** 2).sum(1)))
+                may = (gap <= (reach[s : s + 512] + slack)[:, None]) & (numbers[None] != cell[s : s + 512, None])
+                if budget < 1:
+                    order = np.argsort(gap, axis=1, kind="stable")
+                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    within = np.zeros_like(may)
+                    np.put_along_axis(within, order, before < budget * n, axis=1)
+                    may &= within
+                picked += [numbers[m] for m in may]
+            yield pd.DataFrame({"i": b["id"], "features": b["features"], "cells": picked})
+
+    probes = points.join(bounds, "id", "left").mapInPandas(look, "i long, features array<double>, cells array<int>")
+    more = _within_cells(points, probes.select("i", "features", F.explode("cells").alias("cell")), k, metric)
+    return _top(own.unionByName(more), k)
+
+
+def kmknn(matrix: DataFrame, k: int, metric: str = "euclidean", n_list: int | None = None, seed: int = 42) -> DataFrame:
+    """Exact: ``pruned`` over k-means cells. What fits one block is searched as one."""
+    return exact(matrix, k, metric) if n_list is None and shape(matrix)[0] <= MOST_BLOCK else pruned(matrix, k, metric, k_means, n_list, seed=seed)
+
+
+def ball_tree(matrix: DataFrame, k: int, metric: str = "euclidean", n_list: int | None = None, bt_budget: float = 1.0, seed: int = 42) -> DataFrame:
+    """``pruned`` over the leaves of a ball tree; exact unless ``bt_budget`` is below 1."""
+    return pruned(matrix, k, metric, ball_centres, n_list, bt_budget, seed)
+
+
 def projection_forest(matrix: DataFrame, k: int, metric: str = "euclidean", n_trees: int = 50, leaf_rows: int = 64, seed: int = 42) -> DataFrame:
     """Random hyperplanes through the mean: rows that share a leaf of some tree are candidates."""
     n, dims = shape(matrix)
@@ -185,9 +398,16 @@ def projection_forest(matrix: DataFrame, k: int, metric: str = "euclidean", n_tr
     return _within_cells(points, points.withColumnRenamed("id", "i"), k, metric)
 
 
-def nn_descent(matrix: DataFrame, k: int, metric: str = "euclidean", delta: float = 0.001, max_rounds: int = 12, seed: int = 42) -> DataFrame:
-    """A neighbour of a neighbour is likely a neighbour: joins of the neighbour table with itself until few entries change."""
+def nn_descent(matrix: DataFrame, k: int, metric: str = "euclidean", delta: float = 0.001, max_rounds: int = 12, candidates: int | None = None, diversify_prob: float = 0.0, seed: int = 42) -> DataFrame:
+    """A neighbour of a neighbour is likely a neighbour: joins of the neighbour table with itself until few entries change.
+
+    ``candidates`` bounds the neighbours of a node, forward and reverse, that take
+    part in a round, chosen by a hash that each round draws anew (default 2 k);
+    ``diversify_prob`` is the share of seeded random ones added to them.
+    """
+    matrix = materialize(matrix.select("id", "features"), "nn-descent-rows")
     n, _ = shape(matrix)
+    candidates = candidates or 2 * k
     start = projection_forest(matrix, k, metric, n_trees=4, leaf_rows=max(32, 2 * k), seed=seed)
     now = materialize(start, "nn-descent")
 
@@ -200,33 +420,45 @@ def nn_descent(matrix: DataFrame, k: int, metric: str = "euclidean", delta: floa
                 if not len(p):
                     continue
                 x, y = (np.stack(p[c].to_numpy()).astype(float) for c in "ab")
-                if metric == "euclidean":
-                    d = np.cumsum((x - y) ** 2, axis=1)[:, -1]
-                else:
-                    dot, xx, yy = (np.cumsum(u * w, axis=1)[:, -1] for u, w in ((x, y), (x, x), (y, y)))
-                    both = np.sqrt(xx) * np.sqrt(yy)
-                    d = np.where(both > 0, 1 - dot / np.where(both > 0, both, 1), 0.0)
-                yield pd.DataFrame({"i": p["i"], "j": p["j"], "d": d})
+                yield pd.DataFrame({"i": p["i"], "j": p["j"], "d": _pair_distances(x, y, metric)})
 
         return pairs.join(a, "i").join(b, "j").select("i", "j", "a", "b").mapInPandas(batch, "i long, j long, d double")
 
-    for _ in range(max_rounds):
-        around = now.select("i", "j").union(now.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-        # Reverse lists of hubs are cut to 2 k by a hash: the next rounds reach the rest through other nodes.
-        by = Window.partitionBy("i").orderBy(F.xxhash64("i", "j", F.lit(seed)))
-        around = around.withColumn("r", F.row_number().over(by)).where(F.col("r") <= 2 * k).drop("r")
+    for turn in range(max_rounds):
+        around = mirrored(now).distinct()
+        if diversify_prob > 0:
+            near_hash = Window.partitionBy(F.pmod(F.xxhash64("id", F.lit(seed + turn)), F.lit(max(1, n // 1000)))).orderBy(F.xxhash64("id", F.lit(~seed - turn)), "id")
+            drawn = matrix.select(F.col("id").alias("i"), F.lag("id").over(near_hash).alias("j")).where("j IS NOT NULL")
+            around = around.union(drawn.where(F.pmod(F.xxhash64("i", "j", F.lit(turn)), F.lit(1000)) < round(1000 * diversify_prob))).distinct()
+        # Reverse lists of hubs are longer than a round takes; each round draws others of them.
+        by = Window.partitionBy("i").orderBy(F.xxhash64("i", "j", F.lit(seed + turn)))
+        around = around.withColumn("r", F.row_number().over(by)).where(F.col("r") <= candidates).drop("r")
         steps = around.select(F.col("j").alias("via"), "i").join(around.select(F.col("i").alias("via"), "j"), "via").where("i <> j").select("i", "j").distinct()
         fresh = steps.join(now, ["i", "j"], "left_anti")
         after = materialize(_top(now.select("i", "j", "d").union(measured(fresh)), k), "nn-descent")
         changed = after.join(now, ["i", "j"], "left_anti").count()
+        discard(now)
         now = after
         if changed <= delta * n * k:
             break
     return now
 
 
-#: Search names and what runs them. Ball trees and k-means trees are exact searches, so exact search stands for them; a navigable graph has no relational form, so cells stand for it.
-BACKENDS = {"exhaustive": exact, "kmknn": exact, "balltree": exact, "ivf": ivf, "hnsw": ivf, "annoy": projection_forest, "nndescent": nn_descent}
+def hnsw(matrix: DataFrame, k: int, metric: str = "euclidean", m: int = 16, ef_construction: int = 200, ef_search: int = 100, seed: int = 42) -> DataFrame:
+    """A graph search for all rows at once: a graph of max(k, m) links a node is refined until it settles, then each row takes its k nearest.
+
+    Layers of a navigable graph serve to find a way to a row from far away; rows
+    that are in the graph themselves start at their own node. ``ef_construction``
+    bounds the candidates that a node gathers in a round, by the square of its
+    links taken; ``ef_search`` widens the graph that the answer is read from.
+    """
+    links = max(k, m, min(ef_search, 2 * max(k, m)))
+    graph = nn_descent(matrix, links, metric, candidates=max(links, math.isqrt(ef_construction) + 1), seed=seed)
+    return graph.where(F.col("rank") <= k)
+
+
+#: Search names and what runs them.
+BACKENDS = {"exhaustive": exact, "kmknn": kmknn, "balltree": ball_tree, "ivf": ivf, "hnsw": hnsw, "annoy": projection_forest, "nndescent": nn_descent}
 ALIASES = {"exhaustive_gpu": "exhaustive", "ivf_gpu": "ivf", "nndescent_gpu": "nndescent"}
 
 

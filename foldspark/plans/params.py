@@ -5,11 +5,40 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+@dataclass
+class SearchParams:
+    """Options of all searches; each takes its own and leaves the others alone. None: the search's default."""
+
+    n_tree: int = 50
+    search_budget: int | None = None  # annoy: candidates of a row over all trees
+    m: int = 16
+    ef_construction: int = 200
+    ef_search: int = 100
+    diversify_prob: float = 0.0
+    delta: float = 0.001
+    ef_budget: int | None = None  # nndescent: neighbours of a node that take part in a round
+    bt_budget: float = 1.0  # balltree: share of the rows looked at; below 1 it isn't exact
+    n_list: int | None = None
+    n_probes: int | None = None
+
+    def of(self, search: str) -> dict:
+        """Keyword arguments of one search."""
+        return {
+            "annoy": {"n_trees": self.n_tree, **({"leaf_rows": max(1, self.search_budget // self.n_tree)} if self.search_budget else {})},
+            "hnsw": {"m": self.m, "ef_construction": self.ef_construction, "ef_search": self.ef_search},
+            "nndescent": {"delta": self.delta, "diversify_prob": self.diversify_prob, "candidates": self.ef_budget},
+            "balltree": {"bt_budget": self.bt_budget, "n_list": self.n_list}, "kmknn": {"n_list": self.n_list}, "ivf": {"n_list": self.n_list, "n_probes": self.n_probes},
+        }.get(search, {})
+
+
 @dataclass
 class KnnParams:
+    """A search and its options: by name, or all of them together."""
+
     search: str = "kmknn"
     metric: str = "euclidean"
     options: dict = field(default_factory=dict)
+    params: SearchParams | None = None
 
 
 @dataclass

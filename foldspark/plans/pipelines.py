@@ -21,7 +21,7 @@ from ..functions.curves import fit_ab
 from ..functions.mlp import Mlp, TrainOptions, train
 from ..materialize import materialize
 from ..operators import affinity, density, diffusion, edges as E, epochs
-from ..operators.knn import distances, knn
+from ..operators.knn import distances, knn, parse_search
 from ..sources.matrix import shape
 from .params import DiffusionParams, KnnParams, ParametricParams, PacmapParams, PhateParams, TsneParams, UmapParams
 
@@ -29,6 +29,10 @@ from .params import DiffusionParams, KnnParams, ParametricParams, PacmapParams,
 MOST_POINTS = 2_000_000
 #: Points whose distances are held as one dense matrix: 800 MB.
 MOST_DENSE = 10_000
+#: Rows times dimensions of features on the driver: 1.6 GB.
+MOST_FEATURES = 200_000_000
+#: Components whose means are laid out spectrally, as one dense matrix.
+MOST_PARTS = 2000
 
 
 def bounded(n: int, most: int, what: str) -> None:
@@ -58,6 +62,14 @@ class Numbered:
         rows = matrix.select("id", "features").toPandas().sort_values("id")
         return np.stack(rows["features"].to_numpy()).astype(float)
 
+    def means(self, matrix: DataFrame, part: np.ndarray) -> np.ndarray:
+        """Means of the features of each part (one number for each node): a table of parts by dimensions comes to the driver, not the features."""
+        parts = matrix.sparkSession.createDataFrame(pd.DataFrame({"id": self.ids, "part": part.astype(np.int64)}), "id long, part long")
+        sums = matrix.join(parts, "id").select("part", F.posexplode("features").alias("p", "x")).groupBy("part", "p").agg(F.avg("x").alias("x")).toPandas()
+        out = np.zeros((int(part.max()) + 1, self.dims))
+        out[sums["part"], sums["p"]] = sums["x"]
+        return out
+
     def frame(self, spark, x: np.ndarray) -> DataFrame:
         return spark.createDataFrame(pd.DataFrame({"id": self.ids, "x": x.tolist()}), "id long, x array<double>")
 
@@ -69,7 +81,8 @@ def neighbours(matrix: DataFrame, k: int, given: DataFrame | None, params: KnnPa
         if narrow is None or narrow < min(k, shape(matrix)[0] - 1):
             raise WrongDimensions(f"the neighbour table has rows of {narrow} entries; {k} are needed")
         return given.where(F.col("rank") <= k)
-    return materialize(knn(matrix, k, params.search, params.metric, **params.options), "knn")
+    options = {**(params.params.of(parse_search(params.search)) if params.params else {}), **params.options}
+    return materialize(knn(matrix, k, params.search, params.metric, **options), "knn")
 
 
 # Starts of layouts
@@ -98,34 +111,44 @@ def _spectral_part(i, j, w, n: int, n_dim: int, seed: int) -> np.ndarray:
     return out if out.shape[1] == n_dim else np.hstack([out, np.zeros((n, n_dim - out.shape[1]))])
 
 
-def spectral_start(i, j, w, x: np.ndarray | None, n: int, n_dim: int, seed: int, span: float = 10.0) -> np.ndarray:
-    """Leading eigenvectors of the normalised graph, component by component, centred and scaled to ``span``, with slight noise."""
+def component_centres(n_parts: int, means, n_dim: int, seed: int) -> np.ndarray:
+    """A place for each component: the corners of a simplex and its mirror for few, a spectral layout of their means, scattered for more than MOST_PARTS."""
+    if n_parts <= 2 * n_dim:
+        return np.vstack([np.eye(n_dim), -np.eye(n_dim)])[:n_parts]
+    if n_parts > MOST_PARTS:
+        return np.random.default_rng(seed).uniform(-1, 1, (n_parts, n_dim))
+    m = means()
+    d2 = distances(m, m, "euclidean")
+    near = np.exp(-d2 / max(d2.max(), 1e-300))
+    a, b = np.nonzero(~np.eye(n_parts, dtype=bool))
+    centre = _spectral_part(a, b, near[a, b], n_parts, n_dim, seed)
+    return centre / (np.abs(centre).max() or 1.0)
+
+
+def spectral_start(i, j, w, means, n: int, n_dim: int, seed: int, span: float = 10.0) -> np.ndarray:
+    """Leading eigenvectors of the normalised graph, component by component, centred and scaled to ``span``, with slight noise.
+
+    ``means`` is a function of each node's component that gives the components' mean features.
+    """
     label = _labels(i, j, n)
     parts, number = np.unique(label, return_inverse=True)
     if len(parts) == 1:
         out = _spectral_part(i, j, w, n, n_dim, seed)
     else:
-        rng = np.random.default_rng(seed)
-        if len(parts) <= 2 * n_dim:
-            centre = np.vstack([np.eye(n_dim), -np.eye(n_dim)])[: len(parts)]
-        elif len(parts) > 2000 or x is None:
-            centre = rng.uniform(-1, 1, (len(parts), n_dim))
-        else:
-            means = np.stack([np.bincount(number, x[:, c], len(parts)) for c in range(x.shape[1])], 1) / np.bincount(number)[:, None]
-            d2 = distances(means, means, "euclidean")
-            near = np.exp(-d2 / max(d2.max(), 1e-300))
-            a, b = np.nonzero(~np.eye(len(parts), dtype=bool))
-            centre = _spectral_part(a, b, near[a, b], len(parts), n_dim, seed)
-            centre /= np.abs(centre).max() or 1.0
+        centre = component_centres(len(parts), lambda: means(number), n_dim, seed)
         gap = distances(centre, centre, "euclidean")
         np.fill_diagonal(gap, np.inf)
         out = np.zeros((n, n_dim))
-        same = number[i] == number[j]
-        place = np.zeros(n, int)
+        # Nodes and edges sorted by component, so that each is cut out once.
+        rows = np.argsort(number, kind="stable")
+        starts = np.searchsorted(number[rows], np.arange(len(parts) + 1))
+        place = np.empty(n, int)
+        place[rows] = np.arange(n) - starts[number[rows]]
+        inner = np.flatnonzero(number[i] == number[j])
+        inner = inner[np.argsort(number[i[inner]], kind="stable")]
+        cuts = np.searchsorted(number[i[inner]], np.arange(len(parts) + 1))
         for p in range(len(parts)):
-            at = np.flatnonzero(number == p)
-            place[at] = np.arange(len(at))
-            e = same & (number[i] == p)
+            at, e = rows[starts[p] : starts[p + 1]], inner[cuts[p] : cuts[p + 1]]
             own = _spectral_part(place[i[e]], place[j[e]], w[e], len(at), n_dim, seed + p)
             own = own - own.mean(0)
             out[at] = centre[p] + own / (np.abs(own).max() or 1.0) * np.sqrt(gap[p].min()) / 2
@@ -134,13 +157,17 @@ def spectral_start(i, j, w, x: np.ndarray | None, n: int, n_dim: int, seed: int,
     return out + np.random.default_rng(seed).normal(0, 1e-4, out.shape)
 
 
-def start(kind: str, span: float | None, i, j, w, x: np.ndarray, n: int, n_dim: int, seed: int, randomised: bool = False) -> np.ndarray:
+def start(kind: str, span: float | None, i, j, w, at: Numbered, matrix: DataFrame, n_dim: int, seed: int, randomised: bool = False) -> np.ndarray:
+    """Only a principal-axes start brings the features to the driver; a spectral one the means of components."""
+    n = at.n
     if kind == "spectral":
-        return spectral_start(i, j, w, x, n, n_dim, seed, 10.0 if span is None else span)
+        return spectral_start(i, j, w, lambda part: at.means(matrix, part), n, n_dim, seed, 10.0 if span is None else span)
     if kind == "random":
         half = 10.0 if span is None else span
         return np.random.default_rng(seed).uniform(-half, half, (n, n_dim))
     if kind == "pca":
+        bounded(n * at.dims, MOST_FEATURES, "features on the driver for a principal-axes start, rows times dimensions,")
+        x = at.features(matrix)
         scores = linalg.pca(x, min(n_dim, x.shape[1]), randomised, seed)
         if scores.shape[1] < n_dim:
             raise WrongDimensions("a PCA start needs as many features as dimensions")
@@ -171,7 +198,7 @@ def umap(matrix: DataFrame, p: UmapParams = UmapParams(), given: DataFrame | Non
     at = Numbered(matrix)
     i, j, w = at.edges(graph)
     held = _density(matrix, graph, near, at, p)
-    x = start(p.init, p.init_range, i, j, w, at.features(matrix) if p.init == "pca" or at.n <= MOST_DENSE else None, at.n, p.n_dim, seed, p.randomised)
+    x = start(p.init, p.init_range, i, j, w, at, matrix, p.n_dim, seed, p.randomised)
     a, b = fit_ab(p.min_dist, p.spread)
     o = layout_umap.UmapOptions(a, b, p.lr, p.gamma, p.n_epochs, p.negatives)
     if p.optimiser in ("sgd", "adam"):
@@ -199,7 +226,7 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(), given: DataFrame | Non
     at = Numbered(matrix)
     i, j, w = at.edges(graph)
     held = _density(matrix, graph, near, at, p)
-    y = start(p.init, p.init_range, i, j, w, at.features(matrix), at.n, 2, seed, p.randomised)
+    y = start(p.init, p.init_range, i, j, w, at, matrix, 2, seed, p.randomised)
     o = layout_tsne.TsneOptions(p.n_epochs, p.lr, p.early_exaggeration, p.early_epochs, p.late_exaggeration, p.theta, p.interpolation_points)
     return at.frame(matrix.sparkSession, layout_tsne.optimise(y, i, j, w, o, p.method, held))
 
@@ -217,7 +244,7 @@ def pacmap(matrix: DataFrame, p: PacmapParams = PacmapParams(), given: DataFrame
     pairs = {kind: (r["i"].to_numpy(), r["j"].to_numpy()) for kind, r in rows.groupby("kind")}
     pairs = {kind: pairs.get(kind, (np.empty(0, int), np.empty(0, int))) for kind in ("near", "mid_near", "further")}
     i, j = (np.concatenate([pairs["near"][s], pairs["near"][1 - s]]) for s in (0, 1))
-    x = start(p.init, p.init_range, i, j, np.ones(len(i)), at.features(matrix), at.n, p.n_dim, seed)
+    x = start(p.init, p.init_range, i, j, np.ones(len(i)), at, matrix, p.n_dim, seed)
     return at.frame(spark, layout_pacmap.optimise(x, pairs, p.n_epochs, p.lr, *p.phases))
 
 
@@ -256,9 +283,9 @@ def phate_operator(matrix: DataFrame, p: PhateParams = PhateParams(), given: Dat
 
 
 def _dense(op: DataFrame, most: int, what: str) -> tuple[np.ndarray, np.ndarray]:
+    bounded(op.select("i").union(op.select("j")).distinct().count(), most, what)
     rows = op.toPandas()
     ids = np.unique(np.concatenate([rows["i"], rows["j"]])).astype(np.int64)
-    bounded(len(ids), most, what)
     return ids, linalg.Sparse(np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"]), rows["w"].to_numpy(float), len(ids)).dense()
 
 

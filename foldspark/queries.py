@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import linalg
 from .functions.curves import fit_ab
 from .functions.hashing import draw_column, draw_sql
+from .materialize import materialize
 from .operators import affinity, density, diffusion, edges as E, epochs, vectors
 from .operators.knn import knn
 from .plans import distributed, pipelines
@@ -142,16 +143,30 @@ def edges_out(of: str, digits: int = 6) -> str:
 
 # Builders shared by queries.
 
+# What several steps read is written once: no plan holds a search twice, and a lost executor doesn't search again.
+
 def _knn(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    return knn(embeddings(spark, d), k)
+    return materialize(knn(embeddings(spark, d), k), "knn")
+
 
+def _umap(spark: SparkSession, d: str, near: DataFrame | None = None) -> DataFrame:
+    return materialize(E.prune(materialize(affinity.umap_graph(_knn(spark, d) if near is None else near, K, n_epochs=None), "umap-union"), 500), "umap-graph")
 
-def _umap(spark: SparkSession, d: str) -> DataFrame:
-    return affinity.umap_graph(_knn(spark, d), K)
+
+def _tsne(spark: SparkSession, d: str, near: DataFrame | None = None) -> DataFrame:
+    return materialize(affinity.tsne_graph(_knn(spark, d, TSNE_K) if near is None else near, PERPLEXITY, shape(embeddings(spark, d))[0]), "tsne-graph")
 
 
 def _kernel(spark: SparkSession, d: str) -> DataFrame:
-    return affinity.alpha_decay(_knn(spark, d), PHATE_K)
+    return materialize(affinity.alpha_decay(_knn(spark, d), PHATE_K), "kernel")
+
+
+def _markov(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(diffusion.markov(_kernel(spark, d)), "markov")
+
+
+def _schedule(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(epochs.umap_schedule(_umap(spark, d)), "schedule")
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +232,7 @@ PERIODS = ("sched", "SELECT i, j, w, row_number() OVER (PARTITION BY i ORDER BY
 
 @query(sql(f"SELECT i, j, e, {_r('period', 4)} AS period FROM sched", *UMAP, PERIODS, recursive=True))
 def umap_edge_periods(spark, d):
-    return rounded(epochs.umap_schedule(_umap(spark, d)).select("i", "j", F.col("e").cast("long").alias("e"), "period"), 4)
+    return rounded(_schedule(spark, d).select("i", "j", F.col("e").cast("long").alias("e"), "period"), 4)
 
 
 DUE = ("due", f"SELECT * FROM sched WHERE floor({EPOCH}.0::DOUBLE / period) > floor({EPOCH - 1}.0::DOUBLE / period)")
@@ -227,7 +242,7 @@ DRAWN = ("drawn", f"SELECT * FROM (SELECT i, e, m, {draw_sql(SEED, 'i', str(EPOC
 @query(sql("SELECT i, e, m::INTEGER AS m, j FROM drawn", *UMAP, PERIODS, DUE, DRAWN, recursive=True))
 def umap_hash_negatives(spark, d):
     n, _ = shape(embeddings(spark, d))
-    now = epochs.due(epochs.umap_schedule(_umap(spark, d)), EPOCH).select("i", F.col("e").cast("long").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("m"))
+    now = epochs.due(_schedule(spark, d), EPOCH).select("i", F.col("e").cast("long").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("m"))
     return now.withColumn("j", draw_column(SEED, F.col("i"), F.lit(EPOCH), F.col("e"), F.col("m"), n)).where("i <> j")
 
 
@@ -241,7 +256,7 @@ UMAP_GRAD = (
 @query(sql(f"SELECT id, {_r('sum(gx)', 5)} AS gx, {_r('sum(gy)', 5)} AS gy, sum(act)::BIGINT AS n_active FROM parts GROUP BY id", *UMAP, PERIODS, DUE, DRAWN, POS, *UMAP_GRAD, recursive=True))
 def umap_epoch_gradient(spark, d):
     n, _ = shape(embeddings(spark, d))
-    return rounded(epochs.umap_gradient(epochs.umap_schedule(_umap(spark, d)), _positions(spark, d), n, EPOCH, A, B), 5)
+    return rounded(epochs.umap_gradient(_schedule(spark, d), _positions(spark, d), n, EPOCH, A, B), 5)
 
 
 @query(sql(f"SELECT i, count(*) AS n_edges, {_r('sum(w)')} AS degree FROM graph GROUP BY i", *UMAP, recursive=True))
@@ -269,7 +284,7 @@ def tsne_conditional_p(spark, d):
 
 @query(sql(edges_out("joint", 9), *TSNE, recursive=True))
 def tsne_joint_p(spark, d):
-    return rounded(affinity.tsne_graph(_knn(spark, d, TSNE_K), PERPLEXITY, shape(embeddings(spark, d))[0]), 9)
+    return rounded(_tsne(spark, d), 9)
 
 
 TSNE_GRAD = (
@@ -285,7 +300,7 @@ def tsne_repulsion_exact(spark, d):
 
 @query(sql(f"SELECT r.id, {_r('coalesce(ax, 0.0) - rx / (SELECT sum(z) FROM rep)', 7)} AS gx, {_r('coalesce(ay, 0.0) - ry / (SELECT sum(z) FROM rep)', 7)} AS gy FROM rep r LEFT JOIN att a ON a.id = r.id", *TSNE, *TSNE_GRAD, recursive=True))
 def tsne_epoch_gradient_exact(spark, d):
-    graph = affinity.tsne_graph(_knn(spark, d, TSNE_K), PERPLEXITY, shape(embeddings(spark, d))[0])
+    graph = _tsne(spark, d)
     return rounded(epochs.tsne_gradient(graph, _positions(spark, d)), 7)
 
 
@@ -316,7 +331,7 @@ query(sql(edges_out("decay"), *PHATE[:3]), "symmetrise_none")(lambda spark, d: r
 
 @query(sql(edges_out("markov"), *PHATE))
 def diffusion_operator(spark, d):
-    return rounded(diffusion.markov(_kernel(spark, d)))
+    return rounded(_markov(spark, d))
 
 
 def _scaled_sql(power: float) -> str:
@@ -335,12 +350,12 @@ def symmetric_diffusion_operator(spark, d):
 
 @query(sql(edges_out("t"), *PHATE, ("t", "SELECT j AS i, i AS j, w FROM markov")))
 def transpose(spark, d):
-    return rounded(E.transpose(diffusion.markov(_kernel(spark, d))))
+    return rounded(E.transpose(_markov(spark, d)))
 
 
 @query(sql(edges_out("p2", 8), *PHATE, product("markov", "markov", "p2")))
 def sparse_matmul(spark, d):
-    p = diffusion.markov(_kernel(spark, d))
+    p = _markov(spark, d)
     return rounded(E.multiply(p, p), 8)
 
 
@@ -349,17 +364,17 @@ P3 = (product("markov", "markov", "p2"), product("markov", "p2", "p3"))
 
 @query(sql(edges_out("p3", 8), *PHATE, *P3))
 def matrix_power_3(spark, d):
-    return rounded(E.power(diffusion.markov(_kernel(spark, d)), 3), 8)
+    return rounded(E.power(_markov(spark, d), 3), 8)
 
 
 @query(sql(edges_out("lp", 5), *PHATE, P3[0], ("lp", "SELECT i, j, -ln(greatest(least(w, 1.0), 0.0) + 1e-7) AS w FROM p2")))
 def log_potential(spark, d):
-    return rounded(diffusion.potential(diffusion.markov(_kernel(spark, d)), 2, 1.0), 5)
+    return rounded(diffusion.potential(_markov(spark, d), 2, 1.0), 5)
 
 
 @query(sql(edges_out("pp"), *PHATE, ("pp", "SELECT i, j, pow(w, 0.5) / 0.5 AS w FROM markov")))
 def power_potential(spark, d):
-    return rounded(diffusion.power_potential(diffusion.markov(_kernel(spark, d)), 0.0))
+    return rounded(diffusion.power_potential(_markov(spark, d), 0.0))
 
 
 POT_D = (product("markov", "tr", "dots"), ("norms", "SELECT i, sum(w * w) AS s FROM markov GROUP BY i"))
@@ -367,12 +382,12 @@ POT_D = (product("markov", "tr", "dots"), ("norms", "SELECT i, sum(w * w) AS s F
 
 @query(sql(f"SELECT d.i, d.j, CASE WHEN d.i = d.j THEN 0.0 ELSE {_r('sqrt(greatest(a.s + b.s - 2 * d.w, 0.0))')} END AS d FROM dots d JOIN norms a ON d.i = a.i JOIN norms b ON d.j = b.i", *PHATE, ("tr", "SELECT j AS i, i AS j, w FROM markov"), *POT_D))
 def potential_distances(spark, d):
-    return rounded(diffusion.potential_distances(diffusion.markov(_kernel(spark, d))))
+    return rounded(diffusion.potential_distances(_markov(spark, d)))
 
 
-@query(sql(f"SELECT j, {_r('sum(w)')} AS w FROM markov WHERE i % 50 = 0 GROUP BY j", *PHATE))
+@query(sql(f"SELECT j, {_r('sum(w)')} AS w FROM markov GROUP BY j", *PHATE))
 def sum_of_rows(spark, d):
-    return rounded(E.sum_of_rows(diffusion.markov(_kernel(spark, d)), embeddings(spark, d).where("id % 50 = 0").select(F.col("id").alias("i"))))
+    return rounded(E.sum_of_rows(_markov(spark, d), embeddings(spark, d).select(F.col("id").alias("i"))))
 
 
 @query(sql(edges_out("norm"), *UMAP, ("norm", "SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM graph"), recursive=True))
@@ -400,7 +415,7 @@ LANDMARK_OP = (
 def landmark_operator(spark, d):
     m = embeddings(spark, d)
     assigned = diffusion.assign_to_landmarks(m, diffusion.random_landmarks(m, N_LANDMARKS, SEED))
-    return rounded(diffusion.landmark_operators(diffusion.markov(_kernel(spark, d)), assigned)[2])
+    return rounded(diffusion.landmark_operators(_markov(spark, d), assigned)[2])
 
 
 TRANS = ("near", f"SELECT i, j, d, max(d) OVER (PARTITION BY i) AS far FROM (SELECT a.id AS i, b.landmark AS j, {D2} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.landmark) AS r FROM pts a, marks b) WHERE r <= {PHATE_K}")
@@ -413,16 +428,16 @@ def nystroem_transitions(spark, d):
 
 
 CENTRE = (
-    ("sub", "SELECT * FROM pts WHERE id < 60"), ("sq", f"SELECT a.id AS i, b.id AS j, {D2} AS s FROM sub a, sub b"), ("rm", "SELECT i, sum(s) / (SELECT count(*) FROM sub) AS r FROM sq GROUP BY i"),
+    ("sq", f"SELECT a.id AS i, b.id AS j, {D2} AS s FROM pts a, pts b"), ("rm", "SELECT i, sum(s) / (SELECT count(*) FROM pts) AS r FROM sq GROUP BY i"),
 )
 
 
-@query(sql(f"SELECT q.i, q.j, {_r('-0.5 * (q.s - a.r - b.r + (SELECT sum(r) / (SELECT count(*) FROM sub) FROM rm))')} AS w FROM sq q JOIN rm a ON q.i = a.i JOIN rm b ON q.j = b.i", PTS, *CENTRE))
+@query(sql(f"SELECT q.i, q.j, {_r('-0.5 * (q.s - a.r - b.r + (SELECT sum(r) / (SELECT count(*) FROM pts) FROM rm))')} AS w FROM sq q JOIN rm a ON q.i = a.i JOIN rm b ON q.j = b.i", PTS, *CENTRE))
 def mds_double_centring(spark, d):
-    few = embeddings(spark, d).where("id < 60")
-    n, _ = shape(few)
-    far = knn(few, n - 1).select("i", "j", F.sqrt("d").alias("d")).union(few.select("id", "id", F.lit(0.0)))
-    return rounded(diffusion.double_centred(far, few.select(F.col("id").alias("i"))))
+    m = embeddings(spark, d)
+    n, _ = shape(m)
+    far = materialize(knn(m, n - 1).select("i", "j", F.sqrt("d").alias("d")).union(m.select("id", "id", F.lit(0.0))), "distances")
+    return rounded(diffusion.double_centred(far, m.select(F.col("id").alias("i"))))
 
 
 # Density
@@ -437,7 +452,7 @@ RADII = (
 @query(sql(f"SELECT i, {_r('r')} AS r, {_r('mu_sum')} AS mu_sum FROM radii", *UMAP, *RADII, recursive=True))
 def original_log_radii(spark, d):
     m, near = embeddings(spark, d), _knn(spark, d)
-    return rounded(density.original_radii(m.select(F.col("id").alias("i")), affinity.umap_graph(near, K), near))
+    return rounded(density.original_radii(m.select(F.col("id").alias("i")), _umap(spark, d, near), near))
 
 
 EMB_RADII = (POS, ends("graph", "gends"), ("re", f"SELECT i AS id, ln(1e-8 + sum(phi * d2) / greatest(sum(phi), {E.EPSILON})) AS re, sum(phi) AS phi_sum FROM (SELECT *, 1.0 / (1.0 + {A} * pow(d2, {B})) AS phi FROM gends) GROUP BY i"))
@@ -451,7 +466,7 @@ def embedding_log_radii(spark, d):
 @query(sql(f"SELECT {_r('avg(re)')} AS mean, {_r('sqrt(var_samp(re) + 0.1)')} AS std, {_r('sum((re - m) * r) / (count(*) - 1)')} AS cov FROM (SELECT re, r, avg(re) OVER () AS m FROM re JOIN radii ON re.id = radii.i)", *UMAP, *RADII, *EMB_RADII, recursive=True))
 def density_correlation_stats(spark, d):
     m, near = embeddings(spark, d), _knn(spark, d)
-    graph = affinity.umap_graph(near, K)
+    graph = _umap(spark, d, near)
     original = density.original_radii(m.select(F.col("id").alias("i")), graph, near)
     return rounded(density.correlation_stats(epochs.umap_radii(graph, _positions(spark, d), A, B).join(original.withColumnRenamed("i", "id"), "id")))
 
@@ -467,7 +482,7 @@ PAIRS = (
 
 def _pairs(spark, d):
     n, _ = shape(embeddings(spark, d))
-    return epochs.pacmap_pairs(_knn(spark, d, 50), n)
+    return materialize(epochs.pacmap_pairs(_knn(spark, d, 50), n), "pairs")
 
 
 @query(sql("SELECT kind, i, j FROM pairs", *PAIRS))
@@ -535,7 +550,7 @@ def _started(kind: str):
         m = embeddings(s, d)
         at = pipelines.Numbered(m)
         i, j, w = at.edges(_umap(s, d))
-        return at.frame(s, pipelines.start(kind, None, i, j, w, at.features(m), at.n, 2, SEED))
+        return at.frame(s, pipelines.start(kind, None, i, j, w, at, m, 2, SEED))
 
     return f
 
@@ -552,7 +567,7 @@ def randomised_svd(spark, d):
 
 @query()
 def entropy_curve(spark, d):
-    _, m = pipelines._dense(diffusion.markov(_kernel(spark, d)), pipelines.MOST_DENSE, "an entropy curve")
+    _, m = pipelines._dense(_markov(spark, d), pipelines.MOST_DENSE, "an entropy curve")
     h = linalg.entropy_curve(linalg.singular_values(m), 20)
     return spark.createDataFrame(pd.DataFrame({"t": np.arange(1, 21), "h": h, "knee": linalg.knee(h)}))
 
@@ -592,7 +607,7 @@ TSNE_RE = (ends("joint", "tends"), ("tre", f"SELECT i AS id, ln(1e-8 + sum(phi *
 
 @query(sql(f"SELECT id, {_r('re')} AS re, {_r('phi_sum')} AS phi_sum FROM tre", *TSNE, POS, *TSNE_RE, recursive=True))
 def tsne_embedding_radii(spark, d):
-    graph = affinity.tsne_graph(_knn(spark, d, TSNE_K), PERPLEXITY, shape(embeddings(spark, d))[0])
+    graph = _tsne(spark, d)
     return rounded(epochs.tsne_radii(graph, _positions(spark, d)))
 
 
@@ -606,8 +621,8 @@ DENSNE = (
 @query(sql(f"SELECT i AS id, {_r('sum(g * dx) * 0.1 / (SELECT n - 1 FROM stat)', 8)} AS gx, {_r('sum(g * dy) * 0.1 / (SELECT n - 1 FROM stat)', 8)} AS gy FROM (SELECT e.i, e.dx, e.dy, 1.0 / (1.0 + e.d2) * (1.0 / (1.0 + e.d2)) * (a.s + b.s) AS g FROM tends e JOIN shares a ON e.i = a.id JOIN shares b ON e.j = b.id) GROUP BY i", *TSNE, POS, *TSNE_RE, *DENSNE, recursive=True))
 def densne_epoch_gradient(spark, d):
     m, near = embeddings(spark, d), _knn(spark, d, TSNE_K)
-    graph, p = affinity.tsne_graph(near, PERPLEXITY, shape(m)[0]), _positions(spark, d)
-    both = epochs.tsne_radii(graph, p).join(density.original_radii(m.select(F.col("id").alias("i")), graph, near).select(F.col("i").alias("id"), "r"), "id")
+    graph, p = _tsne(spark, d, near), _positions(spark, d)
+    both = materialize(epochs.tsne_radii(graph, p).join(density.original_radii(m.select(F.col("id").alias("i")), graph, near).select(F.col("i").alias("id"), "r"), "id"), "radii")
     return rounded(epochs.densne_gradient(graph, p, both, density.correlation_stats(both)), 8)
 
 
@@ -621,7 +636,7 @@ STEP = (
 
 @query(sql(f"SELECT id, {_r('x - avg(x) OVER ()', 5)} AS x, {_r('y - avg(y) OVER ()', 5)} AS y, wx, wy FROM new", *TSNE, *TSNE_GRAD, *STEP, recursive=True))
 def tsne_descent_step(spark, d):
-    graph, p = affinity.tsne_graph(_knn(spark, d, TSNE_K), PERPLEXITY, shape(embeddings(spark, d))[0]), _positions(spark, d)
+    graph, p = _tsne(spark, d), _positions(spark, d)
     state = p.select("id", "x", "y", F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(1.0).alias("wx"), F.lit(1.0).alias("wy"))
     return rounded(epochs.tsne_step(state, epochs.tsne_gradient(graph, p), 200.0, 0.5).select("id", "x", "y", "wx", "wy"), 5)
 
@@ -633,7 +648,7 @@ _RATE = (1 - EPOCH / 500) * _ROOT / (1 - 0.5 ** (EPOCH + 1))
 @query(sql(f"SELECT p.id, {_r(f'p.x + CASE WHEN act > 0 THEN {_RATE!r} * (0.5 * gx) / (sqrt({1 - 0.9!r} * (gx * gx)) + {_ROOT * 1e-7!r}) ELSE 0.0 END', 5)} AS x, {_r(f'p.y + CASE WHEN act > 0 THEN {_RATE!r} * (0.5 * gy) / (sqrt({1 - 0.9!r} * (gy * gy)) + {_ROOT * 1e-7!r}) ELSE 0.0 END', 5)} AS y FROM pos p LEFT JOIN (SELECT id, sum(gx) AS gx, sum(gy) AS gy, sum(act) AS act FROM parts GROUP BY id) USING (id)", *UMAP, PERIODS, DUE, DRAWN, POS, *UMAP_GRAD, recursive=True))
 def umap_adam_step(spark, d):
     n, _ = shape(embeddings(spark, d))
-    g = epochs.umap_gradient(epochs.umap_schedule(_umap(spark, d)), _positions(spark, d), n, EPOCH, A, B)
+    g = epochs.umap_gradient(_schedule(spark, d), _positions(spark, d), n, EPOCH, A, B)
     return rounded(distributed._adam(distributed._state(_positions(spark, d)), g, _RATE, _ROOT * 1e-7, 0.5, 0.9, F.col("n_active") > 0).select("id", "x", "y"), 5)
 
 
@@ -663,7 +678,7 @@ def _xy(df):
 def landmark_interpolation(spark, d):
     m = embeddings(spark, d)
     assigned = diffusion.assign_to_landmarks(m, diffusion.random_landmarks(m, N_LANDMARKS, SEED))
-    return rounded(_xy(diffusion.interpolate(diffusion.landmark_operators(diffusion.markov(_kernel(spark, d)), assigned)[1], _mark_coordinates(spark, d))))
+    return rounded(_xy(diffusion.interpolate(diffusion.landmark_operators(_markov(spark, d), assigned)[1], _mark_coordinates(spark, d))))
 
 
 @query(sql(f"SELECT t.i AS id, {_r('sum(t.w * m.x) / 0.5')} AS x, {_r('sum(t.w * m.y) / 0.25')} AS y FROM (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT i, j, exp(-(d / greatest(far, {E.EPSILON}))) AS w FROM near) WHERE w >= 0.0001) t JOIN mxy m ON t.j = m.landmark GROUP BY t.i", PTS, MARKS, TRANS, MARK_XY))
