@@ -10,11 +10,11 @@ leaves less to the next, and the last leaves nothing out:
    common among the first ``n // 5 + 1`` of each, in any order that holds for all
    sets (prefix filtering; Chaudhuri, Ganti and Kaushik 2006, Xiao et al. 2008).
    Rare shingles come first, so a passage that many texts share brings no two of
-   them together unless it is most of both. In each round the members of a meeting
-   (the nodes with one such shingle) are put in a seeded order, and each is
-   compared with the one before it if that is in another component and their
-   fingerprints aren't far apart. So a large group of near copies becomes one
-   component by comparisons in proportion to its members.
+   them together unless it is most of both. In each round each member of a meeting
+   (the nodes with one such shingle) is compared with two others, if they are in
+   another component and their fingerprints aren't far apart: one by a seeded
+   order, and one with the fewest shingles of its own. So a large group of near
+   copies becomes one component by comparisons in proportion to its members.
 3. The rest. All pairs of a meeting that are still in different components and
    can reach 0.8 are compared, in blocks of BLOCK by BLOCK members.
 
@@ -42,7 +42,7 @@ SHINGLE = 5
 #: Members of a meeting that one block holds.
 BLOCK = 256
 #: Rounds of neighbours, and the most bits that fingerprints may differ in there; pairs of similarity 0.8 differ in 10 of 64 on average.
-ROUNDS, FAR_BITS = 3, 20
+ROUNDS, FAR_BITS = 2, 20
 #: Buckets of shingle counts: 1024 slices of 4096.
 _BITS, _SLICES = 22, 1024
 _PER_SLICE = (1 << _BITS) // _SLICES
@@ -193,10 +193,16 @@ def _known(met: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def neighbours(met: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) next to each other in this turn's order of a meeting, in different components, that can be alike and seem so."""
+    """Pairs (a, b) that can be alike and seem so, two at most for each member of a meeting and turn: with the one before it in a seeded order, and with one of those where the shingle comes earliest.
+
+    The latter have the fewest shingles of their own, so of near copies they are
+    those that most others are alike with. Members of one component aren't compared.
+    """
     row = F.struct("node", "n", "pos", "fp", "root")
-    order = Window.partitionBy("v").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    pairs = _known(met, nodes).select(row.alias("x"), F.lag(row).over(order).alias("y")).where("x.root <> y.root")
+    seeded = Window.partitionBy("v").orderBy(F.xxhash64("node", "v", F.lit(turn)), "node")
+    early = Window.partitionBy("v").orderBy("pos", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    beside = _known(met, nodes).select(row.alias("x"), F.lag(row).over(seeded).alias("before"), F.nth_value(row, turn + 1).over(early).alias("early"))
+    pairs = beside.select("x", F.explode(F.array("before", "early")).alias("y")).where("x.root <> y.root")
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR_BITS
     pairs = pairs.where(_viable("x.", "y.") & near)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
