@@ -50,13 +50,31 @@ def due(schedule: DataFrame, epoch: int) -> DataFrame:
     return schedule.where(F.floor(F.lit(float(epoch)) / F.col("period")) > before if epoch > 0 else F.lit(False))
 
 
-def umap_gradient(schedule: DataFrame, positions: DataFrame, n: int, epoch: int, a: float, b: float, gamma: float = 1.0, negatives: int = 5, seed: int = 42) -> DataFrame:
-    """(id, gx, gy, n_active): attraction along due edges at both ends, doubled, and hashed negatives of the smaller end."""
+#: Added to an edge's number for the draws of its larger end.
+OTHER_END = 1 << 20
+
+
+def negative_slots(now: DataFrame, negatives: int, both_ends: bool = False) -> DataFrame:
+    """(i, e, m): a slot for each negative of the smaller end of due edges, or of either end."""
+    at = now.select("i", F.col("e").cast("long").alias("e"))
+    if both_ends:
+        own, other = F.struct(F.col("i").alias("i"), F.col("e").cast("long").alias("e")), F.struct(F.col("j").alias("i"), (F.col("e") + OTHER_END).cast("long").alias("e"))
+        at = now.select(F.explode(F.array(own, other)).alias("s")).select("s.i", "s.e")
+    return at.select("i", "e", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("m"))
+
+
+def gradient_norm(gradient: DataFrame) -> DataFrame:
+    """One row: the length of the whole gradient (gx, gy)."""
+    return gradient.agg(F.sqrt(F.sum(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("norm"))
+
+
+def umap_gradient(schedule: DataFrame, positions: DataFrame, n: int, epoch: int, a: float, b: float, gamma: float = 1.0, negatives: int = 5, seed: int = 42, both_ends: bool = False) -> DataFrame:
+    """(id, gx, gy, n_active): attraction along due edges at both ends, doubled, and hashed negatives of the smaller end, or of either."""
     now = due(schedule, epoch)
     ends = with_ends(mirrored(now), positions)
     pull = F.when(F.col("d2") >= 1e-8, 2.0 * (2.0 * a * b) * F.pow("d2", F.lit(b)) / (F.col("d2") * (1.0 + a * F.pow("d2", F.lit(b))))).otherwise(0.0)
     attract = ends.select(F.col("i").alias("id"), (-pull * F.col("dx")).alias("gx"), (-pull * F.col("dy")).alias("gy"), F.lit(1).alias("active"))
-    drawn = now.select("i", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("m"), "e")
+    drawn = negative_slots(now, negatives, both_ends)
     drawn = drawn.select("i", draw_column(seed, F.col("i"), F.lit(epoch), F.col("e"), F.col("m"), n).alias("j")).where("i <> j")
     far = with_ends(drawn, positions)
     safe = F.col("d2") + SMALL
@@ -152,6 +170,36 @@ def umap_radii(graph: DataFrame, positions: DataFrame, a: float, b: float) -> Da
     return sums.select("id", F.ln(F.lit(1e-8) + F.col("num") / F.greatest("phi_sum", F.lit(EPSILON))).alias("re"), "phi_sum")
 
 
+def density_weights(radii: DataFrame, stats: DataFrame) -> DataFrame:
+    """(id, re, phi_sum, weight): how the correlation of log radii changes with a node's own, from (id, re, phi_sum, r) and one row of mean, std and cov."""
+    weight = F.col("r") - F.col("cov") * (F.col("re") - F.col("mean")) / (F.col("std") * F.col("std"))
+    return radii.crossJoin(F.broadcast(stats)).select("id", "re", "phi_sum", weight.alias("weight"))
+
+
+def umap_density_gradient(now: DataFrame, positions: DataFrame, weights: DataFrame, scale: DataFrame, a: float, b: float) -> DataFrame:
+    """(id, gx, gy) of densMAP's density term along due edges (i, j, w), at both ends.
+
+    ``weights`` as ``density_weights`` gives them; ``scale``: one row, the share of
+    the term over the radii's deviation (``density_scale``).
+    """
+    held = weights.select("id", "weight", F.greatest("phi_sum", F.lit(EPSILON)).alias("phi"), F.exp(-F.col("re")).alias("inv"))
+    ends = with_ends(now.select("i", "j", "w"), positions).join(held.toDF("i", "wi", "pi", "vi"), "i").join(held.toDF("j", "wj", "pj", "vj"), "j")
+    power = F.pow("d2", F.lit(b))
+    phi = 1.0 / (1.0 + a * power)
+    ends = ends.where("d2 >= 1e-8").withColumn("phi", phi).withColumn("slope", a * b * power / F.col("d2") * F.col("phi")).withColumn("common", 1.0 - b * (1.0 - F.col("phi")))
+    share = [F.col(f"w{k}") * (F.col("phi") / F.col(f"p{k}") * (F.col("common") * F.col(f"v{k}") + F.col("slope"))) for k in "ij"]
+    two = ends.crossJoin(F.broadcast(scale)).withColumn("two", 2.0 * F.col("scale") * (share[0] + share[1]) / F.greatest("w", F.lit(EPSILON)))
+    moved = two.select("i", "j", *[(2.0 * _clip(F.col("two") * F.col(f"d{c}"))).alias(f"g{c}") for c in "xy"])
+    both = mirrored(moved, F.col("gx").alias("gx"), F.col("gy").alias("gy"), back=((-F.col("gx")).alias("gx"), (-F.col("gy")).alias("gy")))
+    return both.groupBy(F.col("i").alias("id")).agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
+
+
+def density_scale(original: DataFrame, stats: DataFrame, density: float) -> DataFrame:
+    """One row: density * (half the sum of mu) / (std (n - 1)), from (mu_sum) of all nodes and the row of stats."""
+    mu = original.agg((F.sum("mu_sum") / 2).alias("mu"), F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("n"))
+    return mu.crossJoin(F.broadcast(stats)).select((F.lit(float(density)) * F.col("mu") / (F.col("std") * F.col("n"))).alias("scale"))
+
+
 def pacmap_pairs(knn: DataFrame, n: int, near: int = 10, mid: int = 5, further: int = 20, start: int = 4, end: int = 50, seed: int = 42) -> DataFrame:
     """(kind, i, j). Near: the first neighbours. Mid-near: the first of the window from ``start``. Further: hashed draws of nodes.
 

@@ -8,22 +8,25 @@ layouts but for the order of sums, where the draws are the same.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import WrongDimensions
+from ..errors import UnknownOption, WrongDimensions
 from ..functions.curves import fit_ab
-from ..materialize import materialize
-from ..operators import affinity, epochs
+from ..materialize import discard, materialize
+from ..operators import affinity, density, edges as E, epochs
 from ..sources.matrix import shape
-from ..sources.synthetic import uniform
+from ..sources.synthetic import normal, uniform
 from .params import PacmapParams, UmapParams
 from .pipelines import neighbours
 
+#: Rounds of the subspace iteration of a spectral start.
+SPECTRAL_ROUNDS = 40
+
 
 def first_two_axes(matrix: DataFrame, span: float) -> DataFrame:
     """(id, x, y): scores on the first two principal axes, scaled to a deviation of ``span``. Only the covariance reaches the driver."""
-    import numpy as np
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
@@ -97,34 +100,103 @@ def _result(state: DataFrame, places: DataFrame) -> DataFrame:
     return state.withColumnRenamed("id", "place").join(places, "place").select("id", F.array("x", "y").alias("x"))
 
 
+def spectral_start(graph: DataFrame, nodes: DataFrame, span: float = 10.0, seed: int = 42, rounds: int = SPECTRAL_ROUNDS) -> DataFrame:
+    """(id, x, y): leading eigenvectors of the normalised graph but the first, by subspace iteration.
+
+    Each round is one join of the edges with a table of four columns and one sum
+    by node; only its four by four inner products reach the driver. Of the lazy
+    operator (1 + m) / 2, so that eigenvalues are positive. Components need no
+    layout of their own here: their indicators are eigenvectors of 1.
+    """
+    wide = 4
+    scaled = materialize(E.scale_by_degrees(graph, 0.5), "spectral-graph")
+    now = materialize(nodes.select("id", *[normal(seed, F.col("id"), k).alias(f"v{k}") for k in range(wide)]), "spectral")
+    names = [f"v{k}" for k in range(wide)]
+    for turn in range(rounds):
+        moved = scaled.join(now.withColumnRenamed("id", "j"), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"m{c}") for c in names])
+        step = now.join(moved.withColumnRenamed("i", "id"), "id", "left").select("id", *[((F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))) / 2).alias(c) for c in names])
+        before, now = now, materialize(step, "spectral")
+        discard(before)
+        if turn % 4 == 3 or turn == rounds - 1:
+            gram = np.array(now.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names]).first()).reshape(wide, wide).astype(float)
+            values, vectors = np.linalg.eigh(gram)
+            mix = vectors[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300))
+            before, now = now, materialize(now.select("id", *[sum(F.col(names[r]) * float(mix[r, k]) for r in range(wide)).alias(names[k]) for k in range(wide)]), "spectral")
+            discard(before)
+    # Rayleigh quotients order the columns; the largest is the trivial one.
+    moved = scaled.join(now.withColumnRenamed("id", "j"), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"m{c}") for c in names])
+    both = now.join(moved.withColumnRenamed("i", "id"), "id", "left")
+    inner = np.array(both.agg(*[F.sum(F.col(a) * F.coalesce(f"m{b}", F.lit(0.0))).alias(f"{a}{b}") for a in names for b in names]).first()).reshape(wide, wide).astype(float)
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    axes = vectors[:, ::-1][:, 1:3]
+    out = now.select("id", *[sum(F.col(names[r]) * float(axes[r, k]) for r in range(wide)).alias("xy"[k]) for k in range(2)])
+    s = out.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.max(F.abs("x")).alias("tx"), F.max(F.abs("y")).alias("ty")).first()
+    top = max(abs(s["tx"]) + abs(s["mx"]), abs(s["ty"]) + abs(s["my"])) or 1.0
+    return out.select("id", *[((F.col(c) - s[f"m{c}"]) * (span / top) + 1e-4 * normal(seed, F.col("id"), c)).alias(c) for c in "xy"])
+
+
+def _start(matrix: DataFrame, graph: DataFrame | None, places: DataFrame, kind: str, span: float | None, seed: int) -> DataFrame:
+    """(id, x, y) by place."""
+    if kind == "spectral":
+        return spectral_start(graph, places.select(F.col("place").alias("id")), 10.0 if span is None else span, seed)
+    if kind == "random":
+        half = 10.0 if span is None else span
+        found = matrix.select("id", *[((uniform(seed, F.col("id"), c) * 2 - 1) * half).alias(c) for c in "xy"])
+    elif kind == "pca":
+        found = first_two_axes(matrix, 1.0 if span is None else span)
+    else:
+        raise UnknownOption(f"no start {kind!r}; there are spectral, pca and random")
+    return found.join(places, "id").select(F.col("place").alias("id"), "x", "y")
+
+
 def umap(matrix: DataFrame, p: UmapParams = UmapParams(), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """UMAP by hashed negatives of a fixed number at the smaller end, from a principal-axes or random start."""
+    """UMAP, or densMAP where ``density`` is above 0, by hashed negatives of a fixed number at the smaller end; the optimiser is ``adam_parallel``."""
+    if p.optimiser != "adam_parallel" or p.n_dim != 2:
+        raise UnknownOption("a distributed UMAP has two dimensions and the optimiser adam_parallel")
     n, _ = shape(matrix)
     near = neighbours(matrix, p.k, given, p.knn)
     places = materialize(_places(matrix), "places")
-    graph = affinity.umap_graph(near, p.k, p.local_connectivity, p.mix, p.n_epochs)
-    schedule = materialize(epochs.umap_schedule(_placed(graph, places, "w")), "schedule")
-    start = first_two_axes(matrix, 1.0 if p.init_range is None else p.init_range) if p.init != "random" else matrix.select("id", ((uniform(seed, F.col("id"), "x") * 2 - 1) * (p.init_range or 10.0)).alias("x"), ((uniform(seed, F.col("id"), "y") * 2 - 1) * (p.init_range or 10.0)).alias("y"))
-    state = materialize(_state(start.join(places, "id").select(F.col("place").alias("id"), "x", "y")), "layout")
+    union = materialize(affinity.umap_graph(near, p.k, p.local_connectivity, p.mix, None), "umap-union")
+    graph = materialize(_placed(E.prune(union, p.n_epochs), places, "w"), "umap-graph")
+    schedule = materialize(epochs.umap_schedule(graph), "schedule")
+    state = materialize(_state(_start(matrix, graph, places, p.init, p.init_range, seed)), "layout")
+    original = None
+    if p.density > 0:
+        nodes = places.select(F.col("place").alias("i"))
+        original = materialize(density.original_radii(nodes, graph, _placed(near, places, "rank", "d")), "radii")
     a, b = fit_ab(p.min_dist, p.spread)
     for epoch in range(p.n_epochs):
-        g = epochs.umap_gradient(schedule, state.select("id", "x", "y"), n, epoch, a, b, p.gamma, p.negatives, seed)
+        at = state.select("id", "x", "y")
+        g = epochs.umap_gradient(schedule, at, n, epoch, a, b, p.gamma, p.negatives, seed)
+        if original is not None and (epoch + 1) / p.n_epochs > 1 - p.density_share:
+            g = _with_density(g, graph, epochs.due(schedule, epoch), at, original, p, a, b)
         root = (1 - 0.9 ** (epoch + 1)) ** 0.5
         rate = p.lr * (1 - epoch / p.n_epochs) * root / (1 - 0.5 ** (epoch + 1))
-        state = materialize(_adam(state, g, rate, root * 1e-7, 0.5, 0.9, F.col("n_active") > 0), "layout")
+        before, state = state, materialize(_adam(state, g, rate, root * 1e-7, 0.5, 0.9, F.col("n_active") > 0), "layout")
+        discard(before)
     return _result(state, places)
 
 
+def _with_density(g: DataFrame, graph: DataFrame, now: DataFrame, positions: DataFrame, original: DataFrame, p: UmapParams, a: float, b: float) -> DataFrame:
+    """The gradient with densMAP's term; radii in the embedding are those of these positions."""
+    radii = materialize(epochs.umap_radii(graph, positions, a, b).join(original.select(F.col("i").alias("id"), "r"), "id"), "embedding-radii")
+    stats = density.correlation_stats(radii, shift=p.density_shift)
+    more = epochs.umap_density_gradient(now, positions, epochs.density_weights(radii, stats), epochs.density_scale(original, stats, p.density), a, b)
+    both = g.join(more.toDF("id", "dx", "dy"), "id", "left")
+    return both.select("id", *[(F.col(f"g{c}") + F.coalesce(f"d{c}", F.lit(0.0))).alias(f"g{c}") for c in "xy"], "n_active")
+
+
 def pacmap(matrix: DataFrame, p: PacmapParams = PacmapParams(), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """PaCMAP: the batch is all pairs, so this is the same method at any size."""
     n, _ = shape(matrix)
     near = neighbours(matrix, min(p.window[1], n - 1), given, p.knn)
     places = materialize(_places(matrix), "places")
     pairs = materialize(epochs.pacmap_pairs(_placed(near, places, "rank", "d"), n, p.near, p.mid, p.further, *p.window, seed), "pairs")
-    start = first_two_axes(matrix, 1.0 if p.init_range is None else p.init_range)
-    state = materialize(_state(start.join(places, "id").select(F.col("place").alias("id"), "x", "y")), "layout")
+    near_graph = materialize(E.mean_of_both(pairs.where("kind = 'near'").select("i", "j", F.lit(1.0).alias("w"))), "pairs-graph") if p.init == "spectral" else None
+    state = materialize(_state(_start(matrix, near_graph, places, p.init, p.init_range, seed)), "layout")
     for epoch in range(p.n_epochs):
         g = epochs.pacmap_gradient(pairs, state.select("id", "x", "y"), epoch, *p.phases)
         root = (1 - 0.999 ** (epoch + 1)) ** 0.5
-        state = materialize(_adam(state, g, p.lr * root / (1 - 0.9 ** (epoch + 1)), root * 1e-7, 0.9, 0.999, F.lit(True)), "layout")
+        before, state = state, materialize(_adam(state, g, p.lr * root / (1 - 0.9 ** (epoch + 1)), root * 1e-7, 0.9, 0.999, F.lit(True)), "layout")
+        discard(before)
     return _result(state, places)

@@ -185,6 +185,14 @@ def knn_exact_cosine(spark, d):
     return rounded(knn(embeddings(spark, d), K, metric="cosine"), 9)
 
 
+# Searches that are exact by the triangle inequality, with more cells than a small table would get.
+
+for _search, _metric, _d in (("kmknn", "euclidean", D2), ("balltree", "euclidean", D2), ("kmknn", "cosine", COS), ("balltree", "cosine", COS)):
+    query(sql(f"SELECT i, rank, j, {_r('d', 9)} AS d FROM knn", PTS, knn_part(K, _d)), f"knn_{_search}_{_metric}")(
+        lambda spark, d, search=_search, metric=_metric: rounded(knn(embeddings(spark, d), K, search, metric, n_list=20), 9)
+    )
+
+
 @query(sql("SELECT " + _r("avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END)") + " AS intra_label, count(*) AS n_pairs FROM knn JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j", PTS, knn_part(K)))
 def knn_intra_label_ratio(spark, d):
     labels = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label")
@@ -246,6 +254,16 @@ def umap_hash_negatives(spark, d):
     return now.withColumn("j", draw_column(SEED, F.col("i"), F.lit(EPOCH), F.col("e"), F.col("m"), n)).where("i <> j")
 
 
+BOTH_ENDS = ("both_drawn", f"SELECT * FROM (SELECT i, e, m, {draw_sql(SEED, 'i', str(EPOCH), 'e', 'm', '(SELECT count(*) FROM pts)')} AS j FROM (SELECT i, e, unnest(range(0, 5)) AS m FROM (SELECT i, e FROM due UNION ALL SELECT j, e + {epochs.OTHER_END} FROM due))) WHERE i <> j")
+
+
+@query(sql("SELECT i, e, m::INTEGER AS m, j FROM both_drawn", *UMAP, PERIODS, DUE, BOTH_ENDS, recursive=True))
+def umap_hash_negatives_both_ends(spark, d):
+    n, _ = shape(embeddings(spark, d))
+    slots = epochs.negative_slots(epochs.due(_schedule(spark, d), EPOCH), 5, both_ends=True)
+    return slots.withColumn("j", draw_column(SEED, F.col("i"), F.lit(EPOCH), F.col("e"), F.col("m"), n)).where("i <> j")
+
+
 UMAP_GRAD = (
     ("twoway", "SELECT i, j FROM due UNION ALL SELECT j, i FROM due"), ends("twoway", "near"), ends("drawn", "far"),
     ("parts", f"""SELECT i AS id, -pull * dx AS gx, -pull * dy AS gy, 1 AS act FROM (SELECT *, CASE WHEN d2 >= 1e-8 THEN 2.0 * (2.0 * {A} * {B}) * pow(d2, {B}) / (d2 * (1.0 + {A} * pow(d2, {B}))) ELSE 0.0 END AS pull FROM near)
@@ -259,6 +277,18 @@ def umap_epoch_gradient(spark, d):
     return rounded(epochs.umap_gradient(_schedule(spark, d), _positions(spark, d), n, EPOCH, A, B), 5)
 
 
+@query(sql(f"SELECT id, {_r('sum(gx)', 5)} AS gx, {_r('sum(gy)', 5)} AS gy, sum(act)::BIGINT AS n_active FROM parts GROUP BY id", *UMAP, PERIODS, DUE, ("drawn", BOTH_ENDS[1]), POS, *UMAP_GRAD, recursive=True))
+def umap_epoch_gradient_both_ends(spark, d):
+    n, _ = shape(embeddings(spark, d))
+    return rounded(epochs.umap_gradient(_schedule(spark, d), _positions(spark, d), n, EPOCH, A, B, both_ends=True), 5)
+
+
+@query(sql(f"SELECT {_r('sqrt(sum(gx * gx + gy * gy))', 4)} AS norm FROM (SELECT id, sum(gx) AS gx, sum(gy) AS gy FROM parts GROUP BY id)", *UMAP, PERIODS, DUE, DRAWN, POS, *UMAP_GRAD, recursive=True))
+def umap_gradient_norm(spark, d):
+    n, _ = shape(embeddings(spark, d))
+    return rounded(epochs.gradient_norm(epochs.umap_gradient(_schedule(spark, d), _positions(spark, d), n, EPOCH, A, B)), 4)
+
+
 @query(sql(f"SELECT i, count(*) AS n_edges, {_r('sum(w)')} AS degree FROM graph GROUP BY i", *UMAP, recursive=True))
 def edge_degree(spark, d):
     return rounded(E.degree(_umap(spark, d)))
@@ -405,6 +435,21 @@ def landmark_assign_random(spark, d):
     return diffusion.assign_to_landmarks(m, diffusion.random_landmarks(m, N_LANDMARKS, SEED))
 
 
+SPARSE_MARKS = ("smarks", f"SELECT id, -ln((('0x' || substr(md5('{SEED}:' || id), 1, 13))::BIGINT::DOUBLE + 1) / {float((1 << 52) + 1)}) * coalesce(g.degree, 0.0) AS key FROM pts LEFT JOIN (SELECT i, sum(w) AS degree FROM kernel GROUP BY i) g ON g.i = pts.id ORDER BY key, id LIMIT {N_LANDMARKS}")
+
+
+@query(sql("SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS landmark, id FROM smarks", *PHATE[:4], SPARSE_MARKS))
+def density_landmarks(spark, d):
+    return diffusion.density_landmarks(embeddings(spark, d), _kernel(spark, d), N_LANDMARKS, SEED).select("landmark", "id")
+
+
+@query(sql(edges_out("kept"), *PHATE[:3], ("twice", "SELECT i, j, w, 0 AS nr FROM decay UNION ALL SELECT i, j, w / 2, 1 FROM decay WHERE (i + j) % 2 = 0"), ("kept", "SELECT i, j, arg_max(w, nr) AS w FROM twice GROUP BY i, j")))
+def edges_last_wins(spark, d):
+    decay = materialize(affinity.alpha_decay(_knn(spark, d), PHATE_K, symmetry="none"), "decay")
+    twice = decay.withColumn("at", F.lit(0)).union(decay.where("(i + j) % 2 = 0").select("i", "j", F.col("w") / 2, F.lit(1)))
+    return rounded(E.last_wins(twice, "at"))
+
+
 LANDMARK_OP = (
     ("ln0", "SELECT a.landmark AS i, m.j, sum(m.w) AS w FROM markov m JOIN assigned a ON m.i = a.i GROUP BY ALL"), ("ln1", "SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM ln0"),
     ("nl0", "SELECT m.i, a.landmark AS j, sum(m.w) AS w FROM markov m JOIN assigned a ON m.j = a.i GROUP BY ALL"), ("nl1", "SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM nl0"), product("ln1", "nl1", "lop"),
@@ -471,6 +516,41 @@ def density_correlation_stats(spark, d):
     return rounded(density.correlation_stats(epochs.umap_radii(graph, _positions(spark, d), A, B).join(original.withColumnRenamed("i", "id"), "id")))
 
 
+DENS = (
+    ("rad", "SELECT re.id, re, phi_sum, r, mu_sum, avg(re) OVER () AS mean FROM re JOIN radii ON re.id = radii.i"),
+    ("stat", "SELECT any_value(mean) AS mean, sqrt(sum((re - mean) * (re - mean)) / (count(*) - 1) + 0.1) AS std, sum((re - mean) * r) / (count(*) - 1) AS cov FROM rad"),
+    ("scl", "SELECT 2.0 * sum(mu_sum) / 2 / ((SELECT std FROM stat) * (count(*) - 1)) AS scale FROM radii"),
+    ("wgt", f"SELECT id, r - cov * (re - mean) / (std * std) AS weight, greatest(phi_sum, {E.EPSILON}) AS phi, exp(-re) AS inv, re, phi_sum FROM (SELECT b.id, b.re, b.phi_sum, b.r, s.mean, s.std, s.cov FROM rad b, stat s)"),
+)
+DENS_GRAD = (
+    ends("due", "dends"),
+    ("dphi", f"SELECT *, {A} * {B} * pow(d2, {B}) / d2 * phi AS slope, 1.0 - {B} * (1.0 - phi) AS common FROM (SELECT *, 1.0 / (1.0 + {A} * pow(d2, {B})) AS phi FROM dends WHERE d2 >= 1e-8)"),
+    ("dtwo", f"SELECT e.i, e.j, e.dx, e.dy, 2.0 * (SELECT scale FROM scl) * (p.weight * (e.phi / p.phi * (e.common * p.inv + e.slope)) + q.weight * (e.phi / q.phi * (e.common * q.inv + e.slope))) / greatest(e.w, {E.EPSILON}) AS two FROM dphi e JOIN wgt p ON e.i = p.id JOIN wgt q ON e.j = q.id"),
+    ("dmove", "SELECT i, j, 2.0 * least(greatest(two * dx, -4.0), 4.0) AS gx, 2.0 * least(greatest(two * dy, -4.0), 4.0) AS gy FROM dtwo"),
+)
+
+
+def _densities(spark, d):
+    m, near = embeddings(spark, d), _knn(spark, d)
+    graph = _umap(spark, d, near)
+    original = materialize(density.original_radii(m.select(F.col("id").alias("i")), graph, near), "radii")
+    radii = materialize(epochs.umap_radii(graph, _positions(spark, d), A, B).join(original.select(F.col("i").alias("id"), "r"), "id"), "embedding-radii")
+    return graph, original, radii, density.correlation_stats(radii)
+
+
+@query(sql(f"SELECT id, {_r('re')} AS re, {_r('phi_sum')} AS phi_sum, {_r('weight')} AS weight FROM wgt", *UMAP, *RADII, *EMB_RADII, *DENS, recursive=True))
+def densmap_weights(spark, d):
+    _, _, radii, stats = _densities(spark, d)
+    return rounded(epochs.density_weights(radii, stats))
+
+
+@query(sql(f"SELECT id, {_r('sum(gx)', 5)} AS gx, {_r('sum(gy)', 5)} AS gy FROM (SELECT i AS id, gx, gy FROM dmove UNION ALL SELECT j, -gx, -gy FROM dmove) GROUP BY id", *UMAP, *RADII, *EMB_RADII, *DENS, PERIODS, DUE, *DENS_GRAD, recursive=True))
+def densmap_epoch_gradient(spark, d):
+    graph, original, radii, stats = _densities(spark, d)
+    now = epochs.due(materialize(epochs.umap_schedule(graph), "schedule"), EPOCH)
+    return rounded(epochs.umap_density_gradient(now, _positions(spark, d), epochs.density_weights(radii, stats), epochs.density_scale(original, stats, 2.0), A, B), 5)
+
+
 # PaCMAP
 
 PAIRS = (
@@ -530,13 +610,16 @@ _method("tsne_fft", lambda s, d: pipelines.tsne(embeddings(s, d), TsneParams(met
 _method("densne", lambda s, d: pipelines.tsne(embeddings(s, d), densne_params(n_epochs=300)))
 _method("phate", lambda s, d: pipelines.phate(embeddings(s, d)))
 _method("phate_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, landmarks="random", mds="classic")))
+_method("phate_spectral_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, mds="classic")))
+_method("phate_density_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, landmarks="density", mds="classic")))
 _method("pacmap", lambda s, d: pipelines.pacmap(embeddings(s, d)))
 _method("pacmap_distributed", lambda s, d: distributed.pacmap(embeddings(s, d), replace(PacmapParams(), n_epochs=4)))
 _method("diffusion_maps", lambda s, d: pipelines.diffusion_maps(embeddings(s, d)))
 _method("diffusion_maps_landmarks", lambda s, d: pipelines.diffusion_maps(embeddings(s, d), DiffusionParams(n_landmarks=50, landmarks="random")))
 _method("parametric_umap", lambda s, d: pipelines.parametric_umap(embeddings(s, d), ParametricParams(hidden=(32, 32), n_epochs=5)))
+_method("knn_hnsw", lambda s, d: knn(embeddings(s, d), K, "hnsw"))
 _method("knn_ivf", lambda s, d: knn(embeddings(s, d), K, "ivf"))
-_method("knn_annoy", lambda s, d: knn(embeddings(s, d), K, "annoy", n_trees=10))
+_method("knn_annoy", lambda s, d: knn(embeddings(s, d), K, "annoy"))
 _method("knn_nndescent", lambda s, d: knn(embeddings(s, d), K, "nndescent"))
 _method("swiss_roll", lambda s, d: synthetic.swiss_roll(s, 1000))
 _method("swiss_roll_biased", lambda s, d: synthetic.swiss_roll(s, 1000, bias=2.0))
