@@ -21,8 +21,8 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality rules keep; both multinomials come from docs."""
-    ratios = quality.log_ratios(docs, quality.trusted(table(spark, sf_dir, "labels")))
-    judged = quality.with_quality(docs, ratios, "text", list(docs.columns), prefix="__q_")
+    ids = quality.trusted(table(spark, sf_dir, "labels"))
+    judged = quality.with_quality(docs, quality.log_ratios(docs, ids), ids, "text", list(docs.columns), prefix="__q_")
     return judged.where("__q_kept").select(*docs.columns)
 
 

@@ -8,9 +8,10 @@ mean over its n-grams of log(p_trusted / p_raw), so it doesn't depend on length;
 documents below THRESHOLD are rejected, as are those that fail the base rules.
 
 An n-gram is judged by all others: its own occurrence is taken off the raw
-count. Else a rare word of a document that isn't trusted would speak against
-itself, and clean documents of a small corpus with it. Both multinomials are
-smoothed in proportion, so an n-gram that nothing else has says nothing.
+count, and off the trusted one if its document is trusted. So a rare word neither
+speaks against its own document nor, in a trusted one, for it, and trusted
+documents are judged as if they weren't. Both multinomials are smoothed in
+proportion, so an n-gram that nothing else has says nothing.
 
 Counts are summed by bucket: what each partition sends is 2 ** BITS sums at most,
 and the weights broadcast are 2 ** BITS numbers, whatever the corpus.
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from .common import WordHashes, batches_of, spread, with_text, words_of
 
 BITS = 18
-SMOOTHING = 3.0
+SMOOTHING = 10.0
 THRESHOLD = -0.22
 LEAST_WORDS = 20
 WINDOW = 8
@@ -110,14 +111,8 @@ def base_stats(texts: list[str], words: list[list[str]], h: np.ndarray, owner: n
 
 
 def log_ratios(documents: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log(p_trusted / p_raw) of an n-gram of every bucket, itself left out, from all documents. All 0 if nothing is trusted.
-
-    ``trusted_ids`` has one column; repeats and nulls don't matter.
-    """
-    ids = trusted_ids.toDF("__trusted").where("__trusted is not null").distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    marked = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    marked = spread(marked).join(F.broadcast(ids) if few else ids, F.col("__id") == F.col("__trusted"), "left").select(F.col("__trusted").isNotNull().alias("t"), "__text")
+    """log(p_trusted / p_raw) of an n-gram of every bucket, itself left out, from all documents: row 0 for documents that aren't trusted, row 1 for those that are. All 0 if nothing is trusted."""
+    marked = with_trust(spread(documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))), trusted_ids, "__id").select("__trust", "__text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -135,35 +130,46 @@ def log_ratios(documents: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_
     raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
     raw[sums["b"]], good[sums["b"]] = sums["raw"], sums["good"]
     if not good.sum():
-        return np.zeros(1 << bits)
+        return np.zeros((2, 1 << bits))
     share = smoothing * good.sum() / raw.sum()
     others = np.maximum(raw - 1, 0)
-    return np.log((good + share) / (good.sum() + share * len(good))) - np.log((others + smoothing) / (max(raw.sum() - 1, 0) + smoothing * len(raw)))
+    base = np.log((others + smoothing) / (max(raw.sum() - 1, 0) + smoothing * len(raw)))
+    return np.stack([np.log((np.maximum(good - own, 0) + share) / (max(good.sum() - own, 0) + share * len(good))) - base for own in (0, 1)])
+
+
+def with_trust(df: DataFrame, trusted_ids: DataFrame, doc_id: str) -> DataFrame:
+    """Adds ``__trust``, whether the id is one of ``trusted_ids`` (one column; repeats and nulls don't matter)."""
+    ids = trusted_ids.toDF("__trusted").where("__trusted is not null").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, F.col(doc_id) == F.col("__trusted"), "left").withColumn("__trust", F.col("__trusted").isNotNull()).drop("__trusted")
 
 
-def with_quality(df: DataFrame, ratios: np.ndarray, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+def with_quality(df: DataFrame, ratios: np.ndarray, trusted_ids: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, prefix: str = "", doc_id: str = "doc_id") -> DataFrame:
     """Columns ``keep`` (default: all) and STATS, llr, base_failed and kept, their names after ``prefix``.
 
-    Columns of these names in df are replaced.
+    Columns of these names in df are replaced. ``ratios`` as ``log_ratios`` gives them.
     """
     new = [prefix + c for c in (*STATS, "llr", "base_failed", "kept")]
     keep = [c for c in df.columns if c not in new] if keep is None else keep
     kinds = [*(T.LongType() for _ in STATS), T.DoubleType(), T.BooleanType(), T.BooleanType()]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, k) for c, k in zip(new, kinds))])
-    sent_rows, at_text = with_text(df, keep, text)
-    sent, bits = df.sparkSession.sparkContext.broadcast(ratios), len(ratios).bit_length() - 1
+    marked, at_text = with_text(df.withColumn("__id", F.col(doc_id)), [*keep, "__id"], text)
+    sent_rows = with_trust(marked, trusted_ids, "__id").drop("__id")
+    at_text -= at_text > len(keep)  # the id before it is gone
+    sent, bits = df.sparkSession.sparkContext.broadcast(ratios), ratios.shape[1].bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
             texts = [t or "" for t in b.column(at_text).to_pylist()]
+            trust = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int8)
             parts: list[list[np.ndarray]] = []
             for s, e in batches_of(texts):
                 words = [words_of(t) for t in texts[s:e]]
                 h, owner = _hashed(words, known)
                 stats = base_stats(texts[s:e], words, h, owner)
                 of, at = ngrams(h, owner, bits)
-                total = np.bincount(of, weights=sent.value[at], minlength=e - s)
+                total = np.bincount(of, weights=sent.value[trust[s:e][of], at], minlength=e - s)
                 llr = total / np.maximum(np.bincount(of, minlength=e - s), 1)
                 failed = (stats["n_words"] < LEAST_WORDS) | (100 * stats["n_repeat_words"] > MOST_REPEATED * stats["n_words"])
                 parts.append([*(stats[c] for c in STATS), llr, failed, ~failed & (llr >= threshold)])
@@ -182,7 +188,9 @@ def judge_quality(documents: DataFrame, labels: DataFrame, threshold: float = TH
     """doc_id, STATS, llr, base_failed and kept of every document.
 
     Null and empty texts have no words and fail the base rules. Rows are
-    independent and stay. Without trusted documents the base rules alone decide.
+    independent and stay, null and repeated ids too; a null id is never trusted.
+    Without trusted documents the base rules alone decide. An empty table gives
+    none. Other columns, of any name, aren't read.
     """
-    ratios = log_ratios(documents, trusted(labels))
-    return with_quality(documents.select("doc_id", "text"), ratios, "text", ["doc_id"], threshold)
+    ids = trusted(labels)
+    return with_quality(documents.select("doc_id", "text"), log_ratios(documents, ids), ids, "text", ["doc_id"], threshold)

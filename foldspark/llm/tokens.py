@@ -6,9 +6,10 @@ holds more than BATCH_BYTES plus one indivisible run.
 
 The vocabulary is byte-level BPE. Its pre-tokenizer matches, from the left,
 contractions, ``" ?letters"``, ``" ?digits"``, ``" ?others"`` and white space; no
-match crosses from a character that isn't white space to one that is. Hence a
-cut before a blank that follows a character other than white space is safe:
-both sides tokenize as they do in the whole text.
+match crosses from a character that isn't white space to one that is, nor from a
+full stop or the like to a letter. Hence a cut before a blank or line end that
+follows a character other than white space is safe, and so is one between such a
+mark and a letter: both sides tokenize as they do in the whole text.
 
 Two libraries encode the same vocabulary. ``tokenizers`` is the one whose
 results count; ``tiktoken`` is several times faster and gives the same ids
@@ -40,7 +41,7 @@ END_ID = 50256
 BATCH_BYTES = 1 << 20
 #: Latin letters, IPA and general punctuation.
 SETTLED = re.compile("[\x00-ʯ‐-‧‰-⁞€]*")
-_CUT = re.compile(r"(?<=\S) ")
+_CUT = re.compile(r"(?<=\S)(?=[ \n\r\t])|(?<=[.,;:!?。，、；：！？])(?=[^\W\d_])")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -76,7 +77,7 @@ class Encoder:
         if not text:
             return np.empty(0, "<u4")
         if self.fast is not None and SETTLED.fullmatch(text):
-            return np.frombuffer(self.fast._core_bpe.encode_to_tiktoken_buffer(text, self._special), "<u4")
+            return self.fast.encode_to_numpy(text, allowed_special=self._special, disallowed_special=())
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -85,7 +86,7 @@ class Encoder:
         rest = []
         for k, text in enumerate(texts):
             if self.fast is not None and SETTLED.fullmatch(text):
-                out[k] = memoryview(self.fast._core_bpe.encode_to_tiktoken_buffer(text, self._special)).nbytes // 4
+                out[k] = len(self.fast.encode_to_numpy(text, allowed_special=self._special, disallowed_special=()))
             elif text:
                 rest.append(k)
         if rest:
@@ -110,18 +111,19 @@ def pieces(text: str, most: int = BATCH_BYTES // 4) -> Iterator[str]:
 
 
 def balanced(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[str]]]:
-    """Batches of (owners, pieces) of about the same number of characters."""
+    """Batches of (owners, pieces) of about the same number of UTF-8 bytes."""
     owners: list[int] = []
     batch: list[str] = []
     held = 0
     for k, text in enumerate(texts):
         for piece in pieces(text or "", most // 4):
-            if batch and held + len(piece) > most:
+            size = len(piece) if piece.isascii() else len(piece.encode())
+            if batch and held + size > most:
                 yield owners, batch
                 owners, batch, held = [], [], 0
             owners.append(k)
             batch.append(piece)
-            held += len(piece)
+            held += size
     if batch:
         yield owners, batch
 
@@ -137,14 +139,15 @@ def encoder(path: str | None = None, ranks: str | None = None) -> Encoder:
 
 
 def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None, n_tokens: str = "n_tokens", path: str | None = None, ranks: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Columns ``keep`` of df (default: all) and the number of tokens of ``text``.
+    """Columns ``keep`` of df (default: all) and the number of tokens of ``text``, in place of any column of its name.
 
     Null and empty texts have 0 tokens. Rows are independent: repeated rows and
-    null ids stay as they are. Narrow: no shuffle but for tiny inputs.
+    null ids stay as they are. Narrow: no shuffle but for tiny inputs. An empty
+    table gives none.
     ``path`` is another vocabulary file for ``tokenizers``; ``ranks`` the same
     vocabulary as ranks, where there is one.
     """
-    keep = list(df.columns) if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c != n_tokens]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(n_tokens, T.LongType())])
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +162,6 @@ def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 
 def token_counts(documents: DataFrame, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each document."""
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each document. Other columns, of any name, aren't read."""
     held = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return count_tokens(held, "text", ["doc_id", "n_bytes"]).withColumn("over_limit", F.col("n_tokens") > limit)

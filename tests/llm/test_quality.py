@@ -73,7 +73,8 @@ def test_scores_by_brute_force(spark):
     for k, t in rows:
         grams = plain_buckets(t or "")
         a, share = quality.SMOOTHING, quality.SMOOTHING * good.sum() / raw.sum()
-        each = [math.log((good[b] + share) / (good.sum() + share * n)) - math.log((raw[b] - 1 + a) / (raw.sum() - 1 + a * n)) for b in grams]
+        own = k in trusted
+        each = [math.log((good[b] - own + share) / (good.sum() - own + share * n)) - math.log((raw[b] - 1 + a) / (raw.sum() - 1 + a * n)) for b in grams]
         want = sum(each) / len(each) if each else 0.0
         assert abs(got[k].llr - want) < 1e-9
         assert got[k].kept == (not got[k].base_failed and got[k].llr >= quality.THRESHOLD)
@@ -91,6 +92,21 @@ def test_recurring_junk_goes_and_prose_stays(spark):
     assert all(got[k] for k in range(60)) and not any(got[100 + k] for k in range(12))
 
 
+def test_trusted_documents_are_judged_as_if_they_were_not(spark):
+    """On half of the labels: trusted documents get no better marks than good ones whose labels were withheld."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = sorted({r.doc_id for r in marks.where("quality = 1").collect()})
+    used = set(good[::2])
+    half = spark.createDataFrame([(d, 1) for d in used], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge_quality(docs, half).collect()}
+    rates = [np.mean([got[d].kept for d in part if not got[d].base_failed]) for part in (used, set(good) - used)]
+    assert min(rates) > 0.94 and abs(rates[0] - rates[1]) < 0.05
+    bad = {r.doc_id for r in marks.where("quality = 0").collect()}
+    assert np.mean([got[d].kept for d in bad]) < 0.1
+
+
 def test_empty_table(spark):
     assert quality.judge_quality(frame(spark, []), labels(spark)).count() == 0
 
