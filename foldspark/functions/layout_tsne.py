@@ -118,39 +118,60 @@ def _fast_size(n: int) -> int:
         n += 1
 
 
-def fft_repulsion(y: np.ndarray, nodes: int = 3, least_boxes: int = 50, most_boxes: int = MOST_BOXES) -> tuple[np.ndarray, np.ndarray]:
-    """Linderman et al. (2019): charges go to a grid by Lagrange weights, are convolved with 1 / (1 + d^2)^2 by FFT, and come back.
-
-    Four charges, 1, x, y and x^2 + y^2, give both sums.
-    """
+@dataclass
+class Grid:
+    """Boxes over the layout, each with nodes by nodes interpolation points; bounded, however many points there are."""
+
+    low: np.ndarray
+    span: float
+    nodes: int = 3
+    least_boxes: int = 50
+    most_boxes: int = MOST_BOXES
+
+    def __post_init__(self):
+        self.boxes = int(min(max(np.ceil(self.span), self.least_boxes), self.most_boxes))
+        self.h = self.span * (1 + 1e-9) / self.boxes
+        self.size = self.boxes * self.nodes
+
+    def _at(self, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(grid point, weight) of each of a point's nodes, by Lagrange's polynomials."""
+        nodes = self.nodes
+        place = (y - self.low) / self.h
+        box = np.clip(place.astype(int), 0, self.boxes - 1)
+        t = (np.arange(nodes) + 0.5) / nodes
+        weights = np.ones((len(y), 2, nodes))
+        for k in range(nodes):
+            for m in range(nodes):
+                if m != k:
+                    weights[:, :, k] *= (place - box - t[m]) / (t[k] - t[m])
+        return [((box[:, 0] * nodes + a) * self.size + box[:, 1] * nodes + b, weights[:, 0, a] * weights[:, 1, b]) for a in range(nodes) for b in range(nodes)]
+
+    def spread(self, y: np.ndarray) -> np.ndarray:
+        """Four charges, 1, x, y and x^2 + y^2, summed over the grid; sums over parts of the points add up."""
+        at, charges = self._at(y), np.stack([np.ones(len(y)), y[:, 0], y[:, 1], (y * y).sum(1)])
+        return np.stack([sum(np.bincount(k, w * c, self.size * self.size) for k, w in at) for c in charges])
+
+    def felt(self, held: np.ndarray) -> np.ndarray:
+        """The charges convolved with 1 / (1 + d^2)^2 by FFT."""
+        size, grid = self.size, _fast_size(2 * self.size)
+        gap = np.arange(grid)
+        gap = np.where(gap < size, gap, gap - grid) * (self.h / self.nodes)
+        near = np.abs(gap) < size * self.h / self.nodes + self.h
+        spectrum = np.fft.rfft2(np.where(near[:, None] & near[None], 1 / (1 + gap[:, None] ** 2 + gap[None] ** 2) ** 2, 0.0))
+        return np.stack([np.fft.irfft2(np.fft.rfft2(c.reshape(size, size), (grid, grid)) * spectrum, (grid, grid))[:size, :size].ravel() for c in held])
+
+    def gather(self, y: np.ndarray, felt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both sums of every point, from what its nodes felt."""
+        one, x1, x2, sq = (sum(w * c[k] for k, w in self._at(y)) for c in felt)
+        total = (1 + (y * y).sum(1)) * one - 2 * (y[:, 0] * x1 + y[:, 1] * x2) + sq - 1
+        return np.stack([y[:, 0] * one - x1, y[:, 1] * one - x2], 1), total
+
+
+def fft_repulsion(y: np.ndarray, nodes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Linderman et al. (2019): charges go to a grid by Lagrange weights, are convolved by FFT, and come back."""
     low, high = y.min(0), y.max(0)
-    span = float((high - low).max()) or 1.0
-    boxes = int(min(max(np.ceil(span), least_boxes), most_boxes))
-    h = span * (1 + 1e-9) / boxes
-    place = (y - low) / h
-    box = np.clip(place.astype(int), 0, boxes - 1)
-    t = (np.arange(nodes) + 0.5) / nodes
-    weights = np.ones((len(y), 2, nodes))
-    for k in range(nodes):
-        for m in range(nodes):
-            if m != k:
-                weights[:, :, k] *= (place - box - t[m]) / (t[k] - t[m])
-    size = boxes * nodes
-    grid = _fast_size(2 * size)
-    gap = np.arange(grid)
-    gap = np.where(gap < size, gap, gap - grid) * (h / nodes)
-    kernel = np.where((np.abs(gap)[:, None] < size * h / nodes + h) & (np.abs(gap)[None] < size * h / nodes + h), 1 / (1 + gap[:, None] ** 2 + gap[None] ** 2) ** 2, 0.0)
-    spectrum = np.fft.rfft2(kernel)
-    charges = np.stack([np.ones(len(y)), y[:, 0], y[:, 1], (y * y).sum(1)])
-    at = [((box[:, 0] * nodes + a) * size + box[:, 1] * nodes + b, weights[:, 0, a] * weights[:, 1, b]) for a in range(nodes) for b in range(nodes)]
-    back = np.zeros_like(charges)
-    for c in range(4):
-        held = sum(np.bincount(k, w * charges[c], size * size) for k, w in at)
-        felt = np.fft.irfft2(np.fft.rfft2(held.reshape(size, size), (grid, grid)) * spectrum, (grid, grid))[:size, :size].ravel()
-        back[c] = sum(w * felt[k] for k, w in at)
-    one, x1, x2, sq = back
-    total = (1 + charges[3]) * one - 2 * (y[:, 0] * x1 + y[:, 1] * x2) + sq - 1
-    return np.stack([y[:, 0] * one - x1, y[:, 1] * one - x2], 1), total
+    grid = Grid(low, float((high - low).max()) or 1.0, nodes)
+    return grid.gather(y, grid.felt(grid.spread(y)))
 
 
 def repulsion_of(method: str, o: TsneOptions) -> Repulsion:

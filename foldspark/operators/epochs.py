@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_column
+from ..functions.layout_tsne import Grid
 from .edges import EPSILON, mirrored
 
 CLIP = 4.0
@@ -133,9 +134,41 @@ def tsne_repulsion_exact(positions: DataFrame, block_rows: int = 4096) -> DataFr
     return sent.mapInArrow(repel, "id long, rx double, ry double, z double")
 
 
-def tsne_gradient(graph: DataFrame, positions: DataFrame, exaggeration: float = 1.0) -> DataFrame:
-    """(id, gx, gy): attraction less repulsion over the whole sum of q."""
-    repel = tsne_repulsion_exact(positions)
+def tsne_repulsion_grid(positions: DataFrame, nodes: int = 3) -> DataFrame:
+    """(id, rx, ry, z) by interpolation on a grid: work in proportion to the points.
+
+    ``positions`` is written: it is read three times. Each partition sums its
+    charges; only the grid, of bounded size, reaches the driver, which convolves
+    it, and goes back as a broadcast.
+    """
+    b = positions.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    grid = Grid(np.array(b[:2], float), max(b[2] - b[0], b[3] - b[1]) or 1.0, nodes)
+
+    def charge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((4, grid.size * grid.size))
+        for p in batches:
+            if len(p):
+                held += grid.spread(p[["x", "y"]].to_numpy(float))
+        at = np.flatnonzero(np.abs(held).sum(0))
+        yield pd.DataFrame({"at": at, **{f"c{k}": held[k, at] for k in range(4)}})
+
+    sums = positions.select("x", "y").mapInPandas(charge, "at long, c0 double, c1 double, c2 double, c3 double").groupBy("at").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)]).toPandas()
+    held = np.zeros((4, grid.size * grid.size))
+    held[:, sums["at"]] = sums[[f"c{k}" for k in range(4)]].to_numpy().T
+    felt = positions.sparkSession.sparkContext.broadcast(grid.felt(held))
+
+    def feel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if len(p):
+                force, z = grid.gather(p[["x", "y"]].to_numpy(float), felt.value)
+                yield pd.DataFrame({"id": p["id"], "rx": force[:, 0], "ry": force[:, 1], "z": z})
+
+    return positions.select("id", "x", "y").mapInPandas(feel, "id long, rx double, ry double, z double")
+
+
+def tsne_gradient(graph: DataFrame, positions: DataFrame, exaggeration: float = 1.0, repulsion=None) -> DataFrame:
+    """(id, gx, gy): attraction less repulsion (``tsne_repulsion_exact`` unless given) over the whole sum of q."""
+    repel = (repulsion or tsne_repulsion_exact)(positions)
     total = F.broadcast(repel.agg(F.sum("z").alias("total")))
     both = repel.join(tsne_attraction(graph, positions, exaggeration), "id", "left").crossJoin(total)
     return both.select("id", (F.coalesce("ax", F.lit(0.0)) - F.col("rx") / F.col("total")).alias("gx"), (F.coalesce("ay", F.lit(0.0)) - F.col("ry") / F.col("total")).alias("gy"))

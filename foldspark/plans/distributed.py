@@ -8,18 +8,21 @@ layouts but for the order of sums, where the draws are the same.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnknownOption, WrongDimensions
 from ..functions.curves import fit_ab
+from ..functions.layout_tsne import TsneOptions
 from ..materialize import discard, materialize
 from ..operators import affinity, density, edges as E, epochs
 from ..sources.matrix import shape
 from ..sources.synthetic import normal, uniform
-from .params import PacmapParams, UmapParams
-from .pipelines import neighbours
+from .params import PacmapParams, TsneParams, UmapParams
+from .pipelines import neighbours, tsne_graph
 
 #: Rounds of the subspace iteration of a spectral start.
 SPECTRAL_ROUNDS = 40
@@ -200,3 +203,32 @@ def pacmap(matrix: DataFrame, p: PacmapParams = PacmapParams(), given: DataFrame
         before, state = state, materialize(_adam(state, g, p.lr * root / (1 - 0.9 ** (epoch + 1)), root * 1e-7, 0.9, 0.999, F.lit(True)), "layout")
         discard(before)
     return _result(state, places)
+
+
+def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """t-SNE by interpolation on a grid, or by all pairs with method ``exact``. An epoch costs a join of the edges with the positions and two passes over these."""
+    if p.n_dim != 2:
+        raise WrongDimensions("t-SNE layouts have two dimensions")
+    if p.method not in ("fft", "exact") or p.density > 0:
+        raise UnknownOption("a distributed t-SNE has the methods fft and exact, and no density term")
+    n, _ = shape(matrix)
+    graph, _ = tsne_graph(matrix, p, given)
+    places = materialize(_places(matrix), "places")
+    graph = materialize(_placed(graph, places, "w"), "tsne-placed")
+    state = _start(matrix, graph, places, p.init, p.init_range, seed)
+    state = materialize(state.select("id", "x", "y", *[F.lit(0.0).alias(c) for c in ("ux", "uy")], *[F.lit(1.0).alias(c) for c in ("wx", "wy")]), "layout")
+    o = TsneOptions(p.n_epochs, p.lr)
+    repel = epochs.tsne_repulsion_exact if p.method == "exact" else partial(epochs.tsne_repulsion_grid, nodes=p.interpolation_points)
+    for epoch in range(p.n_epochs):
+        forces = []
+
+        def once(positions: DataFrame) -> DataFrame:
+            forces.append(materialize(repel(positions), "repulsion"))
+            return forces[-1]
+
+        g = epochs.tsne_gradient(graph, state.select("id", "x", "y"), p.early_exaggeration if epoch < p.early_epochs else p.late_exaggeration, once)
+        g = materialize(g, "gradient")
+        moved = materialize(epochs.tsne_step(state, g, o.rate(n), o.momentum[0] if epoch < o.momentum[2] else o.momentum[1]), "layout")
+        discard(state, g, *forces)
+        state = moved
+    return _result(state, places)

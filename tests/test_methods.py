@@ -108,3 +108,29 @@ def test_sources(spark):
         synthetic.trajectory(spark, 10, "circle")
     with pytest.raises(WrongDimensions):
         synthetic.trajectory(spark, 10, "bifurcation", 2)
+
+
+def test_distributed_tsne_takes_the_steps_of_the_one_task_layout(blobs):
+    m = blobs.select("id", "features")
+    p = TsneParams(perplexity=10, n_epochs=6, method="fft", early_epochs=3, randomised=False)
+    a, b = ({r.id: np.array(r.x) for r in f(m, p).collect()} for f in (pipelines.tsne, distributed.tsne))
+    span = max(np.abs(v).max() for v in a.values())
+    assert set(a) == set(b) and max(min(np.abs(a[k] - b[k]).max(), np.abs(a[k] + b[k]).max()) for k in a) < 1e-5 * span
+
+
+def test_distributed_densmap_takes_the_density_term(blobs):
+    m = blobs.select("id", "features")
+    plain = {r.id: list(r.x) for r in distributed.umap(m, UmapParams(k=8, n_epochs=5, init="pca")).collect()}
+    dens = {r.id: list(r.x) for r in distributed.umap(m, densmap_params(k=8, n_epochs=5, init="pca", density_share=0.5)).collect()}
+    one = {r.id: np.array(r.x) for r in pipelines.umap(m, densmap_params(k=8, n_epochs=5, init="pca", density_share=0.5, optimiser="adam_gpu")).collect()}
+    assert plain != dens and np.isfinite(np.array(list(dens.values()))).all() and set(one) == set(dens)
+
+
+def test_spectral_start_as_tables_parts_the_clusters(blobs):
+    from foldspark.operators.affinity import umap_graph
+    from foldspark.operators.knn import knn
+
+    m = blobs.select("id", "features")
+    graph = umap_graph(knn(m, 10), 10)
+    x = distributed.spectral_start(graph, m.select("id"), rounds=40).selectExpr("id", "array(x, y) AS x")
+    assert separation(x, blobs) > 3
