@@ -61,3 +61,20 @@ def draw_sql(seed: int, node: str, epoch: str, edge: str, draw: str, n: str) ->
     for p in parts:
         h = f"xor({h}, {p})"
     return f"(SELECT xor(h3, h3 >> 16) % ({n}) FROM (SELECT {times('h2', SECOND)} AS h3 FROM (SELECT xor(h1, h1 >> 15) AS h2 FROM (SELECT {times('h0', FIRST)} AS h1 FROM (SELECT xor(h, h >> 16) AS h0 FROM (SELECT {h} AS h))))))"
+
+
+def _mix64(h: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, over whole arrays."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def normals(seed: int, ids, dims: int) -> np.ndarray:
+    """dims standard normal draws for each id, by the Box-Muller transform of two hashes: the same whatever rows come together."""
+    with np.errstate(over="ignore"):
+        row = _mix64(np.asarray(ids).astype(np.uint64) + np.uint64(seed & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15))
+        h = _mix64(row[:, None] + np.arange(1, dims + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15))
+        g = _mix64(h + np.uint64(0xD1B54A32D192ED03))
+    u, v = ((h >> np.uint64(11)).astype(float) + 1) / 2**53, (g >> np.uint64(11)).astype(float) / 2**53
+    return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnknownOption, WrongDimensions
+from ..functions.hashing import normals
 
 
 def uniform(seed: int, *tags: Column | int | str) -> Column:
@@ -42,8 +43,7 @@ def _blobs(spark: SparkSession, n: int, centres: np.ndarray, spread: np.ndarray,
         c, s = sent.value
         for b in batches:
             k = b["label"].to_numpy()
-            z = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(dims) for i in b["id"]]) if len(b) else np.empty((0, dims))
-            yield pd.DataFrame({"id": b["id"], "features": list(c[k] + z * s[k][:, None]), "label": b["label"]})
+            yield pd.DataFrame({"id": b["id"], "features": list(c[k] + normals(seed, b["id"], dims) * s[k][:, None]), "label": b["label"]})
 
     return spark.range(n).withColumn("label", label.cast("int")).mapInPandas(draw, "id long, features array<double>, label int")
 
@@ -79,10 +79,11 @@ class Branch:
     length: float
 
 
+# Parent, place of the split and length of every branch.
 TOPOLOGIES: dict[str, tuple[Branch, ...]] = {
-    "bifurcation": (Branch(None, 0.0, 1.0), Branch(0, 1.0, 0.8), Branch(0, 1.0, 0.8), Branch(1, 1.0, 0.6), Branch(1, 1.0, 0.6), Branch(2, 1.0, 0.7)),
-    "linear": (Branch(None, 0.0, 1.0), Branch(0, 1.0, 1.0), Branch(1, 1.0, 1.0)),
-    "combination": (Branch(None, 0.0, 1.0), Branch(0, 0.5, 0.8), Branch(0, 1.0, 1.0), Branch(2, 1.0, 0.7)),
+    "bifurcation": (Branch(None, 0.0, 0.75), Branch(0, 1.0, 0.5), Branch(1, 1.0, 3.0), Branch(1, 1.0, 1.0), Branch(3, 1.0, 1.5), Branch(3, 1.0, 2.5)),
+    "linear": (Branch(None, 0.0, 1.0), Branch(0, 1.0, 2.0), Branch(1, 1.0, 3.0)),
+    "combination": (Branch(None, 0.0, 5.0), Branch(0, 0.2, 2.0), Branch(0, 0.5, 2.5), Branch(0, 0.8, 3.0)),
 }
 
 
@@ -107,13 +108,12 @@ def trajectory(spark: SparkSession, n: int, topology: str = "bifurcation", dims:
 
     def walk(batches):
         for f in batches:
-            draws = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(dims + 1) for i in f["id"]]) if len(f) else np.empty((0, dims + 1))
             at = (f["id"].to_numpy() + 0.5) / n * lengths[-1]
             k = np.searchsorted(lengths, at)
             t = (at - np.concatenate([[0], lengths])[k]) / np.array([b.length for b in branches])[k]
             x = np.zeros((len(f), dims))
             for b in range(len(branches)):
                 x[k == b] = place(b, t[k == b])
-            yield pd.DataFrame({"id": f["id"], "features": list(x + noise * draws[:, :dims]), "branch": k.astype(np.int32)})
+            yield pd.DataFrame({"id": f["id"], "features": list(x + noise * normals(seed, f["id"], dims)), "branch": k.astype(np.int32)})
 
     return spark.range(n).mapInPandas(walk, "id long, features array<double>, branch int")
