@@ -104,10 +104,37 @@ def gapless(df: DataFrame, key: str, order: list[str], spread_by: list[str], to:
     )
 
 
+def released(run):
+    """An Arrow function that gives its memory back when its task ends: workers serve later tasks too, of other functions."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Return what is free to the system: Python's, Arrow's and the C library's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what is free
+        pass
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the words met so far."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -125,7 +152,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def batches_of(texts: list[str | None], most: int = 1 << 20):
+def batches_of(texts: list[str | None], most: int = 1 << 19):
     """(start, end) of runs of texts of about ``most`` characters; a longer text is a run of its own."""
     start = held = 0
     for k, t in enumerate(texts):

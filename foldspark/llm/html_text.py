@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread
+from .common import released, spread
 
 _TAG = re.compile(
     r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/><]*)((?:"[^"<]*"|'[^'<]*'|[^<>"'])*+)>|(/?)([a-zA-Z][^\s/><]*)([^<>]*)>|[!?/][^>]*(?:>|\Z))""", re.S
@@ -332,4 +332,4 @@ def extract_text(df: DataFrame, html: str = "html", keep: list[str] | None = Non
             texts = [main_text(x.as_py()) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(np.array([len(x) for x in texts], np.int64))], names=[*keep, to, n_chars])
 
-    return spread(df.select(*keep, F.col(html).alias("__html"))).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(html).alias("__html"))).mapInArrow(released(run), schema)

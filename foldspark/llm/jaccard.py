@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import discard, materialize, spread
+from .common import discard, materialize, released, spread
 from .simhash import components, majority, shingle_hashes
 
 SHINGLE = 5
@@ -68,7 +68,7 @@ def with_shingles(df: DataFrame, text: str = "text", keep: list[str] | None = No
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(nodes), pa.array(prints), lists], names=[*keep, "node", "fp", "shingles"])
 
-    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(released(run), schema)
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def commonness(sets: DataFrame) -> np.ndarray:
         return pa.table({"slice": t["slice"][:1], "level": pa.array([np.minimum(np.round(8 * np.log2(n + 1)), 255).astype(np.uint8).tobytes()], pa.binary())})
 
     out = np.zeros((_SLICES, _PER_SLICE), np.uint8)
-    for r in sets.select("shingles").mapInArrow(run, "slice int, held binary").groupBy("slice").applyInArrow(add, "slice int, level binary").collect():
+    for r in sets.select("shingles").mapInArrow(released(run), "slice int, held binary").groupBy("slice").applyInArrow(add, "slice int, level binary").collect():
         out[r["slice"]] = np.frombuffer(bytes(r["level"]), np.uint8)
     return out.ravel()
 
@@ -128,7 +128,7 @@ def first_shingles(sets: DataFrame, common: np.ndarray) -> DataFrame:
                 places = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(places)], names=["v", "node", "pos"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "v long, node long, pos int")
+    return sets.select("node", "shingles").mapInArrow(released(run), "v long, node long, pos int")
 
 
 def _viable(a: str, b: str):
@@ -158,7 +158,7 @@ def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
             bit = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - _NODE_BITS)).astype(np.int64)
             yield b.filter(pa.array((marks[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, shingles array<long>")
+    return sets.select("node", "shingles").mapInArrow(released(run), "node long, shingles array<long>")
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:

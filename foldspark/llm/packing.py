@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dealt, gapless, materialize, spread
+from .common import dealt, gapless, materialize, released, spread
 from .tokens import encoder, pieces
 
 CAPACITY = 1024
@@ -256,7 +256,7 @@ def token_pieces(documents: DataFrame, text: str = "text", capacity: int = CAPAC
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(schema.fields)]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=schema.names)
 
-    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(cut, schema)
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(released(cut), schema)
 
 
 def place(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -280,7 +280,7 @@ def place(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = places.value.of(length, number)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return numbered.select(*kept, "__number").mapInArrow(take, schema)
+    return numbered.select(*kept, "__number").mapInArrow(released(take), schema)
 
 
 def pack_documents(documents: DataFrame, text: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, batches_of, spread, with_text, words_of
+from .common import WordHashes, batches_of, released, spread, with_text, words_of
 
 BITS = 18
 SMOOTHING = 10.0
@@ -126,7 +126,7 @@ def log_ratios(documents: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], names=["b", "raw", "good"])
 
-    sums = marked.mapInArrow(count, "b int, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+    sums = marked.mapInArrow(released(count), "b int, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
     raw[sums["b"]], good[sums["b"]] = sums["raw"], sums["good"]
     if not good.sum():
@@ -176,7 +176,7 @@ def with_quality(df: DataFrame, ratios: np.ndarray, trusted_ids: DataFrame, text
             done = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64)] * 5 + [np.empty(0)] + [np.empty(0, bool)] * 2
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, done)], names=[*keep, *new])
 
-    return sent_rows.mapInArrow(run, schema)
+    return sent_rows.mapInArrow(released(run), schema)
 
 
 def trusted(labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, spread, words_of
+from .common import discard, materialize, released, spread, words_of
 
 SEED = 42
 SHINGLE = 3
@@ -76,7 +76,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None =
             got = np.array([fingerprint(x, width, seed) for x in b.column(b.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got.view(np.int64))], names=[*keep, to])
 
-    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(released(run), schema)
 
 
 def ball(radius: int) -> list[int]:

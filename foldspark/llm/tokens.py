@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread
+from .common import released, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -158,7 +158,7 @@ def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = Non
                 np.add.at(total, owners, enc.counts(batch))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(total)], names=[*keep, n_tokens])
 
-    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(lengths, schema)
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(released(lengths), schema)
 
 
 def token_counts(documents: DataFrame, limit: int = 512) -> DataFrame:

@@ -10,8 +10,9 @@ that unseen endings of a known word are met), pairs of neighbouring words, and
 pairs with one word between. All are hashed to BITS bits. Texts are read whole.
 
 Learning takes a bounded sample of labelled rows in one task: those of the
-smallest hash, at most MOST_ROWS rows and MOST_BYTES bytes of text. Scoring is a
-narrow pass over all texts.
+smallest hash, at most MOST_ROWS rows and MOST_BYTES bytes of text. Their features
+are made by all tasks; the training task gets numbers only, those of features that
+two texts have at least. Scoring is a narrow pass over all texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, held_out, with_text
+from .common import batches_of, held_out, materialize, released, spread, with_text
 
 BITS = 22
 STEMS = (3, 4, 5, 6)
@@ -35,24 +36,26 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.7
 #: Words that a worker remembers the hashes of.
-MOST_KNOWN = 250_000
+MOST_KNOWN = 60_000
 _WORD = re.compile(r"\w+")
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
 
 class _Known(dict):
-    """Place of a word's hashes in ``rows``; words are added as they are met."""
+    """Place of a word's hashes in ``table``; words are added as they are met."""
 
     def __init__(self, stems: tuple[int, ...]):
         self.stems = stems
-        self.rows: list[tuple[int, ...]] = []
+        self.table = np.empty((1024, 1 + len(stems)), np.uint64)
 
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        k = len(self.rows)
+        k = len(self)
         self[word] = k
-        self.rows.append((xxh64_intdigest(word), *(xxh64_intdigest(f"{word[:n]}\0{n}") for n in self.stems)))
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[k] = (xxh64_intdigest(word), *(xxh64_intdigest(f"{word[:n]}\0{n}") for n in self.stems))
         return k
 
 
@@ -62,7 +65,6 @@ class Features:
     def __init__(self, bits: int = BITS, stems: tuple[int, ...] = STEMS):
         self.shift, self.stems = np.uint64(64 - bits), stems
         self.known = _Known(stems)
-        self.table = np.empty((0, 1 + len(stems)), np.uint64)
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature) of all features of these texts, with repeats."""
@@ -72,16 +74,15 @@ class Features:
             words += found
             counts.append(len(found))
         if len(self.known) > MOST_KNOWN:
-            self.known, self.table = _Known(self.stems), self.table[:0]
+            self.known = _Known(self.stems)
         codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if len(self.known.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.known.rows[len(self.table) :], np.uint64)])
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
-        w = self.table[codes, 0]
+        table = self.known.table
+        w = table[codes, 0]
         owners, found = [owner], [w * _P[0]]
         for k in range(len(self.stems)):
             owners.append(owner)
-            found.append(self.table[codes, 1 + k] * _P[0])
+            found.append(table[codes, 1 + k] * _P[0])
         for gap in (1, 2):
             same = owner[:-gap] == owner[gap:]
             owners.append(owner[:-gap][same])
@@ -89,6 +90,48 @@ class Features:
         return np.concatenate(owners), (np.concatenate(found) >> self.shift).astype(np.uint32)
 
 
+def distinct_features(texts: list[str], bits: int = BITS, stems: tuple[int, ...] = STEMS) -> Iterator[np.ndarray]:
+    """The features of each text, once each and in order."""
+    made = Features(bits, stems)
+    for a, b in batches_of(texts):
+        owner, x = made.of(texts[a:b])
+        pairs = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | x)
+        cut = np.searchsorted(pairs, np.arange(1, b - a, dtype=np.uint64) << np.uint64(bits))
+        for p in np.split(pairs, cut):
+            yield (p & np.uint64((1 << bits) - 1)).astype(np.uint32)
+
+
+def shared_features(rows: DataFrame, bits: int = BITS, stems: tuple[int, ...] = STEMS) -> np.ndarray:
+    """A bitmap of the features that two rows (__text) have at least; half a megabyte for 22 bits.
+
+    A text moves a feature by one an epoch at most, so that of a single text never
+    passes L1 and its weight stays zero: leaving it out changes no model.
+    """
+    n_slices, per = 64, (1 << bits) // 64 // 8
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        for b in batches:
+            for x in distinct_features(b.column(0).to_pylist(), bits, stems):
+                twice[x] |= once[x]
+                once[x] = True
+        packed = [np.packbits(m).reshape(n_slices, per) for m in (once, twice)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_slices, dtype=np.int32)), *(pa.array([s.tobytes() for s in m], pa.binary()) for m in packed)], names=["slice", "once", "twice"])
+
+    def add(t: pa.Table) -> pa.Table:
+        once, twice = np.zeros(per, np.uint8), np.zeros(per, np.uint8)
+        for a, b in zip(t["once"].to_pylist(), t["twice"].to_pylist()):
+            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            twice |= b | (once & a)
+            once |= a
+        return pa.table({"slice": t["slice"][:1], "twice": pa.array([twice.tobytes()], pa.binary())})
+
+    out = np.zeros((n_slices, per), np.uint8)
+    for r in spread(rows.select("__text")).mapInArrow(released(count), "slice int, once binary, twice binary").groupBy("slice").applyInArrow(add, "slice int, twice binary").collect():
+        out[r["slice"]] = np.frombuffer(bytes(r["twice"]), np.uint8)
+    return out.ravel()
+
+
 def train(features: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, features, weights) of the coordinates that aren't zero.
 
@@ -141,21 +184,25 @@ def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, labe
 
 def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, bits: int = BITS, stems: tuple[int, ...] = STEMS) -> tuple[float, np.ndarray, np.ndarray]:
     """A model from ``sample``. The same rows in the same order at every run. No rows: bias 0 and no weights."""
-    rows = sample(documents, labels, doc_id, text, label, most_rows, most_bytes).withColumn("__one", F.lit(0))
+    rows = materialize(sample(documents, labels, doc_id, text, label, most_rows, most_bytes), "toxicity-sample")
+    keep = rows.sparkSession.sparkContext.broadcast(shared_features(rows, bits, stems))
+    schema = "__id long, __digest long, __y int, x binary"
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(keep.value).astype(bool)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                made = [x[held[x]].tobytes() for x in distinct_features(part.column(3).to_pylist(), bits, stems)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made, pa.binary())], names=["__id", "__digest", "__y", "x"])
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["__id", "__digest"])
         order = np.random.default_rng(7).permutation(len(rows))
-        texts, ys = rows["__text"].iloc[order].tolist(), rows["__y"].iloc[order].tolist()
-        made, found = Features(bits, stems), []
-        for a, b in batches_of(texts):
-            owner, x = made.of(texts[a:b])
-            pairs = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | x)
-            cut = np.searchsorted(pairs, np.arange(1, b - a, dtype=np.uint64) << np.uint64(bits))
-            found += [np.asarray(p & np.uint64((1 << bits) - 1), np.uint32) for p in np.split(pairs, cut)]
-        bias, at, w = train(found, ys, bits)
+        bias, at, w = train([np.frombuffer(rows["x"].iloc[k], np.uint32) for k in order], rows["__y"].iloc[order].tolist(), bits)
         return pd.DataFrame({"f": np.concatenate([[-1], at]).astype(np.int32), "w": np.concatenate([[bias], w])})
 
+    rows = spread(rows.select("__id", "__digest", "__y", "__text")).mapInArrow(released(features), schema).withColumn("__one", F.lit(0))
     got = rows.groupBy("__one").applyInPandas(fit, "f int, w double").toPandas()
     if got.empty:
         return 0.0, np.empty(0, np.int32), np.empty(0, np.float32)
@@ -189,7 +236,7 @@ def with_score(df: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text:
             scores = score_texts(b.column(at_text).to_pylist(), sent.value, made, dense)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores)], names=[*keep, to])
 
-    return sent_rows.mapInArrow(run, schema)
+    return sent_rows.mapInArrow(released(run), schema)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,11 +3,11 @@
 A rule is a host and a path; it fits its host and all subdomains where the
 URL's path starts with the rule's. So a URL can only meet rules among a few
 keys: its last k labels and first m characters, for the (k, m) that occur among
-the rules, whatever their number. The keys of a URL are one exploded column.
-Each is tested against the Bloom filter of all rules; those that pass go on to
-an exact hash join with the rules, which removes the false positives. The best
-rule of each (host, path) that had one is written; every row then takes it by a
-second hash join. Rows without a possible hit are never grouped.
+the rules, whatever their number. Each key is tested against the Bloom filter of
+all rules; those that pass go on to an exact hash join with the rules, which
+removes the false positives. Most URLs have none or few: up to COLUMNS possible
+keys are columns, each joined, so rows aren't shuffled unless the rules are too
+many to broadcast. URLs with more are exploded and grouped by (host, path).
 
 The filter is split-block (Putze, Sanders and Singler, "Cache-, Hash- and
 Space-Efficient Bloom Filters", 2007): a key picks one block of eight 32-bit
@@ -23,15 +23,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize
+from .common import LOWER, UPPER
 
 #: Odd multipliers, one for each word of a block, those of the Parquet format's Bloom filters.
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 #: 4 MB.
 MOST_BLOCKS = 1 << 17
 RULES_IN_BLOCK = 16
-#: The most rules, and the most (host, path) with one, that are broadcast; beyond, both sides of a join are shuffled.
+#: The most rules that are broadcast; beyond, both sides of a join are shuffled.
 BROADCAST_RULES = 100_000
+#: Possible keys of a URL that are joined as columns; URLs with more take another way to the same result.
+COLUMNS = 3
 #: Parts that rows without a possible hit are dealt into where they are shuffled.
 PARTS = 4096
 
@@ -105,12 +107,17 @@ def keys_of(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column
     return F.transform(fitting, lambda x: _key(F.array_join(F.slice(labels, F.size(labels) - x[0] + 1, x[0]), "."), F.substring(path, F.lit(1), x[1])))
 
 
-def best_rules(places: DataFrame, known: DataFrame, shapes: list[tuple[int, int]], bloom: bytes, small: bool) -> DataFrame:
-    """(host, path, best) of the distinct (host, path) that a rule fits."""
-    passed = places.select("host", "path", F.explode(possible(keys_of(F.col("host"), F.col("path"), shapes), bloom)).alias("key")).distinct()
-    rules = known.select(F.col("key").alias("__key"), F.struct(F.length("key").alias("long"), F.length("host").alias("host"), F.col("key").alias("rule"), F.col("verdict")).alias("best"))
-    found = passed.join(F.broadcast(rules) if small else rules, F.col("key") == F.col("__key"))
-    return found.groupBy("host", "path").agg(F.max("best").alias("best"))
+def _named(known: DataFrame, key: str, best: str) -> DataFrame:
+    return known.select(F.col("key").alias(key), F.struct(F.length("key").alias("long"), F.length("host").alias("host"), F.col("key").alias("rule"), F.col("verdict")).alias(best))
+
+
+def _joined(rows: DataFrame, known: DataFrame, k: int, small: bool) -> DataFrame:
+    """rows with ``__best{k}``, the rule of the k-th possible key. Keys that are null must not meet in one task: they get keys that no rule has."""
+    rules = _named(known, f"__key{k}", f"__best{k}")
+    if small:
+        return rows.withColumn(f"__c{k}", F.get("__keys", F.lit(k))).join(F.broadcast(rules), F.col(f"__c{k}") == F.col(f"__key{k}"), "left")
+    none = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("string"))
+    return rows.withColumn(f"__c{k}", F.coalesce(F.get("__keys", F.lit(k)), none)).join(rules, F.col(f"__c{k}") == F.col(f"__key{k}"), "left")
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", other: str = "allow", n_blocks: int | None = None) -> DataFrame:
@@ -132,13 +139,15 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", other: str = "all
     if not shapes:
         return out.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(other))
     bloom = bloom_filter(known, n_blocks or min(MOST_BLOCKS, max(1, -(-n_rules // RULES_IN_BLOCK))))
-    best = best_rules(out.select("host", "path"), known, shapes, bloom, n_rules <= BROADCAST_RULES)
-    best = materialize(best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-rules")
-    kept = list(out.columns)
-    if best.count() <= BROADCAST_RULES:
-        out = out.join(F.broadcast(best), (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-    else:  # what surely isn't listed must not meet in one task: it gets hosts that no rule has
-        maybe = F.size(possible(keys_of(F.col("host"), F.col("path"), shapes), bloom)) > 0
-        spread_host = F.when(maybe, F.col("host")).otherwise(F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("string")))
-        out = out.withColumn("__place", spread_host).join(best, (F.col("__place") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-    return out.select(*kept, "rule", F.coalesce("verdict", F.lit(other)).alias("verdict"))
+    kept, small = list(out.columns), n_rules <= BROADCAST_RULES
+    out = out.withColumn("__keys", possible(keys_of(F.col("host"), F.col("path"), shapes), bloom))
+    few = out.where(F.size("__keys") <= COLUMNS)
+    for k in range(COLUMNS):
+        few = _joined(few, known, k, small)
+    few = few.select(*kept, F.greatest(*[F.col(f"__best{k}") for k in range(COLUMNS)]).alias("__best"))
+    many = out.where(F.size("__keys") > COLUMNS)
+    rules = _named(known, "__key", "__best")
+    places = many.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.explode("__keys").alias("__c")).distinct()
+    best = places.join(F.broadcast(rules) if small else rules, F.col("__c") == F.col("__key")).groupBy("__host", "__path").agg(F.max("__best").alias("__best"))
+    many = many.join(best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left").select(*kept, "__best")
+    return few.union(many).select(*kept, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(other)).alias("verdict"))
