@@ -54,6 +54,26 @@ def test_larger_factors_look_at_less(spark):
     assert recall[0] == 1 and recall[1] > 0.9
 
 
+def test_cells_are_skipped_on_clustered_vectors(spark, monkeypatch):
+    """Factor 1 stays exact over many cells, and a block goes to few of them."""
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((12, 6))[rng.integers(0, 12, 1200)] + 0.05 * rng.standard_normal((1200, 6))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], SCHEMA)
+    sent = []
+    whole = ann._searched
+    monkeypatch.setattr(ann, "_searched", lambda shards, parts, probes, *a: (sent.append((parts.count(), probes.count())), whole(shards, parts, probes, *a))[1])
+    got = found(ann.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=50, leaf_rows=10, query_rows=4))
+    assert got == brute(list(range(len(x))), x)
+    cells, probes = sent[1]
+    assert cells >= 12 and probes < 0.5 * 24 * cells
+
+
+def test_repeated_rows_count_once_and_ids_name_rows(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 2), (1, [1.0, 0.1], 1), (1, [1.0, 0.1], 1), (2, [1.0, 0.2], 1), (2, [0.9, 0.5], 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(ann.nearest(df, df.where("vec_id % 50 = 0"))) == {0: [1, 2, 2]}
+
+
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (None, [1.0, 0.0], 1), (7, [1.0, 0.0, 0.0], 1), (1, [1.0, 1.0], 2), (50, [2.0, 0.0], None), (100, None, 1), (8, [], 1)]
