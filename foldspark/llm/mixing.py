@@ -89,12 +89,15 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     ``taken`` is the number of words that the mix takes of it, from 0 to
     epochs * size. Sources by code point, null last, weigh ``weights``,
     repeating. Null and empty texts have size 0 and nothing is taken. A repeated
-    doc_id lies anywhere among its likes, so only its rows' sum is fixed. An
-    empty table gives none. Other columns aren't read.
+    doc_id lies anywhere among its likes, so only its rows' sum is fixed. Texts of
+    any length are counted whole. An empty table gives none. Other columns, of any
+    name, aren't read.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     carry = carry or []
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *carry)
+    # Rows without an id lie by their texts, so they don't meet in one shard.
+    key = seeded(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null/"), F.md5(F.coalesce(F.col(text), F.lit(""))))), seed)
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("__key"), *carry)
     sized = materialize(rows.drop(*carry), "mix")
     weight = F.element_at(F.lit(list(weights)), F.col("place") % len(weights) + 1)
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
@@ -103,8 +106,7 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     sources = sainte_lague(sources.withColumn("everything", F.lit(0)), ["everything"], "target", "blocks", ["place"], "source_blocks")
     sources = materialize(sources.withColumn("shards", F.ceil(F.col("__rows") / per_shard).cast("long")).select(F.col("source").alias("__source"), "source_size", "target", "place", "source_blocks", "shards"), "mix-sources")
 
-    key = seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)
-    put = (rows if carry else sized).join(sources.select("__source", "source_size", "target", "place", "shards"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__key", key).withColumn("shard", F.pmod("__key", "shards"))
+    put = (rows if carry else sized).join(sources.select("__source", "source_size", "target", "place", "shards"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("shard", F.pmod("__key", "shards"))
     put = put.select("doc_id", "size", "source_size", "target", "place", "shard", "__key", *carry)
     shards = put.groupBy("place", "shard").agg(F.sum("size").alias("words")).join(sources.select(F.col("place").alias("__place"), "source_blocks"), F.col("place") == F.col("__place")).drop("__place")
     shards = sainte_lague(shards, ["place"], "words", "source_blocks", ["shard"], "quota")

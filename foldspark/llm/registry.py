@@ -92,7 +92,9 @@ def mix_sql(documents: str = "documents") -> str:
     """The steps of ``mixing.mix`` with its defaults; seats are ranked among all candidate quotients."""
     return f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {documents}
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null/' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS key
+  FROM {documents}
 ), named AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
   FROM sized GROUP BY source
@@ -118,8 +120,7 @@ WITH sized AS (
   FROM targeted t LEFT JOIN (SELECT place, count(*) AS blocks FROM seats, all_blocks WHERE r <= all_blocks.seats GROUP BY place) g USING (place)
 ), put AS (
   SELECT *, key % shards AS shard FROM (
-    SELECT d.doc_id, d.size, b.source_size, b.target, b.place, b.blocks, b.shards,
-           ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key
+    SELECT d.doc_id, d.size, b.source_size, b.target, b.place, b.blocks, b.shards, d.key
     FROM sized d JOIN source_blocks b ON d.source IS NOT DISTINCT FROM b.source)
 ), shards AS (
   SELECT place, shard, any_value(blocks) AS blocks, sum(size)::BIGINT AS words, sum(sum(size)) OVER (PARTITION BY place) AS w, count(*) OVER (PARTITION BY place) AS k
