@@ -23,7 +23,7 @@ def randomised_svd(x: np.ndarray, rank: int, seed: int = 42, oversample: int | N
     q = np.linalg.qr(x @ np.random.default_rng(seed).standard_normal((x.shape[1], size)))[0]
     for _ in range(rounds):
         q = np.linalg.qr(x @ np.linalg.qr(x.T @ q)[0])[0]
-    u, s, vt = np.linalg.svd(q.T @ x, full_matrices=False)
+    u, s, vt = np.linalg.svd((x.T @ q).T, full_matrices=False)
     u, v = q @ u, vt.T
     turn = np.sign(fix_signs(u)[np.argmax(np.abs(u), axis=0), np.arange(u.shape[1])]) * np.sign(u[np.argmax(np.abs(u), axis=0), np.arange(u.shape[1])])
     return (u * turn)[:, :rank], s[:rank], (v * turn)[:, :rank]

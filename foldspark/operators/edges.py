@@ -179,3 +179,13 @@ def within_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(component, i, j, w) of the edges whose ends share a component."""
     a, b = labels.toDF("i", "component"), labels.toDF("j", "other")
     return edges.join(a, "i").join(b, "j").where("component = other").select("component", "i", "j", "w")
+
+
+def unweighted(knn: DataFrame) -> DataFrame:
+    """A neighbour table as edges of weight 1."""
+    return knn.where("i <> j").select("i", "j", F.lit(1.0).alias("w"))
+
+
+def part_means(matrix: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, p, x): the mean of each dimension p over the rows of each part; ``parts`` is (id, part)."""
+    return matrix.join(parts, "id").select("part", F.posexplode("features").alias("p", "x")).groupBy("part", "p").agg(F.avg("x").alias("x"))

@@ -65,7 +65,7 @@ class Numbered:
     def means(self, matrix: DataFrame, part: np.ndarray) -> np.ndarray:
         """Means of the features of each part (one number for each node): a table of parts by dimensions comes to the driver, not the features."""
         parts = matrix.sparkSession.createDataFrame(pd.DataFrame({"id": self.ids, "part": part.astype(np.int64)}), "id long, part long")
-        sums = matrix.join(parts, "id").select("part", F.posexplode("features").alias("p", "x")).groupBy("part", "p").agg(F.avg("x").alias("x")).toPandas()
+        sums = E.part_means(matrix, parts).toPandas()
         out = np.zeros((int(part.max()) + 1, self.dims))
         out[sums["part"], sums["p"]] = sums["x"]
         return out
@@ -232,6 +232,9 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(), given: DataFrame | Non
 
 
 def pacmap(matrix: DataFrame, p: PacmapParams = PacmapParams(), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """PaCMAP. Both optimisers sum all pairs before a step, so they are one here."""
+    if p.optimiser.lower() not in ("adam", "adam_parallel"):
+        raise UnknownOption(f"no optimiser {p.optimiser!r}; there are adam and adam_parallel")
     n, _ = shape(matrix)
     near = neighbours(matrix, min(p.window[1], n - 1), given, p.knn)
     at = Numbered(matrix)

@@ -588,6 +588,42 @@ def connected_components(spark, d):
     return E.components(m.select(F.col("id").alias("i")), knn(m, 2).where("d < 1.1"))
 
 
+COMPONENTS = (knn_part(2, name="knn2"), ("e2", "SELECT i AS a, j AS b FROM knn2 WHERE d < 1.1 UNION SELECT j, i FROM knn2 WHERE d < 1.1"), ("reach", "SELECT id, id AS b FROM pts UNION SELECT r.id, e2.b FROM reach r JOIN e2 ON r.b = e2.a"), ("comp", "SELECT id AS i, min(b) AS component FROM reach GROUP BY id"))
+
+
+def _components(spark, d):
+    m = embeddings(spark, d)
+    return E.components(m.select(F.col("id").alias("i")), _knn(spark, d, 2).where("d < 1.1"))
+
+
+@query(sql(f"SELECT a.component, g.i, g.j, {_r('g.w')} AS w FROM graph g JOIN comp a ON g.i = a.i JOIN comp b ON g.j = b.i WHERE a.component = b.component", *UMAP, *COMPONENTS, recursive=True))
+def component_edges(spark, d):
+    return rounded(E.within_components(_umap(spark, d), _components(spark, d)))
+
+
+@query(sql(f"SELECT part, p::INTEGER AS p, {_r('avg(x)')} AS x FROM (SELECT c.component AS part, unnest(range(0, len(v))) AS p, unnest(v) AS x FROM pts JOIN comp c ON c.i = pts.id) GROUP BY part, p", PTS, *COMPONENTS, recursive=True))
+def component_means(spark, d):
+    parts = _components(spark, d).select(F.col("i").alias("id"), F.col("component").alias("part"))
+    return rounded(E.part_means(embeddings(spark, d), parts))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 1.0::DOUBLE, 0.0::DOUBLE), (1, 0.0, 1.0), (2, -1.0, 0.0), (3, 0.0, -1.0)) AS t(part, x, y)")
+def component_simplex(spark, d):
+    c = pipelines.component_centres(4, None, 2, SEED) + 0.0
+    return spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(c)], "part long, x double, y double")
+
+
+@query(sql(f"SELECT a.id AS i, (row_number() OVER (PARTITION BY a.id ORDER BY b.id) - 1)::INTEGER AS k, {_r('coalesce(m.w, 0.0)')} AS w FROM pts a JOIN pts b ON true LEFT JOIN markov m ON m.i = a.id AND m.j = b.id WHERE a.id IN (SELECT i FROM markov)", *PHATE))
+def dense_rows(spark, d):
+    ids = sorted(r.id for r in embeddings(spark, d).select("id").collect())
+    return rounded(E.to_dense(_markov(spark, d), ids).select("i", F.posexplode("row").alias("k", "w")))
+
+
+@query(sql("SELECT i, j, 1.0::DOUBLE AS w FROM knn WHERE i <> j", PTS, knn_part(K)))
+def knn_edges_unweighted(spark, d):
+    return E.unweighted(_knn(spark, d))
+
+
 @query(sql("SELECT target, count(*) AS n FROM (SELECT i, j, 1.0::DOUBLE AS target FROM graph) GROUP BY target", *UMAP, recursive=True))
 def parametric_training_edges(spark, d):
     return _umap(spark, d).select("i", "j", F.lit(1.0).alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
@@ -653,6 +689,25 @@ def randomised_svd(spark, d):
     return spark.createDataFrame(pd.DataFrame({"k": np.arange(len(s)), "s": s}))
 
 
+def _as_sparse(edges: DataFrame) -> linalg.Sparse:
+    rows = edges.toPandas()
+    ids = np.unique(np.concatenate([rows["i"], rows["j"]]))
+    return linalg.Sparse(np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"]), rows["w"].to_numpy(float), len(ids))
+
+
+@query()
+def sparse_randomised_svd(spark, d):
+    _, s, _ = linalg.randomised_svd(_as_sparse(_markov(spark, d)), 5)
+    return spark.createDataFrame(pd.DataFrame({"k": np.arange(len(s)), "s": s}))
+
+
+@query()
+def lanczos_eigenvalues(spark, d):
+    m = _as_sparse(E.symmetric_operator(_kernel(spark, d)))
+    values, _ = linalg.lanczos(lambda x: m @ x, m.shape[0], 5)
+    return spark.createDataFrame(pd.DataFrame({"k": np.arange(len(values)), "value": values}))
+
+
 @query()
 def entropy_curve(spark, d):
     _, m = pipelines._dense(_markov(spark, d), pipelines.MOST_DENSE, "an entropy curve")
