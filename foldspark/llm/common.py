@@ -38,14 +38,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The most rows of an Arrow batch of texts: they are some kB each, and an executor holds a batch several times over.
+BATCH_ROWS = 2000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores.
+    """df in at least as many partitions as there are cores, and the session's Arrow batches small enough for texts.
 
     A few small files would otherwise leave most cores idle in work that is
     bound by CPU. Inputs of a useful size have more splits already and aren't
     shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    cores = spark.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
