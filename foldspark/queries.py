@@ -637,18 +637,20 @@ def _method(name: str, f) -> None:
 
 #: Epochs of the layouts whose every epoch is a few jobs; a parameter, as the methods' own numbers take minutes on any table. Single epochs have SQL above.
 FEW_EPOCHS = 4
+#: Epochs of the t-SNE queries (the default is 1000), of sequential UMAP (500), and epochs and layers of the encoder (500; three of 128): parameters too, README has the costs.
+TSNE_EPOCHS, SEQUENTIAL_EPOCHS, ENCODER_EPOCHS, ENCODER_LAYERS = 300, 20, 5, (32, 32)
 
 _method("umap", lambda s, d: pipelines.umap(embeddings(s, d)))
 _method("umap_gpu_rule", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="adam_gpu", knn=KnnParams("nndescent_gpu"))))
-_method("umap_sgd", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="sgd", n_epochs=20)))
-_method("umap_adam", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="adam", n_epochs=20)))
+_method("umap_sgd", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="sgd", n_epochs=SEQUENTIAL_EPOCHS)))
+_method("umap_adam", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="adam", n_epochs=SEQUENTIAL_EPOCHS)))
 _method("umap_distributed", lambda s, d: distributed.umap(embeddings(s, d), replace(UmapParams(), n_epochs=FEW_EPOCHS)))
 _method("densmap", lambda s, d: pipelines.umap(embeddings(s, d), densmap_params()))
-_method("tsne", lambda s, d: pipelines.tsne(embeddings(s, d), TsneParams(n_epochs=300)))
-_method("tsne_fft", lambda s, d: pipelines.tsne(embeddings(s, d), TsneParams(method="fft", n_epochs=300)))
+_method("tsne", lambda s, d: pipelines.tsne(embeddings(s, d), TsneParams(n_epochs=TSNE_EPOCHS)))
+_method("tsne_fft", lambda s, d: pipelines.tsne(embeddings(s, d), TsneParams(method="fft", n_epochs=TSNE_EPOCHS)))
 _method("tsne_distributed", lambda s, d: distributed.tsne(embeddings(s, d), TsneParams(method="fft", n_epochs=FEW_EPOCHS)))
 _method("tsne_repulsion_grid", lambda s, d: epochs.tsne_repulsion_grid(_positions(s, d)))
-_method("densne", lambda s, d: pipelines.tsne(embeddings(s, d), densne_params(n_epochs=300)))
+_method("densne", lambda s, d: pipelines.tsne(embeddings(s, d), densne_params(n_epochs=TSNE_EPOCHS)))
 _method("phate", lambda s, d: pipelines.phate(embeddings(s, d)))
 _method("phate_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, landmarks="random", mds="classic")))
 _method("phate_spectral_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, mds="classic")))
@@ -657,7 +659,7 @@ _method("pacmap", lambda s, d: pipelines.pacmap(embeddings(s, d)))
 _method("pacmap_distributed", lambda s, d: distributed.pacmap(embeddings(s, d), replace(PacmapParams(), n_epochs=FEW_EPOCHS)))
 _method("diffusion_maps", lambda s, d: pipelines.diffusion_maps(embeddings(s, d)))
 _method("diffusion_maps_landmarks", lambda s, d: pipelines.diffusion_maps(embeddings(s, d), DiffusionParams(n_landmarks=50, landmarks="random")))
-_method("parametric_umap", lambda s, d: pipelines.parametric_umap(embeddings(s, d), ParametricParams(hidden=(32, 32), n_epochs=5)))
+_method("parametric_umap", lambda s, d: pipelines.parametric_umap(embeddings(s, d), ParametricParams(hidden=ENCODER_LAYERS, n_epochs=ENCODER_EPOCHS)))
 _method("knn_hnsw", lambda s, d: knn(embeddings(s, d), K, "hnsw"))
 _method("knn_ivf", lambda s, d: knn(embeddings(s, d), K, "ivf"))
 _method("knn_annoy", lambda s, d: knn(embeddings(s, d), K, "annoy"))
