@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, html_text, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter
+from . import ann, bpe, compression, html_text, mixing, negatives, packing, quality, sharding, simhash, tokens, toxicity, url_filter
 from .common import table
 
 URL_RULES = "SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS t(host, path, verdict)"
@@ -148,9 +149,80 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label)
+    return negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
+OP12_SQL = """
+WITH held AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+         coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM held a JOIN held c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.v) = len(c.v)
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER w::INTEGER AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compressed_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def codes_sql() -> str:
+    """The rounds of ``compression.compress`` one after the other, every distance computed."""
+    n, k, rounds = compression.PARTS, compression.ENTRIES, compression.ROUNDS
+    steps = [
+        f"""held AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS row, * FROM (
+    SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor({compression.SCALE} * x)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), parts AS MATERIALIZED (
+  SELECT row, p, v[p * (len(v) // {n}) + 1 : (p + 1) * (len(v) // {n})] AS v FROM held, range({n}) t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row - 1 AS e, v AS c FROM parts WHERE row <= {k}
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""assigned{r} AS MATERIALIZED (
+  SELECT row, p, best.e AS e, best.d AS d, v FROM (
+    SELECT row, x.p, any_value(x.v) AS v, min({{'d': list_sum(list_transform(list_zip(x.v, b.c), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::BIGINT, 'e': b.e}}) AS best
+    FROM parts x JOIN book{r} b ON x.p = b.p GROUP BY row, x.p)
+)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT p, e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM assigned{r}, range(1, 1 + (SELECT max(len(v)) FROM parts)) t(i) GROUP BY p, e, i)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e
+)""")
+    return f"""
+WITH {", ".join(steps)}, coded AS (
+  SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM assigned{rounds} GROUP BY row
+)
+SELECT h.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY h.label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM held h JOIN coded c USING (row)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vp_trees, op2_text_density, op3_toxicity, op4_token_counts, op5_kd_sharding, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_vp_trees, op2_text_density, op3_toxicity, op4_token_counts, op5_kd_sharding, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_mixing, op10_quality_rules, op11_bpe_automaton, op12_hard_negatives, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vp_trees": OP1_SQL, "op7_url_filter": OP7_SQL, "op9_mixing": mix_sql()}
+    return {"op1_vp_trees": OP1_SQL, "op7_url_filter": OP7_SQL, "op9_mixing": mix_sql(), "op12_hard_negatives": OP12_SQL, "op13_vector_codes": codes_sql()}
