@@ -69,8 +69,6 @@ def tree_repulsion(y: np.ndarray, theta: float = 0.5) -> tuple[np.ndarray, np.nd
     low = y.min(0)
     side = float((y.max(0) - low).max()) * (1 + 1e-9) or 1.0
     code = morton(y, low, side)
-    force, total = np.zeros((n, 2)), np.zeros(n)
-    point, cell = np.arange(n), np.zeros(n, np.int64)
     levels = []
     order = np.argsort(code, kind="stable")
     sorted_code, sorted_y = code[order], y[order]
@@ -79,10 +77,22 @@ def tree_repulsion(y: np.ndarray, theta: float = 0.5) -> tuple[np.ndarray, np.nd
         of = sorted_code >> np.uint64(2 * (DEPTH - depth))
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         last = np.append(first[1:], n)
-        levels.append((of[first], first, last - first, (sums[last] - sums[first]) / (last - first)[:, None]))
+        levels.append((of[first], last - first, (sums[last] - sums[first]) / (last - first)[:, None]))
         if len(first) == n:
             break
-    for depth, (codes, _, counts, centres) in enumerate(levels):
+    return walk(y, code, levels, side, theta)
+
+
+def walk(y: np.ndarray, code: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], side: float, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of points y with Morton codes over a tree, or the part of one that they look at.
+
+    A level holds its cells' codes in order, counts and centres; the first is the
+    root's. A cell of one point, or of the last level of all, is never opened.
+    """
+    n = len(y)
+    force, total = np.zeros((n, 2)), np.zeros(n)
+    point, cell = np.arange(n), np.zeros(n, np.int64)
+    for depth, (codes, counts, centres) in enumerate(levels):
         diff = y[point] - centres[cell]
         d2 = (diff * diff).sum(1)
         own = (code[point] >> np.uint64(2 * (DEPTH - depth))) == codes[cell]
@@ -98,7 +108,7 @@ def tree_repulsion(y: np.ndarray, theta: float = 0.5) -> tuple[np.ndarray, np.nd
         if bottom or far.all():
             break
         point, cell = point[~far], cell[~far]
-        below, start = levels[depth + 1][0], levels[depth][0][cell] << np.uint64(2)
+        below, start = levels[depth + 1][0], codes[cell] << np.uint64(2)
         lo, hi = np.searchsorted(below, start), np.searchsorted(below, start + np.uint64(4))
         each = hi - lo
         cell = np.repeat(lo, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)

@@ -18,7 +18,7 @@ from .functions import linalg
 from .functions.curves import fit_ab
 from .functions.hashing import draw_column, draw_sql
 from .materialize import materialize
-from .operators import affinity, density, diffusion, edges as E, epochs, vectors
+from .operators import affinity, barnes_hut, density, diffusion, edges as E, eigen, epochs, vectors
 from .operators.knn import knn
 from .plans import distributed, pipelines
 from .plans.params import DiffusionParams, KnnParams, PacmapParams, ParametricParams, PhateParams, TsneParams, UmapParams, densmap_params, densne_params
@@ -334,6 +334,43 @@ def tsne_epoch_gradient_exact(spark, d):
     return rounded(epochs.tsne_gradient(graph, _positions(spark, d)), 7)
 
 
+#: Cells no wider than this share of their distance stand for their points.
+THETA = 0.5
+
+
+TREE = (
+    POS, ("square", "SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) * (1 + 1e-9) AS side FROM pos"),
+    ("placed", "SELECT id, x, y, least(greatest(floor((x - x0) / side * 16777216), 0), 16777215)::BIGINT AS a, least(greatest(floor((y - y0) / side * 16777216), 0), 16777215)::BIGINT AS b, side FROM pos, square"),
+    ("sa", "SELECT *, (a | (a << 16)) & 281470681808895 AS a1, (b | (b << 16)) & 281470681808895 AS b1 FROM placed"),
+    ("sb", "SELECT *, (a1 | (a1 << 8)) & 71777214294589695 AS a2, (b1 | (b1 << 8)) & 71777214294589695 AS b2 FROM sa"),
+    ("sc", "SELECT *, (a2 | (a2 << 4)) & 1085102592571150095 AS a3, (b2 | (b2 << 4)) & 1085102592571150095 AS b3 FROM sb"),
+    ("sd", "SELECT *, (a3 | (a3 << 2)) & 3689348814741910323 AS a4, (b3 | (b3 << 2)) & 3689348814741910323 AS b4 FROM sc"),
+    ("coded", "SELECT id, x, y, side, ((a4 | (a4 << 1)) & 6148914691236517205) | (((b4 | (b4 << 1)) & 6148914691236517205) << 1) AS code FROM sd"),
+    ("cells", "SELECT level, code >> (2 * (24 - level)) AS cell, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM coded, range(25) t(level) GROUP BY level, cell"),
+    ("looked", """SELECT p.id, p.x, p.y, p.code, p.side, c.level, c.cell, c.n, c.cx, c.cy FROM coded p JOIN cells c ON c.level = 0
+    UNION ALL
+    SELECT p.id, p.x, p.y, p.code, p.side, c.level, c.cell, c.n, c.cx, c.cy FROM looked p JOIN cells c ON c.level = p.level + 1 AND c.cell >> 2 = p.cell
+    WHERE p.n > 1 AND (p.code >> (2 * (24 - p.level)) = p.cell OR pow(p.side / pow(2, p.level), 2) >= 0.25 * (pow(p.x - p.cx, 2) + pow(p.y - p.cy, 2)))"""),
+    ("felt", """SELECT id, x - cx AS dx, y - cy AS dy, n - (code >> (2 * (24 - level)) = cell)::INTEGER AS many, 1 + pow(x - cx, 2) + pow(y - cy, 2) AS far FROM looked
+    WHERE n = 1 OR level = 24 OR NOT (code >> (2 * (24 - level)) = cell OR pow(side / pow(2, level), 2) >= 0.25 * (pow(x - cx, 2) + pow(y - cy, 2)))"""),
+)
+
+
+@query(sql(f"SELECT id, {_r('sum(many / (far * far) * dx)', 8)} AS rx, {_r('sum(many / (far * far) * dy)', 8)} AS ry, {_r('sum(many / far)', 8)} AS z FROM felt GROUP BY id", PTS, *TREE, recursive=True))
+def tsne_repulsion_tree(spark, d):
+    return rounded(barnes_hut.repulsion(_positions(spark, d), THETA), 8)
+
+
+@query(sql(f"SELECT level, cell AS code, n, {_r('cx', 9)} AS cx, {_r('cy', 9)} AS cy FROM cells c WHERE level = 0 OR (SELECT n FROM cells u WHERE u.level = c.level - 1 AND u.cell = c.cell >> 2) > 1", PTS, *TREE[:-2]))
+def quadtree_cells(spark, d):
+    positions = _positions(spark, d)
+    low, side = barnes_hut._square(positions)
+    cells = barnes_hut.cells_of(barnes_hut.blocks_of(positions, low, side))
+    up = cells.where("n > 1").select((F.col("level") + 1).alias("level"), F.col("code").alias("__up"))
+    below = cells.where("level > 0").withColumn("__up", F.shiftright("code", 2)).join(up, ["level", "__up"]).select("level", "code", "n", "cx", "cy")
+    return rounded(below.union(cells.where("level = 0")).withColumn("level", F.col("level").cast("long")), 9)
+
+
 @query(sql(f"SELECT {_r('min(x)')} AS lo_x, {_r('max(x)')} AS hi_x, {_r('min(y)')} AS lo_y, {_r('max(y)')} AS hi_y, {_r('avg(x)')} AS mean_x, {_r('avg(y)')} AS mean_y FROM pos", PTS, POS))
 def embedding_bounds(spark, d):
     return rounded(_positions(spark, d).agg(F.min("x").alias("lo_x"), F.max("x").alias("hi_x"), F.min("y").alias("lo_y"), F.max("y").alias("hi_y"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y")))
