@@ -12,7 +12,10 @@ Additions, none of which looks at more than structure and these densities:
 
 * Subtrees whose tag, role or name says that they are no content (menus,
   adverts, forms, comments and so on) are left out beforehand, but a name or a
-  wrapping tag never leaves out the page's heading or nearly all of its text.
+  wrapping tag never leaves out the page's heading or nearly all of its text. A
+  name that says so only in part, as slugs of headings do, counts only for what is
+  mostly links or holds a form, and so does any name of a heading, paragraph,
+  preformatted text or quotation.
 * The base is at least e, so a page with next to no links doesn't divide by next
   to nothing.
 * What the densities choose is made whole: paragraphs, headings, lists and the
@@ -37,7 +40,7 @@ from pyspark.sql import types as T
 from .common import released, spread
 
 _TAG = re.compile(
-    r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/><]*)((?:"[^"<]*"|'[^'<]*'|[^<>"'])*+)>|(/?)([a-zA-Z][^\s/><]*)([^<>]*)>|[!?/][^>]*(?:>|\Z))""", re.S
+    r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/><]*)((?:"[^"<]*"|'[^'<]*'|[^<>"'])*+)>|(/?)([a-zA-Z][^\s/><]*)([^<>]*)>|[!?/][^>]*(?:>|\Z))""", re.S
 )
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -60,6 +63,11 @@ NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus sidebar sidebars sidenav breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices newsletter subscribe subscription share sharing social related recommended pagination pager popup modal overlay skip login signup footer masthead toolbar".split()
 )
 NEVER_OUTSIDE = frozenset("header banner widget widgets alert".split())
+#: Words of names that say where something stands or what shape it has.
+PLAIN = frozenset("area bar block body bottom box button buttons col container content dark fixed form global group icon icons inner item items large left light link links list main mini outer page panel post posts primary reader right row secondary section site slot small sticky sub text thread toggle top unit user wide wrap wrapper".split())
+#: What a name alone never leaves out: text, whose names are mostly slugs of what it says.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+CONTROLS = frozenset("form input select textarea button".split())
 #: Tags and names whose subtrees are left out whatever they hold.
 ALWAYS = frozenset("head script style noscript template iframe object svg canvas select textarea audio video map datalist xmp noembed noframes title comment comments commentlist disqus respond reply replies".split())
 #: A subtree with this share of the page's text outside links isn't left out for its name or tag.
@@ -70,34 +78,46 @@ RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".s
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "at", "never", "chars", "link_chars", "tags", "link_tags", "density", "total", "held")
+    __slots__ = ("tag", "parent", "at", "never", "named", "linked", "controls", "chars", "link_chars", "tags", "link_tags", "density", "total", "held")
 
     def __init__(self, tag: str, parent: int, at: int):
         self.tag, self.parent, self.at, self.never = tag, parent, at, ""
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
-        self.held = 0  # characters outside links, of what may be left out too
+        self.held = self.linked = 0  # characters outside links and in them, of what may be left out too
+        self.named, self.controls = False, 0  # named in part like what is no content; form controls
 
 
-def _never(tag: str, attributes: str, in_article: bool) -> str:
-    """What says that an element is no content: its tag or a name of it; empty if nothing does."""
+def _never(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
+    """What says that an element is no content, its tag or a name of it, empty if nothing does; and whether a name says so in part.
+
+    A name is one word of a class or an id. It says so if all its parts are of
+    menus, adverts and the like, or of places and shapes (``comment-list``), and in
+    part if only some are (``related-work``). On text it only ever says so in part.
+    """
     if tag in NEVER or (tag == "header" and not in_article):
-        return tag
+        return tag, False
     if not attributes or tag in CONTENT:
-        return ""
+        return "", False
+    partly = False
     for m in _NAMES.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            parts = _PART.findall(value)
-            found = [x for x in parts if x in NEVER_NAMES or (not in_article and x in NEVER_OUTSIDE)]
-            if found:
-                return min(found, key=lambda x: x not in ALWAYS)
+            whole: list[str] = []
+            for word in value.split():
+                parts = _PART.findall(word)
+                found = [x for x in parts if x in NEVER_NAMES or (not in_article and x in NEVER_OUTSIDE)]
+                if found and tag not in TEXT and all(x in NEVER_NAMES or x in NEVER_OUTSIDE or x in PLAIN for x in parts):
+                    whole += found
+                partly = partly or bool(found)
+            if whole:
+                return min(whole, key=lambda x: x not in ALWAYS), False
         elif name == "role":
             if value in NEVER_ROLES:
-                return value
+                return value, False
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return "template"
-    return ""
+            return "template", False
+    return "", partly
 
 
 def parse(html: str) -> tuple[list[_Node], list[tuple[int, str]], list[int]]:
@@ -167,7 +187,7 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[int, str]], list[int]]:
             close_tags(CLOSED_BY_HEAD, frozenset())
         attributes = m[3] if m[2] else m[6]
         node = _Node(tag, stack[-1], len(events))
-        node.never = _never(tag, attributes, articles > 0)
+        node.never, node.named = _never(tag, attributes, articles > 0)
         nodes.append(node)
         ends.append(len(events))
         k = len(nodes) - 1
@@ -200,17 +220,24 @@ def measured(html: str) -> tuple[list[_Node], list[tuple[int, str]], list[int],
         raw[k] = raw[nodes[k].parent] or nodes[k].never in ALWAYS
     sizes = [(k, sum(map(len, unescape(text).split()))) if text and not text.isspace() else (k, 0) for k, text in events]
     for k, size in sizes:
-        if size and not raw[k] and not in_link[k]:
-            nodes[k].held += size
+        if size and not raw[k]:
+            if in_link[k]:
+                nodes[k].linked += size
+            else:
+                nodes[k].held += size
     holds_heading = [False] * n
     for k in range(n - 1, 0, -1):
         up = nodes[k].parent
         nodes[up].held += nodes[k].held
+        nodes[up].linked += nodes[k].linked
+        nodes[up].controls += nodes[k].controls + (nodes[k].tag in CONTROLS)
         if holds_heading[k] or nodes[k].tag in ("article", "main") or (nodes[k].tag == "h1" and nodes[up].tag not in ("header", "nav", "aside", "footer")):
             holds_heading[up] = True
     dropped = [False] * n
     for k in range(1, n):
         why = nodes[k].never
+        if nodes[k].named and (nodes[k].linked > nodes[k].held or (nodes[k].controls and nodes[k].tag not in TEXT)):
+            why = "menu"  # a name in part, and a structure that agrees: mostly links, or a form
         whole = why not in ALWAYS and why != "header" and (holds_heading[k] or nodes[k].held >= NEARLY_ALL * nodes[0].held > 0)
         dropped[k] = dropped[nodes[k].parent] or (why != "" and not whole)
     own = [0] * n
@@ -321,8 +348,8 @@ def extract_text(df: DataFrame, html: str = "html", keep: list[str] | None = Non
 
     Columns of df named ``to`` or ``n_chars`` are replaced; other columns stay as
     they are. Null, empty and blank pages, and pages of nothing but menus, have an
-    empty text. Rows are independent: repeated rows and null ids stay. A page's
-    nodes are kept while it is read, one page at a time, whatever its length.
+    empty text. Rows are independent: repeated rows and null ids stay, an empty
+    table gives none. A page's nodes are kept while it is read, one page at a time, whatever its length.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in (to, n_chars)]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(to, T.StringType()), T.StructField(n_chars, T.LongType())])

@@ -158,6 +158,37 @@ WRAPPED = {
 }
 
 
+#: Names of headings, quotations and sections of a text, as generators of slugs give them.
+SLUGGED = ["<h2 id='social-science'>S</h2>", "<h2 id='related-work'>S</h2>", "<h2 id=menu-planning>S</h2>", "<pre class='language-menu'>S</pre>", "<section class='related-work'><p>S</p></section>", "<blockquote class='notice-of-appeal'>S</blockquote>", "<h3 class=comments id=comments>S</h3>", "<p class=notice>S</p>"]
+
+
+@pytest.mark.parametrize("block", SLUGGED)
+def test_names_of_text_leave_nothing_out(block):
+    for outer in ("article", "div"):
+        assert html_text.main_text(f"<body><nav><a href=x>m</a></nav><{outer}><h1>T</h1><p>{LONG}</p>{block}<p>{LONG}</p></{outer}></body>") == f"T\n{LONG.strip()}\nS\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("block", ["<div class='related-stories-5'><a href=a>one</a> <a href=b>two</a></div>", "<div class='signup-now'>Join <input name=x></div>", "<div class='comment-list'><p>reader</p></div>", "<ul class='share-buttons'><li>Tell</li></ul>", "<div class='ad-banner-top'>Buy</div>"])
+def test_names_with_a_structure_that_agrees(block):
+    assert html_text.main_text(f"<body><article><h1>T</h1><p>{LONG}</p>{block}<p>{LONG}</p></article></body>") == f"T\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!---->", "<!-- x -->", "<!-- a --!>"])
+def test_empty_comments_end_at_once(comment):
+    assert html_text.main_text(f"<article><p>one</p>{comment}<p>two</p><p>three</p></article>") == "one\ntwo\nthree"
+
+
+def test_slugs_on_every_page_change_nothing(spark, sf_dir):
+    """Names of menus, adverts and comments on every heading and paragraph of the test pages."""
+    import itertools
+    import re
+
+    names = itertools.cycle(["related-work", "social-science", "menu-planning", "share-of-trade", "notice-of-appeal", "skip-lists", "ads-in-history", "comments"])
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        named = re.sub(r"<(h1|p)>", lambda m: f'<{m[1]} id="{next(names)}" class="{next(names)}">', r.html)
+        assert html_text.main_text(named) == html_text.main_text(r.html)
+
+
 @pytest.mark.parametrize("name", WRAPPED)
 def test_structure_over_names(name):
     assert html_text.main_text(WRAPPED[name]) == f"T\n{LONG.strip()}\n{LONG.strip()}"
