@@ -50,7 +50,7 @@ from .tokens import balanced, vocabulary_path
 PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 STAND_INS = {"letter": "x", "number": "0", "space": "\t", "other": "!"}
 #: Words whose tokens a worker remembers before it starts anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 #: Words of up to so many bytes are spelt many at once, longer ones alone.
 MOST_BYTES = 64
 #: Bytes of text encoded at once.
@@ -320,13 +320,11 @@ class Codec:
 
     def __init__(self, made: Automaton, special: list[tuple[str, int]], path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.run, self.spelling = made.runner(), Spelling(made)
-        self.path = path
+        self.made, self.path = made, path
         self.special = dict(special)
         self._between = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if special else None
         self._classes: dict[int, str] = {c: chr(c) for c in range(128)}
-        self._ask = None
-        self._forget()
+        self._ask = self.words = None
         labels = [b""] * (1 + max([*made.ids.tolist(), *self.special.values()]))
         for at, t in zip(made.ids.tolist(), made.labels):
             if at >= 0:
@@ -336,6 +334,9 @@ class Codec:
         self.emitted = labels
 
     def _forget(self) -> None:
+        """Start with no words; the tables of encoding are made at first use, decoding needs none."""
+        if self.words is None:
+            self.run, self.spelling = self.made.runner(), Spelling(self.made)
         self.words = Words()
         self.pool, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
         for s in self.special:  # no word is equal to one: the pattern parts letters from other characters
@@ -388,7 +389,7 @@ class Codec:
         """(ids of all texts in order, how many each has). Texts are encoded in batches of bytes; long ones are split where that can't change their ids."""
         total, found = np.zeros(len(texts), np.int64), []
         for owners, batch in balanced(texts, most):
-            if len(self.words) > MOST_WORDS:
+            if self.words is None or len(self.words) > MOST_WORDS:
                 self._forget()
             words: list[str] = []
             behind = []
