@@ -192,3 +192,65 @@ def _signed(table: DataFrame, names: list[str]) -> DataFrame:
     out = materialize(table.select("id", F.array(*turned).alias("v")), "eigenvectors")
     discard(table)
     return out
+
+
+def spectral_entropies(edges: DataFrame, nodes: DataFrame, t_max: int, known: Eigenpairs, probes: int = 24, steps: int = 14, seed: int = 7) -> np.ndarray:
+    """Von Neumann entropies of the powers 1 .. t_max of a symmetric matrix, without its spectrum.
+
+    Stochastic Lanczos quadrature: for random columns v, <v, f(A) v> has a Gauss
+    rule from the moments <v, T_q v>, and its mean over columns is the trace of
+    f(A). ``known`` leading eigenpairs, of which high powers consist, are taken off
+    the columns and counted exactly. The entropy of sigma^t over its sum Z is
+    ln Z - t / Z * sum of sigma^t ln sigma.
+    """
+    n = nodes.count()
+    k = len(known.values)
+    held = materialize(edges.select("i", "j", "w"), "eigen-edges")
+    bound = norm_bound(held) or 1.0
+    before, now = [f"a{c}" for c in range(probes)], [f"b{c}" for c in range(probes)]
+    state = materialize(nodes.select("id", *[normal(seed, F.col("id"), c).alias(now[c]) for c in range(probes)]), "entropy")
+    if k:
+        both = materialize(state.join(known.vectors, "id"), "entropy")
+
+        def onto(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k, probes))
+            for x in batches:
+                if len(x):
+                    total += np.stack(x["v"].to_numpy()).T @ x[now].to_numpy(float)
+            yield pd.DataFrame({"g": [total.ravel()]})
+
+        sums = both.mapInPandas(onto, "g array<double>").select(F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g").alias("g")).orderBy("at").toPandas()
+        share = sums["g"].to_numpy().reshape(k, probes)
+
+        def off(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                if len(x):
+                    yield pd.DataFrame(x[now].to_numpy(float) - np.stack(x["v"].to_numpy()) @ share, columns=now).assign(id=x["id"].to_numpy())[["id", *now]]
+
+        discard(state)
+        state = materialize(both.mapInPandas(off, "id long, " + ", ".join(f"{c} double" for c in now)), "entropy")
+        discard(both)
+    written, first = [], state
+    for step in range(steps):
+        moved = multiply_columns(held, state, now).toDF("id", *[f"m{c}" for c in range(probes)])
+        m = [f"coalesce(m{c}, 0D) * {1 / bound!r}D" for c in range(probes)]
+        state = materialize(state.join(moved, "id", "left").selectExpr("id", *[f"{now[c]} AS {before[c]}" for c in range(probes)], *[f"{m[c] if step == 0 else f'2 * {m[c]} - {before[c]}'} AS {now[c]}" for c in range(probes)]), "entropy")
+        written.append(state)
+    moments = _moments(written, before, now)
+    discard(held, first, *written)
+    sigma, weight = [np.abs(known.values)], [np.ones(k)]
+    total = sum(float(moments[0][c, c]) for c in range(probes)) or 1.0
+    for c in range(probes):
+        own = [m[c : c + 1, c : c + 1] for m in moments]
+        if own[0][0, 0] <= 0:
+            continue
+        values, y, _ = _ritz(own, bound, steps)
+        sigma.append(np.abs(values))
+        weight.append(np.array([sum(y[q, 0, r] * own[q][0, 0] for q in range(steps)) for r in range(y.shape[2])]) ** 2 * max(n - k, 0) / total)
+    s, w = np.concatenate(sigma), np.concatenate(weight)
+    s, w = s[s > 0], w[s > 0]
+    out = []
+    for t in range(1, t_max + 1):
+        z = float(np.sum(w * s**t))
+        out.append(float(np.log(z) - t / z * np.sum(w * s**t * np.log(s))) if z > 0 else 0.0)
+    return np.array(out)

@@ -17,15 +17,13 @@ from pyspark.sql import functions as F
 from ..errors import UnknownOption, WrongDimensions
 from ..functions.curves import fit_ab
 from ..functions.layout_tsne import TsneOptions
+from ..functions.linalg import knee
 from ..materialize import discard, materialize
-from ..operators import affinity, density, edges as E, epochs
+from ..operators import affinity, barnes_hut, density, edges as E, eigen, epochs
 from ..sources.matrix import shape
 from ..sources.synthetic import normal, uniform
-from .params import PacmapParams, TsneParams, UmapParams
-from .pipelines import neighbours, tsne_graph
-
-#: Rounds of the subspace iteration of a spectral start.
-SPECTRAL_ROUNDS = 40
+from .params import DiffusionParams, PacmapParams, TsneParams, UmapParams
+from .pipelines import diffusion_maps_operator, neighbours, tsne_graph
 
 
 def first_two_axes(matrix: DataFrame, span: float) -> DataFrame:
@@ -103,39 +101,19 @@ def _result(state: DataFrame, places: DataFrame) -> DataFrame:
     return state.withColumnRenamed("id", "place").join(places, "place").select("id", F.array("x", "y").alias("x"))
 
 
-def spectral_start(graph: DataFrame, nodes: DataFrame, span: float = 10.0, seed: int = 42, rounds: int = SPECTRAL_ROUNDS) -> DataFrame:
-    """(id, x, y): leading eigenvectors of the normalised graph but the first, by subspace iteration.
+def spectral_start(graph: DataFrame, nodes: DataFrame, span: float = 10.0, seed: int = 42, tolerance: float = 1e-4) -> DataFrame:
+    """(id, x, y): leading eigenvectors of the normalised graph but the first, by ``eigen.extreme_eigenpairs``.
 
-    Each round is one join of the edges with a table of four columns and one sum
-    by node; only its four by four inner products reach the driver. Of the lazy
-    operator (1 + m) / 2, so that eigenvalues are positive. Components need no
-    layout of their own here: their indicators are eigenvectors of 1.
+    Components need no layout of their own here: their indicators are eigenvectors of 1.
     """
-    wide = 4
     scaled = materialize(E.scale_by_degrees(graph, 0.5), "spectral-graph")
-    now = materialize(nodes.select("id", *[normal(seed, F.col("id"), k).alias(f"v{k}") for k in range(wide)]), "spectral")
-    names = [f"v{k}" for k in range(wide)]
-    for turn in range(rounds):
-        moved = scaled.join(now.withColumnRenamed("id", "j"), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"m{c}") for c in names])
-        step = now.join(moved.withColumnRenamed("i", "id"), "id", "left").select("id", *[((F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))) / 2).alias(c) for c in names])
-        before, now = now, materialize(step, "spectral")
-        discard(before)
-        if turn % 4 == 3 or turn == rounds - 1:
-            gram = np.array(now.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names]).first()).reshape(wide, wide).astype(float)
-            values, vectors = np.linalg.eigh(gram)
-            mix = vectors[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300))
-            before, now = now, materialize(now.select("id", *[sum(F.col(names[r]) * float(mix[r, k]) for r in range(wide)).alias(names[k]) for k in range(wide)]), "spectral")
-            discard(before)
-    # Rayleigh quotients order the columns; the largest is the trivial one.
-    moved = scaled.join(now.withColumnRenamed("id", "j"), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"m{c}") for c in names])
-    both = now.join(moved.withColumnRenamed("i", "id"), "id", "left")
-    inner = np.array(both.agg(*[F.sum(F.col(a) * F.coalesce(f"m{b}", F.lit(0.0))).alias(f"{a}{b}") for a in names for b in names]).first()).reshape(wide, wide).astype(float)
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    axes = vectors[:, ::-1][:, 1:3]
-    out = now.select("id", *[sum(F.col(names[r]) * float(axes[r, k]) for r in range(wide)).alias("xy"[k]) for k in range(2)])
+    found = eigen.extreme_eigenpairs(scaled, nodes, 3, tolerance=tolerance, seed=seed).vectors
+    out = found.select("id", *[F.coalesce(F.get("v", F.lit(k + 1)), F.lit(0.0)).alias("xy"[k]) for k in range(2)])
     s = out.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.max(F.abs("x")).alias("tx"), F.max(F.abs("y")).alias("ty")).first()
     top = max(abs(s["tx"]) + abs(s["mx"]), abs(s["ty"]) + abs(s["my"])) or 1.0
-    return out.select("id", *[((F.col(c) - s[f"m{c}"]) * (span / top) + 1e-4 * normal(seed, F.col("id"), c)).alias(c) for c in "xy"])
+    started = materialize(out.select("id", *[((F.col(c) - s[f"m{c}"]) * (span / top) + 1e-4 * normal(seed, F.col("id"), c)).alias(c) for c in "xy"]), "spectral-start")
+    discard(scaled, found)
+    return started
 
 
 def _start(matrix: DataFrame, graph: DataFrame | None, places: DataFrame, kind: str, span: float | None, seed: int) -> DataFrame:
@@ -205,12 +183,21 @@ def pacmap(matrix: DataFrame, p: PacmapParams = PacmapParams(), given: DataFrame
     return _result(state, places)
 
 
+#: Repulsions over tables, by the method's name.
+REPULSIONS = {
+    "exact": lambda p: epochs.tsne_repulsion_exact,
+    "fft": lambda p: partial(epochs.tsne_repulsion_grid, nodes=p.interpolation_points),
+    "bh": lambda p: partial(barnes_hut.repulsion, theta=p.theta),
+    "barnes_hut": lambda p: partial(barnes_hut.repulsion, theta=p.theta),
+}
+
+
 def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """t-SNE by interpolation on a grid, or by all pairs with method ``exact``. An epoch costs a join of the edges with the positions and two passes over these."""
+    """t-SNE by Barnes-Hut, by interpolation on a grid, or by all pairs with method ``exact``. An epoch costs a join of the edges with the positions and some passes over these."""
     if p.n_dim != 2:
         raise WrongDimensions("t-SNE layouts have two dimensions")
-    if p.method not in ("fft", "exact") or p.density > 0:
-        raise UnknownOption("a distributed t-SNE has the methods fft and exact, and no density term")
+    if p.method not in REPULSIONS or p.density > 0:
+        raise UnknownOption(f"a distributed t-SNE has the methods {sorted(REPULSIONS)}, and no density term")
     n, _ = shape(matrix)
     graph, _ = tsne_graph(matrix, p, given)
     places = materialize(_places(matrix), "places")
@@ -218,7 +205,7 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: Dat
     state = _start(matrix, graph, places, p.init, p.init_range, seed)
     state = materialize(state.select("id", "x", "y", *[F.lit(0.0).alias(c) for c in ("ux", "uy")], *[F.lit(1.0).alias(c) for c in ("wx", "wy")]), "layout")
     o = TsneOptions(p.n_epochs, p.lr)
-    repel = epochs.tsne_repulsion_exact if p.method == "exact" else partial(epochs.tsne_repulsion_grid, nodes=p.interpolation_points)
+    repel = REPULSIONS[p.method](p)
     for epoch in range(p.n_epochs):
         forces = []
 
@@ -232,3 +219,21 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: Dat
         discard(state, g, *forces)
         state = moved
     return _result(state, places)
+
+
+def diffusion_maps(matrix: DataFrame, p: DiffusionParams = DiffusionParams(), given: DataFrame | None = None, seed: int = 42, tolerance: float = 1e-4) -> DataFrame:
+    """Diffusion maps of any number of points: eigenvectors by ``eigen.extreme_eigenpairs``, the diffusion time by ``eigen.spectral_entropies`` where none is given.
+
+    Landmarks have no part in it; with them ``pipelines.diffusion_maps`` has no bound either.
+    """
+    nodes = matrix.select("id")
+    op, roots = diffusion_maps_operator(matrix, p, given)
+    op = materialize(op, "diffusion-operator")
+    # Some pairs more than asked for make the entropies of high powers exact.
+    found = eigen.extreme_eigenpairs(op, nodes, p.n_dim + 1 if p.t is not None else p.n_dim + 6, tolerance=tolerance, seed=seed)
+    t = p.t if p.t is not None else max(knee(eigen.spectral_entropies(op, nodes, p.t_max, found)), 1)
+    scale = [float(abs(v) ** t * np.sign(v) ** t) for v in found.values[1 : p.n_dim + 1]]
+    x = F.array(*[F.get("v", F.lit(c + 1)) * f / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0) for c, f in enumerate(scale)])
+    out = materialize(found.vectors.join(roots.withColumnRenamed("i", "id"), "id", "left").select("id", x.alias("x")), "diffusion-maps")
+    discard(op, found.vectors)
+    return out
