@@ -163,10 +163,10 @@ def repulsion(positions: DataFrame, theta: float = 0.5, block_rows: int = BLOCK_
     blocks = blocks_of(positions, low, side, block_rows)
     cells = cells_of(blocks)
     looked = gathered(blocks, cells, theta, side)
-    pairs = None
+    pairs = blocks.limit(0).select(F.col("block").alias("of"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("n"), F.col("x0").alias("cx"), F.col("y0").alias("cy"))
     for part in looked:
         part = part.select(F.col("block").alias("of"), "level", "code", "n", "cx", "cy")
-        pairs = part if pairs is None else pairs.union(part)
+        pairs = pairs.union(part)
 
     def feel(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty:

@@ -36,6 +36,8 @@ LEAST_BLOCK, MOST_BLOCK = 256, 4096
 SCHEMA = "i long, rank int, j long, d double"
 #: Rows that centroids and trees are fitted on: those of the smallest hash. Every row is indexed.
 SAMPLE_ROWS = 100_000
+#: And no more than so many bytes.
+SAMPLE_BYTES = 512 << 20
 #: Centroids in broadcasts and in tasks hold at most so many bytes; more cells than that can't be asked for.
 MOST_CENTRE_BYTES = 256 << 20
 #: Pairs whose distances are computed again at once.
@@ -180,11 +182,12 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
     return hits.select("i", "j", "d").distinct().withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("i", "rank", "j", "d")
 
 
-def _within_cells(points: DataFrame, probes: DataFrame, k: int, metric: str, most: int = MOST_BLOCK) -> DataFrame:
+def _within_cells(points: DataFrame, probes: DataFrame, k: int, metric: str, most: int = MOST_BLOCK, leaf_rows: int | None = None) -> DataFrame:
     """The k nearest of every probe (i, features, cell) among the points (id, features, cell) of its cells.
 
     A cell of more than ``most`` points is dealt into parts, each met by all
-    probes of the cell, so no cell has to fit a task.
+    probes of the cell, so no cell has to fit a task. With ``leaf_rows`` a part of
+    far more points is split further, and a probe meets its leaf of it.
     """
     sizes = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     held = points.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
@@ -199,10 +202,14 @@ def _within_cells(points: DataFrame, probes: DataFrame, k: int, metric: str, mos
         if p.empty or q.empty:
             return pd.DataFrame({"i": pd.Series(dtype="int64"), "rank": pd.Series(dtype="int32"), "j": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
         ids, v = p["p_id"].to_numpy(np.int64), np.stack(p["p_v"].to_numpy()).astype(float)
-        out = []
-        for s in range(0, len(q), 512):
-            i = q["q_i"].to_numpy(np.int64)[s : s + 512]
-            out.append(_rows(i, *nearest_rows(i, np.stack(q["q_v"].to_numpy()[s : s + 512]).astype(float), ids, v, no_neighbours(len(i), k), metric)))
+        i, w = q["q_i"].to_numpy(np.int64), np.stack(q["q_v"].to_numpy()).astype(float)
+        whole = [(np.arange(len(ids)), np.arange(len(i)))]
+        if leaf_rows is not None and len(ids) > 4 * leaf_rows:
+            turn = _unit if metric == "cosine" else np.asarray
+            tree = Planes(turn(v), leaf_rows, np.random.default_rng(len(ids)))
+            a, b = tree.leaf(turn(v)), tree.leaf(turn(w))
+            whole = [(np.flatnonzero(a == leaf), np.flatnonzero(b == leaf)) for leaf in np.unique(b)]
+        out = [_rows(i[t], *nearest_rows(i[t], w[t], ids[s], v[s], no_neighbours(len(t), k), metric)) for s, t in whole]
         return pd.concat(out)
 
     # Names of their own on each side: both may stem from one table.
@@ -213,8 +220,9 @@ def _within_cells(points: DataFrame, probes: DataFrame, k: int, metric: str, mos
 
 
 def _sampled(held: DataFrame, n: int) -> np.ndarray:
-    """Features of at most SAMPLE_ROWS rows, those of the smallest hash, as one array."""
-    some = held if n <= SAMPLE_ROWS else held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    """Features of at most SAMPLE_ROWS rows and SAMPLE_BYTES, those of the smallest hash, as one array."""
+    many = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(1, shape(held)[1])))
+    some = held if n <= many else held.orderBy(F.xxhash64("id"), "id").limit(many)
     return np.stack(some.orderBy("id").toPandas()["features"].to_numpy()).astype(float)
 
 
@@ -229,7 +237,12 @@ def _nearest_centre(v: np.ndarray, centres: np.ndarray, many: int = 1) -> np.nda
     out = np.empty((len(v), many), np.int32)
     for s in range(0, len(v), 1024):
         d = (centres * centres).sum(1)[None] - 2 * (v[s : s + 1024] @ centres.T)
-        out[s : s + 1024] = np.argsort(d, axis=1, kind="stable")[:, :many]
+        if many == 1:
+            out[s : s + 1024, 0] = d.argmin(1)
+            continue
+        some = np.argpartition(d, many - 1, axis=1)[:, :many] if many < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        order = np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable")
+        out[s : s + 1024] = np.take_along_axis(some, order, 1)
     return out
 
 
@@ -271,10 +284,11 @@ def ball_centres(v: np.ndarray, n_cells: int, seed: int) -> np.ndarray:
 
 
 def _n_cells(n: int, dims: int, asked: int | None) -> int:
-    cells = min(asked or max(1, round(math.sqrt(n))), n, SAMPLE_ROWS)
-    if cells * dims * 8 > MOST_CENTRE_BYTES:
-        raise ValueError(f"{cells} centroids of {dims} dimensions are more than {MOST_CENTRE_BYTES} bytes")
-    return cells
+    """As many cells as asked for, at most one a row; sqrt(n) by default, or as many as fit the sample and a broadcast. More can't be asked for."""
+    most = max(1, min(SAMPLE_ROWS, MOST_CENTRE_BYTES // (8 * max(1, dims)), SAMPLE_BYTES // (8 * max(1, dims))))
+    if asked and min(asked, n) > most:
+        raise ValueError(f"{asked} centroids of {dims} dimensions; at most {most} are fitted")
+    return max(1, min(asked or max(1, round(math.sqrt(n))), n, most))
 
 
 def _celled(held: DataFrame, centres: np.ndarray, metric: str, many: int = 1) -> DataFrame:
@@ -290,16 +304,49 @@ def _celled(held: DataFrame, centres: np.ndarray, metric: str, many: int = 1) ->
     return materialize(held.mapInPandas(probe, "id long, features array<double>, cells array<int>"), "cells")
 
 
+#: Rows whose true neighbours say how many cells have to be looked into, and the share of these to be found.
+TUNING_ROWS, TUNED_RECALL = 256, 0.95
+
+
+def _probes_for(held: DataFrame, at: DataFrame, centres: np.ndarray, k: int, metric: str) -> int:
+    """The least number of nearest cells that hold TUNED_RECALL of the true neighbours of TUNING_ROWS rows, those of the smallest hash."""
+    asked = materialize(held.orderBy(F.xxhash64("id"), "id").limit(TUNING_ROWS), "tuning")
+    true = nearest_of(asked, held, k + 1, metric).where("i <> j")
+    cells = true.join(at.select(F.col("id").alias("j"), F.element_at("cells", 1).alias("cell")), "j").select("i", "cell").toPandas()
+    rows = asked.toPandas()
+    discard(asked)
+    if not len(cells):
+        return 1
+    v = np.stack(rows["features"].to_numpy()).astype(float)
+    order = _nearest_centre(_unit(v) if metric == "cosine" else v, centres, len(centres))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centres), dtype=order.dtype), order.shape), 1)
+    number = dict(zip(rows["id"], range(len(rows))))
+    needed = np.sort(place[cells["i"].map(number).to_numpy(), cells["cell"].to_numpy()])
+    return int(needed[min(len(needed) - 1, math.ceil(TUNED_RECALL * len(needed)))]) + 1
+
+
 def ivf(matrix: DataFrame, k: int, metric: str = "euclidean", n_list: int | None = None, n_probes: int | None = None, seed: int = 42) -> DataFrame:
-    """Inverted lists: k-means cells, sqrt(n) unless ``n_list`` says otherwise, and each row looks into its nearest ``n_probes``."""
+    """Inverted lists: k-means cells, sqrt(n) unless ``n_list`` says otherwise, and each row looks into its nearest ``n_probes``.
+
+    By default as many as a sample's true neighbours need: few where rows have
+    clusters, most where they have none, for there no cell is far from a row's neighbours.
+    """
     held = materialize(matrix.select("id", "features"), "ivf")
     n, dims = shape(held)
     n_list = _n_cells(n, dims, n_list)
-    n_probes = min(n_probes or max(1, round(math.sqrt(n_list)) + 1), n_list)
     sample = _sampled(held, n)
-    at = _celled(held, k_means(_unit(sample) if metric == "cosine" else sample, n_list, seed), metric, n_probes)
+    centres = k_means(_unit(sample) if metric == "cosine" else sample, n_list, seed)
+    at = None
+    if n_probes is None:
+        at = _celled(held, centres, metric)
+        n_probes = _probes_for(held, at, centres, k, metric)
+        discard(at)
+    at = _celled(held, centres, metric, min(n_probes, n_list))
     points = at.select("id", "features", F.element_at("cells", 1).alias("cell"))
-    return _within_cells(points, at.select(F.col("id").alias("i"), "features", F.explode("cells").alias("cell")), k, metric)
+    out = materialize(_within_cells(points, at.select(F.col("id").alias("i"), "features", F.explode("cells").alias("cell")), k, metric), "ivf-neighbours")
+    discard(held, at)
+    return out
 
 
 def pruned(matrix: DataFrame, k: int, metric: str, fit, n_list: int | None, budget: float = 1.0, seed: int = 42) -> DataFrame:
@@ -364,7 +411,9 @@ def pruned(matrix: DataFrame, k: int, metric: str, fit, n_list: int | None, budg
 
     probes = points.join(bounds, "id", "left").mapInPandas(look, "i long, features array<double>, cells array<int>")
     more = _within_cells(points, probes.select("i", "features", F.explode("cells").alias("cell")), k, metric)
-    return _top(own.unionByName(more), k)
+    out = materialize(_top(own.unionByName(more), k), "pruned-neighbours")
+    discard(held, at, points, own)
+    return out
 
 
 def kmknn(matrix: DataFrame, k: int, metric: str = "euclidean", n_list: int | None = None, seed: int = 42) -> DataFrame:
@@ -377,53 +426,177 @@ def ball_tree(matrix: DataFrame, k: int, metric: str = "euclidean", n_list: int
     return pruned(matrix, k, metric, ball_centres, n_list, bt_budget, seed)
 
 
+class Planes:
+    """A tree of hyperplanes, each midway between two rows of its own node, as flat arrays.
+
+    ``below`` (nodes, 2): the node on either side of the plane, or ~leaf. Of a few
+    drawn pairs the one that halves the node best is taken; a plane that leaves
+    less than a tenth on a side moves to the median; rows at one place are a leaf.
+    """
+
+    def __init__(self, v: np.ndarray, leaf_rows: int, rng: np.random.Generator, tries: int = 3):
+        self.normal, self.offset, self.below = [], [], []
+        self.leaves = 0
+        todo = [(np.arange(len(v)), -1, 0)]
+        while todo:
+            rows, parent, side = todo.pop()
+            found = None
+            if len(rows) > leaf_rows:
+                for _ in range(tries):
+                    a, b = v[rng.choice(rows, 2, replace=False)]
+                    normal = a - b
+                    at = v[rows] @ normal
+                    share = (at > normal @ (a + b) / 2).mean()
+                    if normal.any() and (found is None or abs(share - 0.5) < abs(found[3] - 0.5)):
+                        found = normal, normal @ (a + b) / 2, at, share
+            if found is not None:
+                normal, offset, at, share = found
+                if not 0.1 <= share <= 0.9:
+                    offset = np.median(at)
+                right = at > offset
+                if not right.any() or right.all():
+                    found = None
+            if found is None:
+                here, self.leaves = ~self.leaves, self.leaves + 1
+            else:
+                here = len(self.below)
+                self.normal.append(normal)
+                self.offset.append(offset)
+                self.below.append([0, 0])
+                todo += [(rows[~right], here, 0), (rows[right], here, 1)]
+            if parent >= 0:
+                self.below[parent][side] = here
+        self.normal = np.array(self.normal).reshape(len(self.below), v.shape[1])
+        self.offset, self.below = np.array(self.offset), np.array(self.below, np.int64).reshape(-1, 2)
+        self.scale = np.sqrt((self.normal**2).sum(1))
+
+    def _down(self, v: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The leaf below a node of each row; and the least distance from a plane on the way, and the node on its other side."""
+        node, margin, other = node.copy(), np.full(len(v), np.inf), np.full(len(v), -1, np.int64)
+        going = np.flatnonzero(node >= 0)
+        while len(going):
+            at = node[going]
+            gap = np.einsum("nd,nd->n", v[going], self.normal[at]) - self.offset[at]
+            side = (gap > 0).astype(int)
+            near = np.abs(gap) / self.scale[at]
+            closer = near < margin[going]
+            margin[going[closer]], other[going[closer]] = near[closer], self.below[at[closer], 1 - side[closer]]
+            node[going] = self.below[at, side]
+            going = going[node[going] >= 0]
+        return ~node, margin, other
+
+    def leaf(self, v: np.ndarray) -> np.ndarray:
+        """Each row's leaf."""
+        return self._down(v, np.full(len(v), 0 if len(self.below) else -1))[0]
+
+    def both_sides(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's leaf; the one it reaches beyond the plane that it is nearest to; and how near it is."""
+        own, margin, other = self._down(v, np.full(len(v), 0 if len(self.below) else -1))
+        return own, np.where(np.isfinite(margin), self._down(v, np.where(np.isfinite(margin), other, -1))[0], own), margin
+
+
 def projection_forest(matrix: DataFrame, k: int, metric: str = "euclidean", n_trees: int = 50, leaf_rows: int = 64, seed: int = 42) -> DataFrame:
-    """Random hyperplanes through the mean: rows that share a leaf of some tree are candidates."""
-    n, dims = shape(matrix)
-    depth = max(0, math.ceil(math.log2(max(1, n / leaf_rows))))
-    mean = matrix.select(F.posexplode("features")).groupBy("pos").agg(F.avg("col")).orderBy("pos").toPandas().iloc[:, 1].to_numpy()
-    planes = np.random.default_rng(seed).standard_normal((n_trees, depth, dims))
-    sent = matrix.sparkSession.sparkContext.broadcast((mean, planes))
+    """Trees of hyperplanes: rows that share a leaf of some tree are candidates.
+
+    Each node's plane lies midway between two rows of that node. The upper levels
+    are grown on a sample and broadcast, at most MOST_CENTRE_BYTES in all; in a task
+    a leaf of far more than ``leaf_rows`` rows is split further in the same way.
+    A row looks into its leaf of every tree, and into the leaf beyond the plane it
+    is nearest to in the half of the trees where it is nearest to one.
+    """
+    held = materialize(matrix.select("id", "features"), "forest-rows")
+    n, dims = shape(held)
+    sample = _sampled(held, n)
+    sample = _unit(sample) if metric == "cosine" else sample
+    # A leaf has about twice as many rows as a plane's bytes allow nodes.
+    least = max(leaf_rows * len(sample) / n, 16.0, 2.0 * len(sample) * n_trees * dims * 8 / MOST_CENTRE_BYTES)
+    rng = np.random.default_rng(seed)
+    sent = matrix.sparkSession.sparkContext.broadcast([Planes(sample, math.ceil(least), rng) for _ in range(n_trees)])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean, planes = sent.value
         for b in batches:
-            v = np.stack(b["features"].to_numpy()).astype(float) - mean if len(b) else np.empty((0, dims))
-            bits = np.einsum("nd,tkd->ntk", v, planes) > 0
-            code = (bits * (1 << np.arange(depth, dtype=np.int64))).sum(2) + (np.arange(n_trees, dtype=np.int64) << 40)
-            yield pd.DataFrame({"id": b["id"], "features": b["features"], "cells": list(code)})
-
-    at = materialize(matrix.mapInPandas(leaves, "id long, features array<double>, cells array<long>"), "forest")
+            if not len(b):
+                continue
+            v = np.stack(b["features"].to_numpy()).astype(float)
+            w = _unit(v) if metric == "cosine" else v
+            own, other, margin = (np.stack(x, 1) for x in zip(*(t.both_sides(w) for t in sent.value)))
+            number = np.arange(len(sent.value), dtype=np.int64) << 40
+            near = np.argsort(margin, axis=1, kind="stable")[:, : (len(sent.value) + 1) // 2]
+            more = np.take_along_axis(other + number, near, 1)
+            yield pd.DataFrame({"id": b["id"], "features": b["features"], "cells": list(own + number), "more": list(more)})
+
+    at = materialize(held.mapInPandas(leaves, "id long, features array<double>, cells array<long>, more array<long>"), "forest")
     points = at.select("id", "features", F.explode("cells").alias("cell"))
-    return _within_cells(points, points.withColumnRenamed("id", "i"), k, metric)
+    asked = at.select(F.col("id").alias("i"), "features", F.explode(F.array_distinct(F.concat("cells", "more"))).alias("cell"))
+    out = materialize(_within_cells(points, asked, k, metric, leaf_rows=leaf_rows), "forest-neighbours")
+    discard(held, at)
+    return out
 
 
-def nn_descent(matrix: DataFrame, k: int, metric: str = "euclidean", delta: float = 0.001, max_rounds: int = 12, candidates: int | None = None, diversify_prob: float = 0.0, seed: int = 42) -> DataFrame:
-    """A neighbour of a neighbour is likely a neighbour: joins of the neighbour table with itself until few entries change.
+def _local_pairs(members: DataFrame, metric: str) -> DataFrame:
+    """(i, j, d): pairs of rows around one node that are near enough for i: members are (via, i, features, kth).
+
+    Rows come in the order of ``via``; those around one are compared as a block, so
+    a vector travels once for each node it lies around, not once a pair.
+    """
+    ordered = members.select("via", "i", "kth", "features").repartition("via").sortWithinPartitions("via", "i")
+
+    def block(ids: np.ndarray, kth: np.ndarray, v: np.ndarray):
+        if metric == "euclidean":
+            s = (v * v).sum(1)
+            near = s[:, None] + s[None] - 2 * (v @ v.T)
+            slack = 1e-9 * (s[:, None] + s[None])
+        else:
+            u = _unit(v)
+            near, slack = 1 - u @ u.T, 1e-9
+            zero = ~v.any(1)
+            near[zero] = near[:, zero] = 0
+        return np.nonzero((near <= kth[:, None] + slack) & (ids[:, None] != ids[None]))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            part = [b.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+            v = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            part.append(v)
+            if kept is not None:
+                part = [np.concatenate([x, y]) for x, y in zip(kept, part)]
+            cut = np.flatnonzero(np.concatenate([[True], part[0][1:] != part[0][:-1]]))
+            yield from found(part, cut[:-1], cut[-1])
+            kept = [x[cut[-1] :] for x in part]  # the last group may go on
+        if kept is not None and len(kept[0]):
+            yield from found(kept, np.array([0]), len(kept[0]))
+
+    def found(part, cut, end) -> Iterator[pa.RecordBatch]:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for a, z in zip(cut, [*cut[1:], end]):
+            if z - a > 1:
+                ids, kth, v = part[1][a:z], part[2][a:z], part[3][a:z]
+                r, c = block(ids, kth, v)
+                d = _pair_distances(v[r], v[c], metric)
+                near = d <= kth[r]
+                out.append((ids[r[near]], ids[c[near]], d[near]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["i", "j", "d"])
+
+    return ordered.mapInArrow(pairs, "i long, j long, d double")
+
+
+def nn_descent(matrix: DataFrame, k: int, metric: str = "euclidean", delta: float = 0.001, max_rounds: int = 12, candidates: int | None = None, diversify_prob: float = 0.0, seed: int = 42, wide: int | None = None) -> DataFrame:
+    """A neighbour of a neighbour is likely a neighbour: rows around one node are compared with each other until few entries change.
+
+    Lists of ``wide`` neighbours (default 2 k) are refined, of which the first k are
+    given: rows that are in few others' short lists are found by longer ones.
 
     ``candidates`` bounds the neighbours of a node, forward and reverse, that take
-    part in a round, chosen by a hash that each round draws anew (default 2 k);
-    ``diversify_prob`` is the share of seeded random ones added to them.
+    part in a round, chosen by a hash that each round draws anew (default twice ``wide``,
+    50 at least); ``diversify_prob`` is the share of seeded random ones added to them.
     """
     matrix = materialize(matrix.select("id", "features"), "nn-descent-rows")
     n, _ = shape(matrix)
-    candidates = candidates or 2 * k
-    start = projection_forest(matrix, k, metric, n_trees=4, leaf_rows=max(32, 2 * k), seed=seed)
-    now = materialize(start, "nn-descent")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        a = matrix.select(F.col("id").alias("i"), F.col("features").alias("a"))
-        b = matrix.select(F.col("id").alias("j"), F.col("features").alias("b"))
-
-        def batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                if not len(p):
-                    continue
-                x, y = (np.stack(p[c].to_numpy()).astype(float) for c in "ab")
-                yield pd.DataFrame({"i": p["i"], "j": p["j"], "d": _pair_distances(x, y, metric)})
-
-        return pairs.join(a, "i").join(b, "j").select("i", "j", "a", "b").mapInPandas(batch, "i long, j long, d double")
-
+    asked, k = k, min(max(n - 1, 1), max(k, wide or 2 * k))
+    candidates = candidates or max(50, 2 * k)
+    now = projection_forest(matrix, k, metric, n_trees=4, leaf_rows=max(32, 2 * k), seed=seed)
+    vectors = matrix.select(F.col("id").alias("i"), "features")
     for turn in range(max_rounds):
         around = mirrored(now).distinct()
         if diversify_prob > 0:
@@ -432,16 +605,19 @@ def nn_descent(matrix: DataFrame, k: int, metric: str = "euclidean", delta: floa
             around = around.union(drawn.where(F.pmod(F.xxhash64("i", "j", F.lit(turn)), F.lit(1000)) < round(1000 * diversify_prob))).distinct()
         # Reverse lists of hubs are longer than a round takes; each round draws others of them.
         by = Window.partitionBy("i").orderBy(F.xxhash64("i", "j", F.lit(seed + turn)))
-        around = around.withColumn("r", F.row_number().over(by)).where(F.col("r") <= candidates).drop("r")
-        steps = around.select(F.col("j").alias("via"), "i").join(around.select(F.col("i").alias("via"), "j"), "via").where("i <> j").select("i", "j").distinct()
-        fresh = steps.join(now, ["i", "j"], "left_anti")
-        after = materialize(_top(now.select("i", "j", "d").union(measured(fresh)), k), "nn-descent")
+        around = around.withColumn("r", F.row_number().over(by)).where(F.col("r") <= candidates).select(F.col("i").alias("via"), F.col("j").alias("i"))
+        # A node lies around itself too: its neighbours' reverse edges are tried with it.
+        around = around.union(matrix.select(F.col("id").alias("via"), F.col("id").alias("i")))
+        kth = now.groupBy("i").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("kth"))
+        members = around.join(vectors, "i").join(kth, "i", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
+        after = materialize(_top(now.select("i", "j", "d").union(_local_pairs(members, metric)), k), "nn-descent")
         changed = after.join(now, ["i", "j"], "left_anti").count()
         discard(now)
         now = after
         if changed <= delta * n * k:
             break
-    return now
+    discard(matrix)
+    return now.where(F.col("rank") <= asked)
 
 
 def hnsw(matrix: DataFrame, k: int, metric: str = "euclidean", m: int = 16, ef_construction: int = 200, ef_search: int = 100, seed: int = 42) -> DataFrame:
@@ -453,8 +629,7 @@ def hnsw(matrix: DataFrame, k: int, metric: str = "euclidean", m: int = 16, ef_c
     links taken; ``ef_search`` widens the graph that the answer is read from.
     """
     links = max(k, m, min(ef_search, 2 * max(k, m)))
-    graph = nn_descent(matrix, links, metric, candidates=max(links, math.isqrt(ef_construction) + 1), seed=seed)
-    return graph.where(F.col("rank") <= k)
+    return nn_descent(matrix, k, metric, candidates=max(2 * links, math.isqrt(ef_construction) + 1), seed=seed, wide=links)
 
 
 #: Search names and what runs them.

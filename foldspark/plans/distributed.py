@@ -20,6 +20,7 @@ from ..functions.layout_tsne import TsneOptions
 from ..functions.linalg import knee
 from ..materialize import discard, materialize
 from ..operators import affinity, barnes_hut, density, edges as E, eigen, epochs
+from ..operators.svd import principal_scores
 from ..sources.matrix import shape
 from ..sources.synthetic import normal, uniform
 from .params import DiffusionParams, PacmapParams, TsneParams, UmapParams
@@ -28,38 +29,7 @@ from .pipelines import diffusion_maps_operator, neighbours, tsne_graph
 
 def first_two_axes(matrix: DataFrame, span: float) -> DataFrame:
     """(id, x, y): scores on the first two principal axes, scaled to a deviation of ``span``. Only the covariance reaches the driver."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
-    from ..functions.linalg import fix_signs
-
-    held = matrix.select("id", "features", array_to_vector("features").alias("v"))
-    mean = np.array(held.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray())
-    dims = len(mean)
-    if dims < 2:
-        raise WrongDimensions("a start by principal axes needs two features")
-
-    def outer(batches):
-        import pandas as pd
-
-        total = np.zeros((dims, dims))
-        for b in batches:
-            if len(b):
-                x = np.stack(b["features"].to_numpy()) - mean
-                total += x.T @ x
-        yield pd.DataFrame({"k": np.arange(dims), "row": list(total)})
-
-    parts = held.select("features").mapInPandas(outer, "k long, row array<double>")
-    rows = parts.select("k", F.posexplode("row").alias("p", "x")).groupBy("k", "p").agg(F.sum("x").alias("x")).toPandas()
-    cov = np.zeros((dims, dims))
-    cov[rows["k"], rows["p"]] = rows["x"]
-    values, axes = np.linalg.eigh(cov)
-    axes = fix_signs(axes[:, np.argsort(-values, kind="stable")[:2]])
-
-    def score(k: int) -> Column:
-        return F.aggregate(F.zip_with(F.col("features"), F.lit([float(v) for v in axes[:, k]]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - float(mean @ axes[:, k])
-
-    scores = held.select("id", score(0).alias("x"), score(1).alias("y"))
+    scores = principal_scores(matrix, 2).select("id", F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
     sd = scores.agg(F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y")).first()
     return scores.select("id", *[(F.col(c) * (span / (sd[c] or 1.0))).alias(c) for c in "xy"])
 
@@ -138,7 +108,7 @@ def umap(matrix: DataFrame, p: UmapParams = UmapParams(), given: DataFrame | Non
     near = neighbours(matrix, p.k, given, p.knn)
     places = materialize(_places(matrix), "places")
     union = materialize(affinity.umap_graph(near, p.k, p.local_connectivity, p.mix, None), "umap-union")
-    graph = materialize(_placed(E.prune(union, p.n_epochs), places, "w"), "umap-graph")
+    graph = materialize(_placed(E.prune(union, p.prune_epochs or p.n_epochs), places, "w"), "umap-graph")
     schedule = materialize(epochs.umap_schedule(graph), "schedule")
     state = materialize(_state(_start(matrix, graph, places, p.init, p.init_range, seed)), "layout")
     original = None

@@ -55,6 +55,7 @@ class UmapParams:
     local_connectivity: float = 1.0
     mix: float = 1.0
     n_epochs: int = 500
+    prune_epochs: int | None = None  # edges too weak to be sampled in so many epochs are left out; None: n_epochs
     negatives: int = 5
     lr: float = 1.0
     gamma: float = 1.0
@@ -155,6 +156,7 @@ class ParametricParams:
     spread: float = 1.0
     lr: float = 0.001
     n_epochs: int = 500
+    prune_epochs: int | None = None
     batch: int = 256
     negatives: int = 5
     correlation: float = 0.0

@@ -22,6 +22,7 @@ from ..functions.mlp import Mlp, TrainOptions, train
 from ..materialize import materialize
 from ..operators import affinity, density, diffusion, edges as E, epochs
 from ..operators.knn import distances, knn, parse_search
+from ..operators.svd import principal_scores
 from ..sources.matrix import shape
 from .params import DiffusionParams, KnnParams, ParametricParams, PacmapParams, PhateParams, TsneParams, UmapParams
 
@@ -29,8 +30,6 @@ from .params import DiffusionParams, KnnParams, ParametricParams, PacmapParams,
 MOST_POINTS = 2_000_000
 #: Points whose distances are held as one dense matrix: 800 MB.
 MOST_DENSE = 10_000
-#: Rows times dimensions of features on the driver: 1.6 GB.
-MOST_FEATURES = 200_000_000
 #: Components whose means are laid out spectrally, as one dense matrix.
 MOST_PARTS = 2000
 
@@ -158,7 +157,7 @@ def spectral_start(i, j, w, means, n: int, n_dim: int, seed: int, span: float =
 
 
 def start(kind: str, span: float | None, i, j, w, at: Numbered, matrix: DataFrame, n_dim: int, seed: int, randomised: bool = False) -> np.ndarray:
-    """Only a principal-axes start brings the features to the driver; a spectral one the means of components."""
+    """A spectral start brings the means of components to the driver, a principal-axes one the scores; none the features."""
     n = at.n
     if kind == "spectral":
         return spectral_start(i, j, w, lambda part: at.means(matrix, part), n, n_dim, seed, 10.0 if span is None else span)
@@ -166,11 +165,8 @@ def start(kind: str, span: float | None, i, j, w, at: Numbered, matrix: DataFram
         half = 10.0 if span is None else span
         return np.random.default_rng(seed).uniform(-half, half, (n, n_dim))
     if kind == "pca":
-        bounded(n * at.dims, MOST_FEATURES, "features on the driver for a principal-axes start, rows times dimensions,")
-        x = at.features(matrix)
-        scores = linalg.pca(x, min(n_dim, x.shape[1]), randomised, seed)
-        if scores.shape[1] < n_dim:
-            raise WrongDimensions("a PCA start needs as many features as dimensions")
+        rows = principal_scores(matrix, n_dim, randomised, seed).toPandas().sort_values("id")
+        scores = np.stack(rows["v"].to_numpy())
         sd = scores.std(0)
         return (scores - scores.mean(0)) / np.where(sd > 0, sd, 1) * (1.0 if span is None else span)
     raise UnknownOption(f"no start {kind!r}; there are spectral, pca and random")
@@ -189,7 +185,7 @@ def _density(matrix: DataFrame, graph: DataFrame, near: DataFrame, at: Numbered,
 def umap_graph(matrix: DataFrame, p: UmapParams = UmapParams(), given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(fuzzy graph, neighbours)."""
     near = neighbours(matrix, p.k, given, p.knn)
-    return materialize(affinity.umap_graph(near, p.k, p.local_connectivity, p.mix, p.n_epochs), "umap-graph"), near
+    return materialize(affinity.umap_graph(near, p.k, p.local_connectivity, p.mix, p.prune_epochs or p.n_epochs), "umap-graph"), near
 
 
 def umap(matrix: DataFrame, p: UmapParams = UmapParams(), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
@@ -394,7 +390,7 @@ def diffusion_maps(matrix: DataFrame, p: DiffusionParams = DiffusionParams(), gi
 
 def train_encoder(matrix: DataFrame, p: ParametricParams = ParametricParams(), given: DataFrame | None = None, seed: int = 42) -> Mlp:
     """The encoder of parametric UMAP, trained on the edges of the fuzzy graph."""
-    u = UmapParams(p.n_dim, p.k, p.knn, min_dist=p.min_dist, spread=p.spread, n_epochs=p.n_epochs)
+    u = UmapParams(p.n_dim, p.k, p.knn, min_dist=p.min_dist, spread=p.spread, n_epochs=p.n_epochs, prune_epochs=p.prune_epochs)
     graph, _ = umap_graph(matrix, u, given)
     at = Numbered(matrix)
     i, j, _ = at.edges(graph)

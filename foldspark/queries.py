@@ -18,7 +18,7 @@ from .functions import linalg
 from .functions.curves import fit_ab
 from .functions.hashing import draw_column, draw_sql
 from .materialize import materialize
-from .operators import affinity, barnes_hut, density, diffusion, edges as E, eigen, epochs, vectors
+from .operators import affinity, barnes_hut, density, diffusion, edges as E, eigen, epochs, svd, vectors
 from .operators.knn import knn
 from .plans import distributed, pipelines
 from .plans.params import DiffusionParams, KnnParams, PacmapParams, ParametricParams, PhateParams, TsneParams, UmapParams, densmap_params, densne_params
@@ -676,16 +676,20 @@ def _method(name: str, f) -> None:
 FEW_EPOCHS = 4
 #: Epochs of the t-SNE queries (the default is 1000), of sequential UMAP (500), and epochs and layers of the encoder (500; three of 128): parameters too, README has the costs.
 TSNE_EPOCHS, SEQUENTIAL_EPOCHS, ENCODER_EPOCHS, ENCODER_LAYERS = 300, 20, 5, (32, 32)
+#: Graphs are pruned as for all epochs, and PaCMAP goes through its three phases.
+ALL_EPOCHS, FEW_PHASES = UmapParams().n_epochs, (1, 2)
 
 _method("umap", lambda s, d: pipelines.umap(embeddings(s, d)))
 _method("umap_gpu_rule", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="adam_gpu", knn=KnnParams("nndescent_gpu"))))
-_method("umap_sgd", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="sgd", n_epochs=SEQUENTIAL_EPOCHS)))
-_method("umap_adam", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="adam", n_epochs=SEQUENTIAL_EPOCHS)))
-_method("umap_distributed", lambda s, d: distributed.umap(embeddings(s, d), replace(UmapParams(), n_epochs=FEW_EPOCHS)))
+_method("umap_sgd", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="sgd", n_epochs=SEQUENTIAL_EPOCHS, prune_epochs=ALL_EPOCHS)))
+_method("umap_adam", lambda s, d: pipelines.umap(embeddings(s, d), UmapParams(optimiser="adam", n_epochs=SEQUENTIAL_EPOCHS, prune_epochs=ALL_EPOCHS)))
+_method("umap_distributed", lambda s, d: distributed.umap(embeddings(s, d), replace(UmapParams(), n_epochs=FEW_EPOCHS, prune_epochs=ALL_EPOCHS)))
 _method("densmap", lambda s, d: pipelines.umap(embeddings(s, d), densmap_params()))
 _method("tsne", lambda s, d: pipelines.tsne(embeddings(s, d), TsneParams(n_epochs=TSNE_EPOCHS)))
 _method("tsne_fft", lambda s, d: pipelines.tsne(embeddings(s, d), TsneParams(method="fft", n_epochs=TSNE_EPOCHS)))
 _method("tsne_distributed", lambda s, d: distributed.tsne(embeddings(s, d), TsneParams(method="fft", n_epochs=FEW_EPOCHS)))
+_method("tsne_tree_distributed", lambda s, d: distributed.tsne(embeddings(s, d), TsneParams(n_epochs=FEW_EPOCHS)))
+_method("diffusion_maps_distributed", lambda s, d: distributed.diffusion_maps(embeddings(s, d)))
 _method("tsne_repulsion_grid", lambda s, d: epochs.tsne_repulsion_grid(_positions(s, d)))
 _method("densne", lambda s, d: pipelines.tsne(embeddings(s, d), densne_params(n_epochs=TSNE_EPOCHS)))
 _method("phate", lambda s, d: pipelines.phate(embeddings(s, d)))
@@ -693,10 +697,10 @@ _method("phate_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateP
 _method("phate_spectral_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, mds="classic")))
 _method("phate_density_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, landmarks="density", mds="classic")))
 _method("pacmap", lambda s, d: pipelines.pacmap(embeddings(s, d)))
-_method("pacmap_distributed", lambda s, d: distributed.pacmap(embeddings(s, d), replace(PacmapParams(), n_epochs=FEW_EPOCHS)))
+_method("pacmap_distributed", lambda s, d: distributed.pacmap(embeddings(s, d), replace(PacmapParams(), n_epochs=FEW_EPOCHS, phases=FEW_PHASES)))
 _method("diffusion_maps", lambda s, d: pipelines.diffusion_maps(embeddings(s, d)))
 _method("diffusion_maps_landmarks", lambda s, d: pipelines.diffusion_maps(embeddings(s, d), DiffusionParams(n_landmarks=50, landmarks="random")))
-_method("parametric_umap", lambda s, d: pipelines.parametric_umap(embeddings(s, d), ParametricParams(hidden=ENCODER_LAYERS, n_epochs=ENCODER_EPOCHS)))
+_method("parametric_umap", lambda s, d: pipelines.parametric_umap(embeddings(s, d), ParametricParams(hidden=ENCODER_LAYERS, n_epochs=ENCODER_EPOCHS, prune_epochs=ALL_EPOCHS)))
 _method("knn_hnsw", lambda s, d: knn(embeddings(s, d), K, "hnsw"))
 _method("knn_ivf", lambda s, d: knn(embeddings(s, d), K, "ivf"))
 _method("knn_annoy", lambda s, d: knn(embeddings(s, d), K, "annoy"))
@@ -724,8 +728,25 @@ for _kind in ("spectral", "pca", "random"):
 
 @query()
 def randomised_svd(spark, d):
-    _, s, _ = linalg.randomised_svd(pipelines.Numbered(embeddings(spark, d)).features(embeddings(spark, d)), 5)
-    return spark.createDataFrame(pd.DataFrame({"k": np.arange(len(s)), "s": s}))
+    found = svd.dense_svd(embeddings(spark, d), 5)
+    return spark.createDataFrame(pd.DataFrame({"k": np.arange(5), "s": found.values}))
+
+
+@query(sql(f"SELECT p::INTEGER AS p, q::INTEGER AS q, {_r('sum(v[p + 1] * v[q + 1])', 9)} AS w FROM pts, range(4) a(p), range(4) b(q) GROUP BY p, q", PTS))
+def triangular_factor(spark, d):
+    """The products of the factor of four columns with itself: what a QR decomposition by tree reduction must keep."""
+    names = [f"c{c}" for c in range(4)]
+    r = svd.tsqr(embeddings(spark, d).select(*[F.get("features", F.lit(c)).alias(n) for c, n in enumerate(names)]), names)
+    g = r.T @ r
+    return rounded(spark.createDataFrame([(p, q, float(g[p, q])) for p in range(4) for q in range(4)], "p int, q int, w double"), 9)
+
+
+@query(sql(f"SELECT id, {_r('sqrt(list_reduce(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b))', 8)} AS norm FROM pts, (SELECT list(x ORDER BY p) AS m FROM (SELECT p, avg(x) AS x FROM (SELECT unnest(range(0, len(v))) AS p, unnest(v) AS x FROM pts) GROUP BY p))", PTS))
+def principal_score_norms(spark, d):
+    """Scores on all principal axes keep each centred row's length."""
+    m = embeddings(spark, d)
+    scores = svd.principal_scores(m, shape(m)[1])
+    return rounded(scores.select("id", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm")), 8)
 
 
 def _as_sparse(edges: DataFrame) -> linalg.Sparse:
@@ -736,8 +757,31 @@ def _as_sparse(edges: DataFrame) -> linalg.Sparse:
 
 @query()
 def sparse_randomised_svd(spark, d):
-    _, s, _ = linalg.randomised_svd(_as_sparse(_markov(spark, d)), 5)
-    return spark.createDataFrame(pd.DataFrame({"k": np.arange(len(s)), "s": s}))
+    found = svd.sparse_svd(_markov(spark, d), 5)
+    return spark.createDataFrame(pd.DataFrame({"k": np.arange(5), "s": found.values}))
+
+
+@query()
+def leading_eigenpairs(spark, d):
+    """(k, value, residual) of the ten largest eigenvalues of the symmetric diffusion operator, over tables."""
+    found = eigen.extreme_eigenpairs(E.symmetric_operator(_kernel(spark, d)), embeddings(spark, d), 10)
+    return spark.createDataFrame(pd.DataFrame({"k": np.arange(len(found.values)), "value": found.values, "residual": found.residuals}))
+
+
+@query(sql(f"SELECT s.i AS id, {_r('sum(s.w * v.v[1])', 8)} AS v1, {_r('sum(s.w * v.v[2])', 8)} AS v2, {_r('sum(s.w * v.v[3])', 8)} AS v3 FROM scaled s JOIN pts v ON v.id = s.j GROUP BY s.i", *PHATE[:4], ("deg", "SELECT i, pow(sum(w), 0.5) AS s FROM kernel GROUP BY i"), ("scaled", "SELECT g.i, g.j, coalesce(g.w / (a.s * b.s), 0.0) AS w FROM kernel g LEFT JOIN deg a ON g.i = a.i LEFT JOIN deg b ON g.j = b.i")))
+def eigen_block_step(spark, d):
+    """The operator times a block of columns: one step of the eigensolver."""
+    names = ["v1", "v2", "v3"]
+    columns = embeddings(spark, d).select("id", *[F.get("features", F.lit(c)).alias(n) for c, n in enumerate(names)])
+    return rounded(eigen.multiply_columns(E.symmetric_operator(_kernel(spark, d)), columns, names), 8)
+
+
+@query()
+def spectral_entropies(spark, d):
+    """Entropies of the powers of the symmetric diffusion operator by Lanczos quadrature, and their knee."""
+    op, nodes = materialize(E.symmetric_operator(_kernel(spark, d)), "operator"), embeddings(spark, d).select("id")
+    h = eigen.spectral_entropies(op, nodes, 20, eigen.extreme_eigenpairs(op, nodes, 8))
+    return spark.createDataFrame(pd.DataFrame({"t": np.arange(1, 21), "h": h, "knee": linalg.knee(h)}))
 
 
 @query()

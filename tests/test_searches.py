@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.hashing import draw_column, normals
 from foldspark.operators import affinity, diffusion, edges
-from foldspark.operators.knn import exact, knn, nearest_of
+from foldspark.operators.knn import Planes, exact, knn, nearest_of
 from foldspark.plans.params import KnnParams, SearchParams
 from foldspark.plans.pipelines import neighbours
 
@@ -63,6 +63,51 @@ def test_recall_of_approximate_searches(spark, search, least):
     assert len(want & got) / len(want) >= least
 
 
+@pytest.mark.parametrize("search", ["hnsw", "nndescent", "ivf", "annoy"])
+def test_recall_without_clusters(spark, search):
+    """Directions drawn evenly in 32 dimensions, the hard case; defaults reach 0.9."""
+    v = np.random.default_rng(6).standard_normal((1200, 32))
+    m = matrix(spark, v / np.linalg.norm(v, axis=1, keepdims=True)).cache()
+    want = {(r.i, r.j) for r in exact(m, 15).collect()}
+    got = [(r.i, r.j) for r in knn(m, 15, search).collect()]
+    assert len(got) == len(set(got)) and len(want & set(got)) / len(want) >= 0.9
+
+
+def test_planes_halve_their_own_nodes():
+    """Leaves are bounded on clusters and copies, and every row ends in the leaf it was dealt to."""
+    v = clustered(4000, 6, 9)
+    v[:500] = v[0]
+    tree = Planes(v, 50, np.random.default_rng(1))
+    size = np.bincount(tree.leaf(v))
+    assert size.max() >= 500 and np.sort(size)[-2] <= 50 and size.min() >= 1
+    own, other, margin = tree.both_sides(v)
+    assert (own == tree.leaf(v)).all() and (own != other).all() and (margin >= 0).all()
+    one = Planes(v[:500], 50, np.random.default_rng(1))
+    assert one.leaves == 1 and (one.leaf(v[:3]) == 0).all()
+
+
+def test_large_leaves_are_split_in_their_task(spark, monkeypatch):
+    """A sample of 200 rows grows trees for 3000; their leaves are split further, and neighbours are still found."""
+    from foldspark.operators import knn as K
+
+    m = matrix(spark, clustered(3000, 8, 4)).cache()
+    want = {(r.i, r.j) for r in exact(m, 8).collect()}
+    monkeypatch.setattr(K, "SAMPLE_ROWS", 200)
+    got = {(r.i, r.j) for r in K.projection_forest(m, 8, n_trees=20, leaf_rows=32).collect()}
+    assert len(want & got) / len(want) >= 0.9
+
+
+def test_cells_are_never_cut_silently(spark):
+    m = matrix(spark, clustered(300)).cache()
+    from foldspark.operators import knn as K
+
+    assert K._n_cells(10**12, 768, None) * 768 * 8 <= K.MOST_CENTRE_BYTES
+    assert K._n_cells(100, 8, 10**7) == 100
+    with pytest.raises(ValueError):
+        K._n_cells(10**9, 8, 10**7)
+    assert knn(m, 3, "ivf", n_list=1000, n_probes=4).count() == 900
+
+
 def test_options_go_to_their_search(spark):
     m = matrix(spark, clustered(200)).cache()
     p = SearchParams(n_tree=6, search_budget=300, m=8, ef_search=40, n_list=9, n_probes=3)
