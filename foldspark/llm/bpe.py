@@ -50,7 +50,7 @@ from .tokens import balanced, vocabulary_path
 PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 STAND_INS = {"letter": "x", "number": "0", "space": "\t", "other": "!"}
 #: Words whose tokens a worker remembers before it starts anew.
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 #: Words of up to so many bytes are spelt many at once, longer ones alone.
 MOST_BYTES = 64
 #: Bytes of text encoded at once.
@@ -320,7 +320,7 @@ class Codec:
 
     def __init__(self, made: Automaton, special: list[tuple[str, int]], path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.made, self.path = made, path
+        self.made, self.path, self.run = made, path, None
         self.special = dict(special)
         self._between = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if special else None
         self._classes: dict[int, str] = {c: chr(c) for c in range(128)}
@@ -336,7 +336,7 @@ class Codec:
     def _forget(self) -> None:
         """Start with no words; the tables of encoding are made at first use, decoding needs none."""
         if self.words is None:
-            self.run, self.spelling = self.made.runner(), Spelling(self.made)
+            self.spelling = Spelling(self.made)
         self.words = Words()
         self.pool, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
         for s in self.special:  # no word is equal to one: the pattern parts letters from other characters
@@ -353,6 +353,7 @@ class Codec:
         short = [k for k, w in enumerate(raw) if 0 < len(w) <= MOST_BYTES and fresh[k] not in self.special]
         ids, count[short] = self.spelling.tokens([raw[k] for k in short]) if short else (np.empty(0, np.int32), 0)
         if len(short) < len(raw):
+            self.run = self.run or self.made.runner()  # long words are rare
             parts = np.split(ids, np.cumsum(count[short])[:-1]) if short else []
             held = dict(zip(short, parts))
             for k in range(len(raw)):
