@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, held_out, materialize, released, spread, with_text
+from .common import batches_of, discard, held_out, materialize, released, spread, with_text
 
 BITS = 22
 STEMS = (3, 4, 5, 6)
@@ -163,13 +163,15 @@ def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, labe
     """(__id, __y, __text) of the labelled rows to learn from, each text once.
 
     Labels that are null or neither 0 nor 1 aren't used, nor those of held-out or
-    null ids; of several labels of a document the larger counts. Rows come in the
+    null ids or of documents that aren't there; of several labels of a document the larger counts. Rows come in the
     order of a hash of the id, until either bound is reached. Of equal texts the
     first in this order counts, and of an id with several texts that of the least
     digest first; so the sample doesn't depend on partitioning.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    chosen = usable.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
+    # Only labels of documents that are there: those of others would use up the bound.
+    there = documents.select(F.col(doc_id).alias("__id")).where(F.col("__id").isNotNull() & ~held_out(F.col("__id"))).distinct()
+    chosen = usable.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y")).join(there, "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
     # Broadcast: at most most_rows pairs of numbers.
     rows = documents.select(F.col(doc_id).alias("__doc"), F.coalesce(text, F.lit("")).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
     rows = rows.select("__id", "__y", F.xxhash64("__text").alias("__digest"), F.octet_length("__text").cast("long").alias("__size"), "__text")
@@ -184,7 +186,7 @@ def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, labe
 
 def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, bits: int = BITS, stems: tuple[int, ...] = STEMS) -> tuple[float, np.ndarray, np.ndarray]:
     """A model from ``sample``. The same rows in the same order at every run. No rows: bias 0 and no weights."""
-    rows = materialize(sample(documents, labels, doc_id, text, label, most_rows, most_bytes), "toxicity-sample")
+    rows = written = materialize(sample(documents, labels, doc_id, text, label, most_rows, most_bytes), "toxicity-sample")
     keep = rows.sparkSession.sparkContext.broadcast(shared_features(rows, bits, stems))
     schema = "__id long, __digest long, __y int, x binary"
 
@@ -204,6 +206,7 @@ def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     rows = spread(rows.select("__id", "__digest", "__y", "__text")).mapInArrow(released(features), schema).withColumn("__one", F.lit(0))
     got = rows.groupBy("__one").applyInPandas(fit, "f int, w double").toPandas()
+    discard(written)
     if got.empty:
         return 0.0, np.empty(0, np.int32), np.empty(0, np.float32)
     own = got["f"] >= 0

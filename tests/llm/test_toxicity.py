@@ -132,3 +132,13 @@ def test_bounds_of_the_sample(spark):
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     sizes = [len(r["__text"].encode()) for r in toxicity.sample(docs, marks, "doc_id", "text", "toxic", 50, 10_000).collect()]
     assert 0 < sum(sizes) <= 10_000 and toxicity.sample(docs, marks, "doc_id", "text", "toxic", 5, 10_000_000).count() == 5
+
+
+def test_labels_of_absent_documents_use_up_no_bound(spark):
+    """The bound is of labelled documents that are there: a part of a corpus learns from all of its own."""
+    from foldspark.llm.common import held_out_value
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(0, 3000, 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3000)], "doc_id long, toxic int")
+    got = {r["__id"] for r in toxicity.sample(docs, labels, "doc_id", "text", "toxic", 40, 1 << 20).collect()}
+    assert got == {k for k in range(0, 3000, 100) if not held_out_value(k)}
