@@ -27,7 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose score reaches the threshold; learnt from the labelled rows among docs."""
+    """Drops the documents whose score reaches the threshold; learnt from the labelled rows among docs.
+
+    A null or empty text has the score of the bias alone, a null doc_id teaches
+    nothing; repeated rows stay or go together, an empty table gives none.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.with_score(docs, model, "text", list(docs.columns), "__score")
     return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
@@ -60,7 +64,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: the words taken over its own words, rounded.
 
-    Only the documents where a shard's run begins or ends are taken in part.
+    Only the documents where a shard's run begins or ends are taken in part. A null
+    or empty text has no words and isn't taken, a null source is a source of its own,
+    rows without an id lie by their texts; an empty table gives none.
     """
     mixed = mixing.mix(docs.withColumn("__row", F.struct(*docs.columns)), carry=["__row"])
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size")))).otherwise(0).cast("int")
