@@ -351,11 +351,16 @@ def _diffusion_coordinates(m: linalg.Sparse, s: np.ndarray, n_dim: int, t: int |
 def diffusion_maps(matrix: DataFrame, p: DiffusionParams = DiffusionParams(), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """Eigenvectors of the diffusion operator after the first, by eigenvalue to the power t, over the square roots of degrees.
 
-    With landmarks their coordinates go to all points by Nystroem's extension.
+    With landmarks their coordinates go to all points by Nystroem's extension. More
+    than MOST_DENSE points without landmarks stay tables (``distributed``).
     """
     n, _ = shape(matrix)
     spark = matrix.sparkSession
     if p.n_landmarks is None or p.n_landmarks >= n:
+        if n > MOST_DENSE:
+            from .distributed import diffusion_maps as over_tables
+
+            return over_tables(matrix, p, given, seed)
         op, roots = diffusion_maps_operator(matrix, p, given)
         at = Numbered(matrix)
         i, j, w = at.edges(op)
