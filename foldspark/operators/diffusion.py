@@ -127,6 +127,11 @@ def interpolate(p_nl: DataFrame, coordinates: DataFrame) -> DataFrame:
     return parts.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("s")).select("i", F.col("s.v").alias("x"))
 
 
+def interpolate_power(p_nl: DataFrame, landmark: DataFrame, t: int) -> DataFrame:
+    """(i, j, w): the transitions of each row to landmarks times the t-th power of the landmarks' operator, which stands for the t-th power of the whole."""
+    return E.multiply(p_nl, E.power(landmark, t))
+
+
 def to_landmark_transitions(matrix: DataFrame, landmarks: DataFrame, k: int, scale: float = 1.0, least: float = 1e-4, metric: str = "euclidean") -> DataFrame:
     """(i, j, w): Gaussian weights of the k nearest landmarks, those of at least ``least``, over their sum.
 

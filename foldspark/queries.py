@@ -18,9 +18,9 @@ from .functions import linalg
 from .functions.curves import fit_ab
 from .functions.hashing import draw_column, draw_sql
 from .materialize import materialize
-from .operators import affinity, barnes_hut, density, diffusion, edges as E, eigen, epochs, svd, vectors
+from .operators import affinity, barnes_hut, batches, density, diffusion, edges as E, eigen, epochs, svd, vectors
 from .operators.knn import knn
-from .plans import distributed, pipelines
+from .plans import distributed, encoder, pipelines
 from .plans.params import DiffusionParams, KnnParams, PacmapParams, ParametricParams, PhateParams, TsneParams, UmapParams, densmap_params, densne_params
 from .sources import synthetic
 from .sources.matrix import embeddings, from_columns, shape
@@ -661,9 +661,49 @@ def knn_edges_unweighted(spark, d):
     return E.unweighted(_knn(spark, d))
 
 
-@query(sql("SELECT target, count(*) AS n FROM (SELECT i, j, 1.0::DOUBLE AS target FROM graph) GROUP BY target", *UMAP, recursive=True))
+@query(sql("SELECT i AS src, j AS dst, e FROM tedges", *UMAP, TRAINING := ("tedges", "SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS e FROM graph"), recursive=True))
 def parametric_training_edges(spark, d):
-    return _umap(spark, d).select("i", "j", F.lit(1.0).alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return batches.training_edges(_umap(spark, d))
+
+
+N_BATCHES = 4
+BATCH = (
+    *UMAP, TRAINING, ("mine", f"SELECT * FROM tedges WHERE {draw_sql(SEED, 'i', str(EPOCH), 'e', str(batches.WHICH), str(N_BATCHES))} = 1"),
+    ("batch", f"SELECT i, j, 1.0::DOUBLE AS target FROM mine UNION ALL SELECT i, j, 0.0 FROM (SELECT i, {draw_sql(SEED, 'i', str(EPOCH), 'e', 'm', '(SELECT count(*) FROM pts)')} AS j FROM mine, range(5) t(m)) WHERE i <> j"),
+)
+
+
+def _batch(spark, d):
+    m = embeddings(spark, d)
+    return batches.batch(batches.training_edges(_umap(spark, d)), shape(m)[0], EPOCH, 1, N_BATCHES, 5, SEED)
+
+
+@query(sql("SELECT i AS src, j AS dst, target FROM batch", *BATCH, recursive=True))
+def parametric_training_batch(spark, d):
+    """One batch of an epoch: its edges and their negatives."""
+    return _batch(spark, d)
+
+
+LOSS = (
+    *BATCH, POS, ends("batch", "bends"),
+    ("ce", f"SELECT -(target * ln(q) + (1 - target) * ln(1 - q)) AS ce, sqrt(d2 + 1e-8) AS z, sqrt({D2} + 1e-8) AS x FROM (SELECT *, least(greatest(1.0 / (1.0 + {A} * pow(d2 + 1e-6, {B})), 1e-7), 1.0 - 1e-7) AS q FROM bends) g JOIN pts a ON a.id = g.i JOIN pts b ON b.id = g.j"),
+    ("losses", "SELECT avg(ce) AS cross_entropy, -covar_pop(x, z) / (sqrt(var_pop(x) + 1e-8 / count(*)) * sqrt(var_pop(z) + 1e-8 / count(*))) AS correlation, count(*) AS n FROM ce"),
+)
+
+
+@query(sql(f"SELECT {_r('cross_entropy')} AS cross_entropy, {_r('correlation')} AS correlation, {_r('cross_entropy + 0.5 * correlation')} AS loss, n FROM losses", *LOSS, recursive=True))
+def parametric_batch_losses(spark, d):
+    """Both losses of a batch, with targets 1 and 0, and their weighted sum."""
+    return rounded(batches.losses(_batch(spark, d), _positions(spark, d), embeddings(spark, d), A, B, 0.5))
+
+
+@query(sql(edges_out("itp", 8), *PHATE, MARKS, ASSIGNED, *LANDMARK_OP, product("lop", "lop", "lop2"), product("nl1", "lop2", "itp")))
+def landmark_power_interpolation(spark, d):
+    """P^t over all rows and the landmarks: transitions to landmarks times a power of their operator."""
+    m = embeddings(spark, d)
+    assigned = diffusion.assign_to_landmarks(m, diffusion.random_landmarks(m, N_LANDMARKS, SEED))
+    _, p_nl, small = diffusion.landmark_operators(_markov(spark, d), assigned)
+    return rounded(diffusion.interpolate_power(p_nl, small, 2), 8)
 
 
 # Methods end to end, and other results without SQL
@@ -676,6 +716,8 @@ def _method(name: str, f) -> None:
 FEW_EPOCHS = 4
 #: Epochs of the t-SNE queries (the default is 1000), of sequential UMAP (500), and epochs and layers of the encoder (500; three of 128): parameters too, README has the costs.
 TSNE_EPOCHS, SEQUENTIAL_EPOCHS, ENCODER_EPOCHS, ENCODER_LAYERS = 300, 20, 5, (32, 32)
+#: Adam steps of the encoder over tables, with its default layers.
+ENCODER_ROUNDS = 12
 #: Graphs are pruned as for all epochs, and PaCMAP goes through its three phases.
 ALL_EPOCHS, FEW_PHASES = UmapParams().n_epochs, (1, 2)
 
@@ -701,6 +743,9 @@ _method("pacmap_distributed", lambda s, d: distributed.pacmap(embeddings(s, d),
 _method("diffusion_maps", lambda s, d: pipelines.diffusion_maps(embeddings(s, d)))
 _method("diffusion_maps_landmarks", lambda s, d: pipelines.diffusion_maps(embeddings(s, d), DiffusionParams(n_landmarks=50, landmarks="random")))
 _method("parametric_umap", lambda s, d: pipelines.parametric_umap(embeddings(s, d), ParametricParams(hidden=ENCODER_LAYERS, n_epochs=ENCODER_EPOCHS, prune_epochs=ALL_EPOCHS)))
+_method("parametric_umap_distributed", lambda s, d: encoder.parametric_umap(embeddings(s, d), rounds=ENCODER_ROUNDS))
+_method("diffusion_maps_spectral_landmarks", lambda s, d: pipelines.diffusion_maps(embeddings(s, d), DiffusionParams(n_landmarks=50, landmarks="spectral")))
+_method("diffusion_maps_density_landmarks", lambda s, d: pipelines.diffusion_maps(embeddings(s, d), DiffusionParams(n_landmarks=50, landmarks="density")))
 _method("knn_hnsw", lambda s, d: knn(embeddings(s, d), K, "hnsw"))
 _method("knn_ivf", lambda s, d: knn(embeddings(s, d), K, "ivf"))
 _method("knn_annoy", lambda s, d: knn(embeddings(s, d), K, "annoy"))
