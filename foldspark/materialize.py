@@ -42,9 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def owning(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads these tables and is the last to: ``discard(df)`` deletes them."""
+    df._reads = [t for t in tables if t is not df]
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` gave and that nothing reads any more. Others are left alone."""
+    """Delete tables that ``materialize`` gave and that nothing reads any more, and those that a table owns. Others are left alone."""
     for df in tables:
+        discard(*getattr(df, "_reads", ()))
         path = getattr(df, "_written_to", None)
         if path is not None:
             jvm = df.sparkSession.sparkContext._jvm

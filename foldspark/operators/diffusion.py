@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnknownOption
-from ..materialize import materialize
+from ..materialize import materialize, owning
 from ..sources.synthetic import normal
 from . import edges as E
 from .edges import EPSILON
@@ -110,7 +110,8 @@ def _marks(landmarks: DataFrame) -> DataFrame:
 
 def assign_to_landmarks(matrix: DataFrame, landmarks: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(i, landmark): the nearest, ties to the smaller number. Any number of landmarks (landmark, features): their blocks stream past those of the rows."""
-    return nearest_of(matrix, _marks(landmarks), 1, metric).select("i", F.col("j").cast("int").alias("landmark"))
+    near = nearest_of(matrix, _marks(landmarks), 1, metric)
+    return owning(near.select("i", F.col("j").cast("int").alias("landmark")), near)
 
 
 def landmark_operators(operator: DataFrame, assigned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnknownOption
-from ..materialize import discard, materialize
+from ..materialize import discard, materialize, owning
 from ..sources.matrix import shape
 from .edges import mirrored
 
@@ -169,7 +169,7 @@ def nearest_of(queries: DataFrame, points: DataFrame | None, k: int, metric: str
         if at is not None:
             yield done()
 
-    return pairs.mapInArrow(stream, SCHEMA)
+    return owning(pairs.mapInArrow(stream, SCHEMA), blocks, others)
 
 
 def exact(matrix: DataFrame, k: int, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
@@ -311,10 +311,11 @@ TUNING_ROWS, TUNED_RECALL = 256, 0.95
 def _probes_for(held: DataFrame, at: DataFrame, centres: np.ndarray, k: int, metric: str) -> int:
     """The least number of nearest cells that hold TUNED_RECALL of the true neighbours of TUNING_ROWS rows, those of the smallest hash."""
     asked = materialize(held.orderBy(F.xxhash64("id"), "id").limit(TUNING_ROWS), "tuning")
-    true = nearest_of(asked, held, k + 1, metric).where("i <> j")
+    near = nearest_of(asked, held, k + 1, metric)
+    true = near.where("i <> j")
     cells = true.join(at.select(F.col("id").alias("j"), F.element_at("cells", 1).alias("cell")), "j").select("i", "cell").toPandas()
     rows = asked.toPandas()
-    discard(asked)
+    discard(asked, near)
     if not len(cells):
         return 1
     v = np.stack(rows["features"].to_numpy()).astype(float)
@@ -617,7 +618,7 @@ def nn_descent(matrix: DataFrame, k: int, metric: str = "euclidean", delta: floa
         if changed <= delta * n * k:
             break
     discard(matrix)
-    return now.where(F.col("rank") <= asked)
+    return owning(now.where(F.col("rank") <= asked), now)
 
 
 def hnsw(matrix: DataFrame, k: int, metric: str = "euclidean", m: int = 16, ef_construction: int = 200, ef_search: int = 100, seed: int = 42) -> DataFrame:

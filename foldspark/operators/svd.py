@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..errors import WrongDimensions
 from ..functions.linalg import fix_signs
-from ..materialize import discard, materialize
+from ..materialize import discard, materialize, owning
 from ..sources.matrix import shape
 from ..sources.synthetic import normal
 from .edges import transpose
@@ -222,7 +222,7 @@ def principal_scores(matrix: DataFrame, k: int, randomised: bool = False, seed:
     if randomised and dims > 4 * k:
         found = dense_svd(matrix, k, seed, centred=True)
         scale = F.lit([float(x) for x in found.values])
-        return found.left.select("id", F.transform("v", lambda x, at: x * F.element_at(scale, at + 1)).alias("v"))
+        return owning(found.left.select("id", F.transform("v", lambda x, at: x * F.element_at(scale, at + 1)).alias("v")), found.left)
     mean = means(matrix)
     _, cov = _pass(matrix, mean, np.eye(dims))
     values, axes = np.linalg.eigh((cov + cov.T) / 2)

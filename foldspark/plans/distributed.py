@@ -18,7 +18,7 @@ from ..errors import UnknownOption, WrongDimensions
 from ..functions.curves import fit_ab
 from ..functions.layout_tsne import TsneOptions
 from ..functions.linalg import knee
-from ..materialize import discard, materialize
+from ..materialize import discard, materialize, owning
 from ..operators import affinity, barnes_hut, density, edges as E, eigen, epochs
 from ..operators.svd import principal_scores
 from ..sources.matrix import shape
@@ -60,7 +60,9 @@ def _places(matrix: DataFrame) -> DataFrame:
 
     counts = part.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__start"))
-    return part.join(starts, "__p").select("id", (F.col("__start") + F.col("__k")).alias("place"))
+    out = materialize(part.join(starts, "__p").select("id", (F.col("__start") + F.col("__k")).alias("place")), "places")
+    discard(part)
+    return out
 
 
 def _placed(edges: DataFrame, places: DataFrame, *more: str) -> DataFrame:
@@ -106,15 +108,18 @@ def umap(matrix: DataFrame, p: UmapParams = UmapParams(), given: DataFrame | Non
         raise UnknownOption("a distributed UMAP has two dimensions and the optimiser adam_parallel")
     n, _ = shape(matrix)
     near = neighbours(matrix, p.k, given, p.knn)
-    places = materialize(_places(matrix), "places")
+    places = _places(matrix)
     union = materialize(affinity.umap_graph(near, p.k, p.local_connectivity, p.mix, None), "umap-union")
     graph = materialize(_placed(E.prune(union, p.prune_epochs or p.n_epochs), places, "w"), "umap-graph")
     schedule = materialize(epochs.umap_schedule(graph), "schedule")
-    state = materialize(_state(_start(matrix, graph, places, p.init, p.init_range, seed)), "layout")
+    started = _start(matrix, graph, places, p.init, p.init_range, seed)
+    state = materialize(_state(started), "layout")
+    discard(union, started)
     original = None
     if p.density > 0:
         nodes = places.select(F.col("place").alias("i"))
         original = materialize(density.original_radii(nodes, graph, _placed(near, places, "rank", "d")), "radii")
+    discard(near)
     a, b = fit_ab(p.min_dist, p.spread)
     for epoch in range(p.n_epochs):
         at = state.select("id", "x", "y")
@@ -124,7 +129,8 @@ def umap(matrix: DataFrame, p: UmapParams = UmapParams(), given: DataFrame | Non
         root = (1 - 0.9 ** (epoch + 1)) ** 0.5
         rate = p.lr * (1 - epoch / p.n_epochs) * root / (1 - 0.5 ** (epoch + 1))
         before, state = state, materialize(_adam(state, g, rate, root * 1e-7, 0.5, 0.9, F.col("n_active") > 0), "layout")
-        discard(before)
+        discard(before, g)
+    discard(graph, schedule, *([] if original is None else [original]))
     return _result(state, places)
 
 
@@ -134,22 +140,24 @@ def _with_density(g: DataFrame, graph: DataFrame, now: DataFrame, positions: Dat
     stats = density.correlation_stats(radii, shift=p.density_shift)
     more = epochs.umap_density_gradient(now, positions, epochs.density_weights(radii, stats), epochs.density_scale(original, stats, p.density), a, b)
     both = g.join(more.toDF("id", "dx", "dy"), "id", "left")
-    return both.select("id", *[(F.col(f"g{c}") + F.coalesce(f"d{c}", F.lit(0.0))).alias(f"g{c}") for c in "xy"], "n_active")
+    return owning(both.select("id", *[(F.col(f"g{c}") + F.coalesce(f"d{c}", F.lit(0.0))).alias(f"g{c}") for c in "xy"], "n_active"), radii)
 
 
 def pacmap(matrix: DataFrame, p: PacmapParams = PacmapParams(), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """PaCMAP: the batch is all pairs, so this is the same method at any size."""
     n, _ = shape(matrix)
     near = neighbours(matrix, min(p.window[1], n - 1), given, p.knn)
-    places = materialize(_places(matrix), "places")
+    places = _places(matrix)
     pairs = materialize(epochs.pacmap_pairs(_placed(near, places, "rank", "d"), n, p.near, p.mid, p.further, *p.window, seed), "pairs")
     near_graph = materialize(E.mean_of_both(pairs.where("kind = 'near'").select("i", "j", F.lit(1.0).alias("w"))), "pairs-graph") if p.init == "spectral" else None
+    discard(near)
     state = materialize(_state(_start(matrix, near_graph, places, p.init, p.init_range, seed)), "layout")
     for epoch in range(p.n_epochs):
         g = epochs.pacmap_gradient(pairs, state.select("id", "x", "y"), epoch, *p.phases)
         root = (1 - 0.999 ** (epoch + 1)) ** 0.5
         before, state = state, materialize(_adam(state, g, p.lr * root / (1 - 0.9 ** (epoch + 1)), root * 1e-7, 0.9, 0.999, F.lit(True)), "layout")
         discard(before)
+    discard(pairs)
     return _result(state, places)
 
 
@@ -169,9 +177,10 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: Dat
     if p.method not in REPULSIONS or p.density > 0:
         raise UnknownOption(f"a distributed t-SNE has the methods {sorted(REPULSIONS)}, and no density term")
     n, _ = shape(matrix)
-    graph, _ = tsne_graph(matrix, p, given)
-    places = materialize(_places(matrix), "places")
-    graph = materialize(_placed(graph, places, "w"), "tsne-placed")
+    joint, near = tsne_graph(matrix, p, given)
+    places = _places(matrix)
+    graph = materialize(_placed(joint, places, "w"), "tsne-placed")
+    discard(joint, near)
     state = _start(matrix, graph, places, p.init, p.init_range, seed)
     state = materialize(state.select("id", "x", "y", *[F.lit(0.0).alias(c) for c in ("ux", "uy")], *[F.lit(1.0).alias(c) for c in ("wx", "wy")]), "layout")
     o = TsneOptions(p.n_epochs, p.lr)
@@ -180,7 +189,8 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: Dat
         forces = []
 
         def once(positions: DataFrame) -> DataFrame:
-            forces.append(materialize(repel(positions), "repulsion"))
+            found = repel(positions)  # Barnes-Hut's is written already
+            forces.append(found if p.method in ("bh", "barnes_hut") else materialize(found, "repulsion"))
             return forces[-1]
 
         g = epochs.tsne_gradient(graph, state.select("id", "x", "y"), p.early_exaggeration if epoch < p.early_epochs else p.late_exaggeration, once)
@@ -188,6 +198,7 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: Dat
         moved = materialize(epochs.tsne_step(state, g, o.rate(n), o.momentum[0] if epoch < o.momentum[2] else o.momentum[1]), "layout")
         discard(state, g, *forces)
         state = moved
+    discard(graph)
     return _result(state, places)
 
 
@@ -197,13 +208,13 @@ def diffusion_maps(matrix: DataFrame, p: DiffusionParams = DiffusionParams(), gi
     Landmarks have no part in it; with them ``pipelines.diffusion_maps`` has no bound either.
     """
     nodes = matrix.select("id")
-    op, roots = diffusion_maps_operator(matrix, p, given)
-    op = materialize(op, "diffusion-operator")
+    lazy, roots = diffusion_maps_operator(matrix, p, given)
+    op = materialize(lazy, "diffusion-operator")
     # Some pairs more than asked for make the entropies of high powers exact.
     found = eigen.extreme_eigenpairs(op, nodes, p.n_dim + 1 if p.t is not None else p.n_dim + 6, tolerance=tolerance, seed=seed)
     t = p.t if p.t is not None else max(knee(eigen.spectral_entropies(op, nodes, p.t_max, found)), 1)
     scale = [float(abs(v) ** t * np.sign(v) ** t) for v in found.values[1 : p.n_dim + 1]]
     x = F.array(*[F.get("v", F.lit(c + 1)) * f / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0) for c, f in enumerate(scale)])
     out = materialize(found.vectors.join(roots.withColumnRenamed("i", "id"), "id", "left").select("id", x.alias("x")), "diffusion-maps")
-    discard(op, found.vectors)
+    discard(op, lazy, found.vectors)
     return out

@@ -83,10 +83,10 @@ def train(matrix: DataFrame, p: ParametricParams = ParametricParams(), given: Da
         raise UnknownOption("the correlation term needs a whole batch in one task; only the trainer in one task has it")
     n, dims = shape(matrix)
     graph, near = umap_graph(matrix, UmapParams(p.n_dim, p.k, p.knn, min_dist=p.min_dist, spread=p.spread, n_epochs=p.n_epochs, prune_epochs=p.prune_epochs), given)
-    places = materialize(_places(matrix), "places")
+    places = _places(matrix)
     edges = materialize(batches.training_edges(_placed(graph, places, "w")), "training-edges")
     rows = materialize(matrix.join(places, "id").select("place", "features"), "training-rows")
-    discard(graph, places, *([near] if given is None else []))
+    discard(graph, places, near)
     n_batches = max(1, -(-edges.count() // batch_edges))
     a, b = fit_ab(p.min_dist, p.spread)
     out = Trained(Mlp.start([dims, *p.hidden, p.n_dim], seed))

@@ -19,7 +19,7 @@ from ..errors import DegenerateRadii, NoData, TooLargeForOneTask, UnknownOption,
 from ..functions import layout_pacmap, layout_tsne, layout_umap, linalg
 from ..functions.curves import fit_ab
 from ..functions.mlp import Mlp, TrainOptions, train
-from ..materialize import materialize
+from ..materialize import discard, materialize, owning
 from ..operators import affinity, density, diffusion, edges as E, epochs
 from ..operators.knn import distances, knn, parse_search
 from ..operators.svd import principal_scores
@@ -81,7 +81,10 @@ def neighbours(matrix: DataFrame, k: int, given: DataFrame | None, params: KnnPa
             raise WrongDimensions(f"the neighbour table has rows of {narrow} entries; {k} are needed")
         return given.where(F.col("rank") <= k)
     options = {**(params.params.of(parse_search(params.search)) if params.params else {}), **params.options}
-    return materialize(knn(matrix, k, params.search, params.metric, **options), "knn")
+    found = knn(matrix, k, params.search, params.metric, **options)
+    out = materialize(found, "knn")
+    discard(found)
+    return out
 
 
 # Starts of layouts
@@ -165,7 +168,9 @@ def start(kind: str, span: float | None, i, j, w, at: Numbered, matrix: DataFram
         half = 10.0 if span is None else span
         return np.random.default_rng(seed).uniform(-half, half, (n, n_dim))
     if kind == "pca":
-        rows = principal_scores(matrix, n_dim, randomised, seed).toPandas().sort_values("id")
+        found = principal_scores(matrix, n_dim, randomised, seed)
+        rows = found.toPandas().sort_values("id")
+        discard(found)
         scores = np.stack(rows["v"].to_numpy())
         sd = scores.std(0)
         return (scores - scores.mean(0)) / np.where(sd > 0, sd, 1) * (1.0 if span is None else span)
@@ -195,6 +200,7 @@ def umap(matrix: DataFrame, p: UmapParams = UmapParams(), given: DataFrame | Non
     i, j, w = at.edges(graph)
     held = _density(matrix, graph, near, at, p)
     x = start(p.init, p.init_range, i, j, w, at, matrix, p.n_dim, seed, p.randomised)
+    discard(graph, near)
     a, b = fit_ab(p.min_dist, p.spread)
     o = layout_umap.UmapOptions(a, b, p.lr, p.gamma, p.n_epochs, p.negatives)
     if p.optimiser in ("sgd", "adam"):
@@ -223,6 +229,7 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(), given: DataFrame | Non
     i, j, w = at.edges(graph)
     held = _density(matrix, graph, near, at, p)
     y = start(p.init, p.init_range, i, j, w, at, matrix, 2, seed, p.randomised)
+    discard(graph, near)
     o = layout_tsne.TsneOptions(p.n_epochs, p.lr, p.early_exaggeration, p.early_epochs, p.late_exaggeration, p.theta, p.interpolation_points)
     return at.frame(matrix.sparkSession, layout_tsne.optimise(y, i, j, w, o, p.method, held))
 
@@ -240,6 +247,7 @@ def pacmap(matrix: DataFrame, p: PacmapParams = PacmapParams(), given: DataFrame
     a, b = places.toDF("i", "pi"), places.toDF("j", "pj")
     placed = near.join(a, "i").join(b, "j").select(F.col("pi").alias("i"), "rank", F.col("pj").alias("j"), "d")
     rows = epochs.pacmap_pairs(placed, at.n, p.near, p.mid, p.further, *p.window, seed).toPandas().sort_values(["kind", "i", "j"])
+    discard(near)
     pairs = {kind: (r["i"].to_numpy(), r["j"].to_numpy()) for kind, r in rows.groupby("kind")}
     pairs = {kind: pairs.get(kind, (np.empty(0, int), np.empty(0, int))) for kind in ("near", "mid_near", "further")}
     i, j = (np.concatenate([pairs["near"][s], pairs["near"][1 - s]]) for s in (0, 1))
@@ -268,6 +276,7 @@ def phate_operator(matrix: DataFrame, p: PhateParams = PhateParams(), given: Dat
     kernel = affinity.alpha_decay(near, p.k, p.decay, p.scale, p.least, p.symmetry)
     full = materialize(diffusion.markov(kernel), "phate-operator")
     if p.n_landmarks is None or p.n_landmarks >= n:
+        discard(near)
         return DiffusionOperator(full=full)
     if p.landmarks == "spectral":
         _, assigned = diffusion.spectral_landmarks(matrix, full, p.n_landmarks, p.n_svd, seed)
@@ -276,8 +285,10 @@ def phate_operator(matrix: DataFrame, p: PhateParams = PhateParams(), given: Dat
         assigned = diffusion.assign_to_landmarks(matrix, marks, p.knn.metric)
     else:
         raise UnknownOption(f"no landmarks {p.landmarks!r}; there are spectral, random and density")
-    assigned = materialize(assigned, "phate-assigned")
+    lazy, assigned = assigned, materialize(assigned, "phate-assigned")
+    discard(lazy)
     p_ln, p_nl, small = (materialize(x, "phate-landmarks") for x in diffusion.landmark_operators(full, assigned))
+    discard(near, full)
     return DiffusionOperator(None, small, p_ln, p_nl, assigned)
 
 
@@ -301,6 +312,7 @@ def phate(matrix: DataFrame, p: PhateParams = PhateParams(), given: DataFrame |
     """Diffusion potential and its multidimensional scaling; landmarks for more points than a dense matrix takes."""
     op = phate_operator(matrix, p, given, seed)
     ids, m = _dense(op.small, MOST_DENSE, "PHATE without landmarks (or with as many)")
+    discard(op.small, *(x for x in (op.from_landmarks, op.assigned) if x is not None))
     t = diffusion_time(m, p.t, p.t_max, seed)
     powered = np.linalg.matrix_power(m, t)
     stored = powered > 0
@@ -336,8 +348,10 @@ def diffusion_kernel(near: DataFrame, p: DiffusionParams) -> DataFrame:
 
 def diffusion_maps_operator(matrix: DataFrame, p: DiffusionParams = DiffusionParams(), given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(symmetric operator (i, j, w), square roots of degrees (i, s))."""
-    kernel = materialize(diffusion_kernel(neighbours(matrix, p.k, given, p.knn), p), "diffusion-kernel")
-    return E.symmetric_operator(kernel), E.degree(kernel).select("i", F.sqrt("degree").alias("s"))
+    near = neighbours(matrix, p.k, given, p.knn)
+    kernel = materialize(diffusion_kernel(near, p), "diffusion-kernel")
+    discard(near)
+    return owning(E.symmetric_operator(kernel), kernel), E.degree(kernel).select("i", F.sqrt("degree").alias("s"))
 
 
 def _diffusion_coordinates(m: linalg.Sparse, s: np.ndarray, n_dim: int, t: int | None, t_max: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -365,6 +379,7 @@ def diffusion_maps(matrix: DataFrame, p: DiffusionParams = DiffusionParams(), gi
         at = Numbered(matrix)
         i, j, w = at.edges(op)
         r = roots.toPandas()
+        discard(op)
         s = np.zeros(at.n)
         s[at.at(r["i"])] = r["s"]
         return at.frame(spark, _diffusion_coordinates(linalg.Sparse(i, j, w, at.n), s, p.n_dim, p.t, p.t_max, seed)[1])
@@ -396,9 +411,10 @@ def diffusion_maps(matrix: DataFrame, p: DiffusionParams = DiffusionParams(), gi
 def train_encoder(matrix: DataFrame, p: ParametricParams = ParametricParams(), given: DataFrame | None = None, seed: int = 42) -> Mlp:
     """The encoder of parametric UMAP, trained on the edges of the fuzzy graph."""
     u = UmapParams(p.n_dim, p.k, p.knn, min_dist=p.min_dist, spread=p.spread, n_epochs=p.n_epochs, prune_epochs=p.prune_epochs)
-    graph, _ = umap_graph(matrix, u, given)
+    graph, near = umap_graph(matrix, u, given)
     at = Numbered(matrix)
     i, j, _ = at.edges(graph)
+    discard(graph, near)
     a, b = fit_ab(p.min_dist, p.spread)
     return train(at.features(matrix), i, j, list(p.hidden), p.n_dim, TrainOptions(a, b, p.lr, p.n_epochs, p.batch, p.negatives, p.correlation), seed)
 
