@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,12 @@ from ..functions.layout_tsne import TsneOptions
 from ..functions.linalg import knee
 from ..materialize import discard, materialize, owning
 from ..operators import affinity, barnes_hut, density, edges as E, eigen, epochs
+from ..operators.knn import distances
 from ..operators.svd import principal_scores
 from ..sources.matrix import shape
 from ..sources.synthetic import normal, uniform
 from .params import DiffusionParams, PacmapParams, TsneParams, UmapParams
-from .pipelines import diffusion_maps_operator, neighbours, tsne_graph
+from .pipelines import MOST_PARTS, _spectral_part, component_centres, diffusion_maps_operator, neighbours, tsne_graph
 
 
 def first_two_axes(matrix: DataFrame, span: float) -> DataFrame:
@@ -73,25 +75,110 @@ def _result(state: DataFrame, places: DataFrame) -> DataFrame:
     return state.withColumnRenamed("id", "place").join(places, "place").select("id", F.array("x", "y").alias("x"))
 
 
-def spectral_start(graph: DataFrame, nodes: DataFrame, span: float = 10.0, seed: int = 42, tolerance: float = 1e-4) -> DataFrame:
-    """(id, x, y): leading eigenvectors of the normalised graph but the first, by ``eigen.extreme_eigenpairs``.
+#: Components of up to so many nodes are laid out in tasks, some at once; larger ones by the block eigensolver.
+SMALL_PART, PACK_NODES = 2000, 20_000
 
-    Components need no layout of their own here: their indicators are eigenvectors of 1.
-    """
+
+def _own_axes(graph: DataFrame, nodes: DataFrame, seed: int, tolerance: float) -> DataFrame:
+    """(id, x, y) of one component: the eigenvectors after the first, written."""
     scaled = materialize(E.scale_by_degrees(graph, 0.5), "spectral-graph")
     found = eigen.extreme_eigenpairs(scaled, nodes, 3, tolerance=tolerance, seed=seed).vectors
-    out = found.select("id", *[F.coalesce(F.get("v", F.lit(k + 1)), F.lit(0.0)).alias("xy"[k]) for k in range(2)])
+    out = materialize(found.select("id", *[F.coalesce(F.get("v", F.lit(k + 1)), F.lit(0.0)).alias("xy"[k]) for k in range(2)]), "axes")
+    discard(scaled, found)
+    return out
+
+
+def _small_axes(graph: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """(id, x, y) of many small components (labels: i, component): dealt into groups of about PACK_NODES nodes, each laid out in a task; written."""
+    n_packs = max(1, -(-labels.count() // PACK_NODES))
+    pack = F.pmod(F.xxhash64("component"), F.lit(n_packs)).cast("int").alias("pack")
+    inner = E.within_components(graph, labels)
+
+    def lay(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values(["component", "i"])
+        edges = edges.sort_values(["component", "i", "j"])
+        ids, part = nodes["i"].to_numpy(), nodes["component"].to_numpy()
+        number, first = np.unique(part, return_index=True)
+        cuts = np.searchsorted(edges["component"].to_numpy(), number, side="left"), np.searchsorted(edges["component"].to_numpy(), number, side="right")
+        out = np.zeros((len(ids), 2))
+        for c, (s, e) in enumerate(zip(first, [*first[1:], len(ids)])):
+            mine, own = ids[s:e], edges.iloc[cuts[0][c] : cuts[1][c]]
+            i, j = (np.searchsorted(mine, own[k].to_numpy()) for k in "ij")
+            out[s:e] = _spectral_part(i, j, own["w"].to_numpy(float), len(mine), 2, seed + int(number[c] % 1_000_003))
+        return pd.DataFrame({"id": ids, "x": out[:, 0], "y": out[:, 1]})
+
+    left = labels.select("i", "component", pack)
+    right = inner.select("component", "i", "j", "w", pack)
+    return materialize(left.groupBy("pack").cogroup(right.groupBy("pack")).applyInPandas(lay, "id long, x double, y double"), "axes")
+
+
+def _centres(labels: DataFrame, n_parts: int, matrix: DataFrame | None, seed: int) -> DataFrame:
+    """(component, cx, cy, room): a place for each component and half its distance from the nearest other.
+
+    Few components lie on a simplex; up to MOST_PARTS by a spectral layout of their
+    means, one row each; more, or without features, are scattered by their number.
+    """
+    spark = labels.sparkSession
+    if n_parts > 4 and (matrix is None or n_parts > MOST_PARTS):
+        at = labels.select("component").distinct()
+        return at.select("component", *[(uniform(seed, F.col("component"), c) * 2 - 1).alias(f"c{c}") for c in "xy"], F.lit(0.5 / n_parts**0.5).alias("room"))
+    names = sorted(r["component"] for r in labels.select("component").distinct().collect())  # at most MOST_PARTS
+
+    def means() -> np.ndarray:
+        rows = E.part_means(matrix, labels.select(F.col("i").alias("id"), F.col("component").alias("part"))).toPandas()
+        out = np.zeros((n_parts, int(rows["p"].max()) + 1))
+        out[np.searchsorted(names, rows["part"]), rows["p"]] = rows["x"]
+        return out
+
+    centre = component_centres(n_parts, means, 2, seed)
+    gap = distances(centre, centre, "euclidean")
+    np.fill_diagonal(gap, np.inf)
+    rows = [(int(c), float(x), float(y), float(np.sqrt(g) / 2)) for c, (x, y), g in zip(names, centre, gap.min(1))]
+    return spark.createDataFrame(rows, "component long, cx double, cy double, room double")
+
+
+def spectral_start(graph: DataFrame, nodes: DataFrame, span: float = 10.0, seed: int = 42, tolerance: float = 1e-4, matrix: DataFrame | None = None) -> DataFrame:
+    """(id, x, y): leading eigenvectors of the normalised graph but the first, component by component; written.
+
+    Each component is laid out by itself, centred and scaled into the room around
+    its place among the others. A large one costs an eigensolver's run of its own;
+    there are no more than nodes / SMALL_PART of these. ``matrix`` (id, features)
+    gives the means that components are placed by.
+    """
+    labels = E.components(nodes.select(F.col("id").alias("i")), graph)
+    sizes = labels.groupBy("component").count()
+    n_parts = sizes.count()
+    if n_parts <= 1:
+        out = owned = _own_axes(graph, nodes, seed, tolerance)
+    else:
+        large = [r["component"] for r in sizes.where(F.col("count") > SMALL_PART).orderBy("component").collect()]  # at most nodes / SMALL_PART
+        small = labels.join(sizes.where(F.col("count") <= SMALL_PART).select("component"), "component", "left_semi").select("i", "component")
+        parts = [_small_axes(graph, small, seed)]
+        for k, c in enumerate(large):
+            mine = labels.where(F.col("component") == c).select("i")
+            inner = graph.join(mine, "i", "left_semi")
+            parts.append(_own_axes(inner, mine.select(F.col("i").alias("id")), seed + k, tolerance))
+        axes = parts[0]
+        for part in parts[1:]:
+            axes = axes.union(part)
+        each = axes.join(labels.withColumnRenamed("i", "id"), "id")
+        mean = each.groupBy("component").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("top"))
+        known = mean.join(_centres(labels, n_parts, matrix, seed), "component")
+        scale = F.col("room") / F.when(F.col("top") > 0, 2 * F.col("top")).otherwise(1.0)
+        out = owned = materialize(each.join(known, "component").select("id", *[(F.col(f"c{c}") + (F.col(c) - F.col(f"m{c}")) * scale).alias(c) for c in "xy"]), "axes")
+        discard(*parts)
     s = out.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.max(F.abs("x")).alias("tx"), F.max(F.abs("y")).alias("ty")).first()
     top = max(abs(s["tx"]) + abs(s["mx"]), abs(s["ty"]) + abs(s["my"])) or 1.0
     started = materialize(out.select("id", *[((F.col(c) - s[f"m{c}"]) * (span / top) + 1e-4 * normal(seed, F.col("id"), c)).alias(c) for c in "xy"]), "spectral-start")
-    discard(scaled, found)
+    discard(labels, owned)
     return started
 
 
 def _start(matrix: DataFrame, graph: DataFrame | None, places: DataFrame, kind: str, span: float | None, seed: int) -> DataFrame:
     """(id, x, y) by place."""
     if kind == "spectral":
-        return spectral_start(graph, places.select(F.col("place").alias("id")), 10.0 if span is None else span, seed)
+        placed = matrix.join(places, "id").select(F.col("place").alias("id"), "features")
+        return spectral_start(graph, places.select(F.col("place").alias("id")), 10.0 if span is None else span, seed, matrix=placed)
     if kind == "random":
         half = 10.0 if span is None else span
         found = matrix.select("id", *[((uniform(seed, F.col("id"), c) * 2 - 1) * half).alias(c) for c in "xy"])

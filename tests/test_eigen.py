@@ -65,6 +65,30 @@ def test_axes_of_a_spectral_start_are_the_true_ones(spark, sf_dir):
     assert np.linalg.svd(q.T @ np.linalg.qr(true)[0], compute_uv=False).min() > 0.999
 
 
+@pytest.mark.parametrize("n_parts", [3, 7])
+def test_components_have_a_layout_of_their_own(spark, monkeypatch, n_parts):
+    """Paths of unequal length: each is spread in order, apart from the others; one is laid out by the eigensolver, a lone node stays."""
+    monkeypatch.setattr(distributed, "SMALL_PART", 40)
+    rows, part, at = [], [], 0
+    for c in range(n_parts - 1):
+        n = 60 if c == 0 else 12 + c
+        rows += [(at + k, at + k + 1, 1.0) for k in range(n - 1)]
+        part += [c] * n
+        at += n
+    part.append(n_parts - 1)
+    graph = spark.createDataFrame(rows + [(j, i, w) for i, j, w in rows], "i long, j long, w double")
+    matrix = spark.createDataFrame([(k, [float(c), float(c * c % 5), 1.0]) for k, c in enumerate(part)], "id long, features array<double>")
+    got = distributed.spectral_start(graph, nodes(spark, len(part)), matrix=matrix).toPandas().sort_values("id")[["x", "y"]].to_numpy()
+    part = np.array(part)
+    assert np.isfinite(got).all() and np.abs(got).max() < 10.1
+    for c in range(n_parts - 1):
+        own, rest = got[part == c], got[part != c]
+        assert own.std(0).max() > 0.02
+        centre = own.mean(0)
+        assert np.sqrt(((own - centre) ** 2).sum(1)).max() < np.sqrt(((rest - centre) ** 2).sum(1)).min()
+        assert abs(np.corrcoef(own[:, 0], np.cos(np.pi * np.arange(len(own)) / (len(own) - 1)))[0, 1]) > 0.95 or abs(np.corrcoef(own[:, 1], np.cos(np.pi * np.arange(len(own)) / (len(own) - 1)))[0, 1]) > 0.95
+
+
 def test_diffusion_maps_of_tables_are_those_of_one_task(spark, sf_dir):
     m = embeddings(spark, sf_dir)
     p = DiffusionParams(t=3)
