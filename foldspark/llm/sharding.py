@@ -13,12 +13,19 @@ digest, id digest). Rows tied along the dimension are ordered by their text, so
 equal texts lie together if dimensions are functions of the text, and cuts go
 between texts. Only a group of copies with more than MOST_WHOLE of a shard's
 bytes is cut, by its ids.
+
+Each cut is off by half a text at most, and these errors add up from level to level.
+At the end some whole groups of copies change their shards until sizes agree: a
+few candidates of each shard, one of each size class, reach the driver, and no more
+than MOST_MOVES groups a shard are moved. Where texts are small beside a shard,
+next to none are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +39,8 @@ MOST_WHOLE = 0.5
 FEW = 4000
 #: Digits of the parts of a rank key: place, text digest, id digest.
 PLACE_DIGITS, TEXT_DIGITS, ID_DIGITS = 2, 3, 4
+#: Groups that a shard gives or takes at the end at most, and size classes of candidates from one size to its double.
+MOST_MOVES, CLASSES = 8, 16
 #: Rows of a shard that are numbered in one group.
 PER_GROUP = 4000
 
@@ -174,6 +183,62 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, text_digest: str, i
     return now.withColumn("shard", shard.cast("int")).drop("__node")
 
 
+def _moves(totals: dict[int, int], held: dict[int, list[tuple[int, int]]], tolerance: float) -> dict[int, int]:
+    """{group: shard} that brings totals nearer to their mean. ``held``: candidates (group, weight) of each shard.
+
+    The shard that is farthest off and another exchange a group, or a group for a
+    lighter one, such that the larger of their two errors shrinks most; if it can't,
+    the next one does.
+    """
+    mean = sum(totals.values()) / len(totals)
+    error, held, out = {s: w - mean for s, w in totals.items()}, {s: dict(held.get(s, ())) for s in totals}, {}
+
+    def best(i: int) -> tuple | None:
+        found = None
+        for j in totals:
+            mine, theirs = ([(None, 0), *sorted(held[s].items(), key=lambda c: (c[1], c[0]))] for s in (i, j))
+            gap = np.array([w for _, w in mine])[:, None] - np.array([w for _, w in theirs])[None]
+            after = np.maximum(np.abs(error[i] - gap), np.abs(error[j] + gap))
+            at = np.unravel_index(np.argmin(after), after.shape)
+            if j != i and after[at] < max(abs(error[i]), abs(error[j])) - 0.5 and (found is None or after[at] < found[0]):
+                found = float(after[at]), j, mine[at[0]], theirs[at[1]]
+        return found
+
+    for _ in range(MOST_MOVES * len(totals)):
+        if max(map(abs, error.values())) <= tolerance * mean:
+            break
+        i, found = next(((i, f) for i in sorted(totals, key=lambda s: (-abs(error[s]), s)) if (f := best(i)) is not None), (None, None))
+        if found is None:
+            break
+        _, j, *pair = found
+        for (group, w), of, to in ((pair[0], i, j), (pair[1], j, i)):
+            if group is not None:
+                del held[of][group]
+                out[group] = to
+                error[of] -= w
+                error[to] += w
+    return out
+
+
+def exchanged(put: DataFrame, weight: str, text_digest: str, n_shards: int, tolerance: float) -> DataFrame:
+    """``put`` with ``shard`` changed for some whole groups of equal text digests, so that weights agree within the tolerance where single texts allow it."""
+    groups = materialize(put.groupBy("shard", text_digest).agg(F.sum(weight).alias("__w")), "shard-groups")
+    totals = {s: 0 for s in range(n_shards)} | {r["shard"]: r["w"] for r in groups.groupBy("shard").agg(F.sum("__w").alias("w")).collect()}
+    # One group of each size class: some hundreds a shard. Those that a cut went through stay where they are.
+    whole = groups.groupBy(text_digest).agg(F.count(F.lit(1)).alias("__n"), F.max("__w").alias("__w"), F.max("shard").alias("shard")).where("__n = 1")
+    some = whole.groupBy("shard", F.floor(F.log2("__w") * CLASSES).alias("class")).agg(F.min(F.struct(text_digest, "__w")).alias("c")).select("shard", f"c.{text_digest}", "c.__w").collect()
+    held: dict[int, list[tuple[int, int]]] = {}
+    for shard, group, w in sorted(some):
+        held.setdefault(shard, []).append((group, w))
+    moves = _moves(totals, held, tolerance)
+    discard(groups)
+    if not moves:
+        return put
+    # Broadcast: at most 2 * MOST_MOVES rows a shard.
+    to = put.sparkSession.createDataFrame(sorted(moves.items()), "__group long, __to int")
+    return put.join(F.broadcast(to), F.col(text_digest) == F.col("__group"), "left").withColumn("shard", F.coalesce("__to", "shard")).drop("__group", "__to")
+
+
 def shard_documents(documents: DataFrame, n_shards: int = 16, text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
 
@@ -191,6 +256,7 @@ def shard_documents(documents: DataFrame, n_shards: int = 16, text: str = "text"
     )
     digest = materialize(digest, "shards")
     put = kd_shards(digest, ["dim_chars", "dim_script"], "size", "text_hash", "id_hash", n_shards, tolerance)
+    put = exchanged(put, "size", "text_hash", n_shards, max(tolerance, TOLERANCE))
     rows = digest.count()
     n_groups = F.lit(max(1, -(-rows // (n_shards * PER_GROUP))))
     put = gapless(put.select("doc_id", "size", "text_crc32", "shard", "deal"), "shard", ["doc_id", "text_crc32", "deal"], ["deal"], "slot", n_groups)

@@ -128,3 +128,29 @@ def test_histogram_passes_agree_with_the_sorted_cut(spark, monkeypatch):
     sizes = check(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect(), 4)
     mean = sum(sizes.values()) / 4
     assert all(abs(s / mean - 1) < 0.03 for s in sizes.values())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_sizes_agree_on_the_test_tables(spark, sf):
+    """Within a hundredth of each other, though a text may be a fifth of a shard. Copies of one text that are more than a shard, and that stay together, fill one alone."""
+    rows = sharding.shard_documents(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+    sizes = check(rows)
+    texts = {}
+    for r in rows:
+        texts.setdefault(r.shard, set()).add((r.text_crc32, r.size))
+    several = [w for s, w in sizes.items() if len(texts[s]) > 1]
+    mean = sum(several) / len(several)
+    assert len(sizes) == 16 and len(several) >= 15 and all(abs(w / mean - 1) < 0.01 for w in several), sorted(w / mean for w in several)
+
+
+def test_moves_bring_totals_together():
+    held = {0: [(1, 30), (2, 7), (3, 4)], 1: [(4, 5), (5, 2)], 2: []}
+    moves = sharding._moves({0: 60, 1: 40, 2: 50}, held, 0.0)
+    totals = {0: 60, 1: 40, 2: 50}
+    weight = {g: w for c in held.values() for g, w in c}
+    for g, to in moves.items():
+        of = next(s for s, c in held.items() if g in dict(c))
+        totals[of] -= weight[g]
+        totals[to] += weight[g]
+    assert max(totals.values()) - min(totals.values()) <= 4
+    assert sharding._moves({0: 5, 1: 5}, {}, 0.0) == {}
