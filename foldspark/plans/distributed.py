@@ -79,10 +79,10 @@ def _result(state: DataFrame, places: DataFrame) -> DataFrame:
 SMALL_PART, PACK_NODES = 2000, 20_000
 
 
-def _own_axes(graph: DataFrame, nodes: DataFrame, seed: int, tolerance: float) -> DataFrame:
+def _own_axes(graph: DataFrame, nodes: DataFrame, seed: int, tolerance: float, rounds: int) -> DataFrame:
     """(id, x, y) of one component: the eigenvectors after the first, written."""
     scaled = materialize(E.scale_by_degrees(graph, 0.5), "spectral-graph")
-    found = eigen.extreme_eigenpairs(scaled, nodes, 3, tolerance=tolerance, seed=seed).vectors
+    found = eigen.extreme_eigenpairs(scaled, nodes, 3, tolerance=tolerance, most_cycles=rounds, seed=seed).vectors
     out = materialize(found.select("id", *[F.coalesce(F.get("v", F.lit(k + 1)), F.lit(0.0)).alias("xy"[k]) for k in range(2)]), "axes")
     discard(scaled, found)
     return out
@@ -137,19 +137,20 @@ def _centres(labels: DataFrame, n_parts: int, matrix: DataFrame | None, seed: in
     return spark.createDataFrame(rows, "component long, cx double, cy double, room double")
 
 
-def spectral_start(graph: DataFrame, nodes: DataFrame, span: float = 10.0, seed: int = 42, tolerance: float = 1e-4, matrix: DataFrame | None = None) -> DataFrame:
+def spectral_start(graph: DataFrame, nodes: DataFrame, span: float = 10.0, seed: int = 42, tolerance: float = 1e-4, matrix: DataFrame | None = None, rounds: int = 40) -> DataFrame:
     """(id, x, y): leading eigenvectors of the normalised graph but the first, component by component; written.
 
     Each component is laid out by itself, centred and scaled into the room around
     its place among the others. A large one costs an eigensolver's run of its own;
     there are no more than nodes / SMALL_PART of these. ``matrix`` (id, features)
-    gives the means that components are placed by.
+    gives the means that components are placed by; ``rounds`` bounds the solver's
+    cycles where the tolerance isn't met before.
     """
     labels = E.components(nodes.select(F.col("id").alias("i")), graph)
     sizes = labels.groupBy("component").count()
     n_parts = sizes.count()
     if n_parts <= 1:
-        out = owned = _own_axes(graph, nodes, seed, tolerance)
+        out = owned = _own_axes(graph, nodes, seed, tolerance, rounds)
     else:
         large = [r["component"] for r in sizes.where(F.col("count") > SMALL_PART).orderBy("component").collect()]  # at most nodes / SMALL_PART
         small = labels.join(sizes.where(F.col("count") <= SMALL_PART).select("component"), "component", "left_semi").select("i", "component")
@@ -157,7 +158,7 @@ def spectral_start(graph: DataFrame, nodes: DataFrame, span: float = 10.0, seed:
         for k, c in enumerate(large):
             mine = labels.where(F.col("component") == c).select("i")
             inner = graph.join(mine, "i", "left_semi")
-            parts.append(_own_axes(inner, mine.select(F.col("i").alias("id")), seed + k, tolerance))
+            parts.append(_own_axes(inner, mine.select(F.col("i").alias("id")), seed + k, tolerance, rounds))
         axes = parts[0]
         for part in parts[1:]:
             axes = axes.union(part)
