@@ -8,6 +8,7 @@ layouts but for the order of sums, where the draws are the same.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 import numpy as np
@@ -20,13 +21,13 @@ from ..functions.curves import fit_ab
 from ..functions.layout_tsne import TsneOptions
 from ..functions.linalg import knee
 from ..materialize import discard, materialize, owning
-from ..operators import affinity, barnes_hut, density, edges as E, eigen, epochs
+from ..operators import affinity, barnes_hut, density, edges as E, eigen, epochs, scaling
 from ..operators.knn import distances
 from ..operators.svd import principal_scores
 from ..sources.matrix import shape
 from ..sources.synthetic import normal, uniform
-from .params import DiffusionParams, PacmapParams, TsneParams, UmapParams
-from .pipelines import MOST_PARTS, _spectral_part, component_centres, diffusion_maps_operator, neighbours, tsne_graph
+from .params import DiffusionParams, PacmapParams, PhateParams, TsneParams, UmapParams
+from .pipelines import MOST_PARTS, _spectral_part, component_centres, diffusion_maps_operator, neighbours, phate_operator, tsne_graph
 
 
 def first_two_axes(matrix: DataFrame, span: float) -> DataFrame:
@@ -259,15 +260,22 @@ REPULSIONS = {
 
 
 def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """t-SNE by Barnes-Hut, by interpolation on a grid, or by all pairs with method ``exact``. An epoch costs a join of the edges with the positions and some passes over these."""
+    """t-SNE by Barnes-Hut, by interpolation on a grid, or by all pairs with method ``exact``; den-SNE where ``density`` is above 0.
+
+    An epoch costs a join of the edges with the positions and some passes over
+    these; the density term, in the last ``density_share`` of the epochs, two more.
+    """
     if p.n_dim != 2:
         raise WrongDimensions("t-SNE layouts have two dimensions")
-    if p.method not in REPULSIONS or p.density > 0:
-        raise UnknownOption(f"a distributed t-SNE has the methods {sorted(REPULSIONS)}, and no density term")
+    if p.method not in REPULSIONS:
+        raise UnknownOption(f"a distributed t-SNE has the methods {sorted(REPULSIONS)}")
     n, _ = shape(matrix)
     joint, near = tsne_graph(matrix, p, given)
     places = _places(matrix)
     graph = materialize(_placed(joint, places, "w"), "tsne-placed")
+    original = None
+    if p.density > 0:
+        original = materialize(density.original_radii(places.select(F.col("place").alias("i")), graph, _placed(near, places, "rank", "d")), "radii")
     discard(joint, near)
     state = _start(matrix, graph, places, p.init, p.init_range, seed)
     state = materialize(state.select("id", "x", "y", *[F.lit(0.0).alias(c) for c in ("ux", "uy")], *[F.lit(1.0).alias(c) for c in ("wx", "wy")]), "layout")
@@ -281,15 +289,66 @@ def tsne(matrix: DataFrame, p: TsneParams = TsneParams(method="fft"), given: Dat
             forces.append(found if p.method in ("bh", "barnes_hut") else materialize(found, "repulsion"))
             return forces[-1]
 
-        g = epochs.tsne_gradient(graph, state.select("id", "x", "y"), p.early_exaggeration if epoch < p.early_epochs else p.late_exaggeration, once)
+        at = state.select("id", "x", "y")
+        g = epochs.tsne_gradient(graph, at, p.early_exaggeration if epoch < p.early_epochs else p.late_exaggeration, once)
+        if original is not None and (epoch + 1) / p.n_epochs > 1 - p.density_share:
+            radii = materialize(epochs.tsne_radii(graph, at).join(original.select(F.col("i").alias("id"), "r"), "id"), "embedding-radii")
+            less = epochs.densne_gradient(graph, at, radii, density.correlation_stats(radii, shift=p.density_shift), p.density)
+            forces.append(radii)
+            g = g.join(less.toDF("id", "dx", "dy"), "id", "left").select("id", *[(F.col(f"g{c}") - F.coalesce(f"d{c}", F.lit(0.0))).alias(f"g{c}") for c in "xy"])
         g = materialize(g, "gradient")
         moved = materialize(epochs.tsne_step(state, g, o.rate(n), o.momentum[0] if epoch < o.momentum[2] else o.momentum[1]), "layout")
         discard(state, g, *forces)
         state = moved
-    discard(graph)
+    discard(graph, *([] if original is None else [original]))
     return _result(state, places)
 
 
+def diffusion_time(op: DataFrame, nodes: DataFrame, t: int | None, t_max: int, seed: int = 42, known: int = 6) -> int:
+    """The given time, or the knee of the entropies of the first t_max powers of an operator that needn't be symmetric.
+
+    Its singular values are the eigenvalues of the symmetric matrix with the operator
+    and its transpose beside the diagonal, each of either sign, so every entropy there is larger
+    by ln 2, which moves no knee. Nodes are numbers of 62 bits at most.
+    """
+    if t is not None:
+        if t < 1:
+            raise ValueError("the diffusion time must be at least 1")
+        return t
+    left = op.select((F.col("i") * 2).alias("i"), (F.col("j") * 2 + 1).alias("j"), "w")
+    both = materialize(left.union(left.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")), "both-sides")
+    twice = nodes.select((F.col("id") * 2).alias("id")).union(nodes.select((F.col("id") * 2 + 1).alias("id")))
+    found = eigen.extreme_eigenpairs(both, twice, known, seed=seed)
+    # A pair (value, left and right) comes with (-value, left and less right).
+    flipped = F.when(F.col("id") % 2 == 0, F.col("v")).otherwise(F.transform("v", lambda x: -x))
+    signs = eigen.Eigenpairs(np.concatenate([found.values, -found.values]), found.vectors.select("id", F.concat("v", flipped).alias("v")), np.concatenate([found.residuals] * 2), found.cycles)
+    curve = eigen.spectral_entropies(both, twice, t_max, signs)
+    discard(both, found.vectors)
+    return max(knee(curve), 1)
+
+
+def phate(matrix: DataFrame, p: PhateParams = PhateParams(), given: DataFrame | None = None, seed: int = 42, most_columns: int = 2000, n_pivots: int = 256, rounds: int = 20) -> DataFrame:
+    """PHATE without landmarks for any number of points.
+
+    Distances of potentials are those over ``most_columns`` columns of the power (all,
+    if there are no more), scaled by the share of columns. ``classic`` scaling places by ``n_pivots``
+    pivots; ``sgd_dense`` starts there and takes ``rounds`` of stress descent (``operators.scaling``).
+    """
+    if p.mds not in ("classic", "sgd_dense", "dense"):
+        raise UnknownOption(f"no scaling {p.mds!r}; there are classic and sgd_dense")
+    n, _ = shape(matrix)
+    op = phate_operator(matrix, replace(p, n_landmarks=None), given, seed).full
+    nodes = matrix.select("id")
+    t = diffusion_time(op, nodes, p.t, p.t_max, seed)
+    columns = scaling.chosen(nodes, most_columns, seed)
+    powered = scaling.power_columns(op, nodes, columns, t)
+    rows = materialize(powered.select("id", scaling.transformed(F.col("v"), p.gamma).alias("v")), "potential")
+    discard(op, powered)
+    out = scaling.scaled(rows, columns, n, p.n_dim, n_pivots, 0 if p.mds == "classic" else rounds, "cosine" if p.knn.metric == "cosine" else "euclidean", seed)
+    discard(rows)
+    return out
+
+
 def diffusion_maps(matrix: DataFrame, p: DiffusionParams = DiffusionParams(), given: DataFrame | None = None, seed: int = 42, tolerance: float = 1e-4) -> DataFrame:
     """Diffusion maps of any number of points: eigenvectors by ``eigen.extreme_eigenpairs``, the diffusion time by ``eigen.spectral_entropies`` where none is given.
 

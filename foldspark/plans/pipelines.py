@@ -309,7 +309,12 @@ def diffusion_time(op: np.ndarray, t: int | None, t_max: int, seed: int = 42) ->
 
 
 def phate(matrix: DataFrame, p: PhateParams = PhateParams(), given: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """Diffusion potential and its multidimensional scaling; landmarks for more points than a dense matrix takes."""
+    """Diffusion potential and its multidimensional scaling. More than MOST_DENSE points without landmarks stay tables (``distributed``)."""
+    n, _ = shape(matrix)
+    if n > MOST_DENSE and (p.n_landmarks is None or p.n_landmarks >= n):
+        from .distributed import phate as over_tables
+
+        return over_tables(matrix, p, given, seed)
     op = phate_operator(matrix, p, given, seed)
     ids, m = _dense(op.small, MOST_DENSE, "PHATE without landmarks (or with as many)")
     discard(op.small, *(x for x in (op.from_landmarks, op.assigned) if x is not None))

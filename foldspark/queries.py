@@ -735,6 +735,8 @@ _method("diffusion_maps_distributed", lambda s, d: distributed.diffusion_maps(em
 _method("tsne_repulsion_grid", lambda s, d: epochs.tsne_repulsion_grid(_positions(s, d)))
 _method("densne", lambda s, d: pipelines.tsne(embeddings(s, d), densne_params(n_epochs=TSNE_EPOCHS)))
 _method("phate", lambda s, d: pipelines.phate(embeddings(s, d)))
+_method("phate_distributed", lambda s, d: distributed.phate(embeddings(s, d)))
+_method("densne_distributed", lambda s, d: distributed.tsne(embeddings(s, d), densne_params(method="fft", n_epochs=FEW_EPOCHS)))
 _method("phate_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, landmarks="random", mds="classic")))
 _method("phate_spectral_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, mds="classic")))
 _method("phate_density_landmarks", lambda s, d: pipelines.phate(embeddings(s, d), PhateParams(n_landmarks=50, landmarks="density", mds="classic")))

@@ -42,7 +42,7 @@ def test_a_cluster_needs_a_shared_folder():
 def _methods():
     from foldspark.operators.knn import knn
     from foldspark.plans import distributed, pipelines
-    from foldspark.plans.params import DiffusionParams, PhateParams, TsneParams, UmapParams
+    from foldspark.plans.params import DiffusionParams, PhateParams, TsneParams, UmapParams, densne_params
 
     few = UmapParams(n_epochs=2, prune_epochs=500)
     # What each leaves: only tables that its result reads.
@@ -54,6 +54,8 @@ def _methods():
         "phate_landmarks": (lambda m: pipelines.phate(m, PhateParams(n_landmarks=30, landmarks="random", mds="classic")), {"phate-landmarks"}),
         "umap_distributed": (lambda m: distributed.umap(m, UmapParams(n_epochs=2, prune_epochs=500, init="random")), {"layout", "places"}),
         "tsne_distributed": (lambda m: distributed.tsne(m, TsneParams(n_epochs=1)), {"layout", "places"}),
+        "densne_distributed": (lambda m: distributed.tsne(m, densne_params(n_epochs=1, method="exact", perplexity=10)), {"layout", "places"}),
+        "phate_distributed": (lambda m: distributed.phate(m, PhateParams(t=2), rounds=2), {"scaling"}),
         "ivf": (lambda m: knn(m, 5, "ivf"), {"ivf-neighbours"}),
         "annoy": (lambda m: knn(m, 5, "annoy"), {"forest-neighbours"}),
         "nndescent": (lambda m: knn(m, 5, "nndescent"), {"nn-descent"}),
@@ -61,7 +63,7 @@ def _methods():
     }
 
 
-@pytest.mark.parametrize("name", ["umap", "tsne", "pacmap", "diffusion_maps", "phate_landmarks", "umap_distributed", "tsne_distributed", "ivf", "annoy", "nndescent", "balltree"])
+@pytest.mark.parametrize("name", ["umap", "tsne", "pacmap", "diffusion_maps", "phate_landmarks", "umap_distributed", "tsne_distributed", "densne_distributed", "phate_distributed", "ivf", "annoy", "nndescent", "balltree"])
 def test_methods_leave_only_what_their_result_reads(spark, sf_dir, name):
     from foldspark.sources.matrix import embeddings
 

@@ -118,6 +118,19 @@ def test_distributed_tsne_takes_the_steps_of_the_one_task_layout(blobs):
     assert set(a) == set(b) and max(min(np.abs(a[k] - b[k]).max(), np.abs(a[k] + b[k]).max()) for k in a) < 1e-5 * span
 
 
+def test_distributed_densne_takes_the_steps_of_the_one_task_layout(blobs):
+    m = blobs.select("id", "features")
+    p = densne_params(perplexity=10, n_epochs=6, method="exact", early_epochs=2, randomised=False, density=50.0, density_share=0.7)
+    a, b = ({r.id: np.array(r.x) for r in f(m, p).collect()} for f in (pipelines.tsne, distributed.tsne))
+    plain = {r.id: np.array(r.x) for r in distributed.tsne(m, TsneParams(perplexity=10, n_epochs=6, method="exact", early_epochs=2, randomised=False)).collect()}
+    span = max(np.abs(v).max() for v in a.values())
+
+    def apart(u, v):
+        return max(min(np.abs(u[k] - v[k]).max(), np.abs(u[k] + v[k]).max()) for k in a) / span
+
+    assert set(a) == set(b) and apart(a, b) < 1e-5 and apart(plain, b) > 1e-4
+
+
 def test_distributed_densmap_takes_the_density_term(blobs):
     m = blobs.select("id", "features")
     plain = {r.id: list(r.x) for r in distributed.umap(m, UmapParams(k=8, n_epochs=5, init="pca")).collect()}
