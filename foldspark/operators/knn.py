@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UnknownOption
 from ..materialize import discard, materialize, owning
-from ..sources.matrix import shape
+from ..sources.matrix import shape, single
 from .edges import mirrored
 
 METRICS = ("euclidean", "cosine")
@@ -635,6 +635,7 @@ def hnsw(matrix: DataFrame, k: int, metric: str = "euclidean", m: int = 16, ef_c
 
 #: Search names and what runs them.
 BACKENDS = {"exhaustive": exact, "kmknn": kmknn, "balltree": ball_tree, "ivf": ivf, "hnsw": hnsw, "annoy": projection_forest, "nndescent": nn_descent}
+#: Searches of these names are the same on features of 32 bits.
 ALIASES = {"exhaustive_gpu": "exhaustive", "ivf_gpu": "ivf", "nndescent_gpu": "nndescent"}
 
 
@@ -650,4 +651,5 @@ def knn(matrix: DataFrame, k: int, search: str = "kmknn", metric: str = "euclide
     if metric not in METRICS:
         raise UnknownOption(f"no metric {metric!r}; there are {METRICS}")
     n, _ = shape(matrix)
+    matrix = single(matrix) if search.lower() in ALIASES else matrix
     return BACKENDS[parse_search(search)](matrix, min(k, max(n - 1, 1)), metric, **options)

@@ -23,7 +23,7 @@ from .operators.knn import knn
 from .plans import distributed, encoder, pipelines
 from .plans.params import DiffusionParams, KnnParams, PacmapParams, ParametricParams, PhateParams, TsneParams, UmapParams, densmap_params, densne_params
 from .sources import synthetic
-from .sources.matrix import embeddings, from_columns, shape
+from .sources.matrix import embeddings, from_columns, shape, single
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,6 +175,27 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
 
 # Neighbours
 
+THIRDS = ("ths", "SELECT id, list_transform(v, lambda x: x / 3) AS v FROM pts")
+ROUNDED = ("sgl", "SELECT id, list_transform(v, lambda x: x::FLOAT::DOUBLE) AS v FROM ths")
+
+
+def _thirds(spark, d):
+    """Features that 32 bits don't hold exactly."""
+    return embeddings(spark, d).select("id", F.transform("features", lambda x: x / 3).alias("features"))
+
+
+@query(sql("SELECT id, unnest(range(0, len(v)))::INTEGER AS p, unnest(v) AS x FROM sgl", PTS, THIRDS, ROUNDED))
+def matrix_single(spark, d):
+    """Features rounded to 32 bits, one by one."""
+    return single(_thirds(spark, d)).select("id", F.posexplode("features").alias("p", "x"))
+
+
+@query(sql(f"SELECT i, rank, j, {_r('d', 9)} AS d FROM knn", PTS, THIRDS, ROUNDED, knn_part(K, pts="sgl")))
+def knn_exact_single(spark, d):
+    """Exact search on features of 32 bits."""
+    return rounded(knn(_thirds(spark, d), K, "exhaustive_gpu"), 9)
+
+
 @query(sql(f"SELECT i, rank, j, {_r('d', 9)} AS d FROM knn", PTS, knn_part(K)))
 def knn_exact_euclidean(spark, d):
     return rounded(_knn(spark, d), 9)

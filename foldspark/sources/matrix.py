@@ -19,6 +19,11 @@ def from_columns(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), whole.alias("features"), *columns).dropna(subset=[id_col if id_col in df.columns and id_col in columns else "id", *columns]).select("id", "features")
 
 
+def single(matrix: DataFrame) -> DataFrame:
+    """The features rounded to 32 bits; what is computed from them stays in doubles. Numbers beyond that range become infinite."""
+    return matrix.withColumn("features", F.col("features").cast("array<float>").cast("array<double>"))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
 

@@ -9,7 +9,7 @@ import pytest
 from foldspark import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["knn_exact_cosine", "knn_one_dimension", "umap_fuzzy_graph", "umap_epoch_gradient", "tsne_joint_p", "landmark_operator", "pacmap_pairs", "density_correlation_stats", "connected_components", "densmap_epoch_gradient", "umap_hash_negatives_both_ends", "knn_balltree_cosine"]
+NAMES = ["knn_exact_cosine", "knn_one_dimension", "matrix_single", "knn_exact_single", "umap_fuzzy_graph", "umap_epoch_gradient", "tsne_joint_p", "landmark_operator", "pacmap_pairs", "density_correlation_stats", "connected_components", "densmap_epoch_gradient", "umap_hash_negatives_both_ends", "knn_balltree_cosine"]
 
 
 @pytest.fixture(scope="module")
