@@ -30,6 +30,8 @@ BLOCK = 32
 #: Documents in a shard of a source, about.
 PER_SHARD = 1000
 SEED = "mix-1"
+#: Copies of a row that are listed at once.
+COPIES = 4096
 
 
 def seeded(text: Column, seed: str = SEED) -> Column:
@@ -88,8 +90,8 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
     ``taken`` is the number of words that the mix takes of it, from 0 to
     epochs * size. Sources by code point, null last, weigh ``weights``,
-    repeating. Null and empty texts have size 0 and nothing is taken. A repeated
-    doc_id lies anywhere among its likes, so only its rows' sum is fixed. Texts of
+    repeating. Null and empty texts have size 0 and nothing is taken. Rows of one
+    id, source and size (without an id: of one text too) lie beside each other in any order, so only their sum is fixed. Texts of
     any length are counted whole. An empty table gives none. Other columns, of any
     name, aren't read.
     """
@@ -98,17 +100,21 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     # Rows without an id lie by their texts, so they don't meet in one shard.
     key = seeded(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null/"), F.md5(F.coalesce(F.col(text), F.lit(""))))), seed)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("__key"), *carry)
-    sized = materialize(rows.drop(*carry), "mix")
+    # Rows that nothing tells apart are counted first, so many of them are few on the line. Each task counts its own, which bounds a count.
+    like = ["doc_id", "source", "size", "__key", "__task"]
+    alone = [F.lit(0).alias("__task"), F.lit(1).cast("long").alias("__copies")]
+    counted = rows.withColumn("__task", F.spark_partition_id()).groupBy(*like).agg(F.count(F.lit(1)).alias("__copies"))
+    sized = materialize(rows.select(*like[:-1], *alone) if carry else counted, "mix")
     weight = F.element_at(F.lit(list(weights)), F.col("place") % len(weights) + 1)
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("__copies")).alias("source_size"), F.sum("__copies").alias("__rows"))
     sources = sources.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", weight)
     sources = capped_targets(sources, epochs).withColumn("blocks", F.round(F.sum("source_size").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("double") / block).cast("long"))
     sources = sainte_lague(sources.withColumn("everything", F.lit(0)), ["everything"], "target", "blocks", ["place"], "source_blocks")
     sources = materialize(sources.withColumn("shards", F.ceil(F.col("__rows") / per_shard).cast("long")).select(F.col("source").alias("__source"), "source_size", "target", "place", "source_blocks", "shards"), "mix-sources")
 
-    put = (rows if carry else sized).join(sources.select("__source", "source_size", "target", "place", "shards"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("shard", F.pmod("__key", "shards"))
-    put = put.select("doc_id", "size", "source_size", "target", "place", "shard", "__key", *carry)
-    shards = put.groupBy("place", "shard").agg(F.sum("size").alias("words")).join(sources.select(F.col("place").alias("__place"), "source_blocks"), F.col("place") == F.col("__place")).drop("__place")
+    put = (rows.select("*", *alone) if carry else sized).join(sources.select("__source", "source_size", "target", "place", "shards"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("shard", F.pmod("__key", "shards"))
+    put = put.select("doc_id", "size", "source_size", "target", "place", "shard", "__key", "__task", "__copies", *carry)
+    shards = put.groupBy("place", "shard").agg(F.sum(F.col("size") * F.col("__copies")).alias("words")).join(sources.select(F.col("place").alias("__place"), "source_blocks"), F.col("place") == F.col("__place")).drop("__place")
     shards = sainte_lague(shards, ["place"], "words", "source_blocks", ["shard"], "quota")
     wanted = F.least(F.col("quota") * block, F.col("words") * epochs)
     start = F.pmod(seeded(F.concat_ws("/", F.col("place").cast("string"), F.col("shard").cast("string")), seed + "-start"), F.greatest(F.ceil(F.col("words") / block), F.lit(1))) * block
@@ -117,9 +123,13 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         F.when(F.col("words") > 0, F.floor(wanted / F.col("words"))).otherwise(0).cast("long").alias("rounds"),
         F.when(F.col("words") > 0, wanted % F.when(F.col("words") > 0, F.col("words"))).otherwise(0).alias("rest"), start.alias("begin"),
     )
-    line = Window.partitionBy("place", "shard").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = put.withColumn("end", F.sum("size").over(line)).join(shards, (F.col("place") == F.col("__p")) & (F.col("shard") == F.col("__s")))
-    low, high = F.col("end") - F.col("size"), F.col("end")
+    line = Window.partitionBy("place", "shard").orderBy("__key", "doc_id", "size", "__task").rowsBetween(Window.unboundedPreceding, 0)
+    laid = put.withColumn("end", F.sum(F.col("size") * F.col("__copies")).over(line)).join(shards, (F.col("place") == F.col("__p")) & (F.col("shard") == F.col("__s")))
+    # One row for each copy again, in two steps so that no list is long.
+    last = F.col("__copies") - 1
+    laid = laid.withColumn("__run", F.explode(F.sequence(F.lit(0), F.floor(last / COPIES)))).withColumn("__copy", F.explode(F.sequence(F.col("__run") * COPIES, F.least(last, (F.col("__run") + 1) * COPIES - 1))))
+    high = F.col("end") - F.col("size") * (last - F.col("__copy"))
+    low = high - F.col("size")
 
     def meets(a: Column, b: Column) -> Column:
         return F.greatest(F.least(high, b) - F.greatest(low, a), F.lit(0))

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from foldspark.llm import mixing, registry
 
@@ -62,6 +63,17 @@ def test_awkward_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str)
 
 
+def test_many_copies_of_a_row_are_few_on_the_line(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, "a b c", None, "x", 0)] * 300 + [(5, "d e", None, "x", 0)] * 200 + [(None, "", None, "y", 0)] * 90 + [(k, "w " * (k % 40), None, "y", 0) for k in range(10, 300)]
+    df = frame(spark, rows)
+    got = mixing.mix(df.repartition(3), per_shard=50)
+    assert got.count() == len(rows)
+    # Carried columns take the other way: row by row.
+    one = mixing.mix(df.withColumn("tag", F.lit(1)), per_shard=50, carry=["tag"]).drop("tag")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+
+
 def test_empty_tables(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     nothing = mixing.mix(frame(spark, [(1, None, None, None, None), (2, "", None, "a", 0)])).collect()
