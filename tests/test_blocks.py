@@ -54,3 +54,26 @@ def test_rounding_of_32_bits_decides_nothing(metric, far, scale):
     want = K.best_of(ids, d, 9)
     np.testing.assert_array_equal(best[0], want[0])
     np.testing.assert_allclose(best[1], want[1], rtol=1e-9, atol=1e-15)
+
+
+def test_further_pairs_draw_what_they_keep(spark):
+    """A node's first 20 draws that aren't itself, of 200; only nodes that drew themselves draw more."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from foldspark.functions.hashing import draw_column
+    from foldspark.operators.epochs import pacmap_pairs
+
+    def further(n):
+        near = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).selectExpr("i", "rank", f"(i + rank) % {n} AS j", "0.5D AS d").cache()
+        near.count()
+        before = shuffled(spark)
+        got = sorted(map(tuple, pacmap_pairs(near, n).where("kind = 'further'").select("i", "j").collect()))
+        return got, shuffled(spark) - before
+
+    for n in (1, 2, 3, 40):
+        tries = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("m")).withColumn("j", draw_column(42, F.col("i"), F.lit(0), F.lit(0), F.col("m"), n)).where("j <> i")
+        want = tries.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("m"))).where("r <= 20").select("i", "j")
+        assert further(n)[0] == sorted(map(tuple, want.collect()))
+    got, bytes_ = further(4000)
+    assert len(got) == 80000 and bytes_ < 4000 * 200
