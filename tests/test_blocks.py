@@ -77,3 +77,19 @@ def test_further_pairs_draw_what_they_keep(spark):
         assert further(n)[0] == sorted(map(tuple, want.collect()))
     got, bytes_ = further(4000)
     assert len(got) == 80000 and bytes_ < 4000 * 200
+
+
+def test_double_centring_holds_no_row_of_all_pairs(spark, monkeypatch):
+    """Blocks of 64 rows: entries are those of the table of distances; before, a task held all neighbours of its rows."""
+    from foldspark.operators import diffusion
+
+    v = np.random.default_rng(8).standard_normal((300, 12))
+    m = matrix(spark, v).cache()
+    m.count()
+    monkeypatch.setattr(K, "_query_rows", lambda *_: 64)
+    before = shuffled(spark)
+    got = diffusion.centred_distances(m).toPandas().sort_values(["i", "j"])
+    assert shuffled(spark) - before < 300 * 300 * 16
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    j = np.eye(300) - 1 / 300
+    np.testing.assert_allclose(got["w"].to_numpy().reshape(300, 300), -0.5 * j @ d @ j, atol=1e-9)
