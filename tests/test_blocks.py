@@ -93,3 +93,15 @@ def test_double_centring_holds_no_row_of_all_pairs(spark, monkeypatch):
     d = ((v[:, None] - v[None]) ** 2).sum(2)
     j = np.eye(300) - 1 / 300
     np.testing.assert_allclose(got["w"].to_numpy().reshape(300, 300), -0.5 * j @ d @ j, atol=1e-9)
+
+
+def test_dense_entries_without_a_list_of_nodes(spark):
+    from foldspark.operators import edges as E
+    from foldspark.plans.distributed import _places
+
+    ids = [3, 7, 8, 20]
+    nodes = spark.createDataFrame([(i, [0.0]) for i in ids], "id long, features array<double>")
+    e = spark.createDataFrame([(3, 20, 0.5), (3, 7, 0.25), (20, 3, 1.0)], "i long, j long, w double")
+    out = E.dense_entries(e, _places(nodes))
+    assert sorted(map(tuple, out.collect())) == [(3, 0, 0.0), (3, 1, 0.25), (3, 2, 0.0), (3, 3, 0.5), (20, 0, 1.0), (20, 1, 0.0), (20, 2, 0.0), (20, 3, 0.0)]
+    assert "array(" not in out._jdf.queryExecution().optimizedPlan().toString()
