@@ -105,3 +105,18 @@ def test_dense_entries_without_a_list_of_nodes(spark):
     out = E.dense_entries(e, _places(nodes))
     assert sorted(map(tuple, out.collect())) == [(3, 0, 0.0), (3, 1, 0.25), (3, 2, 0.0), (3, 3, 0.5), (20, 0, 1.0), (20, 1, 0.0), (20, 2, 0.0), (20, 3, 0.0)]
     assert "array(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entropies_of_an_operator_too_large_for_one_task(spark, monkeypatch):
+    """A sketch of as many columns as there are nodes has all singular values; before, more than MOST_DENSE nodes were an error."""
+    from foldspark.functions import linalg
+    from foldspark.operators import edges as E
+    from foldspark.plans import pipelines
+
+    w = np.random.default_rng(9).random((90, 90)) * (np.random.default_rng(10).random((90, 90)) < 0.2) + np.eye(90)
+    i, j = np.nonzero(w)
+    op = E.normalise_rows(spark.createDataFrame([(int(a), int(b), float(w[a, b])) for a, b in zip(i, j)], "i long, j long, w double")).cache()
+    want = pipelines.entropies(op, 20)
+    monkeypatch.setattr(linalg, "DENSE_ENTROPY", 50)
+    monkeypatch.setattr(pipelines, "MOST_DENSE", 80)
+    np.testing.assert_allclose(pipelines.entropies(op, 20), want, atol=1e-7)
