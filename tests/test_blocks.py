@@ -120,3 +120,20 @@ def test_entropies_of_an_operator_too_large_for_one_task(spark, monkeypatch):
     monkeypatch.setattr(linalg, "DENSE_ENTROPY", 50)
     monkeypatch.setattr(pipelines, "MOST_DENSE", 80)
     np.testing.assert_allclose(pipelines.entropies(op, 20), want, atol=1e-7)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_copies_are_not_all_compared(monkeypatch, metric):
+    """A vector that 800 of 1000 rows have: distances of some copies decide, not those of all pairs of them."""
+    v = np.random.default_rng(11).standard_normal((1000, 16))
+    v[100:900] = v[100]
+    ids = np.arange(1000)[::-1] % 990
+    seen, plain = [], K._pair_distances
+    monkeypatch.setattr(K, "_pair_distances", lambda a, b, m: seen.append(len(a)) or plain(a, b, m))
+    got = K.nearest_rows(ids, v, ids, v, K.no_neighbours(1000, 5), metric)
+    d = K.distances(v, v, metric)
+    d[ids[:, None] == ids[None]] = np.inf
+    want = K.best_of(ids, d, 5)
+    np.testing.assert_array_equal(got[0], want[0])
+    np.testing.assert_allclose(got[1], want[1], rtol=1e-9, atol=1e-15)
+    assert sum(seen) < 1000 * 60
