@@ -84,6 +84,16 @@ def test_umap_layouts_separate(how):
     assert np.isfinite(got).all() and separation(got, label) > 1
 
 
+@pytest.mark.parametrize("adam", [False, True])
+def test_a_sequential_epoch_draws_once(monkeypatch, adam):
+    """Draws of an edge by itself cost more than its moves."""
+    made = []
+    monkeypatch.setattr(layout_umap, "draw_numpy", lambda *a: made.append(1) or draw_numpy(*a))
+    i, j, w, label = two_clusters()
+    got = layout_umap.sequential(np.random.default_rng(0).uniform(-1, 1, (40, 2)), i, j, w, layout_umap.UmapOptions(n_epochs=30), adam=adam)
+    assert len(made) <= 30 and np.isfinite(got).all()
+
+
 def test_density_weight_zero_changes_nothing():
     i, j, w, _ = two_clusters()
     x = np.random.default_rng(0).uniform(-1, 1, (40, 2))
