@@ -114,3 +114,29 @@ def test_only_vectors_are_left(spark):
     eigen.extreme_eigenpairs(edges, nodes(spark, 40), 2)
     assert [x.rsplit("-", 1)[0] for x in set(os.listdir(shared_dir(spark))) - before] == ["eigenvectors"]
     assert E.degree(edges).count() > 0
+
+
+def test_blocks_of_rows_are_the_whole_matrix(spark, monkeypatch):
+    """Several blocks: steps of the recurrence, their inner products, and the pairs; an edge to no node counts for nothing."""
+    monkeypatch.setattr(eigen, "LEAST_ROWS", 16)
+    a = random_symmetric(80)
+    edges = table(spark, a).union(spark.createDataFrame([(3, 500, 0.01), (500, 3, 0.01)], "i long, j long, w double"))
+    held = eigen.Blocked(edges, nodes(spark, 80))
+    assert held.parts > 1
+    ids = {r.b: r.ids for r in held.rows.collect()}
+
+    def dense(t):
+        out = np.zeros((80, 5))
+        for r in t.collect():
+            out[ids[r.b]] = np.frombuffer(r.v).reshape(-1, 5)
+        return out
+
+    zero = held.drawn(3, 5)
+    one = held.step(zero, None, 5)
+    two = held.step(one, zero, 5)
+    v, s = dense(zero), a / held.bound
+    np.testing.assert_allclose(dense(one), s @ v, atol=1e-12)
+    np.testing.assert_allclose(dense(two), 2 * s @ (s @ v) - v, atol=1e-12)
+    np.testing.assert_allclose(eigen._moments([one, two], 5)[3], v.T @ (4 * s @ s @ s - 3 * s) @ v, atol=1e-10)
+    found = eigen.extreme_eigenpairs(edges, nodes(spark, 80), 3, tolerance=1e-5)
+    np.testing.assert_allclose(found.values, np.sort(np.linalg.eigvalsh(a))[::-1][:3], atol=1e-6)
