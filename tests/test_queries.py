@@ -43,3 +43,12 @@ def test_entry_has_all(spark):
 
     assert set(Q.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["i", "j", "w"]
+
+
+def test_component_edges_search_once(spark, duck, sf_dir, monkeypatch):
+    searched, real = [], Q.knn
+    monkeypatch.setattr(Q, "knn", lambda m, k, *a, **o: searched.append(k) or real(m, k, *a, **o))
+    a, b = ordered(Q.QUERIES["component_edges"](spark, sf_dir).toPandas()), ordered(duck.execute(Q.SQL["component_edges"]).fetchdf())
+    assert searched == [Q.K]
+    assert (a[["component", "i", "j"]].to_numpy() == b[["component", "i", "j"]].to_numpy()).all()
+    np.testing.assert_allclose(a["w"], b["w"], rtol=0, atol=2e-6)
