@@ -142,3 +142,24 @@ def test_encoder_gradients_and_bytes():
     x = rng.standard_normal((7, 3))
     np.testing.assert_array_equal(mlp.Mlp.from_bytes(net.to_bytes()).forward(x), net.forward(x))
     assert mlp.correlation_loss(x[:, 0], 2 * x[:, 0] + 1)[0] < -0.999
+
+
+def test_parallel_layout_by_pieces(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, links = 20_000, 8
+    i, j = np.repeat(np.arange(n), links), (np.repeat(np.arange(n), links) + np.tile(np.arange(1, links + 1), n)) % n
+    i, j, w = np.concatenate([i, j]), np.concatenate([j, i]), np.ones(2 * n * links)
+    x = rng.normal(size=(n, 2))
+    held = layout_umap.Density(rng.normal(size=n), w.sum() / 2)
+    options = layout_umap.UmapOptions(n_epochs=4)
+    tracemalloc.start()
+    whole = layout_umap.adam_parallel(x, i, j, w, options, 42, held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 640 000 draws an epoch: their nodes and pushes are held, nothing else of that length.
+    assert peak < 80 << 20
+    monkeypatch.setattr(layout_umap, "AT_ONCE", 1009)
+    monkeypatch.setattr(layout_umap, "MOST_THREADS", 3)
+    assert np.array_equal(whole, layout_umap.adam_parallel(x, i, j, w, options, 42, held))
