@@ -163,3 +163,13 @@ def test_parallel_layout_by_pieces(monkeypatch):
     monkeypatch.setattr(layout_umap, "AT_ONCE", 1009)
     monkeypatch.setattr(layout_umap, "MOST_THREADS", 3)
     assert np.array_equal(whole, layout_umap.adam_parallel(x, i, j, w, options, 42, held))
+
+
+def test_a_source_goes_through_the_layers_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, edges = rng.normal(size=(300, 8)), rng.integers(0, 300, (2, 512))
+    rows, real = [], mlp.Mlp.layers
+    monkeypatch.setattr(mlp.Mlp, "layers", lambda net, v: rows.append(len(v)) or real(net, v))
+    mlp.train(x, *edges, [16], 2, mlp.TrainOptions(n_epochs=3, correlation=0.5))
+    # Six batches of 256 edges: a source, a target and five negatives each.
+    assert sum(rows) == 6 * 256 * 7
