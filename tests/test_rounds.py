@@ -57,3 +57,23 @@ def test_no_graph_comes_to_the_driver(spark, sf_dir, monkeypatch, method):
     }[method]
     assert run().count() == m.count()
     assert max(len(c) for x in fetched for c in x.values()) <= m.count()
+
+
+#: Registered layouts, and the plan that each runs with its defaults.
+WHOLE = {
+    "densne": (pipelines, "tsne"),
+    "tsne": (pipelines, "tsne"),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_registered_layouts_run_all_epochs(monkeypatch, name):
+    from foldspark import queries
+
+    (plan, method), given = WHOLE[name], []
+    monkeypatch.setattr(plan, method, lambda m, p=None, **o: given.append((p, o)))
+    monkeypatch.setattr(queries, "embeddings", lambda s, d: None)
+    queries.QUERIES[name](None, "")
+    (p, more), = given
+    default = type(p)()
+    assert not more and all(getattr(p, c) == getattr(default, c) for c in ("n_epochs", "prune_epochs", "phases", "hidden") if hasattr(p, c))
