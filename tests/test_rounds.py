@@ -61,6 +61,7 @@ def test_no_graph_comes_to_the_driver(spark, sf_dir, monkeypatch, method):
 
 #: Registered layouts, and the plan that each runs with its defaults.
 WHOLE = {
+    "tsne_fft": (pipelines, "tsne"),
     "densne": (pipelines, "tsne"),
     "tsne": (pipelines, "tsne"),
 }
