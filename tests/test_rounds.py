@@ -5,7 +5,7 @@ import pytest
 
 from foldspark.functions import layout_tsne, layout_umap
 from foldspark.operators import rounds
-from foldspark.plans import pipelines
+from foldspark.plans import distributed, pipelines
 from foldspark.plans.params import PacmapParams, TsneParams, densne_params
 
 
@@ -61,6 +61,8 @@ def test_no_graph_comes_to_the_driver(spark, sf_dir, monkeypatch, method):
 
 #: Registered layouts, and the plan that each runs with its defaults.
 WHOLE = {
+    "densne_distributed": (distributed, "tsne"),
+    "tsne_distributed": (distributed, "tsne"),
     "tsne_fft": (pipelines, "tsne"),
     "densne": (pipelines, "tsne"),
     "tsne": (pipelines, "tsne"),
