@@ -61,6 +61,7 @@ def test_no_graph_comes_to_the_driver(spark, sf_dir, monkeypatch, method):
 
 #: Registered layouts, and the plan that each runs with its defaults.
 WHOLE = {
+    "umap_sgd": (pipelines, "umap"),
     "pacmap_distributed": (distributed, "pacmap"),
     "umap_distributed": (distributed, "umap"),
     "umap_adam": (pipelines, "umap"),
