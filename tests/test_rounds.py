@@ -61,6 +61,7 @@ def test_no_graph_comes_to_the_driver(spark, sf_dir, monkeypatch, method):
 
 #: Registered layouts, and the plan that each runs with its defaults.
 WHOLE = {
+    "parametric_umap": (pipelines, "parametric_umap"),
     "umap_sgd": (pipelines, "umap"),
     "pacmap_distributed": (distributed, "pacmap"),
     "umap_distributed": (distributed, "umap"),
@@ -85,3 +86,21 @@ def test_registered_layouts_run_all_epochs(monkeypatch, name):
     (p, more), = given
     default = type(p)()
     assert not more and all(getattr(p, c) == getattr(default, c) for c in ("n_epochs", "prune_epochs", "phases", "hidden") if hasattr(p, c))
+
+
+def test_the_encoder_is_trained_off_the_driver(spark, sf_dir, monkeypatch):
+    from foldspark.functions import mlp
+    from foldspark.functions.curves import fit_ab
+    from foldspark.plans.params import KnnParams, ParametricParams, UmapParams
+    from foldspark.sources.matrix import embeddings
+
+    m = embeddings(spark, sf_dir).where("id < 90")
+    p = ParametricParams(k=5, knn=KnnParams("exhaustive"), hidden=(8,), n_epochs=2, batch=64)
+    graph, _ = pipelines.umap_graph(m, UmapParams(k=5, knn=p.knn, n_epochs=2))
+    rows = m.toPandas().sort_values("id")
+    at = np.searchsorted(rows["id"].to_numpy(), graph.select("i", "j").toPandas().sort_values(["i", "j"]).to_numpy())
+    want = mlp.train(np.stack(rows["features"].to_numpy()), at[:, 0], at[:, 1], [8], 2, mlp.TrainOptions(*fit_ab(p.min_dist, p.spread), n_epochs=2, batch=64))
+    monkeypatch.setattr(type(m), "toPandas", lambda df: pytest.fail("rows came to the driver"))
+    monkeypatch.setattr(pipelines, "train", lambda *a: pytest.fail("trained on the driver"))
+    got = pipelines.train_encoder(m, p)
+    assert all(np.array_equal(a, b) for a, b in zip(got.weights + got.biases, want.weights + want.biases))
