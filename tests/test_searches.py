@@ -146,3 +146,22 @@ def test_normals_do_not_depend_on_rows_that_come_together():
 def test_last_of_equal_edges_wins(spark):
     e = spark.createDataFrame([(1, 2, 0.5, 0), (1, 2, 0.25, 1), (2, 1, 1.0, 0)], "i long, j long, w double, at int")
     assert sorted(map(tuple, edges.last_wins(e, "at").collect())) == [(1, 2, 0.25), (2, 1, 1.0)]
+
+
+def test_ivf_sends_cells_to_blocks_of_rows(spark, monkeypatch):
+    """Of each row the neighbours among its nearest cells, and no copy of it for each of these."""
+    from foldspark.operators import knn as K
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 5))
+    m = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)], "id long, features array<double>")
+    fitted, real = [], K.k_means
+    monkeypatch.setattr(K, "k_means", lambda *a: fitted.append(real(*a)) or fitted[-1])
+    monkeypatch.setattr(K, "_within_cells", lambda *a, **o: pytest.fail("a row for each probe"))
+    got = K.ivf(m, 4, n_list=12, n_probes=3).toPandas().sort_values(["i", "rank"])
+    c = fitted[0]
+    near = np.argsort(((x[:, None] - c[None]) ** 2).sum(2), axis=1)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    d[~(near[:, None, :3] == near[None, :, :1]).any(2)] = np.inf
+    assert (got["j"].to_numpy().reshape(700, 4) == np.argsort(d, axis=1, kind="stable")[:, :4]).all()
