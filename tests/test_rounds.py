@@ -104,3 +104,42 @@ def test_the_encoder_is_trained_off_the_driver(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(pipelines, "train", lambda *a: pytest.fail("trained on the driver"))
     got = pipelines.train_encoder(m, p)
     assert all(np.array_equal(a, b) for a, b in zip(got.weights + got.biases, want.weights + want.biases))
+
+
+def test_many_components_are_placed_as_few_are(spark, monkeypatch):
+    """By products with their affinities or by one matrix: the same places, not scattered ones."""
+    means = np.random.default_rng(5).normal(size=(90, 4)) * [6, 3, 1, 1]
+    want = pipelines.component_centres(90, lambda: means, 2, 42, spark)
+    monkeypatch.setattr(pipelines, "MOST_PARTS", 20)
+    np.testing.assert_allclose(pipelines.component_centres(90, lambda: means, 2, 42, spark), want, atol=1e-6)
+    from foldspark.sources.matrix import from_vectors
+
+    labels = spark.createDataFrame([(k, k) for k in range(90)], "i long, component long")
+    m = from_vectors(spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(means)], "id long, v array<double>"), "id", "v")
+    got = distributed._centres(labels, 90, m, 42).toPandas().sort_values("component")
+    np.testing.assert_allclose(got[["cx", "cy"]], want, atol=1e-6)
+
+
+def test_a_spectral_start_by_rounds_parts_components(spark):
+    """Three paths, a large one by rounds, small ones in tasks, and a lone node."""
+    rows, part, at = [], [], 0
+    for c, n in enumerate((40, 12, 9)):
+        rows += [(at + k, at + k + 1, 1.0) for k in range(n - 1)]
+        part += [c] * n
+        at += n
+    part = np.array([*part, 3])
+    graph = spark.createDataFrame(rows + [(j, i, w) for i, j, w in rows], "i long, j long, w double")
+    blocks = pipelines.edge_blocks(graph, len(part))
+    assert (rounds.labels(blocks) == np.array([0, 40, 52, 61])[part]).all()
+    pipelines_most, pipelines.MOST_PARTS = pipelines.MOST_PARTS, 30
+    try:
+        got = pipelines.spectral_start(blocks, None, 2, 42, spark)
+    finally:
+        pipelines.MOST_PARTS = pipelines_most
+        blocks.close()
+    centres = np.stack([got[part == c].mean(0) for c in range(4)])
+    assert min(np.linalg.norm(centres[a] - centres[b]) for a in range(4) for b in range(a)) > 3
+    for c in range(3):
+        own = got[part == c]
+        along = np.cos(np.pi * (np.arange(len(own)) + 0.5) / len(own))
+        assert max(abs(np.corrcoef(own[:, k], along)[0, 1]) for k in range(2)) > 0.95
