@@ -104,3 +104,14 @@ def test_time_is_the_knee_of_one_task(spark):
     dense = pipelines._dense(op.full, 10_000, "a test")[1]
     assert distributed.diffusion_time(op.full, m.select("id"), None, 40) == pipelines.diffusion_time(dense, None, 40)
     assert distributed.diffusion_time(op.full, m.select("id"), 3, 40) == 3
+
+
+def test_potentials_have_all_columns(spark, monkeypatch):
+    """More nodes than an estimate would take columns of."""
+    x = np.random.default_rng(2).normal(size=(2100, 3))
+    m = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)], "id long, features array<double>")
+    held, real = [], scaling.power_columns
+    monkeypatch.setattr(scaling, "power_columns", lambda op, nodes, columns, t: held.append(columns) or real(op, nodes, columns[:32], t))
+    monkeypatch.setattr(scaling, "scaled", lambda rows, columns, *a: rows)
+    distributed.phate(m, PhateParams(t=1))
+    assert sorted(held[0]) == list(range(2100))
