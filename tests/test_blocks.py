@@ -137,3 +137,17 @@ def test_copies_are_not_all_compared(monkeypatch, metric):
     np.testing.assert_array_equal(got[0], want[0])
     np.testing.assert_allclose(got[1], want[1], rtol=1e-9, atol=1e-15)
     assert sum(seen) < 1000 * 60
+
+
+def test_centred_distances_meet_all_pairs_once(spark, monkeypatch):
+    """Rows far from the origin: their means take no pass over all pairs, and lose no digits."""
+    from foldspark.operators import diffusion
+
+    x = np.random.default_rng(8).normal(size=(60, 4)) + 1000
+    m = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)], "id long, features array<double>")
+    passes, real = [], diffusion.all_pairs
+    monkeypatch.setattr(diffusion, "all_pairs", lambda *a: passes.append(1) or real(*a))
+    got = diffusion.centred_distances(m).toPandas().sort_values(["i", "j"])["w"].to_numpy().reshape(60, 60)
+    y = x - x.mean(0)
+    np.testing.assert_allclose(got, y @ y.T, atol=1e-8)
+    assert len(passes) == 1
