@@ -6,7 +6,7 @@ import pytest
 from foldspark.functions import layout_tsne, layout_umap
 from foldspark.operators import rounds
 from foldspark.plans import distributed, pipelines
-from foldspark.plans.params import PacmapParams, TsneParams, densne_params
+from foldspark.plans.params import PacmapParams, TsneParams, UmapParams, densne_params
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_tsne_is_that_of_one_task(spark, graph, method):
     blocks.close()
 
 
-@pytest.mark.parametrize("method", ["pacmap", "tsne", "densne"])
+@pytest.mark.parametrize("method", ["pacmap", "tsne", "densne", "umap_gpu_rule"])
 def test_no_graph_comes_to_the_driver(spark, sf_dir, monkeypatch, method):
     from foldspark.sources.matrix import embeddings
 
@@ -54,6 +54,7 @@ def test_no_graph_comes_to_the_driver(spark, sf_dir, monkeypatch, method):
         "pacmap": lambda: pipelines.pacmap(m, PacmapParams(n_epochs=2, window=(4, 20))),
         "tsne": lambda: pipelines.tsne(m, TsneParams(n_epochs=2, perplexity=10, randomised=False)),
         "densne": lambda: pipelines.tsne(m, densne_params(n_epochs=2, perplexity=10, randomised=False)),
+        "umap_gpu_rule": lambda: pipelines.umap(m, UmapParams(k=5, optimiser="adam_gpu", n_epochs=2, prune_epochs=500)),
     }[method]
     assert run().count() == m.count()
     assert max(len(c) for x in fetched for c in x.values()) <= m.count()
