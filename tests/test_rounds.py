@@ -144,3 +144,19 @@ def test_a_spectral_start_by_rounds_parts_components(spark):
         own = got[part == c]
         along = np.cos(np.pi * (np.arange(len(own)) + 0.5) / len(own))
         assert max(abs(np.corrcoef(own[:, k], along)[0, 1]) for k in range(2)) > 0.95
+
+
+@pytest.mark.parametrize("method", ["umap", "tsne", "pacmap"])
+def test_epochs_of_tables_are_rounds(spark, sf_dir, monkeypatch, method):
+    """Beyond ROUNDS_UP_TO points an epoch is joins and sums: the same layout but for the order of sums."""
+    from foldspark.sources.matrix import embeddings
+
+    m = embeddings(spark, sf_dir).where("id < 70")
+    p = {"umap": UmapParams(k=5, n_epochs=4, prune_epochs=500, init="random"), "tsne": TsneParams(n_epochs=2, perplexity=10, method="fft"), "pacmap": PacmapParams(n_epochs=2, window=(4, 20))}[method]
+
+    def layout():
+        return np.stack(getattr(distributed, method)(m, p).toPandas().sort_values("id")["x"].to_numpy())
+
+    by_rounds = layout()
+    monkeypatch.setattr(distributed, "ROUNDS_UP_TO", 0)
+    np.testing.assert_allclose(layout(), by_rounds, atol=1e-6 * np.abs(by_rounds).max())
